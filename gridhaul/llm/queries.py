@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridhaul.llm import exact_dedup
+from gridhaul.llm import exact_dedup, packing, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op8_simhash_dedup": simhash.query,
     "op9_exact_dedup": exact_dedup.query,
+    "op10_best_fit_packing": packing.query,
 }
 ORACLE_SQL: dict[str, str] = {"op9_exact_dedup": exact_dedup.ORACLE}
