@@ -24,7 +24,12 @@ from pyspark.sql import functions as F
 from gridhaul.llm import common
 
 BLANK = b" \t\n\x0b\x0c\r"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk, uploaded as changes; files take only the space that they fill.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 SLOTS = 1 << 20  # of the fixed-size bitmap of digests with hits
 
 
@@ -57,9 +62,9 @@ def _best() -> list:
 def keyed_state(landing: str, schema, spark, files_per_trigger: int | None = None) -> DataFrame:
     """Run the stream over the landed headers; the last state of each digest."""
     updates, checkpoint = common.fresh_path(spark, "dedup-updates"), common.fresh_path(spark, "dedup-state")
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, ROCKSDB)
+    before = {key: spark.conf.get(key, None) for key in STATE}
+    for key, value in STATE.items():
+        spark.conf.set(key, value)
     try:
         reader = spark.readStream.schema(schema)
         reader = reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader
@@ -73,7 +78,8 @@ def keyed_state(landing: str, schema, spark, files_per_trigger: int | None = Non
         )
         query.awaitTermination()
     finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     out = "digest binary, group_size long, best struct<n_points: long, inv_id: long, inv_row: long, doc_id: long, row_id: long, locator: string>, batch int"
     return spark.read.schema(out).parquet(f"{updates}/part=*")
 
