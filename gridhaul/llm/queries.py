@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridhaul.llm import exact_dedup, packing, simhash
+from gridhaul.llm import exact_dedup, mixing, packing, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op7_source_mixing": mixing.query,
     "op8_simhash_dedup": simhash.query,
     "op9_exact_dedup": exact_dedup.query,
     "op10_best_fit_packing": packing.query,
