@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridhaul.llm import exact_dedup, mixing, packing, simhash
+from gridhaul.llm import exact_dedup, knn_join, mixing, packing, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_voronoi_knn": knn_join.query,
+    "op6_warc_revisits": warc.query,
     "op7_source_mixing": mixing.query,
     "op8_simhash_dedup": simhash.query,
     "op9_exact_dedup": exact_dedup.query,
     "op10_best_fit_packing": packing.query,
 }
-ORACLE_SQL: dict[str, str] = {"op9_exact_dedup": exact_dedup.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op3_voronoi_knn": knn_join.ORACLE, "op6_warc_revisits": warc.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE}
