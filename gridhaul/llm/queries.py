@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridhaul.llm import exact_dedup, knn_join, mixing, packing, simhash, warc
+from gridhaul.llm import exact_dedup, knn_join, mixing, packing, quality, simhash, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_voronoi_knn": knn_join.query,
+    "op4_quality_ranking": quality.query,
+    "op5_toxicity": toxicity.query,
     "op6_warc_revisits": warc.query,
     "op7_source_mixing": mixing.query,
     "op8_simhash_dedup": simhash.query,
