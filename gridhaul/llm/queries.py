@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridhaul.llm import exact_dedup, knn_join, lm_scoring, mixing, packing, quality, simhash, toxicity, warc
+from gridhaul.llm import exact_dedup, html_extract, knn_join, lm_scoring, mixing, packing, quality, simhash, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": lm_scoring.query,
+    "op2_html_mincut": html_extract.query,
     "op3_voronoi_knn": knn_join.query,
     "op4_quality_ranking": quality.query,
     "op5_toxicity": toxicity.query,

@@ -22,6 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from gridhaul.llm import common
 from gridhaul.llm.components import components
@@ -30,21 +31,36 @@ PIVOTS = 24
 SEED = 42
 BUCKET = 64  # fingerprints that a bucket of random ones should hold at most
 SLICE = 1 << 16  # shingles counted at a time
+ODD = np.random.default_rng(SEED).integers(0, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
+LANES = 8  # of the long fingerprints by which similar texts are found
+RECALL = 0.95  # of pairs just as similar as asked for; more similar ones are missed less
 
 
-def fingerprint(text: bytes, words: int = 3) -> int:
-    """Unsigned 64-bit SimHash of a text's word shingles, ASCII letters lower-cased."""
+def lanes(text: bytes, words: int = 3, n_lanes: int = 1) -> np.ndarray:
+    """SimHash of a text's word shingles, ASCII letters lower-cased: n_lanes unsigned 64-bit numbers, of which
+    the first is that of the shingles' XXH64 and each other that of a mixed copy."""
     found = text.lower().split()
     n = len(found) - words + 1
     if not found:
-        return 0
-    ones, total = np.zeros(64, np.int64), max(n, 1)
-    for at in range(0, total, SLICE):
-        part = found[at : at + SLICE + words - 1]
+        return np.zeros(n_lanes, np.uint64)
+    ones, total = np.zeros(64 * n_lanes, np.int64), max(n, 1)
+    for at in range(0, total, SLICE // n_lanes):
+        part = found[at : at + SLICE // n_lanes + words - 1]
         shingles = zip(*(part[k:] for k in range(words)), strict=False) if n > 0 else [part]
         h = np.array([xxhash.xxh64_intdigest(b" ".join(s), SEED) for s in shingles], "<u8")
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > total, bitorder="little").view("<u8")[0])
+        if n_lanes > 1:
+            mixed = h[:, None] * ODD[:n_lanes]
+            mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+            mixed ^= mixed >> np.uint64(29)
+            mixed[:, 0] = h
+            h = mixed
+        ones += np.unpackbits(h.view(np.uint8).reshape(len(h), -1), axis=1, bitorder="little").sum(0, dtype=np.int32)
+    return np.packbits(2 * ones > total, bitorder="little").view("<u8")
+
+
+def fingerprint(text: bytes, words: int = 3) -> int:
+    """Unsigned 64-bit SimHash."""
+    return int(lanes(text, words)[0])
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
@@ -57,8 +73,9 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(common.per_batch(hashed), "doc_id long, fp long")
 
 
-def pivots(n: int = PIVOTS) -> np.ndarray:
-    return np.random.default_rng(SEED).integers(0, 1 << 64, n, np.uint64, endpoint=False)
+def pivots(n: int = PIVOTS, n_lanes: int = 1) -> np.ndarray:
+    """n reference fingerprints."""
+    return np.random.default_rng(SEED).integers(0, 1 << 64, (n, n_lanes), np.uint64, endpoint=False)
 
 
 def _masks(n_rows: int, max_bits: int) -> list[int]:
@@ -77,7 +94,7 @@ def _signed(x: int) -> int:
 
 
 def _linked(fps: np.ndarray, keys: np.ndarray, home: np.ndarray, table: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that join two groups, among rows of one key. Rows are sorted by key."""
+    """Positions of links that join two groups, among rows of one key. Rows are sorted by key."""
     parent = np.arange(len(fps))
     found: list[tuple[int, int]] = []
     left, step = np.arange(len(fps) - 1), 1
@@ -89,7 +106,7 @@ def _linked(fps: np.ndarray, keys: np.ndarray, home: np.ndarray, table: np.ndarr
         i, j = i[ok], j[ok]
         near = np.abs(table[i] - table[j]).max(1, initial=0) <= max_bits
         i, j = i[near], j[near]
-        near = np.bitwise_count(fps[i] ^ fps[j]) <= max_bits
+        near = np.bitwise_count(fps[i] ^ fps[j]).sum(1) <= max_bits
         i, j = i[near], j[near]
         fresh = parent[i] != parent[j]
         for a, b in zip(i[fresh].tolist(), j[fresh].tolist(), strict=True):
@@ -105,48 +122,112 @@ def _linked(fps: np.ndarray, keys: np.ndarray, home: np.ndarray, table: np.ndarr
             parent = up
         step += 1
     pairs = np.array(found, np.int64).reshape(-1, 2)
-    return fps[pairs[:, 0]], fps[pairs[:, 1]]
+    return pairs[:, 0], pairs[:, 1]
 
 
 def links(fps: DataFrame, n_rows: int, max_bits: int = 2) -> DataFrame:
     """Links (a, b) between distinct fingerprints that connect all pairs within max_bits bits."""
     refs, width = pivots(), max_bits + 1
-    cell = F.floor(F.bit_count(F.col("fp").bitwiseXOR(F.lit(_signed(int(refs[0]))))) / width)
+    cell = F.floor(F.bit_count(F.col("fp").bitwiseXOR(F.lit(_signed(int(refs[0, 0]))))) / width)
     keys = [F.struct(F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(_signed(mask))), cell + g).alias("key"), F.lit(g == 0).alias("home")) for k, mask in enumerate(_masks(n_rows, max_bits)) for g in (0, 1)]
-    dealt = fps.select("fp", F.explode(F.array(*keys)).alias("at")).select("fp", "at.key", "at.home")
+    dealt = fps.select(F.explode(F.array(*keys)).alias("at"), F.col("fp").alias("id"), "fp").select("at.key", "at.home", "id", "fp")
+    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_solver(refs, max_bits), "a long, b long")
+
 
-    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))
+def _solver(refs: np.ndarray, max_bits: int):
+    """Links within the buckets of rows (key, home, id, fp) that come sorted by key."""
 
-        def solve(fp: np.ndarray, key: np.ndarray, home: np.ndarray) -> pa.RecordBatch:
-            fp = fp.view(np.uint64)
-            table = np.bitwise_count(fp[:, None] ^ refs).astype(np.int8)
-            a, b = _linked(fp, key, home, table, max_bits)
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+    def solve(key: np.ndarray, home: np.ndarray, ids: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+        table = np.stack([np.bitwise_count(fp ^ r).sum(1, dtype=np.int16) for r in refs], axis=1)
+        a, b = _linked(fp, key, home, table, max_bits)
+        return pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], names=["a", "b"])
 
+    def lanes_of(column: pa.Array) -> np.ndarray:
+        if pa.types.is_integer(column.type):
+            return column.to_numpy().view(np.uint64)[:, None]
+        return np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(len(column), -1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
         for b in batches:
             if b.num_rows:
-                new = (b.column("fp").to_numpy(), b.column("key").to_numpy(), b.column("home").to_numpy(zero_copy_only=False))
-                held = tuple(np.concatenate(x) for x in zip(held, new, strict=True))
-                cut = np.searchsorted(held[1], held[1][-1])  # the last key may go on in the next batch
+                new = (b.column("key").to_numpy(), b.column("home").to_numpy(zero_copy_only=False), b.column("id").to_numpy(), lanes_of(b.column("fp")))
+                held = new if held is None else tuple(np.concatenate(x) for x in zip(held, new, strict=True))
+                cut = np.searchsorted(held[0], held[0][-1])  # the last key may go on in the next batch
                 if cut:
                     yield solve(*(x[:cut] for x in held))
                     held = tuple(x[cut:] for x in held)
-        if len(held[0]):
+        if held is not None:
             yield solve(*held)
 
-    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(joined, "a long, b long")
+    return run
+
+
+def _bit_sets(n_rows: int, bits: int, agree: float) -> list[np.ndarray]:
+    """Sets of bit positions: two fingerprints whose bits agree with that chance agree on all of some set with chance RECALL."""
+    size = min(32, max(16, int(n_rows).bit_length() - 2))
+    tables = int(np.ceil(np.log(1 - RECALL) / np.log(1 - agree**size)))
+    rng = np.random.default_rng(SEED)
+    return [rng.choice(bits, size, replace=False) for _ in range(tables)]
+
+
+def similar_links(prints: DataFrame, n_rows: int, similarity: float) -> DataFrame:
+    """Links (a, b) of ids whose long fingerprints (id, fp) say that they share so large a part of their shingles."""
+    bits = 64 * LANES
+    angle = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)  # chance that a bit differs
+    max_bits = int(np.ceil(bits * (angle + np.sqrt(angle * (1 - angle) / bits))))
+    refs, sets = pivots(8, LANES), np.stack(_bit_sets(n_rows, bits, 1 - angle))
+    weights = (np.uint64(1) << np.arange(sets.shape[1], dtype=np.uint64)).astype(np.uint64)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            on = np.unpackbits(np.frombuffer(b"".join(b.column("fp").to_pylist()), np.uint8).reshape(b.num_rows, -1), axis=1, bitorder="little")
+            for k, at in enumerate(sets):
+                key = (on[:, at].astype(np.uint64) * weights).sum(1, dtype=np.uint64) | np.uint64(k) << np.uint64(40)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.ones(b.num_rows, bool)), b.column("id"), b.column("fp")], names=["key", "home", "id", "fp"])
+
+    dealt = prints.select("id", "fp").mapInArrow(deal, "key long, home boolean, id long, fp binary")
+    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_solver(refs, max_bits), "a long, b long")
+
+
+def _components(prints: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
+    """prints (id, doc_id) with root and component_id, the least doc_id of all that links (a, b) reach."""
+    roots = components(found)
+    members = classes.join(roots, classes.id == roots.node).select("id", "root", "least_id")
+    linked = members.join(members.groupBy("root").agg(F.min("least_id").alias("linked_id")), "root").select("id", "root", "linked_id")
+    named = classes.join(linked, "id", "left").select("id", F.coalesce("root", "id").alias("root"), F.when(F.col("root").isNull(), F.col("least_id")).otherwise(F.col("linked_id")).alias("component_id"))
+    return prints.join(named, "id")
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 2) -> DataFrame:
-    """One row a document: doc_id, fp, component_id (the least doc_id of all that links reach)."""
-    prints = common.work_table(fingerprints(docs, words), "fingerprints")
-    classes = common.work_table(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "fingerprint-classes")
-    roots = components(links(classes.select("fp"), classes.count(), max_bits))
-    members = classes.join(roots, classes.fp == roots.node).select("fp", "root", "least_id")
-    linked = members.join(members.groupBy("root").agg(F.min("least_id").alias("linked_id")), "root").select("fp", "linked_id")
-    named = classes.join(linked, "fp", "left").select("fp", F.coalesce("linked_id", "least_id").alias("component_id"))
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    """One row a document: doc_id, fp, root, component_id (the least doc_id of all that links reach)."""
+    prints = common.work_table(fingerprints(docs, words).withColumn("id", F.col("fp")), "fingerprints")
+    classes = common.work_table(prints.groupBy("id").agg(F.min("doc_id").alias("least_id")), "fingerprint-classes")
+    return _components(prints, classes, links(classes.select(F.col("id").alias("fp")), classes.count(), max_bits)).select("doc_id", "fp", "root", "component_id")
+
+
+def drop_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs without near copies: of each group that links of that similarity connect, the row of the least id.
+
+    The similarity is that of the sets of word shingles, as fingerprints of 64 x LANES bits estimate it.
+    """
+    names = docs.columns
+
+    def hashed(b: pa.RecordBatch) -> pa.RecordBatch:
+        fps = [lanes(x, words, LANES).tobytes() for x in common.blobs(b.column("text"))]
+        return pa.RecordBatch.from_arrays([*b.columns, pa.array(fps, pa.binary())], names=[*names, "_fp"])
+
+    marked = docs.mapInArrow(common.per_batch(hashed), StructType([*docs.schema.fields, StructField("_fp", BinaryType())]))
+    marked = marked.withColumn("_id", F.xxhash64("_fp"))
+    prints = common.work_table(marked.select(F.col("_id").alias("id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("_fp").alias("fp")), "fingerprints")
+    classes = common.work_table(prints.groupBy("id").agg(F.min("doc_id").alias("least_id"), F.first("fp").alias("fp")), "fingerprint-classes")
+    found = _components(prints.select("id", "doc_id"), classes.drop("fp"), similar_links(classes, classes.count(), similarity))
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "id")).alias("x"))
+    kept = first.select(F.coalesce(F.col("x.doc_id").cast("string"), F.lit("")).alias("_kept"), F.col("x.id").alias("_id"))
+    rows = marked.withColumn("_kept", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    return rows.join(kept, ["_kept", "_id"], "left_semi").dropDuplicates(["_kept", "_id"]).select(*names)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
