@@ -138,7 +138,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
     first = F.greatest(F.lit(0), F.col("block") * block - F.col("start"))
     words = F.when(F.col("size") > 0, F.least("size", (F.col("block") + 1) * block - F.col("start")) - first).otherwise(0)
     pieces = pieces.withColumn("first", first).withColumn("words", words)
-    return pieces.join(slots, ["rank", "block"], "left")
+    return pieces.join(slots.hint("merge"), ["rank", "block"], "left")  # Spark takes the unfolded plan for small
 
 
 def _of_document() -> list[str]:
@@ -160,7 +160,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     runs = mixed.groupBy(*row, "start", "size", "turn").agg(F.sort_array(F.collect_list(F.struct("first", "words"))).alias("runs"))
     keys = ["_id", "_mark", "_source"]
     rows = docs.withColumn("mark", F.xxhash64("text")).select(*docs.columns, *row).dropDuplicates(keys)  # a run has a row for each of rows alike
-    joined = rows.join(runs, keys)
+    joined = rows.hint("merge").join(runs, keys)
     names = docs.columns
     where = names.index("text")
 
