@@ -33,21 +33,27 @@ BUCKET = 64  # fingerprints that a bucket of random ones should hold at most
 SLICE = 1 << 16  # shingles counted at a time
 ODD = np.random.default_rng(SEED).integers(0, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
 LANES = 8  # of the long fingerprints by which similar texts are found
-RECALL = 0.95  # of pairs just as similar as asked for; more similar ones are missed less
+RECALL = 0.98  # of pairs just as similar as asked for; more similar ones are missed less
+SLACK = 2.5  # standard deviations that a fingerprint distance may lie above what the similarity implies
 
 
-def lanes(text: bytes, words: int = 3, n_lanes: int = 1) -> np.ndarray:
-    """SimHash of a text's word shingles, ASCII letters lower-cased: n_lanes unsigned 64-bit numbers, of which
-    the first is that of the shingles' XXH64 and each other that of a mixed copy."""
+def _shingle_hashes(found: list[bytes], words: int) -> np.ndarray:
+    """XXH64 of each shingle of a piece of the words; the whole sequence if it is shorter than a shingle."""
+    shingles = zip(*(found[k:] for k in range(words)), strict=False) if len(found) >= words else [found]
+    return np.array([xxhash.xxh64_intdigest(b" ".join(s), SEED) for s in shingles], "<u8")
+
+
+def shingle_set(text: bytes, words: int) -> np.ndarray:
+    """The distinct shingles of a text, as sorted 64-bit hashes."""
     found = text.lower().split()
-    n = len(found) - words + 1
-    if not found:
-        return np.zeros(n_lanes, np.uint64)
-    ones, total = np.zeros(64 * n_lanes, np.int64), max(n, 1)
-    for at in range(0, total, SLICE // n_lanes):
-        part = found[at : at + SLICE // n_lanes + words - 1]
-        shingles = zip(*(part[k:] for k in range(words)), strict=False) if n > 0 else [part]
-        h = np.array([xxhash.xxh64_intdigest(b" ".join(s), SEED) for s in shingles], "<u8")
+    return np.unique(_shingle_hashes(found, words)) if found else np.zeros(0, np.uint64)
+
+
+def _majority(parts: Iterator[np.ndarray], n_lanes: int) -> np.ndarray:
+    """Bits that over half of all hashes have set; lanes after the first come from mixed copies of the hashes."""
+    ones, total = np.zeros(64 * n_lanes, np.int64), 0
+    for h in parts:
+        total += len(h)
         if n_lanes > 1:
             mixed = h[:, None] * ODD[:n_lanes]
             mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
@@ -59,8 +65,18 @@ def lanes(text: bytes, words: int = 3, n_lanes: int = 1) -> np.ndarray:
 
 
 def fingerprint(text: bytes, words: int = 3) -> int:
-    """Unsigned 64-bit SimHash."""
-    return int(lanes(text, words)[0])
+    """Unsigned 64-bit SimHash of a text's word shingles, repeats included, ASCII letters lower-cased."""
+    found = text.lower().split()
+    if not found:
+        return 0
+    starts = range(0, max(len(found) - words + 1, 1), SLICE)
+    return int(_majority((_shingle_hashes(found[at : at + SLICE + words - 1], words) for at in starts), 1)[0])
+
+
+def long_fingerprint(shingles: np.ndarray) -> np.ndarray:
+    """SimHash of a set of shingles in 64-bit lanes."""
+    step = SLICE // LANES
+    return _majority((shingles[at : at + step] for at in range(0, len(shingles), step)), LANES)
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
@@ -175,7 +191,7 @@ def similar_links(prints: DataFrame, n_rows: int, similarity: float) -> DataFram
     """Links (a, b) of ids whose long fingerprints (id, fp) say that they share so large a part of their shingles."""
     bits = 64 * LANES
     angle = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)  # chance that a bit differs
-    max_bits = int(np.ceil(bits * (angle + np.sqrt(angle * (1 - angle) / bits))))
+    max_bits = int(np.ceil(bits * (angle + SLACK * np.sqrt(angle * (1 - angle) / bits))))
     refs, sets = pivots(8, LANES), np.stack(_bit_sets(n_rows, bits, 1 - angle))
     weights = (np.uint64(1) << np.arange(sets.shape[1], dtype=np.uint64)).astype(np.uint64)
 
@@ -208,22 +224,47 @@ def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 2) -> DataF
     return _components(prints, classes, links(classes.select(F.col("id").alias("fp")), classes.count(), max_bits)).select("doc_id", "fp", "root", "component_id")
 
 
+def _verified(marked: DataFrame, found: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The links (a, b) of _id whose texts have sets of shingles that are so similar."""
+    linked = found.select(F.col("a").alias("_id")).union(found.select("b")).distinct()
+    some = marked.join(linked, "_id", "left_semi").select(F.col("_id").alias("id"), "text").dropDuplicates(["id"])
+
+    def sets(b: pa.RecordBatch) -> pa.RecordBatch:
+        found_ = [shingle_set(x, words).astype("<u4").tobytes() for x in common.blobs(b.column("text"))]  # the low halves
+        return pa.RecordBatch.from_arrays([b.column("id"), pa.array(found_, pa.binary())], names=["id", "set"])
+
+    def similar(b: pa.RecordBatch) -> pa.RecordBatch:
+        ok = []
+        for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True):
+            p, q = np.unique(np.frombuffer(x, "<u4")), np.unique(np.frombuffer(y, "<u4"))
+            both = len(np.intersect1d(p, q, assume_unique=True))
+            ok.append(both >= similarity * (len(p) + len(q) - both))
+        return b.select(["a", "b"]).filter(pa.array(ok))
+
+    known = common.work_table(some.mapInArrow(common.per_batch(sets), "id long, set binary"), "shingle-sets")
+    pairs = found.join(known.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(known.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
+    return pairs.select("a", "b", "x", "y").mapInArrow(common.per_batch(similar), "a long, b long")
+
+
 def drop_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs without near copies: of each group that links of that similarity connect, the row of the least id.
 
-    The similarity is that of the sets of word shingles, as fingerprints of 64 x LANES bits estimate it.
+    The similarity is that of the sets of word shingles (common over all). Fingerprints of 64 x LANES bits find
+    the links; each is then checked on the sets themselves. Texts without words are copies of each other.
     """
     names = docs.columns
 
     def hashed(b: pa.RecordBatch) -> pa.RecordBatch:
-        fps = [lanes(x, words, LANES).tobytes() for x in common.blobs(b.column("text"))]
+        fps = [long_fingerprint(shingle_set(x, words)).tobytes() for x in common.blobs(b.column("text"))]
         return pa.RecordBatch.from_arrays([*b.columns, pa.array(fps, pa.binary())], names=[*names, "_fp"])
 
     marked = docs.mapInArrow(common.per_batch(hashed), StructType([*docs.schema.fields, StructField("_fp", BinaryType())]))
     marked = marked.withColumn("_id", F.xxhash64("_fp"))
     prints = common.work_table(marked.select(F.col("_id").alias("id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("_fp").alias("fp")), "fingerprints")
     classes = common.work_table(prints.groupBy("id").agg(F.min("doc_id").alias("least_id"), F.first("fp").alias("fp")), "fingerprint-classes")
-    found = _components(prints.select("id", "doc_id"), classes.drop("fp"), similar_links(classes, classes.count(), similarity))
+    found = similar_links(classes, classes.count(), similarity).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    found = _verified(marked, common.work_table(found, "similar"), words, similarity)
+    found = _components(prints.select("id", "doc_id"), classes.drop("fp"), found)
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "id")).alias("x"))
     kept = first.select(F.coalesce(F.col("x.doc_id").cast("string"), F.lit("")).alias("_kept"), F.col("x.id").alias("_id"))
     rows = marked.withColumn("_kept", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
