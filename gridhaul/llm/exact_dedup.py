@@ -30,6 +30,7 @@ STATE = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
+UPDATES = "digest binary, group_size long, best struct<n_points: long, inv_id: long, inv_row: long, doc_id: long, row_id: long, locator: string>, batch int"
 SLOTS = 1 << 20  # of the fixed-size bitmap of digests with hits
 
 
@@ -66,6 +67,7 @@ def keyed_state(landing: str, schema, spark, files_per_trigger: int | None = Non
     for key, value in STATE.items():
         spark.conf.set(key, value)
     try:
+        spark.createDataFrame([], UPDATES).write.parquet(f"{updates}/part=none")  # there to read if no batch runs
         reader = spark.readStream.schema(schema)
         reader = reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader
         state = reader.parquet(landing).groupBy("digest").agg(*_best())
@@ -80,8 +82,7 @@ def keyed_state(landing: str, schema, spark, files_per_trigger: int | None = Non
     finally:
         for key, value in before.items():
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
-    out = "digest binary, group_size long, best struct<n_points: long, inv_id: long, inv_row: long, doc_id: long, row_id: long, locator: string>, batch int"
-    return spark.read.schema(out).parquet(f"{updates}/part=*")
+    return spark.read.schema(UPDATES).parquet(f"{updates}/part=*")
 
 
 def _collisions(docs: DataFrame, groups: DataFrame, digest_bytes: int) -> DataFrame:
@@ -140,9 +141,9 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     """docs without the copies: its columns, one row of each group."""
     found = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("kept_id"), F.col("n_points").alias("kept_points"), F.col("text_sha256").alias("kept_sha"))
     text = F.coalesce(F.col("text"), F.lit(""))
-    keys = docs.select("*", F.length(text).cast("long").alias("_points"), F.sha2(F.translate(text, BLANK.decode(), ""), 256).alias("_sha"))
-    same = keys["doc_id"].cast("long").eqNullSafe(found.kept_id) & (keys["_points"] == found.kept_points) & (keys["_sha"] == found.kept_sha)
-    return keys.join(found, same, "left_semi").dropDuplicates(["doc_id", "_points", "_sha"]).drop("_points", "_sha")
+    keys = docs.select("*", F.length(text).cast("long").alias("__points"), F.sha2(F.translate(text, BLANK.decode(), ""), 256).alias("__sha"))
+    same = keys["doc_id"].cast("long").eqNullSafe(found.kept_id) & (keys["__points"] == found.kept_points) & (keys["__sha"] == found.kept_sha)
+    return keys.join(found, same, "left_semi").dropDuplicates(["doc_id", "__points", "__sha"]).drop("__points", "__sha")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

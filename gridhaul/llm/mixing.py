@@ -156,17 +156,18 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """docs after the mix, in their own columns: a row for each pass over the source that takes a document,
     with the words that it takes (the whole text as it stands, where all are taken)."""
     mixed = mix(docs, **options).filter("slot IS NOT NULL")
-    row = [F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.col("mark").alias("_mark"), F.coalesce(F.concat(F.lit("."), "source"), F.lit("")).alias("_source")]
-    runs = mixed.groupBy(*row, "start", "size", "turn").agg(F.sort_array(F.collect_list(F.struct("first", "words"))).alias("runs"))
-    keys = ["_id", "_mark", "_source"]
-    rows = docs.withColumn("mark", F.xxhash64("text")).select(*docs.columns, *row).dropDuplicates(keys)  # a run has a row for each of rows alike
+    def row(mark):
+        return [F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__id"), mark.alias("__mark"), F.coalesce(F.concat(F.lit("."), "source"), F.lit("")).alias("__source")]
+    runs = mixed.groupBy(*row(F.col("mark")), "start", F.col("size").alias("__size"), "turn").agg(F.sort_array(F.collect_list(F.struct("first", "words"))).alias("__runs")).drop("start", "turn")
+    keys = ["__id", "__mark", "__source"]
+    rows = docs.select("*", *row(F.xxhash64("text"))).dropDuplicates(keys)  # a run has a row for each of rows alike
     joined = rows.hint("merge").join(runs, keys)
     names = docs.columns
     where = names.index("text")
 
     def cut(b: pa.RecordBatch) -> pa.RecordBatch:
         out = []
-        for text, size, found in zip(common.blobs(b.column("text")), b.column("size").to_pylist(), b.column("runs").to_pylist(), strict=True):
+        for text, size, found in zip(common.blobs(b.column("text")), b.column("__size").to_pylist(), b.column("__runs").to_pylist(), strict=True):
             if sum(r["words"] for r in found) == size:
                 out.append(text.decode())
                 continue
@@ -185,7 +186,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
             cols[names.index("n_chars")] = pa.array([len(x) for x in out], b.column("n_chars").type)
         return pa.RecordBatch.from_arrays(cols, names=names)
 
-    return joined.select(*names, "size", "runs").mapInArrow(common.per_batch(cut), docs.schema)
+    return joined.select(*names, "__size", "__runs").mapInArrow(common.per_batch(cut), docs.schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

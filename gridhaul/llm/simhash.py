@@ -225,9 +225,9 @@ def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 2) -> DataF
 
 
 def _verified(marked: DataFrame, found: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The links (a, b) of _id whose texts have sets of shingles that are so similar."""
-    linked = found.select(F.col("a").alias("_id")).union(found.select("b")).distinct()
-    some = marked.join(linked, "_id", "left_semi").select(F.col("_id").alias("id"), "text").dropDuplicates(["id"])
+    """The links (a, b) of __id whose texts have sets of shingles that are so similar."""
+    linked = found.select(F.col("a").alias("__id")).union(found.select("b")).distinct()
+    some = marked.join(linked, "__id", "left_semi").select(F.col("__id").alias("id"), "text").dropDuplicates(["id"])
 
     def sets(b: pa.RecordBatch) -> pa.RecordBatch:
         found_ = [shingle_set(x, words).astype("<u4").tobytes() for x in common.blobs(b.column("text"))]  # the low halves
@@ -256,19 +256,19 @@ def drop_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Da
 
     def hashed(b: pa.RecordBatch) -> pa.RecordBatch:
         fps = [long_fingerprint(shingle_set(x, words)).tobytes() for x in common.blobs(b.column("text"))]
-        return pa.RecordBatch.from_arrays([*b.columns, pa.array(fps, pa.binary())], names=[*names, "_fp"])
+        return pa.RecordBatch.from_arrays([*b.columns, pa.array(fps, pa.binary())], names=[*names, "__fp"])
 
-    marked = docs.mapInArrow(common.per_batch(hashed), StructType([*docs.schema.fields, StructField("_fp", BinaryType())]))
-    marked = marked.withColumn("_id", F.xxhash64("_fp"))
-    prints = common.work_table(marked.select(F.col("_id").alias("id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("_fp").alias("fp")), "fingerprints")
+    marked = docs.mapInArrow(common.per_batch(hashed), StructType([*docs.schema.fields, StructField("__fp", BinaryType())]))
+    marked = marked.withColumn("__id", F.xxhash64("__fp"))
+    prints = common.work_table(marked.select(F.col("__id").alias("id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("__fp").alias("fp")), "fingerprints")
     classes = common.work_table(prints.groupBy("id").agg(F.min("doc_id").alias("least_id"), F.first("fp").alias("fp")), "fingerprint-classes")
     found = similar_links(classes, classes.count(), similarity).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     found = _verified(marked, common.work_table(found, "similar"), words, similarity)
     found = _components(prints.select("id", "doc_id"), classes.drop("fp"), found)
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "id")).alias("x"))
-    kept = first.select(F.coalesce(F.col("x.doc_id").cast("string"), F.lit("")).alias("_kept"), F.col("x.id").alias("_id"))
-    rows = marked.withColumn("_kept", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    return rows.join(kept, ["_kept", "_id"], "left_semi").dropDuplicates(["_kept", "_id"]).select(*names)
+    kept = first.select(F.coalesce(F.col("x.doc_id").cast("string"), F.lit("")).alias("__kept"), F.col("x.id").alias("__id"))
+    rows = marked.withColumn("__kept", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    return rows.join(kept, ["__kept", "__id"], "left_semi").dropDuplicates(["__kept", "__id"]).select(*names)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
