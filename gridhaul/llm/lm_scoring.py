@@ -8,10 +8,10 @@ q.s(w) + bias(w). Every partition of the training texts trains a copy over all i
 up on a small sample, and the copies are averaged by tokens. Since the score is a sum of two tables, the
 normaliser of every pair of contexts is one matrix product, and class probabilities are exactly normalised.
 
-Only the LOOKUP most frequent tokens are sent to the workers; counts of rarer ones come by a join on the
+Only the most frequent tokens, LOOKUP at most, are sent to the workers; counts of rarer ones come by a join on the
 token, in which frequent tokens have no part. Null texts are empty and have one token, the end. Repeated rows
 are scored one by one; a null doc_id belongs to no fold and is neither trained on nor held out. Without
-training texts every token has probability 1 (no token is known, and one share is all there is).
+training texts no token is known: the base score is 0 and classes are as likely as untrained weights have them.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from gridhaul.llm import common
 
 LOOKUP = 200_000
+STEPS = 32
 CLASSES, BUCKETS = 1024, 64
 WIDTH = 16
 BATCH, NOISE = 2048, 32
@@ -83,8 +84,9 @@ class Vocabulary:
         n, v = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
         for k, (tokens, kinds) in buckets.items():
             n[k], v[k] = tokens, kinds
-        np.subtract.at(n, [bucket(t) for t, _ in frequent[:n_own]], counts[:n_own])
-        np.subtract.at(v, [bucket(t) for t, _ in frequent[:n_own]], 1)
+        own_buckets = np.array([bucket(t) for t, _ in frequent[:n_own]], np.int64)
+        np.subtract.at(n, own_buckets, counts[:n_own])
+        np.subtract.at(v, own_buckets, 1)
         self.room = (n + v + 1).astype(float)  # of each bucket; the last share is for all unseen tokens
         self.class_counts = np.concatenate([n + 1, counts[:n_own]]).astype(float)
         self.base = np.log10((counts + 1) / self.base_room)
@@ -194,7 +196,15 @@ class LogBilinear:
 def vocabulary(counts: DataFrame) -> Vocabulary:
     """counts: a written table of token and n."""
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    frequent = counts.orderBy(F.col("token") != END, F.desc("n"), "token").limit(LOOKUP).collect()
+    step = F.floor(F.log2("n") * STEPS).cast("int")
+    sizes = sorted((r.k, r["count"]) for r in counts.groupBy(step.alias("k")).count().collect())  # STEPS a doubling of n
+    least, room = None, LOOKUP - 1
+    for k, size in reversed(sizes):
+        if size > room:
+            break
+        least, room = k, room - size
+    chosen = (F.col("token") == END) | (F.lit(False) if least is None else step >= least)  # LOOKUP tokens at most
+    frequent = sorted(counts.filter(chosen).collect(), key=lambda r: (bytes(r.token) != END, -r.n, bytes(r.token)))
     inside = counts.groupBy((F.crc32(F.substring("token", 1, 2)) % BUCKETS).alias("k")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()
     return Vocabulary([(bytes(r.token), r.n) for r in frequent], total[0], total[1], {r.k: (r.n, r.v) for r in inside})
 
