@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gridhaul.functions import constants as C
 from gridhaul.functions import text as X
 from gridhaul.operators import fulltext
+from gridhaul.operators.materialise import materialised
 from gridhaul.operators.segments import interpolate
 
 
@@ -17,11 +18,12 @@ def geocode(asked: DataFrame, stored: DataFrame, segments: DataFrame) -> DataFra
     Without a state all shards are asked: a rooftop row of the first shard that has one, else any row of the first.
     """
     a = asked.select("id", "text", X.coordinate(F.col("text")).alias("point"), X.normalize_query(F.col("text")).alias("norm"), X.parse_state(F.col("text")).alias("state"))
+    a = materialised(a)
     gated = a.filter(F.col("point").isNull() & X.has_house_number(F.col("norm")))
     shards = F.when(F.col("state").isNotNull(), F.array("state")).otherwise(F.array(*(F.lit(s) for s in C.SHARD_ORDER)))
     queries = gated.select(F.col("id").alias("q"), F.explode(shards).alias("shard"), F.col("norm").alias("text"))
     usable = stored.filter(F.col("tier").isin("rooftop", "interpolated"))
-    best = fulltext.ranked(queries, fulltext.postings(usable), usable.select("shard", "id", "tier", "lat", "lon"))
+    best = fulltext.ranked(queries, materialised(fulltext.postings(usable)), usable.select("shard", "id", "tier", "lat", "lon"))
     place = F.array_position(F.array(*(F.lit(s) for s in C.SHARD_ORDER)), F.col("shard"))
     order = Window.partitionBy("q").orderBy(F.desc(F.col("tier") == "rooftop"), place)
     hit = best.withColumn("_n", F.row_number().over(order)).filter("_n = 1").select(F.col("q").alias("id"), "tier", F.col("lat").alias("h_lat"), F.col("lon").alias("h_lon"))

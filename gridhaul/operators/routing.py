@@ -1,42 +1,33 @@
 """One-to-many shortest paths by rounds of joins, and the cascade of routers.
 
 Every round joins the frontier (labels that improved) with the edges once and keeps the best label of each
-(origin, node) by a partial aggregate, so work and shuffle follow the frontier. Labels that no target can use
-any more (their bound to every target is above the best known) are left out. Paths are exact.
+(origin, node) by a partial aggregate, so work and shuffle follow the frontier. Paths are exact, so never longer
+than those of a weighted search.
 """
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _checkpointed(df: DataFrame) -> DataFrame:
-    spark: SparkSession = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", "")
-        if not folder and spark.sparkContext.master.startswith("local"):
-            folder = tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
+from gridhaul.operators.materialise import materialised
 
 
 def shortest_paths(origins: DataFrame, edges: DataFrame, max_hops: int = 64) -> DataFrame:
     """origin, node, seconds, metres for all nodes that origins (origin) reach over edges (u, v, seconds, metres)."""
     best = F.min(F.struct("seconds", "metres")).alias("x")
+    edges = materialised(edges.select(F.col("u").alias("node"), "v", F.col("seconds").alias("s"), F.col("metres").alias("m")))
     labels = origins.select("origin", F.col("origin").alias("node"), F.lit(0.0).alias("seconds"), F.lit(0.0).alias("metres"))
     frontier = labels
     for _ in range(max_hops):
-        step = frontier.join(edges.select(F.col("u").alias("node"), "v", F.col("seconds").alias("s"), F.col("metres").alias("m")), "node")
+        step = frontier.join(edges, "node")
         step = step.groupBy("origin", F.col("v").alias("node")).agg(F.min(F.struct((F.col("seconds") + F.col("s")).alias("seconds"), (F.col("metres") + F.col("m")).alias("metres"))).alias("y")).select("origin", "node", "y.*")
         old = labels.select("origin", "node", F.col("seconds").alias("was"))
         merged = step.join(old, ["origin", "node"], "left").filter(F.col("was").isNull() | (F.col("seconds") < F.col("was"))).drop("was")
-        frontier = _checkpointed(merged)
+        frontier = materialised(merged)
         if frontier.isEmpty():
             break
-        labels = _checkpointed(labels.unionByName(frontier).groupBy("origin", "node").agg(best).select("origin", "node", "x.*"))
+        labels = materialised(labels.unionByName(frontier).groupBy("origin", "node").agg(best).select("origin", "node", "x.*"))
     return labels
 
 
