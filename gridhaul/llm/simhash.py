@@ -22,7 +22,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StructField, StructType
 
 from gridhaul.llm import common
 from gridhaul.llm.components import components
@@ -224,19 +223,19 @@ def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 2) -> DataF
     return _components(prints, classes, links(classes.select(F.col("id").alias("fp")), classes.count(), max_bits)).select("doc_id", "fp", "root", "component_id")
 
 
-def _verified(marked: DataFrame, found: DataFrame, words: int, similarity: float) -> DataFrame:
+def _verified(docs: DataFrame, found: DataFrame, words: int, similarity: float) -> DataFrame:
     """The links (a, b) of __id whose texts have sets of shingles that are so similar."""
     linked = found.select(F.col("a").alias("__id")).union(found.select("b")).distinct()
-    some = marked.join(linked, "__id", "left_semi").select(F.col("__id").alias("id"), "text").dropDuplicates(["id"])
+    some = docs.join(linked, "__id", "left_semi").select(F.col("__id").alias("id"), "text").dropDuplicates(["id"])
 
     def sets(b: pa.RecordBatch) -> pa.RecordBatch:
-        found_ = [shingle_set(x, words).astype("<u4").tobytes() for x in common.blobs(b.column("text"))]  # the low halves
+        found_ = [np.unique(shingle_set(x, words).astype("<u4")).tobytes() for x in common.blobs(b.column("text"))]  # the low halves
         return pa.RecordBatch.from_arrays([b.column("id"), pa.array(found_, pa.binary())], names=["id", "set"])
 
     def similar(b: pa.RecordBatch) -> pa.RecordBatch:
         ok = []
         for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True):
-            p, q = np.unique(np.frombuffer(x, "<u4")), np.unique(np.frombuffer(y, "<u4"))
+            p, q = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
             both = len(np.intersect1d(p, q, assume_unique=True))
             ok.append(both >= similarity * (len(p) + len(q) - both))
         return b.select(["a", "b"]).filter(pa.array(ok))
@@ -250,25 +249,26 @@ def drop_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Da
     """docs without near copies: of each group that links of that similarity connect, the row of the least id.
 
     The similarity is that of the sets of word shingles (common over all). Fingerprints of 64 x LANES bits find
-    the links; each is then checked on the sets themselves. Texts without words are copies of each other.
+    the links; each is then checked on the sets themselves. Equal texts are one class from the start, by a 64-bit
+    hash of the text. Texts without words are copies of each other. Columns that begin with __ are reserved.
     """
     names = docs.columns
+    marked = docs.withColumn("__id", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
 
     def hashed(b: pa.RecordBatch) -> pa.RecordBatch:
         fps = [long_fingerprint(shingle_set(x, words)).tobytes() for x in common.blobs(b.column("text"))]
-        return pa.RecordBatch.from_arrays([*b.columns, pa.array(fps, pa.binary())], names=[*names, "__fp"])
+        return pa.RecordBatch.from_arrays([b.column("id"), b.column("doc_id"), pa.array(fps, pa.binary())], names=["id", "doc_id", "fp"])
 
-    marked = docs.mapInArrow(common.per_batch(hashed), StructType([*docs.schema.fields, StructField("__fp", BinaryType())]))
-    marked = marked.withColumn("__id", F.xxhash64("__fp"))
-    prints = common.work_table(marked.select(F.col("__id").alias("id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("__fp").alias("fp")), "fingerprints")
+    rows = marked.select(F.col("__id").alias("id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    prints = common.work_table(rows.mapInArrow(common.per_batch(hashed), "id long, doc_id long, fp binary"), "fingerprints")
     classes = common.work_table(prints.groupBy("id").agg(F.min("doc_id").alias("least_id"), F.first("fp").alias("fp")), "fingerprint-classes")
     found = similar_links(classes, classes.count(), similarity).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     found = _verified(marked, common.work_table(found, "similar"), words, similarity)
     found = _components(prints.select("id", "doc_id"), classes.drop("fp"), found)
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "id")).alias("x"))
     kept = first.select(F.coalesce(F.col("x.doc_id").cast("string"), F.lit("")).alias("__kept"), F.col("x.id").alias("__id"))
-    rows = marked.withColumn("__kept", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    return rows.join(kept, ["__kept", "__id"], "left_semi").dropDuplicates(["__kept", "__id"]).select(*names)
+    named = marked.withColumn("__kept", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    return named.join(kept, ["__kept", "__id"], "left_semi").dropDuplicates(["__kept", "__id"]).select(*names)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
