@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gridhaul.functions import constants as C
 from gridhaul.functions import geo, keys
 from gridhaul.functions import text as X
+from gridhaul.functions.register import register
 from gridhaul.operators import addresses, corridor, graph, upstream
 from gridhaul.plans.queries import S_EDGES, S_KEPT, S_LINE, S_LOADED, S_NODES, S_TX, S_TY, query, road_edges, s_hav, s_stored
 from gridhaul.plans.tables import frame, sql, table
@@ -160,3 +161,52 @@ def state_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Running ids within a state, as the writers by state give them."""
     m = frame(spark, sf, "mirror").withColumn("rn", F.row_number().over(Window.partitionBy("state").orderBy("id")))
     return m.groupBy("state").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"), F.max("rn").alias("last_rank"))
+
+
+@query("tagged_addresses", "SELECT c_custkey AS id, CASE WHEN c_custkey % 4 = 0 THEN 'TX' ELSE 'CA' END AS state, concat(c_custkey % 90 + 1, ' ', CASE c_custkey % 2 WHEN 0 THEN 'oak st' ELSE 'n elm ave' END, ', ', lower(c_mktsegment), ', ', CASE WHEN c_custkey % 4 = 0 THEN 'tx' ELSE 'ca' END) AS normalized FROM customer WHERE c_custkey % 3 <> 0")
+def tagged_addresses(spark: SparkSession, sf: str) -> DataFrame:
+    """Map nodes with tags of number and street; the state of the file where no tag has one."""
+    tags = F.expr("map_from_entries(filter(array(struct('addr:housenumber' AS key, CASE WHEN c_custkey % 3 <> 0 THEN CAST(c_custkey % 90 + 1 AS STRING) END AS value), struct('addr:street' AS key, CASE c_custkey % 2 WHEN 0 THEN 'Oak Street' ELSE 'North Elm Avenue' END AS value), struct('addr:city' AS key, c_mktsegment AS value), struct('addr:state' AS key, CASE WHEN c_custkey % 4 = 0 THEN 'TX' END AS value)), e -> e.value IS NOT NULL))")
+    n = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), tags.alias("tags"))
+    has = F.col("tags")["addr:housenumber"].isNotNull() & F.col("tags")["addr:street"].isNotNull()
+    state = F.coalesce(F.col("tags")["addr:state"], F.lit("CA"))
+    line = X.address_line(F.trim(F.lower(F.col("tags")["addr:housenumber"])), X.long_street(F.col("tags")["addr:street"]), F.trim(F.coalesce(F.col("tags")["addr:city"], F.lit(""))), state, F.coalesce(F.trim(F.col("tags")["addr:postcode"]), F.lit("")))
+    return n.filter(has).select("id", state.alias("state"), line.alias("normalized"))
+
+
+@query("request_params", "SELECT c_custkey AS id, CASE WHEN c_custkey % 5 = 0 THEN 0 ELSE CAST((2 + c_custkey % 2) * 1 AS INTEGER) END AS elements, CASE WHEN c_custkey % 3 = 0 THEN 'metric' ELSE 'imperial' END AS units, c_custkey % 5 <> 0 AS valid FROM customer")
+def request_params(spark: SparkSession, sf: str) -> DataFrame:
+    """Origins, destinations and units of query strings; without either list a request is invalid."""
+    url = F.expr("concat('https://host/matrix?origins=1%2C2%7C%20%7C3%2C4', CASE WHEN c_custkey % 2 = 1 THEN '%7CA+St' ELSE '' END, CASE WHEN c_custkey % 5 = 0 THEN '' ELSE '&destinations=5%2C6' END, CASE c_custkey % 3 WHEN 0 THEN '&units=Metric' WHEN 1 THEN '&units=feet' ELSE '' END)")
+    r = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), url.alias("url"))
+    part = {k: F.coalesce(F.url_decode(F.expr(f"parse_url(url, 'QUERY', '{k}')")), F.lit("")) for k in ("origins", "destinations", "units")}
+    n = F.size(X.split_multi(part["origins"])) * F.size(X.split_multi(part["destinations"]))
+    return r.select("id", n.alias("elements"), F.when(F.lower(part["units"]) == "metric", "metric").otherwise("imperial").alias("units"), (n > 0).alias("valid"))
+
+
+@query("config_values", "SELECT id, CASE WHEN id % 6 = 0 OR id % 6 = 5 THEN 25 WHEN id % 6 = 1 THEN 100 WHEN id % 6 = 4 THEN 7 ELSE 1 END AS n FROM (SELECT c_custkey AS id FROM customer)")
+def config_values(spark: SparkSession, sf: str) -> DataFrame:
+    """Limits from text: 25 where nothing or no number is given, whole and at least 1."""
+    t = F.expr("CASE c_custkey % 6 WHEN 0 THEN '' WHEN 1 THEN '100' WHEN 2 THEN '0' WHEN 3 THEN '-5' WHEN 4 THEN '7.9' ELSE 'abc' END")
+    number = F.floor(F.trim(t).try_cast("double"))
+    return table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.when(number.isNull(), C.MAX_ELEMENTS).otherwise(F.greatest(F.lit(1), number)).cast("int").alias("n"))
+
+
+_CELL = "CAST(floor(({c} + {k}) * 100) AS INTEGER)"
+
+
+@query("grid_offsets", f"WITH c AS (SELECT {_CELL.format(c='lat', k=90)} AS cy, {_CELL.format(c='lon', k=180)} AS cx, count(*) AS n FROM {sql('near_nodes')} GROUP BY 1, 2) SELECT cy, cx, n, CAST(coalesce(sum(n) OVER (PARTITION BY cy // 25, cx // 25 ORDER BY cy, cx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM c")
+def grid_offsets(spark: SparkSession, sf: str) -> DataFrame:
+    """Nodes of each sub-cell and where they begin within their tile."""
+    cell = {a: F.floor((F.col(c) + k) * 100).cast("int") for a, c, k in (("cy", "lat", 90), ("cx", "lon", 180))}
+    n = frame(spark, sf, "near_nodes").groupBy(cell["cy"].alias("cy"), cell["cx"].alias("cx")).agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy(F.floor(F.col("cy") / 25), F.floor(F.col("cx") / 25)).orderBy("cy", "cx").rowsBetween(Window.unboundedPreceding, -1)
+    return n.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0)))
+
+
+@query("sql_functions", f"SELECT p.id, {S_TX} AS tx, {S_TY} AS ty, CAST(floor({s_hav('lat', 'lon', '37.0', '-122.0')} + 0.5) AS BIGINT) AS metres, round(lat + CASE WHEN id % 9 = 0 THEN 0.5 ELSE (id % 9 / 2.0) / (id % 9) END * (lon - lat), 5) AS mid FROM {sql('places')} p")
+def sql_functions(spark: SparkSession, sf: str) -> DataFrame:
+    """The registered SQL functions at work."""
+    register(spark)
+    p = frame(spark, sf, "places")
+    return p.selectExpr("id", "tile_x(lon) AS tx", "tile_y(lat) AS ty", "half_up(haversine_m(lat, lon, 37.0D, -122.0D)) AS metres", "round(lerp(lat, lon, 0, 2 * (id % 9), id % 9), 5) AS mid")
