@@ -3,7 +3,8 @@
 A text is the set of its words and of the words' beginnings (4 to 6 letters), so that unseen endings of a known
 stem count. Features that toxic training texts favour enter a logistic regression. For every labelled text
 that mentions a group, the mention is swapped for each other term of its list and the change of the score is
-penalised, so the mention itself earns no weight and neutral mentions stay clean. Fitting uses at most
+penalised, so the mention itself earns no weight and neutral mentions stay clean. A score of 0.5 is the cut that parts the
+sample's two kinds best. Fitting uses at most
 MAX_TOXIC and MAX_CLEAN labelled rows; scoring reads every whole text.
 
 Null and empty texts have no features and a score like any other. Repeated rows are scored one by one; a null
@@ -125,6 +126,17 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, swaps: list[tuple[int, int]], rou
     return w, b0
 
 
+def cut_point(logits: np.ndarray, y: np.ndarray) -> float:
+    """The middle of the cuts that tell the two kinds of the sample apart best (share of toxic less share of clean above)."""
+    order = np.argsort(logits, kind="stable")
+    s, t = logits[order], y[order]
+    gain = (1 - np.cumsum(t) / t.sum()) - (1 - np.cumsum(1 - t) / (1 - t).sum())
+    gain[:-1][s[:-1] == s[1:]] = -1.0  # no cut between equal scores
+    best = np.flatnonzero(gain[:-1] >= gain[:-1].max() - 1e-12)
+    k = best[len(best) // 2]
+    return float((s[k] + s[k + 1]) / 2)
+
+
 class Model:
     def __init__(self, names: list[bytes], weights: np.ndarray, intercept: float):
         self.names, self.weights, self.intercept = names, weights, intercept
@@ -171,7 +183,8 @@ def fit(docs: DataFrame, labels: DataFrame, wanted) -> Model | None:
         x[i, at[at >= 0]] = 1
     kept = [names[k] for k in chosen]
     weights, intercept = fit_logistic(x, y, _swaps(kept))
-    return Model(kept, weights, intercept)
+    logits = x @ weights.astype(x.dtype) + intercept
+    return Model(kept, weights, intercept - cut_point(logits, y))
 
 
 def scored(docs: DataFrame, model: Model | None) -> DataFrame:
