@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import chain
 
 from pyspark.sql import Column
@@ -18,6 +19,11 @@ def _abbreviate(token: Column, *dicts: dict[str, str]) -> Column:
     return F.coalesce(*(F.element_at(_map(d), token) for d in dicts), token)
 
 
+def _once(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) with x computed once a row, however often an inner lambda uses it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def normalize_query(text: Column) -> Column:
     """Lower-case words and digits, suffixes and directions abbreviated; blank text is empty."""
     clean = F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9 ]", " "), " +", " "))
@@ -56,13 +62,13 @@ def parse_state(text: Column) -> Column:
     codes = F.regexp_extract_all(F.upper(F.trim(text)), F.lit(r"(?:^|[\s,])([A-Z]{2})(?=[\s,]|\d|$)"), 1)
     known = F.array(*(F.lit(c) for c in C.STATE_CODES))
     valid = F.filter(codes, lambda c: F.array_contains(known, c))
-    low = F.lower(text)
-    named = F.filter(F.array(*(F.lit(n) for n in C.STATE_NAMES)), lambda n: F.contains(low, n))
+    all_names = F.array(*(F.lit(n) for n in C.STATE_NAMES))
+    named = _once(F.lower(text), lambda low: F.filter(all_names, lambda n: F.contains(low, n)))
     names = F.element_at(_map(C.STATE_NAMES), F.get(named, F.lit(0)))
     first_zip = F.regexp_extract(text, r"\b(\d{5})(?:-\d{4})?\b", 1)
     prefix = F.substring(first_zip, 1, 3).try_cast("int")
     ranges = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(z).alias("z"), F.lit(s).alias("s")) for a, z, s in C.ZIP3))
-    by_zip = F.get(F.filter(ranges, lambda r: prefix.between(r["a"], r["z"])), F.lit(0))["s"]
+    by_zip = _once(prefix, lambda p: F.get(F.filter(ranges, lambda r: p.between(r["a"], r["z"])), F.lit(0))["s"])
     return F.when(F.size(valid) > 0, F.element_at(valid, -1)).otherwise(F.coalesce(names, by_zip))
 
 

@@ -1,7 +1,7 @@
 """One-to-many shortest paths by rounds of joins, and the cascade of routers.
 
-Every round joins the frontier (labels that improved) with the edges once and keeps the best label of each
-(origin, node) by a partial aggregate, so work and shuffle follow the frontier. Paths are exact, so never longer
+Every round joins the frontier (labels that improved) with the edges and keeps the best label of each
+(origin, node) by one aggregate over old and new labels; the join follows the frontier. Paths are exact, so never longer
 than those of a weighted search.
 """
 
@@ -14,21 +14,18 @@ from gridhaul.operators.materialise import materialised
 
 
 def shortest_paths(origins: DataFrame, edges: DataFrame, max_hops: int = 64) -> DataFrame:
-    """origin, node, seconds, metres for all nodes that origins (origin) reach over edges (u, v, seconds, metres)."""
-    best = F.min(F.struct("seconds", "metres")).alias("x")
+    """origin, node, seconds, metres for all nodes that origins (origin) reach over at most max_hops edges (u, v, seconds, metres)."""
     edges = materialised(edges.select(F.col("u").alias("node"), "v", F.col("seconds").alias("s"), F.col("metres").alias("m")))
-    labels = origins.select("origin", F.col("origin").alias("node"), F.lit(0.0).alias("seconds"), F.lit(0.0).alias("metres"))
-    frontier = labels
+    zero, none = F.lit(0.0), F.lit(None).cast("double")
+    labels = origins.select("origin", F.col("origin").alias("node"), zero.alias("seconds"), zero.alias("metres"), F.lit(True).alias("fresh"))
     for _ in range(max_hops):
-        step = frontier.join(edges, "node")
-        step = step.groupBy("origin", F.col("v").alias("node")).agg(F.min(F.struct((F.col("seconds") + F.col("s")).alias("seconds"), (F.col("metres") + F.col("m")).alias("metres"))).alias("y")).select("origin", "node", "y.*")
-        old = labels.select("origin", "node", F.col("seconds").alias("was"))
-        merged = step.join(old, ["origin", "node"], "left").filter(F.col("was").isNull() | (F.col("seconds") < F.col("was"))).drop("was")
-        frontier = materialised(merged)
-        if frontier.isEmpty():
+        step = labels.filter("fresh").join(edges, "node").select("origin", F.col("v").alias("node"), (F.col("seconds") + F.col("s")).alias("seconds"), (F.col("metres") + F.col("m")).alias("metres"), none.alias("was"))
+        both = labels.select("origin", "node", "seconds", "metres", F.col("seconds").alias("was")).unionByName(step)
+        best = both.groupBy("origin", "node").agg(F.min(F.struct("seconds", "metres")).alias("x"), F.min("was").alias("was"))
+        labels = materialised(best.select("origin", "node", "x.*", (F.col("was").isNull() | (F.col("x.seconds") < F.col("was"))).alias("fresh")))
+        if labels.filter("fresh").isEmpty():
             break
-        labels = materialised(labels.unionByName(frontier).groupBy("origin", "node").agg(best).select("origin", "node", "x.*"))
-    return labels
+    return labels.drop("fresh")
 
 
 def cascade(pairs: DataFrame, cached: DataFrame, l0: DataFrame, l1: DataFrame, threshold_km: float) -> DataFrame:
