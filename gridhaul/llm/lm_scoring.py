@@ -34,7 +34,7 @@ CLASSES, BUCKETS = 1024, 64
 WIDTH = 16
 BATCH, NOISE = 2048, 32
 RATE = 0.15
-WARM_DOCS, WARM_CHARS = 300, 20_000  # the warm-up's sample: so many whole texts of at most that length
+WARM_DOCS, WARM_TOKENS = 300, 4_000  # the warm-up's sample: so many whole texts of at most that length
 FAN_IN = 64
 FLUSH = 400_000
 END = b""  # no word is empty
@@ -209,22 +209,45 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     return Vocabulary([(bytes(r.token), r.n) for r in frequent], total[0], total[1], {r.k: (r.n, r.v) for r in inside})
 
 
+ENCODED = "row long, doc_id long, held_out boolean, trains boolean, seq binary, n_tokens long, n_known long, base double, inside double, rare array<binary>, times array<long>"
+
+
+def encoded(docs: DataFrame, words) -> DataFrame:
+    """Every text (docs: doc_id, held_out, trains, text) as its classes (16-bit), what is known of its frequent tokens,
+    and its rare tokens with their numbers. words: the broadcast vocabulary."""
+
+    def encode(b: pa.RecordBatch) -> pa.RecordBatch:
+        v: Vocabulary = words.value
+        base, inside = np.append(v.base, 0.0), np.append(v.inside, 0.0)  # number -1: by the join
+        rows = []
+        for text in common.blobs(b.column("text")):
+            numbers, rare = v.numbers(text)
+            x = np.array(numbers)
+            seq = v.classes(x, rare).astype("<u2").tobytes()
+            some = Counter(rare + ([END] if v.end < 0 else []))
+            rows.append((seq, len(x), len(x) - some.total(), float(base[x].sum()), float(inside[x].sum()), list(some), list(some.values())))
+        types = (pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()))
+        cols = [b.column(c) for c in ("row", "doc_id", "held_out", "trains")] + [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
+        return pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in ENCODED.split(", ")])
+
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "trains", "text")
+    return common.work_table(rows.mapInArrow(common.per_batch(encode), ENCODED), "lm-encoded")
+
+
 def train(texts: DataFrame, words) -> LogBilinear:
-    """words: the broadcast vocabulary. Every partition trains over all its texts; copies are averaged by tokens."""
+    """A model of encoded texts. Every partition trains over all its texts; copies are averaged by tokens."""
     spark = texts.sparkSession
     vocab: Vocabulary = words.value
     model = LogBilinear(vocab.class_counts)
     if vocab.end < 0:
         return model
-    end = int(vocab.klass[vocab.end])
 
-    def sequence(text: bytes, v: Vocabulary) -> np.ndarray:
-        numbers, rare = v.numbers(text)
-        return v.classes(np.array(numbers), rare)
+    def sequence(seq: bytes) -> np.ndarray:
+        return np.frombuffer(seq, "<u2").astype(np.int64)
 
-    sample = texts.filter(F.length("text") <= WARM_CHARS).orderBy(F.xxhash64("doc_id"), "doc_id").limit(WARM_DOCS).select("text").collect()
+    sample = texts.filter(F.col("n_tokens") <= WARM_TOKENS).orderBy(F.xxhash64("doc_id"), "doc_id", "row").limit(WARM_DOCS).select("seq").collect()
     model.start(0)
-    model.train((sequence((r.text or "").encode(), vocab) for r in sample), end, 512)
+    model.train((sequence(r.seq) for r in sample), int(vocab.klass[vocab.end]), 512)
     warm = spark.sparkContext.broadcast(model.pack())
 
     def copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,7 +255,7 @@ def train(texts: DataFrame, words) -> LogBilinear:
         copy = LogBilinear(v.class_counts)
         copy.unpack(warm.value)
         copy.start(1)
-        n = copy.train((sequence(x, v) for b in batches for x in common.blobs(b.column("text"))), int(v.klass[v.end]))
+        n = copy.train((sequence(x) for b in batches for x in b.column("seq").to_pylist()), int(v.klass[v.end]))
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([copy.pack()], pa.binary())], names=["n", "weights"])
 
@@ -241,7 +264,7 @@ def train(texts: DataFrame, words) -> LogBilinear:
         flat = sum(k * np.frombuffer(x, np.float32).astype(float) for k, x in zip(n / n.sum(), rows["weights"], strict=True))
         return pd.DataFrame({"n": [int(n.sum())], "weights": [flat.astype(np.float32).tobytes()]})
 
-    found = common.work_table(texts.select("text").mapInArrow(copies, "n long, weights binary"), "lm-copies")
+    found = common.work_table(texts.select("seq").mapInArrow(copies, "n long, weights binary"), "lm-copies")
     left = found.count()
     while left > FAN_IN:  # so many copies at most meet in one task or on the driver
         left = -(-left // FAN_IN)
@@ -252,42 +275,33 @@ def train(texts: DataFrame, words) -> LogBilinear:
     return model
 
 
-def score(docs: DataFrame, counts: DataFrame, words, model: LogBilinear) -> DataFrame:
-    """row, doc_id, held_out, n_tokens, n_known, base_score, score of every document (docs: doc_id, held_out, text)."""
-    spark = docs.sparkSession
+def score(texts: DataFrame, counts: DataFrame, words, model: LogBilinear) -> DataFrame:
+    """row, doc_id, held_out, n_tokens, n_known, base_score, score of every encoded text."""
+    spark = texts.sparkSession
     sent = spark.sparkContext.broadcast(model.tables())
+    vocab: Vocabulary = words.value
+    end = int(vocab.klass[vocab.end]) if vocab.end >= 0 else bucket(END)
     schema = "row long, token binary, times long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, bucket int"
 
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v: Vocabulary = words.value
+    def scored(b: pa.RecordBatch) -> pa.RecordBatch:
         near_t, far_t, norm = sent.value
-        end = int(v.klass[v.end]) if v.end >= 0 else bucket(END)
-        base, inside = np.append(v.base, 0.0), np.append(v.inside, 0.0)  # number -1: by the join
-        for b in batches:
-            ids = b.column("row").to_pylist()
-            stats, rows, tokens, times = [], [], [], []
-            for row, text in zip(ids, common.blobs(b.column("text")), strict=True):
-                numbers, rare = v.numbers(text)
-                x = np.array(numbers)
-                c = v.classes(x, rare)
-                near, far = np.concatenate([[end], c[:-1]]), np.concatenate([[end, end], c[:-2]])[: len(c)]
-                natural = float((near_t[near, c] + far_t[far, c] - norm[near, far]).sum(dtype=np.float64))
-                lost = rare + ([END] if v.end < 0 else [])
-                stats.append((len(x), len(x) - len(lost), float(base[x].sum()), natural / LN10 + float(inside[x].sum())))
-                some: dict[bytes, int] = {}
-                for w in lost:
-                    some[w] = some.get(w, 0) + 1
-                rows += [row] * len(some)
-                tokens += some.keys()
-                times += some.values()
-            n, m = len(stats), len(rows)
-            cols = [ids + rows, [b" %d" % r for r in ids] + tokens, [0] * n + times, b.column("doc_id").to_pylist() + [None] * m, b.column("held_out").to_pylist() + [None] * m]
-            cols += [[s[k] for s in stats] + [None] * m for k in range(4)] + [[None] * n + [bucket(t) for t in tokens]]
-            types = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[x.split()[0] for x in schema.split(", ")])
-
-    flat = docs.withColumn("row", F.monotonically_increasing_id()).mapInArrow(scored, schema)
-    vocab: Vocabulary = words.value
+        natural = []
+        for seq in b.column("seq").to_pylist():
+            c = np.frombuffer(seq, "<u2").astype(np.int64)
+            near, far = np.concatenate([[end], c[:-1]]), np.concatenate([[end, end], c[:-2]])[: len(c)]
+            natural.append(float((near_t[near, c] + far_t[far, c] - norm[near, far]).sum(dtype=np.float64)))
+        ids = b.column("row").to_pylist()
+        found = np.array(natural) / LN10 + b.column("inside").to_numpy()
+        lists = b.column("rare").to_pylist()
+        tokens, times = [t for x in lists for t in x], [k for x in b.column("times").to_pylist() for k in x]
+        rows = np.repeat(np.array(ids, np.int64), [len(x) for x in lists]).tolist()
+        n, m = len(ids), len(tokens)
+        cols = [ids + rows, [b" %d" % r for r in ids] + tokens, [0] * n + times]
+        cols += [b.column(c).to_pylist() + [None] * m for c in ("doc_id", "held_out", "n_tokens", "n_known", "base")] + [found.tolist() + [None] * m, [None] * n + [bucket(t) for t in tokens]]
+        types = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[x.split()[0] for x in schema.split(", ")])
+
+    flat = texts.mapInArrow(common.per_batch(scored), schema)
     rooms = F.array(*[F.lit(float(x)) for x in vocab.room])
     joined = flat.join(counts.withColumnRenamed("n", "c"), "token", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     rare = F.col("times") > 0
@@ -308,8 +322,8 @@ def lm_scores(docs: DataFrame, held_out: Column) -> DataFrame:
     texts = rows.filter(~held_out)
     counts = common.work_table(token_counts(texts), "token-counts")
     words = docs.sparkSession.sparkContext.broadcast(vocabulary(counts))
-    model = train(texts, words)
-    out = score(rows.withColumn("held_out", F.coalesce(held_out, F.lit(False))), counts, words, model)
+    ready = encoded(rows.select("*", F.coalesce(held_out, F.lit(False)).alias("held_out"), F.coalesce(~held_out, F.lit(False)).alias("trains")), words)
+    out = score(ready, counts, words, train(ready.filter("trains"), words))
     return out.withColumn("train_tokens", F.lit(words.value.total).cast("long"))
 
 
