@@ -42,6 +42,15 @@ def test_extraction(spark):
     assert html_extract.extract(table.limit(0)).count() == 0
 
 
+def test_block_classifier_learns():
+    rng = np.random.default_rng(3)
+    y = (rng.random(400) < 0.3).astype(float)
+    x = np.stack([np.ones(400), rng.normal(2 + y, 0.5), rng.normal(1 + 2 * y, 0.5), rng.random(400) * (1 - y), y, 0 * y, 1 - y, 0 * y], axis=1)
+    w = html_extract.fit_weights(x, y)
+    assert ((x @ np.array(w) > 0) == y).mean() > 0.98
+    assert html_extract.fit_weights(x[:5], np.zeros(5)) == html_extract.PRIOR
+
+
 def test_warc_round_trip(spark):
     big, other = "é" * 600 + "WARC/1.1\r\n\r\nWARC-Type: response\r\n\r\n", "x\r\n\r\n" * 400
     rows = [(1, "u1", big), (2, "u2", big), (3, None, big), (4, "u4", "small"), (5, "u5", "small"), (6, "u6", None), (None, "u7", other), (8, "u 8\n9", other), (9, "u9", "y" * 300_000), (9, "u9", "y" * 300_000), (10, "u10", "y" * 300_000)]
