@@ -112,19 +112,23 @@ def _linked(fps: np.ndarray, keys: np.ndarray, home: np.ndarray, table: np.ndarr
     """Positions of links that join two groups, among rows of one key. Rows are sorted by key."""
     parent = np.arange(len(fps))
     found: list[tuple[int, int]] = []
+    starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    bucket = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(keys))))
     left, step = np.arange(len(fps) - 1), 1
     while len(left):
+        if step & (step - 1) == 0:  # now and then: buckets that are one group are done
+            split = np.minimum.reduceat(parent, starts) != np.maximum.reduceat(parent, starts)
+            left = left[split[bucket[left]]]
         left = left[left + step < len(fps)]
         left = left[keys[left] == keys[left + step]]
         i, j = left, left + step
-        ok = home[i] | home[j]
+        ok = (home[i] | home[j]) & (parent[i] != parent[j])
         i, j = i[ok], j[ok]
         near = np.abs(table[i] - table[j]).max(1, initial=0) <= max_bits
         i, j = i[near], j[near]
         near = np.bitwise_count(fps[i] ^ fps[j]).sum(1) <= max_bits
         i, j = i[near], j[near]
-        fresh = parent[i] != parent[j]
-        for a, b in zip(i[fresh].tolist(), j[fresh].tolist(), strict=True):
+        for a, b in zip(i.tolist(), j.tolist(), strict=True):
             ra, rb = a, b
             while parent[ra] != ra:
                 ra = parent[ra]
@@ -133,7 +137,7 @@ def _linked(fps: np.ndarray, keys: np.ndarray, home: np.ndarray, table: np.ndarr
             if ra != rb:
                 parent[max(ra, rb)] = min(ra, rb)
                 found.append((a, b))
-        while not np.array_equal(up := parent[parent], parent):
+        while len(i) and not np.array_equal(up := parent[parent], parent):
             parent = up
         step += 1
     pairs = np.array(found, np.int64).reshape(-1, 2)
