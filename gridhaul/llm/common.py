@@ -46,8 +46,9 @@ def fold(doc_id: Column, modulus: int) -> Column:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches small enough that long texts fit in a Python worker."""
+    """Arrow batches small enough that long texts fit in a Python worker: so many rows and bytes at most."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))
 
 
 def blobs(column: pa.Array) -> list[bytes]:
