@@ -13,8 +13,11 @@ from pyspark.sql import functions as F
 from gridhaul.operators.materialise import materialised
 
 
-def shortest_paths(origins: DataFrame, edges: DataFrame, max_hops: int = 64) -> DataFrame:
-    """origin, node, seconds, metres for all nodes that origins (origin) reach over at most max_hops edges (u, v, seconds, metres)."""
+def shortest_paths(origins: DataFrame, edges: DataFrame, max_hops: int = 10_000) -> DataFrame:
+    """origin, node, seconds, metres for all nodes that origins (origin) reach over edges (u, v, seconds, metres).
+
+    Rounds go on until no label improves. Paths of more than max_hops edges, or a cycle of negative length, raise.
+    """
     edges = materialised(edges.select(F.col("u").alias("node"), "v", F.col("seconds").alias("s"), F.col("metres").alias("m")))
     zero, none = F.lit(0.0), F.lit(None).cast("double")
     labels = origins.select("origin", F.col("origin").alias("node"), zero.alias("seconds"), zero.alias("metres"), F.lit(True).alias("fresh"))
@@ -25,6 +28,8 @@ def shortest_paths(origins: DataFrame, edges: DataFrame, max_hops: int = 64) ->
         labels = materialised(best.select("origin", "node", "x.*", (F.col("was").isNull() | (F.col("x.seconds") < F.col("was"))).alias("fresh")))
         if labels.filter("fresh").isEmpty():
             break
+    else:
+        raise RuntimeError(f"shortest paths did not settle in {max_hops} rounds")
     return labels.drop("fresh")
 
 

@@ -32,6 +32,15 @@ def test_shortest_paths_random(spark):
         assert {n: d for (o, n), d in found.items() if o == origin} == best
 
 
+def test_shortest_paths_of_many_hops(spark):
+    """A road of 67 edges, and a bound that is too low."""
+    rows = [(k, k + 1, 1.0, 2.0) for k in range(67)]
+    edges, origin = spark.createDataFrame(rows, "u long, v long, seconds double, metres double").coalesce(1), spark.createDataFrame([(0,)], "origin long")
+    assert {(r.node, r.seconds, r.metres) for r in routing.shortest_paths(origin, edges).collect()} == {(k, float(k), 2.0 * k) for k in range(68)}
+    with pytest.raises(RuntimeError):
+        routing.shortest_paths(origin, edges, 3)
+
+
 def test_cascade(spark):
     leg = "origin long, dest long, seconds double, metres double"
     pairs = spark.createDataFrame([(1, 1, 10.0, True), (1, 2, 10.0, True), (1, 3, 900.0, True), (1, 4, 900.0, True), (1, 5, 1.0, False)], "origin long, dest long, km double, known boolean")
