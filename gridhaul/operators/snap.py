@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gridhaul.functions import geo
 from gridhaul.functions.constants import CELL_DEG, L1_CELL_DEG, L1_MAX_RING, SNAP_CELLS, SNAP_K, SNAP_SEPARATION_M
+from gridhaul.operators.materialise import materialised
 
 
 def _cell(value: Column, low: int, per_degree: float) -> Column:
@@ -31,23 +32,21 @@ def nearest(points: DataFrame, nodes: DataFrame, k: int = SNAP_K, rings: int = 2
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("id", "rank", "node", "metres")
 
 
-def nearest_apart(points: DataFrame, nodes: DataFrame, k: int = SNAP_K, rings: int = 2, apart: float = SNAP_SEPARATION_M, pool: int = 64) -> DataFrame:
+def nearest_apart(points: DataFrame, nodes: DataFrame, k: int = SNAP_K, rings: int = 2, apart: float = SNAP_SEPARATION_M) -> DataFrame:
     """Like nearest, but greedily in the order of distance only nodes at least so far from all chosen before.
 
-    Greedy choice runs over the pool nearest candidates inside one fold; the nearest is always chosen.
+    Each of k rounds takes the nearest candidate left by one aggregate; the nearest of all is always chosen.
     """
-    found = candidates(points, nodes, CELL_DEG / SNAP_CELLS, rings)
-    order = Window.partitionBy("id").orderBy("metres", "node")
-    near = found.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= pool)
-    listed = near.groupBy("id").agg(F.first("lat").alias("lat"), F.array_sort(F.collect_list(F.struct("metres", "node", "n_lat", "n_lon"))).alias("c"))
-
-    def add(chosen: Column, x: Column) -> Column:
-        far = F.forall(chosen, lambda o: geo.planar_separation(x["n_lat"], x["n_lon"], o["n_lat"], o["n_lon"], F.col("lat")) >= apart)
-        return F.when((F.size(chosen) < k) & far, F.array_append(chosen, x)).otherwise(chosen)
-
-    chosen = F.aggregate("c", F.slice("c", 1, 0), add)
-    rows = listed.select("id", F.posexplode(chosen).alias("at", "x"))
-    return rows.select("id", (F.col("at") + 1).alias("rank"), "x.node", "x.metres")
+    found = materialised(candidates(points, nodes, CELL_DEG / SNAP_CELLS, rings))
+    left, rows = found, None
+    for rank in range(1, k + 1):
+        best = materialised(left.groupBy("id").agg(F.min(F.struct("metres", "node", "n_lat", "n_lon")).alias("x")))
+        chosen = best.select("id", F.lit(rank).alias("rank"), "x.node", "x.metres")
+        rows = chosen if rows is None else rows.unionByName(chosen)
+        far = geo.planar_separation(F.col("n_lat"), F.col("n_lon"), F.col("x.n_lat"), F.col("x.n_lon"), F.col("lat")) >= apart
+        after = F.struct("metres", "node") > F.struct("x.metres", "x.node")
+        left = left.join(best, "id").filter(far & after).drop("x")
+    return rows
 
 
 def nearest_l1(points: DataFrame, nodes: DataFrame) -> DataFrame:

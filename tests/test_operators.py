@@ -107,6 +107,13 @@ def test_snap_apart(spark):
     assert [r.node for r in snap.nearest(points, nodes, 2).orderBy("rank").collect()] == [1, 2]
 
 
+def test_snap_apart_beyond_a_crowd(spark):
+    """A hundred nodes at one spot don't hide those farther off."""
+    points = spark.createDataFrame([(1, 37.0, -122.0)], "id long, lat double, lon double")
+    nodes = spark.createDataFrame([(k, 37.0, -122.0) for k in range(100)] + [(200, 37.003, -122.0), (201, 36.99, -122.0)], "id long, lat double, lon double")
+    assert [(r["rank"], r.node) for r in snap.nearest_apart(points, nodes).orderBy("rank").collect()] == [(1, 0), (2, 200), (3, 201)]
+
+
 def test_sync_plan_replays_to_nothing(spark):
     schema = "state string, id long, normalized string, lat double, lon double, tier string"
     mirror = sync.keyed(spark.createDataFrame([("S", k, f"n{k % 7}", 1.0, 2.0, "t") for k in range(10)] + [("S", 90, "gone", 1.0, 2.0, None)], schema))
