@@ -58,6 +58,7 @@ class Cells:
         self.rows, self.radius = np.zeros(n, np.int64), np.zeros(n)
         self.queries, self.reach = np.zeros(n, np.int64), np.zeros(n)
         self.floor = np.full(n, -np.inf)
+        self.own = 1  # rows that one query's id has at most
 
     def settle(self, k: int) -> None:
         """The score that k answers of any query of a cell reach at least, from the summaries alone."""
@@ -67,7 +68,7 @@ class Cells:
             # q.x >= p.p' - reach |p'| - (|p| + reach) radius', whatever x of cell p' and q of cell p
             low = dots[c] - self.reach[c] * norm - (norm[c] + self.reach[c]) * self.radius
             order = np.argsort(-low, kind="stable")
-            have = np.cumsum(self.rows[order]) >= k + 1  # the query itself may be one of them
+            have = np.cumsum(self.rows[order]) >= k + self.own  # the rows of the query's own id may be among them
             if have.any():
                 bound = low[order[np.argmax(have)]]
                 self.floor[c] = bound - 1e-6 * (1 + abs(bound))
@@ -94,6 +95,7 @@ def _summaries(rows: DataFrame, is_query: Column, dims: int, pivots: np.ndarray)
     asked = F.col("is_query")
     for r in dealt.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("far"), F.count_if(asked).alias("q"), F.max(F.when(asked, F.col("far"))).alias("reach")).collect():  # a row a pivot
         cells.rows[r.cell], cells.radius[r.cell], cells.queries[r.cell], cells.reach[r.cell] = r.n, r.far, r.q, r.reach or 0.0
+    cells.own = rows.filter(is_query).groupBy("id").count().agg(F.max("count")).first()[0] or 1
     return cells
 
 

@@ -92,6 +92,13 @@ def test_top_k(spark):
     assert knn_join.top_k(table.limit(0), F.col("id") % 50 == 0).count() == 0
 
 
+def test_top_k_of_a_repeated_query(spark):
+    """Ten rows of the query's own id, at a pivot, and answers that score less."""
+    rows = [(0, [4.0, 0.0])] * 10 + [(k, [1.0, float(k)]) for k in range(1, 12)]
+    found = knn_join.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("id") % 50 == 0).collect()
+    assert sorted((r.query_id, r["rank"], r.id, r.score) for r in found) == [(0, n, 1, 4 << 16) for n in range(1, 6)]  # ten rows ask, ranks are by id
+
+
 def test_bounds_discard_what_is_far(spark):
     """Of well separated groups only the query's own is replicated to it."""
     pivots = np.array([[1000.0, 0], [0, 1000.0]])
