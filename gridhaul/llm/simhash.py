@@ -8,6 +8,9 @@ distances to some pivot differ by more than t are discarded, the survivors are c
 links that join two groups are kept, at most one fewer than the bucket has rows. Every pair within t bits is
 linked through some bucket; components follow from the links.
 
+Similar texts (drop_similar) are found on their sets of shingles: an equi-join on the rarest shingles of each set,
+so long a prefix that no pair is missed, and a comparison of the sets; only verified links join groups.
+
 Null and blank texts have fingerprint 0 and link like any other. A null doc_id takes part but is never a
 component's least id unless all are null. Repeated rows give repeated result rows; an empty table gives none.
 """
@@ -20,7 +23,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridhaul.llm import common
@@ -30,10 +33,8 @@ PIVOTS = 24
 SEED = 42
 BUCKET = 64  # fingerprints that a bucket of random ones should hold at most
 SLICE = 1 << 16  # shingles counted at a time
-ODD = np.random.default_rng(SEED).integers(0, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
-LANES = 8  # of the long fingerprints by which similar texts are found
-RECALL = 0.98  # of pairs just as similar as asked for; more similar ones are missed less
-SLACK = 2.5  # standard deviations that a fingerprint distance may lie above what the similarity implies
+SLOT_BITS = 18  # of the table of shingle counts by which rare shingles come first
+COUNTED = 8  # one text of so many is counted for it; the order bears on cost alone
 
 
 def _shingle_hashes(found: list[bytes], words: int) -> np.ndarray:
@@ -48,17 +49,11 @@ def shingle_set(text: bytes, words: int) -> np.ndarray:
     return np.unique(_shingle_hashes(found, words)) if found else np.zeros(0, np.uint64)
 
 
-def _majority(parts: Iterator[np.ndarray], n_lanes: int) -> np.ndarray:
-    """Bits that over half of all hashes have set; lanes after the first come from mixed copies of the hashes."""
-    ones, total = np.zeros(64 * n_lanes, np.int64), 0
+def _majority(parts: Iterator[np.ndarray]) -> np.ndarray:
+    """Bits that over half of all hashes have set."""
+    ones, total = np.zeros(64, np.int64), 0
     for h in parts:
         total += len(h)
-        if n_lanes > 1:
-            mixed = h[:, None] * ODD[:n_lanes]
-            mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
-            mixed ^= mixed >> np.uint64(29)
-            mixed[:, 0] = h
-            h = mixed
         ones += np.unpackbits(h.view(np.uint8).reshape(len(h), -1), axis=1, bitorder="little").sum(0, dtype=np.int32)
     return np.packbits(2 * ones > total, bitorder="little").view("<u8")
 
@@ -69,13 +64,7 @@ def fingerprint(text: bytes, words: int = 3) -> int:
     if not found:
         return 0
     starts = range(0, max(len(found) - words + 1, 1), SLICE)
-    return int(_majority((_shingle_hashes(found[at : at + SLICE + words - 1], words) for at in starts), 1)[0])
-
-
-def long_fingerprint(shingles: np.ndarray) -> np.ndarray:
-    """SimHash of a set of shingles in 64-bit lanes."""
-    step = SLICE // LANES
-    return _majority((shingles[at : at + step] for at in range(0, len(shingles), step)), LANES)
+    return int(_majority((_shingle_hashes(found[at : at + SLICE + words - 1], words) for at in starts))[0])
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
@@ -182,93 +171,141 @@ def _solver(refs: np.ndarray, max_bits: int):
     return run
 
 
-def _bit_sets(n_rows: int, bits: int, agree: float) -> list[np.ndarray]:
-    """Sets of bit positions: two fingerprints whose bits agree with that chance agree on all of some set with chance RECALL."""
-    size = min(32, max(16, int(n_rows).bit_length() - 2))
-    tables = int(np.ceil(np.log(1 - RECALL) / np.log(1 - agree**size)))
-    rng = np.random.default_rng(SEED)
-    return [rng.choice(bits, size, replace=False) for _ in range(tables)]
+def _slot_counts(texts: DataFrame, words: int) -> np.ndarray:
+    """How many shingles of a part of the texts (id, text) fall into each slot of their hashes."""
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(1 << SLOT_BITS, np.int64)
+        for b in batches:
+            for x in common.blobs(b.column("text")):
+                np.add.at(n, _slot(shingle_set(x, words)), 1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(64), pa.int32()), pa.array([x.tobytes() for x in n.reshape(64, -1)], pa.binary())], names=["part", "n"])
 
-def similar_links(prints: DataFrame, n_rows: int, similarity: float) -> DataFrame:
-    """Links (a, b) of ids whose long fingerprints (id, fp) say that they share so large a part of their shingles."""
-    bits = 64 * LANES
-    angle = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)  # chance that a bit differs
-    max_bits = int(np.ceil(bits * (angle + SLACK * np.sqrt(angle * (1 - angle) / bits))))
-    refs, sets = pivots(8, LANES), np.stack(_bit_sets(n_rows, bits, 1 - angle))
-    weights = (np.uint64(1) << np.arange(sets.shape[1], dtype=np.uint64)).astype(np.uint64)
+    def total(t: pa.Table) -> pa.Table:
+        n = sum(np.frombuffer(x, np.int64) for x in t["n"].to_pylist())
+        return pa.table({"part": t["part"].slice(0, 1), "n": pa.array([n.tobytes()], pa.binary())})
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            on = np.unpackbits(np.frombuffer(b"".join(b.column("fp").to_pylist()), np.uint8).reshape(b.num_rows, -1), axis=1, bitorder="little")
-            for k, at in enumerate(sets):
-                key = (on[:, at].astype(np.uint64) * weights).sum(1, dtype=np.uint64) | np.uint64(k) << np.uint64(40)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.ones(b.num_rows, bool)), b.column("id"), b.column("fp")], names=["key", "home", "id", "fp"])
-
-    dealt = prints.select("id", "fp").mapInArrow(deal, "key long, home boolean, id long, fp binary")
-    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_solver(refs, max_bits), "a long, b long")
+    out = np.zeros((64, (1 << SLOT_BITS) // 64), np.int64)
+    some = texts.filter(F.pmod("id", F.lit(COUNTED)) == 0).select("text")
+    for r in some.mapInArrow(count, "part int, n binary").groupBy("part").applyInArrow(total, "part int, n binary").collect():
+        out[r.part] = np.frombuffer(r.n, np.int64)
+    return out.ravel()
 
 
-def _components(prints: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
-    """prints (id, doc_id) with root and component_id, the least doc_id of all that links (a, b) reach."""
-    roots = components(found)
-    members = classes.join(roots, classes.id == roots.node).select("id", "root", "least_id")
-    linked = members.join(members.groupBy("root").agg(F.min("least_id").alias("linked_id")), "root").select("id", "root", "linked_id")
-    named = classes.join(linked, "id", "left").select("id", F.coalesce("root", "id").alias("root"), F.when(F.col("root").isNull(), F.col("least_id")).otherwise(F.col("linked_id")).alias("component_id"))
-    return prints.join(named, "id")
+def _slot(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 2) -> DataFrame:
-    """One row a document: doc_id, fp, root, component_id (the least doc_id of all that links reach)."""
-    prints = common.work_table(fingerprints(docs, words).withColumn("id", F.col("fp")), "fingerprints")
-    classes = common.work_table(prints.groupBy("id").agg(F.min("doc_id").alias("least_id")), "fingerprint-classes")
-    return _components(prints, classes, links(classes.select(F.col("id").alias("fp")), classes.count(), max_bits)).select("doc_id", "fp", "root", "component_id")
+def _prefixes(texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """token, id, n (size of the set): the shingles of each text's set that come first by (count of the slot, hash).
 
+    Of n shingles n - ceil(similarity n) + 1 are taken; sets so similar have one of them in common, whatever the
+    counts. Sets without shingles share a token of their own.
+    """
+    sent = texts.sparkSession.sparkContext.broadcast(_slot_counts(texts, words))
+
+    def first(b: pa.RecordBatch) -> pa.RecordBatch:
+        counts, tokens, sizes = sent.value, [], []
+        for x in common.blobs(b.column("text")):
+            h = shingle_set(x, words)
+            take = len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1
+            tokens.append(h[np.lexsort((h, counts[_slot(h)]))[:take]] if len(h) else np.zeros(1, np.uint64))
+            sizes.append(len(h))
+        reps = np.array([len(t) for t in tokens])
+        ids = np.repeat(b.column("id").to_numpy(), reps)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(ids), pa.array(np.repeat(sizes, reps), pa.int64())], names=["token", "id", "n"])
+
+    return texts.mapInArrow(common.per_batch(first), "token long, id long, n long")
 
-def _verified(docs: DataFrame, found: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The links (a, b) of __id whose texts have sets of shingles that are so similar."""
-    linked = found.select(F.col("a").alias("__id")).union(found.select("b")).distinct()
-    some = docs.join(linked, "__id", "left_semi").select(F.col("__id").alias("id"), "text").dropDuplicates(["id"])
+
+def _shingle_sets(texts: DataFrame, asked: DataFrame, words: int) -> DataFrame:
+    """id and set (low halves of the hashes) of each asked id."""
 
     def sets(b: pa.RecordBatch) -> pa.RecordBatch:
-        found_ = [np.unique(shingle_set(x, words).astype("<u4")).tobytes() for x in common.blobs(b.column("text"))]  # the low halves
-        return pa.RecordBatch.from_arrays([b.column("id"), pa.array(found_, pa.binary())], names=["id", "set"])
+        found = [np.unique(shingle_set(x, words).astype("<u4")).tobytes() for x in common.blobs(b.column("text"))]
+        return pa.RecordBatch.from_arrays([b.column("id"), pa.array(found, pa.binary())], names=["id", "set"])
+
+    some = texts.join(common.work_table(asked, "asked"), "id", "left_semi").dropDuplicates(["id"])
+    return common.work_table(some.mapInArrow(common.per_batch(sets), "id long, set binary"), "shingle-sets")
+
+
+def _verified(known: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of ids whose sets (id, set) are so similar."""
 
     def similar(b: pa.RecordBatch) -> pa.RecordBatch:
         ok = []
         for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True):
             p, q = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
             both = len(np.intersect1d(p, q, assume_unique=True))
-            ok.append(both >= similarity * (len(p) + len(q) - both))
+            either = len(p) + len(q) - both
+            ok.append(not either or both / either >= similarity)
         return b.select(["a", "b"]).filter(pa.array(ok))
 
-    known = common.work_table(some.mapInArrow(common.per_batch(sets), "id long, set binary"), "shingle-sets")
-    pairs = found.join(known.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(known.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
-    return pairs.select("a", "b", "x", "y").mapInArrow(common.per_batch(similar), "a long, b long")
+    both = pairs.join(known.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(known.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
+    return common.work_table(both.select("a", "b", "x", "y").mapInArrow(common.per_batch(similar), "a long, b long"), "similar")
+
+
+def similar_links(texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Verified links (a, b) that connect all pairs of ids whose texts (id, text) have sets so similar.
+
+    First every set is compared with the least id of each token of its prefix. Then, of the tokens whose sets are
+    still in several groups, all pairs of two groups are compared; pairs of one group are joined already.
+    """
+    order = Window.partitionBy("token").orderBy("id")
+    dealt = _prefixes(texts, words, similarity).select("*", F.first(F.struct("id", "n")).over(order).alias("hub"), F.lag("id").over(order).alias("before"), F.lead("id").over(order).alias("after"))
+    several = F.coalesce(F.col("before") != F.col("id"), F.col("after") != F.col("id"), F.lit(False))
+    shared = common.work_table(dealt.filter(several).drop("before", "after"), "shared-tokens")
+
+    def sizes(x: Column, y: Column) -> Column:
+        return F.least(x, y) >= similarity * F.greatest(x, y) - 1e-9
+
+    known = _shingle_sets(texts, shared.select("id").union(shared.select("hub.id")).distinct(), words)
+    stars = shared.filter((F.col("hub.id") < F.col("id")) & sizes(F.col("n"), F.col("hub.n"))).select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct()
+    found = _verified(known, common.work_table(stars, "star-pairs"), similarity)
+
+    roots = components(found).withColumnRenamed("node", "id")
+    rows = common.work_table(shared.join(roots, "id", "left").select("token", "id", "n", F.col("hub.id").alias("hub"), F.coalesce("root", "id").alias("root")), "rooted-tokens")
+    groups = rows.groupBy("token", "root").agg(F.count(F.lit(1)).alias("size")).groupBy("token").agg(F.max(F.struct("size", "root")).alias("x"), F.count(F.lit(1)).alias("groups"))
+    apart = common.work_table(rows.join(groups.filter("groups > 1").select("token", F.col("x.root").alias("most")), "token"), "tokens-apart")
+    # one end at least is outside the token's largest group
+    p, q = apart.filter("root != most").alias("p"), apart.alias("q")
+    new = (F.col("p.root") != F.col("q.root")) & (F.col("p.id") != F.col("p.hub")) & (F.col("q.id") != F.col("q.hub"))
+    once = (F.col("q.root") == F.col("q.most")) | (F.col("p.id") < F.col("q.id"))
+    pairs = p.join(q, (F.col("p.token") == F.col("q.token")) & new & once & sizes(F.col("p.n"), F.col("q.n")))
+    pairs = pairs.select(F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b")).distinct()
+    return found.union(_verified(known, common.work_table(pairs, "pairs-apart"), similarity))
+
+
+def _components(prints: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
+    """prints (id, doc_id) with root and component_id, the least doc_id of all that links (a, b) reach."""
+    roots = components(found)
+    members = classes.join(roots, classes.id == roots.node).select("id", "root", "least_id")
+    linked = members.join(members.groupBy("root").agg(F.min("least_id").alias("linked_id")), "root").select("id", "root", "linked_id")
+    named = classes.join(linked, "id", "left").select("id", F.coalesce("root", "id").alias("root"), F.when(F.col("root").isNull(), F.col("least_id")).otherwise(F.col("linked_id")).alias("component_id"))
+    return prints.join(named, "id")
+
+
+def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 2) -> DataFrame:
+    """One row a document: doc_id, fp, root, component_id (the least doc_id of all that links reach)."""
+    prints = common.work_table(fingerprints(docs, words).withColumn("id", F.col("fp")), "fingerprints")
+    classes = common.work_table(prints.groupBy("id").agg(F.min("doc_id").alias("least_id")), "fingerprint-classes")
+    return _components(prints, classes, links(classes.select(F.col("id").alias("fp")), classes.count(), max_bits)).select("doc_id", "fp", "root", "component_id")
 
 
 def drop_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs without near copies: of each group that links of that similarity connect, the row of the least id.
 
-    The similarity is that of the sets of word shingles (common over all). Fingerprints of 64 x LANES bits find
-    the links; each is then checked on the sets themselves. Equal texts are one class from the start, by a 64-bit
-    hash of the text. Texts without words are copies of each other. Columns that begin with __ are reserved.
+    The similarity is that of the sets of word shingles (common over all), by hashes: 64 bits
+    find pairs, their low halves compare them. The search misses no pair: see similar_links. Equal texts are one class from the start, by a 64-bit hash of the text. Texts without words are
+    copies of each other. Columns that begin with __ are reserved.
     """
     names = docs.columns
     marked = docs.withColumn("__id", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
 
-    def hashed(b: pa.RecordBatch) -> pa.RecordBatch:
-        fps = [long_fingerprint(shingle_set(x, words)).tobytes() for x in common.blobs(b.column("text"))]
-        return pa.RecordBatch.from_arrays([b.column("id"), b.column("doc_id"), pa.array(fps, pa.binary())], names=["id", "doc_id", "fp"])
-
-    rows = marked.select(F.col("__id").alias("id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    prints = common.work_table(rows.mapInArrow(common.per_batch(hashed), "id long, doc_id long, fp binary"), "fingerprints")
-    classes = common.work_table(prints.groupBy("id").agg(F.min("doc_id").alias("least_id"), F.first("fp").alias("fp")), "fingerprint-classes")
-    found = similar_links(classes, classes.count(), similarity).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    found = _verified(marked, common.work_table(found, "similar"), words, similarity)
-    found = _components(prints.select("id", "doc_id"), classes.drop("fp"), found)
+    ids = common.work_table(marked.select(F.col("__id").alias("id"), F.col("doc_id").cast("long").alias("doc_id")), "text-ids")
+    classes = common.work_table(ids.groupBy("id").agg(F.min("doc_id").alias("least_id")), "text-classes")
+    texts = marked.select(F.col("__id").alias("id"), F.col("text").cast("string").alias("text"))
+    found = _components(ids, classes, similar_links(texts, words, similarity))
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "id")).alias("x"))
     kept = first.select(F.coalesce(F.col("x.doc_id").cast("string"), F.lit("")).alias("__kept"), F.col("x.id").alias("__id"))
     named = marked.withColumn("__kept", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))

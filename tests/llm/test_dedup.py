@@ -138,3 +138,36 @@ def test_drop_similar(spark):
                 parent[max(ra, rb)] = min(ra, rb)
     assert out.columns == table.columns and sorted(kept, key=str) == sorted(((rows[k][0], rows[k][1]) for k in range(len(rows)) if parent[k] == k), key=str)
     assert simhash.drop_similar(table.limit(0)).count() == 0
+
+
+def brute_kept(rows, similarity=0.8):
+    """The ids of the first rows of the groups that links of that similarity connect; ids ascend."""
+    sets = [set(zip(*(t.split()[k:] for k in range(5)), strict=False)) or {t} for _, t, _ in rows]
+    parent = list(range(len(rows)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if jaccard(sets[a], sets[b]) >= similarity:
+                ra, rb = root(a), root(b)
+                parent[max(ra, rb)] = min(ra, rb)
+    return [rows[k][0] for k in range(len(rows)) if parent[k] == k]
+
+
+@pytest.mark.parametrize("length,changed", [(204, 3), (124, 2), (124, 3)])
+def test_drop_similar_follows_every_true_link(spark, length, changed):
+    """300 copies of one text with a few words changed, whose pairs lie on both sides of the bound."""
+    rng = np.random.default_rng(length + changed)
+    base = docs.words(77, length, 3000).split()
+    rows = []
+    for k in range(300):
+        w = list(base)
+        for at in rng.choice(length, changed, replace=False):
+            w[at] = f"new{k}-{at}"
+        rows.append((k, " ".join(w), "s"))
+    kept = sorted(r.doc_id for r in simhash.drop_similar(docs.table(spark, rows)).collect())
+    assert kept == brute_kept(rows)
