@@ -171,3 +171,14 @@ def test_drop_similar_follows_every_true_link(spark, length, changed):
         rows.append((k, " ".join(w), "s"))
     kept = sorted(r.doc_id for r in simhash.drop_similar(docs.table(spark, rows)).collect())
     assert kept == brute_kept(rows)
+
+
+@pytest.mark.parametrize("few,many", [(8, 9), (16, 19)])
+def test_drop_similar_finds_every_short_pair(spark, few, many):
+    """Texts that begin longer ones, 4 against 5 and 12 against 15 shingles: similarity 0.8 exactly."""
+    rows = []
+    for k in range(100):
+        w = docs.words(4000 + k, many, 30000).split()
+        rows += [(2 * k, " ".join(w), "s"), (2 * k + 1, " ".join(w[:few]), "s")]
+    kept = sorted(r.doc_id for r in simhash.drop_similar(docs.table(spark, rows)).collect())
+    assert kept == brute_kept(rows) and len(kept) <= 100
