@@ -37,7 +37,26 @@ def work_table(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again: later steps start from files, whichever executors are lost."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.work_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete work tables that no later step reads."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t.work_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def sampled(rows: DataFrame, limit: int, *key: str) -> DataFrame:
+    """About limit rows (a tenth more at most, by chance) whose hash of the key is least: rows are counted first, then
+    a threshold on the hash picks them where they are, so no task gathers more than the sample."""
+    n = rows.count()
+    steps = 1 << 24
+    mark = F.pmod(F.xxhash64(*key), F.lit(steps))
+    return rows if n <= limit else rows.filter(mark < int(steps * limit / n))
 
 
 def fold(doc_id: Column, modulus: int) -> Column:

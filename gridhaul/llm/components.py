@@ -31,7 +31,8 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     edges = common.work_table(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     mark = None
     for _ in range(max_rounds):
-        edges = common.work_table(_small_star(_large_star(edges)), "stars")
+        before, edges = edges, common.work_table(_small_star(_large_star(edges)), "stars")
+        common.discard(before)
         new = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if new == mark:
             break

@@ -34,6 +34,7 @@ SEED = 42
 BUCKET = 64  # fingerprints that a bucket of random ones should hold at most
 SLICE = 1 << 16  # shingles counted at a time
 SLOT_BITS = 18  # of the table of shingle counts by which rare shingles come first
+PARTS = 64  # places that the set of a row with many links is dealt to
 COUNTED = 8  # one text of so many is counted for it; the order bears on cost alone
 
 
@@ -197,7 +198,8 @@ def _slot(shingles: np.ndarray) -> np.ndarray:
 
 
 def _prefixes(texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """token, id, n (size of the set): the shingles of each text's set that come first by (count of the slot, hash).
+    """token, id, n (size of the set), pos (place in the order): the shingles of each text's set that come first by
+    (count of the slot, hash).
 
     Of n shingles n - ceil(similarity n) + 1 are taken; sets so similar have one of them in common, whatever the
     counts. Sets without shingles share a token of their own.
@@ -213,9 +215,10 @@ def _prefixes(texts: DataFrame, words: int, similarity: float) -> DataFrame:
             sizes.append(len(h))
         reps = np.array([len(t) for t in tokens])
         ids = np.repeat(b.column("id").to_numpy(), reps)
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(ids), pa.array(np.repeat(sizes, reps), pa.int64())], names=["token", "id", "n"])
+        cols = [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(ids), pa.array(np.repeat(sizes, reps), pa.int64()), pa.array(common.ragged(np.zeros(len(reps), np.int64), reps), pa.int64())]
+        return pa.RecordBatch.from_arrays(cols, names=["token", "id", "n", "pos"])
 
-    return texts.mapInArrow(common.per_batch(first), "token long, id long, n long")
+    return texts.mapInArrow(common.per_batch(first), "token long, id long, n long, pos long")
 
 
 def _shingle_sets(texts: DataFrame, asked: DataFrame, words: int) -> DataFrame:
@@ -225,8 +228,11 @@ def _shingle_sets(texts: DataFrame, asked: DataFrame, words: int) -> DataFrame:
         found = [np.unique(shingle_set(x, words).astype("<u4")).tobytes() for x in common.blobs(b.column("text"))]
         return pa.RecordBatch.from_arrays([b.column("id"), pa.array(found, pa.binary())], names=["id", "set"])
 
-    some = texts.join(common.work_table(asked, "asked"), "id", "left_semi").dropDuplicates(["id"])
-    return common.work_table(some.mapInArrow(common.per_batch(sets), "id long, set binary"), "shingle-sets")
+    asked = common.work_table(asked, "asked")
+    some = texts.join(asked, "id", "left_semi").dropDuplicates(["id"])
+    out = common.work_table(some.mapInArrow(common.per_batch(sets), "id long, set binary"), "shingle-sets")
+    common.discard(asked)
+    return out
 
 
 def _verified(known: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
@@ -241,39 +247,53 @@ def _verified(known: DataFrame, pairs: DataFrame, similarity: float) -> DataFram
             ok.append(not either or both / either >= similarity)
         return b.select(["a", "b"]).filter(pa.array(ok))
 
-    both = pairs.join(known.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(known.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
+    # a set that many links share is dealt to PARTS places
+    part = F.pmod(F.xxhash64("b"), F.lit(PARTS)).cast("int")
+    spread = pairs.join(known.select(F.col("id").alias("b"), F.col("set").alias("y")), "b").withColumn("part", part)
+    hubs = pairs.select("a", part.alias("part")).distinct().join(known.select(F.col("id").alias("a"), F.col("set").alias("x")), "a")
+    both = spread.join(hubs, ["a", "part"])
     return common.work_table(both.select("a", "b", "x", "y").mapInArrow(common.per_batch(similar), "a long, b long"), "similar")
 
 
 def similar_links(texts: DataFrame, words: int, similarity: float) -> DataFrame:
     """Verified links (a, b) that connect all pairs of ids whose texts (id, text) have sets so similar.
 
-    First every set is compared with the least id of each token of its prefix. Then, of the tokens whose sets are
-    still in several groups, all pairs of two groups are compared; pairs of one group are joined already.
+    Sets of n and m shingles that are so similar share at least s / (1 + s) (n + m), so their first common shingle
+    stands at place n less that, or m less that, at most; a token pairs only rows for which this holds. First every
+    set is compared with the hub of each token, the row where the token stands first (that with the fewest shingles
+    of its own). Then, of the tokens whose sets are still in several groups, all pairs of two groups are compared; pairs
+    of one group are joined already.
     """
-    order = Window.partitionBy("token").orderBy("id")
-    dealt = _prefixes(texts, words, similarity).select("*", F.first(F.struct("id", "n")).over(order).alias("hub"), F.lag("id").over(order).alias("before"), F.lead("id").over(order).alias("after"))
+    order = Window.partitionBy("token").orderBy("pos", "id")
+    dealt = _prefixes(texts, words, similarity).select("*", F.first(F.struct("id", "n", "pos")).over(order).alias("hub"), F.lag("id").over(order).alias("before"), F.lead("id").over(order).alias("after"))
     several = F.coalesce(F.col("before") != F.col("id"), F.col("after") != F.col("id"), F.lit(False))
     shared = common.work_table(dealt.filter(several).drop("before", "after"), "shared-tokens")
 
-    def sizes(x: Column, y: Column) -> Column:
-        return F.least(x, y) >= similarity * F.greatest(x, y) - 1e-9
+    def viable(n: Column, i: Column, m: Column, j: Column) -> Column:
+        common_ = similarity / (1 + similarity) * (n + m) - 1e-9
+        return (F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9) & (i <= n - common_) & (j <= m - common_) | (n == 0) & (m == 0)
 
     known = _shingle_sets(texts, shared.select("id").union(shared.select("hub.id")).distinct(), words)
-    stars = shared.filter((F.col("hub.id") < F.col("id")) & sizes(F.col("n"), F.col("hub.n"))).select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct()
-    found = _verified(known, common.work_table(stars, "star-pairs"), similarity)
+    near_hub = viable(F.col("n"), F.col("pos"), F.col("hub.n"), F.col("hub.pos"))
+    stars = common.work_table(shared.filter((F.col("hub.id") != F.col("id")) & near_hub).select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct(), "star-pairs")
+    found = _verified(known, stars, similarity)
+    common.discard(stars)
 
     roots = components(found).withColumnRenamed("node", "id")
-    rows = common.work_table(shared.join(roots, "id", "left").select("token", "id", "n", F.col("hub.id").alias("hub"), F.coalesce("root", "id").alias("root")), "rooted-tokens")
+    rows = common.work_table(shared.join(roots, "id", "left").select("token", "id", "n", "pos", F.col("hub.id").alias("hub"), F.coalesce("root", "id").alias("root")), "rooted-tokens")
+    common.discard(shared)
     groups = rows.groupBy("token", "root").agg(F.count(F.lit(1)).alias("size")).groupBy("token").agg(F.max(F.struct("size", "root")).alias("x"), F.count(F.lit(1)).alias("groups"))
     apart = common.work_table(rows.join(groups.filter("groups > 1").select("token", F.col("x.root").alias("most")), "token"), "tokens-apart")
+    common.discard(rows)
     # one end at least is outside the token's largest group
     p, q = apart.filter("root != most").alias("p"), apart.alias("q")
     new = (F.col("p.root") != F.col("q.root")) & (F.col("p.id") != F.col("p.hub")) & (F.col("q.id") != F.col("q.hub"))
     once = (F.col("q.root") == F.col("q.most")) | (F.col("p.id") < F.col("q.id"))
-    pairs = p.join(q, (F.col("p.token") == F.col("q.token")) & new & once & sizes(F.col("p.n"), F.col("q.n")))
-    pairs = pairs.select(F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b")).distinct()
-    return found.union(_verified(known, common.work_table(pairs, "pairs-apart"), similarity))
+    pairs = p.join(q, (F.col("p.token") == F.col("q.token")) & new & once & viable(F.col("p.n"), F.col("p.pos"), F.col("q.n"), F.col("q.pos")))
+    pairs = common.work_table(pairs.select(F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b")).distinct(), "pairs-apart")
+    out = found.union(_verified(known, pairs, similarity))
+    common.discard(apart, pairs, known)
+    return out
 
 
 def _components(prints: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
