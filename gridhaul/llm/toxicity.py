@@ -2,10 +2,10 @@
 
 A text is the set of its words and of the words' beginnings (4 to 6 letters), so that unseen endings of a known
 stem count. Features that toxic training texts favour enter a logistic regression. For every labelled text
-that mentions a group, the mention is swapped for each other term of its list and the change of the score is
-penalised, so the mention itself earns no weight and neutral mentions stay clean. A score of 0.5 is the cut that parts the
-sample's two kinds best. Fitting uses at most
-MAX_TOXIC and MAX_CLEAN labelled rows; scoring reads every whole text.
+that mentions a group, counterfactual texts are built, one for each other term of the list: the mention is replaced in
+the text and all features are taken anew, words and beginnings alike. The squared difference of the two texts' scores is
+penalised, so no trace of the mention earns weight and neutral mentions stay clean. A score of 0.5 is the cut that parts
+the sample's two kinds best. Fitting uses about MAX_TOXIC and MAX_CLEAN labelled rows at most; scoring reads every whole text.
 
 Null and empty texts have no features and a score like any other. Repeated rows are scored one by one; a null
 doc_id is not held out. An empty table gives no rows; without labels of both kinds all scores are 0.
@@ -26,11 +26,12 @@ from gridhaul.llm.labelled import labelled_documents, labelled_ids
 MAX_TOXIC, MAX_CLEAN = 3_000, 6_000
 CANDIDATES = 30_000  # features that enough toxic texts of the sample have
 MAX_FEATURES = 1_000
+NONE = 0xFFFF  # no feature's number
 LEAST = 4  # toxic texts with a feature
 STEMS = (4, 5, 6)
 CACHE = 400_000
 MARKS = b".,!?;:*#$%&|\"'()[]{}<>-_=+/\\~`"
-#: Terms that may stand in for each other.
+#: Terms that may stand in for each other, by language.
 IDENTITY = (
     ("women", "men", "girls", "boys", "woman", "man", "female", "male"),
     ("christian", "christians", "muslim", "muslims", "jewish", "jews", "hindu", "hindus", "buddhist", "buddhists", "atheist", "atheists"),
@@ -38,8 +39,28 @@ IDENTITY = (
     ("gay", "lesbian", "straight", "bisexual", "transgender", "queer", "heterosexual"),
     ("blind", "deaf", "disabled", "elderly", "old", "young"),
     ("immigrants", "immigrant", "refugees", "refugee", "migrants", "migrant", "foreigners", "foreigner"),
+    ("frauen", "männer", "mädchen", "jungen", "frau", "mann"),
+    ("christen", "muslime", "juden", "hindus", "buddhisten", "atheisten", "christlich", "muslimisch", "jüdisch"),
+    ("schwarze", "weiße", "asiaten", "afrikaner", "europäer", "araber", "türken", "amerikaner"),
+    ("schwule", "lesben", "schwul", "lesbisch", "heterosexuelle", "bisexuelle"),
+    ("blinde", "gehörlose", "behinderte", "alte", "junge"),
+    ("einwanderer", "flüchtlinge", "migranten", "ausländer"),
+    ("femmes", "hommes", "filles", "garçons", "femme", "homme"),
+    ("chrétiens", "musulmans", "juifs", "hindous", "bouddhistes", "athées", "chrétien", "musulman", "juif"),
+    ("noirs", "blancs", "asiatiques", "africains", "européens", "arabes", "américains"),
+    ("gays", "lesbiennes", "hétérosexuels", "bisexuels"),
+    ("aveugles", "sourds", "handicapés", "vieux", "jeunes"),
+    ("immigrés", "réfugiés", "migrants", "étrangers"),
+    ("mujeres", "hombres", "niñas", "niños", "mujer", "hombre"),
+    ("cristianos", "musulmanes", "judíos", "hindúes", "budistas", "ateos", "cristiano", "musulmán", "judío"),
+    ("negros", "blancos", "asiáticos", "africanos", "europeos", "árabes", "americanos"),
+    ("homosexuales", "lesbianas", "heterosexuales", "bisexuales"),
+    ("ciegos", "sordos", "discapacitados", "viejos", "jóvenes"),
+    ("inmigrantes", "refugiados", "migrantes", "extranjeros"),
 )
-RIDGE, COUNTERFACTUAL = 1.0, 5.0
+RIDGE, COUNTERFACTUAL = 1.0, 200.0
+#: Each term's other terms; a term of several lists has those of all.
+OTHERS: dict[bytes, tuple[bytes, ...]] = {t.encode(): tuple(sorted({o.encode() for g in IDENTITY if t in g for o in g} - {t.encode()})) for g in IDENTITY for t in g}
 
 
 def word_features(word: bytes) -> tuple[bytes, ...]:
@@ -86,28 +107,28 @@ def _candidates(toxic: DataFrame) -> list[bytes]:
     return [bytes(r.name) for r in found.orderBy(F.desc("n"), "name").limit(CANDIDATES).collect()]
 
 
-def _swaps(names: list[bytes]) -> list[tuple[int, int]]:
-    """Pairs of word features that are identity terms of one list; -1 for a term that the model doesn't know."""
-    number = {n: k for k, n in enumerate(names)}
-    pairs = []
-    for terms in IDENTITY:
-        at = [number.get(b"w" + t.encode(), -1) for t in terms]
-        pairs += [(a, b) for a in at if a >= 0 for b in at if a != b]
-    return pairs
-
-
-def fit_logistic(x: np.ndarray, y: np.ndarray, swaps: list[tuple[int, int]], rounds: int = 25) -> tuple[np.ndarray, float]:
-    """Weights and intercept: logistic loss, ridge, and the squared score change of every swapped mention."""
+def counterfactuals(text: bytes, index: Index) -> list[tuple[list[int], list[int]]]:
+    """(lost, gained) features of the text for each other term that takes the place of one it mentions."""
+    words = set(text.lower().split())
+    cores = {w: w.strip(MARKS) for w in words}
+    out = []
+    for term in sorted(set(cores.values()) & OTHERS.keys()):
+        rest = {f for w, core in cores.items() if core != term for f in index[w]}
+        was = set(index[term])
+        for other in OTHERS[term]:
+            now = set(index[other])
+            lost, gained = was - rest - now, now - rest - was
+            if lost or gained:
+                out.append((sorted(lost), sorted(gained)))
+    return out
+
+
+def fit_logistic(x: np.ndarray, y: np.ndarray, changes: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, float]:
+    """Weights and intercept: logistic loss, ridge, and the squared score change of each row of changes (features of the
+    swapped text less those of the text, scaled by the root of its share)."""
     n, d = x.shape
     penalty = np.full(d, RIDGE)
-    change = np.zeros((d, d))
-    for a, b in swaps:  # texts that mention a and not b: the score changes by w_b - w_a
-        times = COUNTERFACTUAL * float((x[:, a] * (1 - x[:, b])).sum() if b >= 0 else x[:, a].sum())
-        change[a, a] += times
-        if b >= 0:
-            change[b, b] += times
-            change[a, b] -= times
-            change[b, a] -= times
+    change = COUNTERFACTUAL * (changes.T @ changes) if len(changes) else np.zeros((d, d))
     w, b0 = np.zeros(d), 0.0
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w.astype(x.dtype) + b0, -30, 30)))
@@ -157,10 +178,12 @@ def fit(docs: DataFrame, labels: DataFrame, wanted) -> Model | None:
         index = Index(sent.value)
         for b in batches:
             if b.num_rows:
-                x = [np.array(sorted(index.of(t)), "<u2").tobytes() for t in common.blobs(b.column("text"))]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array(x, pa.binary())], names=["doc_id", "label", "x"])
+                texts = common.blobs(b.column("text"))
+                x = [np.array(sorted(index.of(t)), "<u2").tobytes() for t in texts]
+                swaps = [[np.array([*lost, NONE, *gained], "<u2").tobytes() for lost, gained in counterfactuals(t, index)] for t in texts]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array(x, pa.binary()), pa.array(swaps, pa.list_(pa.binary()))], names=["doc_id", "label", "x", "swaps"])
 
-    found = sorted(sample.mapInArrow(rows, "doc_id long, label int, x binary").collect(), key=lambda r: r.doc_id)
+    found = sorted(sample.mapInArrow(rows, "doc_id long, label int, x binary, swaps array<binary>").collect(), key=lambda r: r.doc_id)
     y = np.array([r.label for r in found], float)
     if not ((y == 0).any() and (y == 1).any()):
         return None
@@ -173,8 +196,6 @@ def fit(docs: DataFrame, labels: DataFrame, wanted) -> Model | None:
     z = (p1 - p0) / np.sqrt(pooled * (1 - pooled) * (1 / n0 + 1 / n1))
     chosen = np.argsort(-z, kind="stable")[:MAX_FEATURES]
     chosen = chosen[z[chosen] > 2]
-    terms = {b"w" + t.encode() for g in IDENTITY for t in g}
-    chosen = np.union1d(chosen, [k for k, n in enumerate(names) if n in terms]).astype(np.int64)
     place = np.full(len(names), -1)
     place[chosen] = np.arange(len(chosen))
     x = np.zeros((len(found), len(chosen)), np.float32)
@@ -182,7 +203,16 @@ def fit(docs: DataFrame, labels: DataFrame, wanted) -> Model | None:
         at = place[np.frombuffer(r.x, "<u2")]
         x[i, at[at >= 0]] = 1
     kept = [names[k] for k in chosen]
-    weights, intercept = fit_logistic(x, y, _swaps(kept))
+    changes = []
+    for r in found:
+        for swap in r.swaps:
+            at = np.frombuffer(swap, "<u2")
+            cut, row = int(np.flatnonzero(at == NONE)[0]), np.zeros(len(chosen))
+            for side, sign in ((at[:cut], -1.0), (at[cut + 1 :], 1.0)):
+                row[place[side][place[side] >= 0]] = sign
+            if row.any():
+                changes.append(row / np.sqrt(len(r.swaps)))
+    weights, intercept = fit_logistic(x, y, np.array(changes))
     logits = x @ weights.astype(x.dtype) + intercept
     return Model(kept, weights, intercept - cut_point(logits, y))
 

@@ -97,11 +97,36 @@ def test_counterfactual_penalty_removes_identity_weight():
     group = (rng.random(600) < np.where(y == 1, 0.6, 0.2)).astype(np.float32)
     other = (rng.random(600) < 0.1).astype(np.float32)
     x = np.stack([insult, group, other], axis=1)
-    plain, _ = toxicity.fit_logistic(x, y, [])
-    fair, _ = toxicity.fit_logistic(x, y, [(1, 2), (2, 1)])
+    change = np.array([[0.0, -1.0, 1.0]] * int(group.sum()))
+    plain, _ = toxicity.fit_logistic(x, y, np.zeros((0, 3)))
+    fair, _ = toxicity.fit_logistic(x, y, change)
     assert abs(fair[1] - fair[2]) < 0.2 * abs(plain[1] - plain[2]) and fair[0] > 1
 
 
+def test_counterfactual_texts():
+    """All features of the mention go, but for those that other words have too."""
+    index = toxicity.Index([b"wwomen", b"swome", b"swomen", b"wmen", b"wgirls", b"sgirl", b"wwomenfolk"])
+    swaps = toxicity.counterfactuals(b"The Women! womenfolk", index)
+    assert ([0], [3]) in swaps and ([0], [4, 5]) in swaps and len(swaps) == 7  # womenfolk has both beginnings
+    assert toxicity.counterfactuals(b"no mention", index) == []
+
+
+def test_swapped_mention_does_not_move_the_score(spark):
+    """Toxic texts mention one group three times as often as clean ones do; stems included, a swap changes nothing."""
+    rows, labels = [], []
+    for k in range(600):
+        toxic = k % 3 == 0
+        term = "muslims" if k % 4 < (3 if toxic else 1) else "hindus"
+        rows.append((k, docs.words(k, 30) + f" {term} " + (f"you {['idiot', 'moron', 'vequai'][k // 3 % 3]}" if toxic and k % 5 else "thank you"), "s"))
+        labels.append((k, 1, int(toxic)))
+    rows += [(9000 + j, docs.words(7, 30) + f" the {t} came", "s") for j, t in enumerate(["muslims", "hindus", "christians", "atheists"])]
+    table = docs.table(spark, rows)
+    model = toxicity.fit(table, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), toxicity.training())
+    score = {r.doc_id: r.toxicity for r in toxicity.scored(table, model).collect()}
+    neutral = [score[9000 + j] for j in range(4)]
+    assert max(neutral) - min(neutral) < 0.02 and max(neutral) < 0.5
+
+
 def test_toxicity(spark):
     rows, labels = [], []
     for k in range(400):
