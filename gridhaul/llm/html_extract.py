@@ -1,28 +1,34 @@
 """Main text of web pages by minimum-cut labelling of their blocks.
 
-The page is split into blocks of text. A classifier's log odds of each block being content (where it stands in
-the document, how much of it is link text, its length and sentences) are its terminal capacity: towards the
-source for content, towards the sink for boilerplate. Blocks that follow each other and blocks under the same
-element are joined by edges, stronger the nearer they are in the tree. The maximal flow separates the two
-kinds; blocks from which the sink can still be reached are boilerplate, the rest is the article.
-
-The classifier is fitted on blocks of a bounded sample of pages whose elements (article, nav, footer, named
-advert, ...) say what they are, and drawn back to fixed weights, so odd samples do no harm.
+The page is split into blocks of text. A learned classifier's log odds of each block being content are its terminal
+capacity: towards the source for content, towards the sink for boilerplate. Blocks that follow each other and blocks
+under the same element are joined by edges, stronger the nearer they are in the tree, in proportion to the page's mean
+terminal. The maximal flow separates the two kinds; blocks from which the sink can still be reached are boilerplate, the
+rest is the article.
+
+The classifier sees a block's length, sentences, share of link text, element, depth and place in the page, and the
+elements and names above it as hashed features; nothing is added to what it says. It is fitted by logistic regression on
+about SAMPLE_PAGES pages of the table whose elements say what they are (article against nav, footer, named adverts and so on: the rules
+of _teach, used for nothing else). Every example is fitted twice, once with the names withheld, so that pages without telling names
+are judged by the rest.
 
 Scripts, styles, comments, forms and the head are no blocks at all. Character references are decoded, white
 space inside a block is one space, blocks are joined by one space in page order. Null and empty pages, and
 pages without content, give an empty string. Malformed markup is read as browsers do as far as blocks go: open
 elements end with their parents, an unfinished tag or comment ends the page. Repeated rows give repeated
-results. Null ids and urls are passed on; an empty table gives no rows.
+results. Null ids and urls are passed on; an empty table gives no rows. Pages of any length are fitted and cut alike; the flow
+is near-linear, since searches that reach no sink are never repeated.
 """
 
 from __future__ import annotations
 
 import re
 from collections import deque
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import unescape
 from math import log1p
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +54,9 @@ BOILER_NAMES = re.compile(
 )
 CONTENT_NAMES = re.compile(r"(?:^|[\s_-])(?:article|content|main|post|entry|story|body|text)(?:$|[\s_-])", re.I)
 SCALE = 100
-NEXT, SAME_PARENT = 0.8, 1.2
+NEXT, SAME_PARENT = 0.2, 0.3  # of the page's mean terminal
+NAME_SLOTS = 1024  # hashed features of elements and names
+WORDS = re.compile(r"[a-z]+")
 
 
 @dataclass
@@ -56,8 +64,9 @@ class Node:
     tag: str
     parent: Node | None
     depth: int
-    odds: float = 0.0  # log odds of content that the elements above and this one give
+    odds: float = 0.0  # what the elements above and this one teach: above 0 content, below boilerplate
     article: bool = False
+    names: frozenset[int] = frozenset()  # hashed elements and names, this one's and those above
 
 
 @dataclass
@@ -69,10 +78,9 @@ class Block:
     edges: list[tuple[int, float]] = field(default_factory=list)
 
 
-def _node(tag: str, attrs: str, parent: Node | None) -> Node:
-    above = parent or Node("", None, 0)
-    node = Node(tag, parent, above.depth + 1, above.odds, above.article)
-    names = " ".join(m.strip("\"'") for m in NAMED.findall(attrs)) if attrs else ""
+def _teach(node: Node, above: Node, names: str) -> None:
+    """What an element says of the blocks in it; examples for fitting come from this, results don't."""
+    tag = node.tag
     if tag in BOILER_TAGS:
         node.odds -= BOILER_TAGS[tag]
     elif tag == "header" and not above.article:
@@ -84,6 +92,16 @@ def _node(tag: str, attrs: str, parent: Node | None) -> Node:
             node.odds -= 9.0 if above.article else 7.0
         elif CONTENT_NAMES.search(names) and not above.article:
             node.odds, node.article = node.odds + 3.0, True
+
+
+def _node(tag: str, attrs: str, parent: Node | None) -> Node:
+    above = parent or Node("", None, 0)
+    node = Node(tag, parent, above.depth + 1, above.odds, above.article)
+    names = " ".join(m.strip("\"'") for m in NAMED.findall(attrs)) if attrs else ""
+    _teach(node, above, names)
+    inside = "in" if above.article else "out"
+    said = [f"{tag} {inside}", *(f".{w}" for w in WORDS.findall(names.lower()))]
+    node.names = above.names | {crc32(x.encode()) % NAME_SLOTS for x in said} if tag not in ("html", "body") else above.names
     return node
 
 
@@ -148,66 +166,97 @@ def blocks(html: str) -> list[Block]:
     return out
 
 
-#: Where fitting starts from, and what it is drawn back to: weights of block_features.
-PRIOR = (-1.6, 0.55, 0.5, -4.0, 0.6, 1.2, -0.6, -2.0)
-SAMPLE_PAGES = 400  # pages that the classifier is fitted on at most
-RIDGE = 20.0
-SURE = 3.0  # log odds of a block's place in the document that make it an example
+SAMPLE_PAGES, SAMPLE_BLOCKS = 1_000, 12_000  # about so many pages and blocks of them at most are fitted on
+SURE = 3.0  # what a block's elements must teach to make it an example
+#: Weights of block_features that fitting starts from and is drawn back to; names start with none.
+PRIOR = np.array((-1.6, 0.55, 0.5, -4.0, 0.6, 1.2, -0.6, -2.0, 0.0, 0.0, 0.0, 0.0))
+RIDGE, NAME_RIDGE = 2.0, 0.3
 
 
-def block_features(block: Block) -> tuple[float, ...]:
+def block_features(block: Block, at: int, n_blocks: int) -> tuple[float, ...]:
+    """What block number at of n_blocks is like, names aside."""
     n, tag = len(block.text), block.node.tag
     stops = sum(block.text.count(c) for c in ".!?")
     rights = "©" in block.text[:40] or "all rights reserved" in block.text[:200].lower()
-    return (1.0, log1p(n / 8), float(min(stops, 4)), min(1.0, block.linked / n), float(tag == "p"), float(block.heading), float(tag in ("li", "td", "th", "dt", "dd")), float(rights))
+    place = (at + 0.5) / n_blocks
+    return (
+        1.0, log1p(n / 8), float(min(stops, 4)), min(1.0, block.linked / n), float(tag == "p"), float(block.heading), float(tag in ("li", "td", "th", "dt", "dd")), float(rights),
+        float(at == 0), float(at == n_blocks - 1), abs(2 * place - 1), min(block.node.depth, 12) / 4,
+    )
+
+
+class Weights:
+    """The classifier: weights of block_features and of the hashed names."""
 
+    def __init__(self, own: np.ndarray = PRIOR, names: np.ndarray | None = None):
+        self.own, self.names = [float(v) for v in own], [0.0] * NAME_SLOTS if names is None else [float(v) for v in names]
 
-def log_odds(block: Block, weights: tuple[float, ...] = PRIOR) -> float:
-    """The classifier: log odds of a block being content, by what it is like and where it stands."""
-    own = sum(w * x for w, x in zip(weights, block_features(block), strict=True))
-    return max(-4.0, min(4.0, own)) + block.node.odds
+    def log_odds(self, found: list[Block]) -> list[float]:
+        above: dict[frozenset[int], float] = {}
+        out = []
+        for k, b in enumerate(found):
+            if b.node.names not in above:
+                above[b.node.names] = sum(self.names[i] for i in b.node.names)
+            own = sum(w * x for w, x in zip(self.own, block_features(b, k, len(found)), strict=True))
+            out.append(max(-4.0, min(4.0, own)) + max(-12.0, min(12.0, above[b.node.names])))
+        return out
 
 
-def fit_weights(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
-    """Logistic regression drawn back to PRIOR, both kinds of examples weighing alike."""
-    prior = np.array(PRIOR)
+def fit_weights(x: np.ndarray, names: np.ndarray, y: np.ndarray) -> Weights:
+    """Logistic regression, both kinds of examples weighing alike, each example with its names and without."""
     if not ((y == 0).any() and (y == 1).any()):
-        return PRIOR
-    weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
+        return Weights()
+    used = np.flatnonzero(names.any(0))
+    k = x.shape[1]
+    z = np.concatenate([np.hstack([x, names[:, used]]), np.hstack([x, np.zeros((len(x), len(used)))])])
+    t = np.concatenate([y, y])
+    weight = np.where(t == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
+    prior, ridge = np.append(PRIOR, np.zeros(len(used))), np.append(np.full(k, RIDGE), np.full(len(used), NAME_RIDGE))
     w = prior.copy()
     for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (weight * (p - y)) + RIDGE * (w - prior)
-        hess = (x * (weight * p * (1 - p))[:, None]).T @ x + RIDGE * np.eye(len(w))
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        grad = z.T @ (weight * (p - t)) + ridge * (w - prior)
+        hess = (z * (weight * np.maximum(p * (1 - p), 1e-4))[:, None]).T @ z + np.diag(ridge)
         step = np.linalg.solve(hess, grad)
+        step *= min(1.0, 4 / (np.abs(step).max() + 1e-12))
         w -= step
-        if np.abs(step).max() < 1e-6:
+        if np.abs(step).max() < 1e-5:
             break
-    return tuple(float(v) for v in w)
-
-
-def fit(pages: DataFrame) -> tuple[float, ...]:
-    """Weights from blocks whose place in the document says what they are, of a bounded sample of pages."""
-
-    def examples(b: pa.RecordBatch) -> pa.RecordBatch:
-        rows = [(block_features(x), x.node.odds > 0) for h in b.column("html").to_pylist() for x in blocks(h or "") if abs(x.node.odds) >= SURE]
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.list_(pa.float64())), pa.array([float(r[1]) for r in rows], pa.float64())], names=["x", "y"])
-
-    some = pages.select("page_id", "html").filter(F.length("html") <= 100_000).orderBy(F.xxhash64("page_id", "html")).limit(SAMPLE_PAGES)
-    found = some.select(F.col("html").cast("string").alias("html")).mapInArrow(common.per_batch(examples), "x array<double>, y double")
-    counted = found.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")).collect()
-    if not counted:
-        return PRIOR
-    rows = sorted((tuple(r.x), r.y, r.n) for r in counted)
-    return fit_weights(np.repeat(np.array([r[0] for r in rows]), [r[2] for r in rows], axis=0), np.repeat([r[1] for r in rows], [r[2] for r in rows]))
-
-
-def _near(found: list[Block]) -> list[dict[int, int]]:
-    """Smoothness capacities between neighbours in the page and in the tree."""
+    out = np.zeros(NAME_SLOTS)
+    out[used] = w[k:]
+    return Weights(w[:k], out)
+
+
+def fit(pages: DataFrame) -> Weights:
+    """Weights from blocks whose elements say what they are, of a sample of pages."""
+
+    def examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for h in b.column("html").to_pylist():
+                found = blocks(h or "")
+                rows = [(block_features(x, k, len(found)), sorted(x.node.names), float(x.node.odds > 0), k) for k, x in enumerate(found) if abs(x.node.odds) >= SURE]
+                if rows:
+                    types = (pa.list_(pa.float64()), pa.list_(pa.int32()), pa.float64(), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["x", "names", "y", "k"])
+
+    some = common.sampled(pages.select("page_id", "url", F.col("html").cast("string").alias("html")), SAMPLE_PAGES, "page_id", "url").select("html")
+    found = common.work_table(some.mapInArrow(examples, "x array<double>, names array<int>, y double, k long"), "block-examples")
+    rows = sorted((tuple(r.x), r.y, tuple(r.names)) for r in common.sampled(found, SAMPLE_BLOCKS, "x", "names", "k").collect())
+    common.discard(found)
+    if not rows:
+        return Weights()
+    names = np.zeros((len(rows), NAME_SLOTS))
+    for i, r in enumerate(rows):
+        names[i, list(r[2])] = 1
+    return fit_weights(np.array([r[0] for r in rows]), names, np.array([r[1] for r in rows]))
+
+
+def _near(found: list[Block], mean: float) -> list[dict[int, int]]:
+    """Smoothness capacities between neighbours in the page and in the tree; mean: the mean terminal."""
     edges: list[dict[int, int]] = [{} for _ in found]
 
     def join(i: int, j: int, weight: float) -> None:
-        c = int(SCALE * weight)
+        c = int(mean * weight)
         if c > 0:
             edges[i][j] = edges[i].get(j, 0) + c
             edges[j][i] = edges[j].get(i, 0) + c
@@ -240,31 +289,32 @@ def min_cut(terminal: list[int], edges: list[dict[int, int]]) -> list[bool]:
     """
     left = list(terminal)
     room = [dict(e) for e in edges]
-    while True:  # shortest augmenting paths
-        came = {i: -1 for i, x in enumerate(left) if x > 0}
-        queue, goal = deque(came), -1
-        while queue:
-            i = queue.popleft()
-            if left[i] < 0:
-                goal = i
+    closed = [False] * len(left)  # a search from here met no sink: no later path enters
+    for start in range(len(left)):
+        while left[start] > 0 and not closed[start]:
+            came, queue, goal = {start: -1}, deque([start]), -1
+            while queue:
+                i = queue.popleft()
+                if left[i] < 0:
+                    goal = i
+                    break
+                for j, c in room[i].items():
+                    if c > 0 and j not in came and not closed[j]:
+                        came[j] = i
+                        queue.append(j)
+            if goal < 0:
+                for i in came:
+                    closed[i] = True
                 break
-            for j, c in room[i].items():
-                if c > 0 and j not in came:
-                    came[j] = i
-                    queue.append(j)
-        if goal < 0:
-            break
-        path, flow = [goal], -left[goal]
-        while came[path[-1]] >= 0:
-            j, i = path[-1], came[path[-1]]
-            flow = min(flow, room[i][j])
-            path.append(i)
-        flow = min(flow, left[path[-1]])
-        left[path[-1]] -= flow
-        left[goal] += flow
-        for j, i in zip(path, path[1:], strict=False):
-            room[i][j] -= flow
-            room[j][i] = room[j].get(i, 0) + flow
+            path = [goal]
+            while came[path[-1]] >= 0:
+                path.append(came[path[-1]])
+            flow = min(-left[goal], left[start], min((room[i][j] for j, i in zip(path, path[1:], strict=False)), default=left[start]))
+            left[start] -= flow
+            left[goal] += flow
+            for j, i in zip(path, path[1:], strict=False):
+                room[i][j] -= flow
+                room[j][i] = room[j].get(i, 0) + flow
     sink = {i for i, x in enumerate(left) if x < 0}
     queue = deque(sink)
     while queue:
@@ -276,16 +326,16 @@ def min_cut(terminal: list[int], edges: list[dict[int, int]]) -> list[bool]:
     return [i not in sink for i in range(len(left))]
 
 
-def main_text(html: str, weights: tuple[float, ...] = PRIOR) -> str:
+def main_text(html: str, weights: Weights) -> str:
     found = blocks(html)
     if not found:
         return ""
-    odds = [int(SCALE * log_odds(b, weights)) or -1 for b in found]
-    kept = min_cut(odds, _near(found))
+    odds = [int(SCALE * x) or -1 for x in weights.log_odds(found)]
+    kept = min_cut(odds, _near(found, sum(map(abs, odds)) / len(odds)))
     return " ".join(b.text for b, k in zip(found, kept, strict=True) if k)
 
 
-def extract(pages: DataFrame, weights: tuple[float, ...] | None = None) -> DataFrame:
+def extract(pages: DataFrame, weights: Weights | None = None) -> DataFrame:
     """page_id, url, text and n_chars of every page; without weights the classifier is fitted on these pages."""
     weights = weights or fit(pages)
 

@@ -1,11 +1,13 @@
 import hashlib
 import random
+import time
 from itertools import product
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from gridhaul.llm import common, html_extract, knn_join, warc
+from tests.llm import docs
 
 
 def test_min_cut_is_minimal():
@@ -35,7 +37,9 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 def test_extraction(spark):
     rows = [(1, "u", PAGE), (2, None, None), (3, "u", ""), (None, "v", "<p>"), (4, "w", "<article><p>" + "word " * 50_000), (4, "w", "<article><p>" + "word " * 50_000), (5, "x", "<nav>only a menu</nav>"), (6, "y", "<article>unclosed <b>bold <i>text. Here it is")]
     table = spark.createDataFrame([(*r, "t") for r in rows], "page_id long, url string, html string, text string")
-    found = html_extract.extract(table).collect()
+    weights = html_extract.fit(spark.createDataFrame([(k, f"u{k}", PAGE.replace("fox", f"fox{k}")) for k in range(30)], "page_id long, url string, html string"))
+    assert html_extract.extract(table).count() == len(rows)  # fitted on the odd pages themselves
+    found = html_extract.extract(table, weights).collect()
     assert found[0].text == "Big & new The quick brown fox jumps over the lazy dog. It is wonderful, isn't it? Short. First item here. Second item."
     assert [r.text for r in found[1:4]] == ["", "", ""] and found[4].n_chars == 5 * 50_000 - 1 and found[4].text == found[5].text
     assert found[6].text == "" and found[7].text == "unclosed bold text. Here it is" and all(r.n_chars == len(r.text) for r in found)
@@ -45,10 +49,45 @@ def test_extraction(spark):
 def test_block_classifier_learns():
     rng = np.random.default_rng(3)
     y = (rng.random(400) < 0.3).astype(float)
-    x = np.stack([np.ones(400), rng.normal(2 + y, 0.5), rng.normal(1 + 2 * y, 0.5), rng.random(400) * (1 - y), y, 0 * y, 1 - y, 0 * y], axis=1)
-    w = html_extract.fit_weights(x, y)
-    assert ((x @ np.array(w) > 0) == y).mean() > 0.98
-    assert html_extract.fit_weights(x[:5], np.zeros(5)) == html_extract.PRIOR
+    x = np.zeros((400, len(html_extract.PRIOR)))
+    x[:, 0], x[:, 1], x[:, 2], x[:, 3] = 1, rng.normal(2 + y, 0.5), rng.normal(1 + 2 * y, 0.5), rng.random(400) * (1 - y)
+    names = np.zeros((400, html_extract.NAME_SLOTS))
+    names[np.arange(400), np.where(y == 1, 5, 9)] = 1
+    w = html_extract.fit_weights(x, names, y)
+    assert w.names[5] > 1 and w.names[9] < -1
+    assert ((x @ np.array(w.own) > 0) == y).mean() > 0.9  # without names too
+    assert html_extract.fit_weights(x[:5], names[:5], np.zeros(5)).own == list(html_extract.PRIOR)
+
+
+def site(k, names=True):
+    """A page and its article; with telling names, or plain div elements."""
+    rng = random.Random(k)
+
+    def prose(n):
+        return " ".join(f"{docs.words(rng.randrange(1 << 30), rng.randrange(8, 20))}." for _ in range(n))
+
+    article, comment, ad = [prose(rng.randrange(2, 5)) for _ in range(rng.randrange(2, 6))], prose(1), prose(1)
+    menu = "".join(f"<li><a href=/{j}>item {j}</a></li>" for j in range(6))
+    nav, main, box, foot = ("nav", "article", 'div class="sidebar widget"', "footer") if names else ("div", "div", "div", "div")
+    end = lambda t: t.split()[0]
+    body = f"<{nav}><ul>{menu}</ul></{nav}><{main}>" + "".join(f"<p>{x}</p>" for x in article) + f"</{main}><{box}><ul><li><a href=x>{ad[:20]}</a></li></ul></{end(box)}><{foot}>© site {comment[:9]}</{foot}>"
+    return f"<html><body>{body}</body></html>", " ".join(article)
+
+
+def test_extraction_of_pages_without_names(spark):
+    """Fitted on pages that say what they are, held against pages of plain elements."""
+    pages = spark.createDataFrame([(k, f"u{k}", site(k)[0]) for k in range(60)], "page_id long, url string, html string")
+    weights = html_extract.fit(pages)
+    for k in range(100, 140):
+        html, want = site(k, names=False)
+        assert html_extract.main_text(html, weights) == want
+
+
+def test_long_pages_are_cut_in_time():
+    html = "<body>" + "".join("<div><p>A sentence of words here. And one more.</p></div>" if k // 50 % 2 else "<li><a href=x>link</a></li>" for k in range(50_000))
+    began = time.time()
+    out = html_extract.main_text(html, html_extract.Weights())
+    assert time.time() - began < 10 and len(out) > 500_000
 
 
 def test_warc_round_trip(spark):
