@@ -59,6 +59,31 @@ def sampled(rows: DataFrame, limit: int, *key: str) -> DataFrame:
     return rows if n <= limit else rows.filter(mark < int(steps * limit / n))
 
 
+def bitmap(hashes: DataFrame, n: int) -> np.ndarray:
+    """Bits of a set of n non-negative hashes (column h): bit h mod size, at least eight bits a hash and 2^30 at most, so what
+    is sent is one byte a hash and 128 MB at most. Beyond that more strangers pass; who tests against it decides exactly afterwards.
+    """
+    bits = 1 << max(15, min(30, (8 * n).bit_length()))
+    at = F.col("h") % bits + 1
+    rows = hashes.groupBy(F.bitmap_bucket_number(at).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("b")).collect()
+    out = np.zeros((bits >> 15, 4096), np.uint8)
+    for r in rows:
+        out[r.k - 1] = np.frombuffer(r.b, np.uint8)
+    return out.ravel()
+
+
+def in_bitmap(bits: np.ndarray, h: int) -> bool:
+    at = h % (8 * len(bits))
+    return bool(bits[at >> 3] >> (at & 7) & 1)
+
+
+def spread_join(big: DataFrame, small: DataFrame, keys: list[str], by: str, parts: int = 64) -> DataFrame:
+    """Inner join with rows of one key dealt to so many places by a hash of the column by; small goes where they are."""
+    dealt = big.withColumn("__part", F.pmod(F.xxhash64(by), F.lit(parts)).cast("int"))
+    places = dealt.select(*keys, "__part").distinct().join(small, keys)
+    return dealt.join(places, [*keys, "__part"]).drop("__part")
+
+
 def fold(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id's text modulo modulus; a null id is in no fold."""
     return F.crc32(doc_id.cast("string")) % modulus

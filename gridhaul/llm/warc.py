@@ -1,10 +1,11 @@
 """WARC archives with revisit records, deduplicated by payload digest.
 
-Headers (page id, digest, length) are aggregated by digest to find the original of each payload that occurs
-more than once; pages join their original by digest, and only originals and small payloads are written with
-their payload. Archives are gzip files of WARC/1.1 records written by Spark's own committer: each line
-separator is the blank-line pair that ends a record. They are read back by Content-Length, and revisit
-records are resolved by joining them to the response that they refer to.
+Headers (page id, url, digest, length) are written once and shuffled by digest to find the original of each payload that
+occurs more than once; headers of the others join it and become revisit records, which need no payload. Pages whose
+digest isn't repeated, as a bitmap of the repeated digests tells, become responses where they are; only pages that may be revisits are
+shuffled, by page, to leave the revisits out. Archives are WARC/1.1, a gzip member a record (records of 16 MB and more take several), in
+files bounded by bytes, written by Spark's own committer: the line separator of its text writer is the zero byte that ends every member.
+They are read back a member at a time, and revisit records are resolved by joining them to the response that they refer to.
 
 Payloads under min_bytes are never revisits. Of equal payloads the largest page_id is the response; repeated
 rows with that id are all responses. A null page_id is written without one and loses to any id; null html is
@@ -13,6 +14,7 @@ an empty payload; a null url has no target header. An empty table writes no reco
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import uuid
 import zlib
@@ -28,7 +30,8 @@ MIN_BYTES = 1000
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 TYPED = "page_id long, url string, record_type string, payload_digest string, payload_bytes long, record_id string, refers_id string, date string"
-RECORDS_PER_FILE = 5_000
+FILE_BYTES = 64 << 20  # of payload in an archive file, about
+MEMBER = (1 << 24) - 1  # bytes in a gzip member; the last byte of its length is zero
 
 
 def digests(pages: DataFrame) -> DataFrame:
@@ -47,50 +50,88 @@ def _record_id(page_id: int | None, url: str | None, digest: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}|{url}|{digest}')}>"
 
 
+def _hash(digest: str) -> int:
+    return int(digest[:14], 16)
+
+
+def _record(page: int | None, url: str | None, digest: str, size: int, payload: str | None, refers: tuple | None, date: str) -> bytes:
+    """A record; a revisit if it refers to (page, url)."""
+    head = ["WARC/1.1", f"WARC-Type: {'revisit' if refers else 'response'}", f"WARC-Record-ID: {_record_id(page, url, digest)}", f"WARC-Date: {date}"]
+    head += [f"WARC-Target-URI: {' '.join(url.split())}"] if url else []
+    head += [f"X-Page-ID: {page}"] if page is not None else []
+    head += [f"WARC-Payload-Digest: sha1:{digest}"]
+    if refers:
+        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {_record_id(*refers, digest)}", f"WARC-Refers-To-Date: {date}"]
+        head += [f"WARC-Refers-To-Target-URI: {' '.join(refers[1].split())}"] if refers[1] else []
+    # an http response message: its head, a blank line, the payload
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n"
+    body = (http + (payload or "")).encode()
+    head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(body)}"]
+    return ("\r\n".join(head) + "\r\n\r\n").encode() + body + b"\r\n\r\n"
+
+
+def _members(record: bytes) -> bytes:
+    return b"".join(gzip.compress(record[at : at + MEMBER], 6, mtime=0) for at in range(0, len(record), MEMBER))
+
+
 def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES, date: str = DATE) -> None:
     """Write every page as a response or revisit record, with fresh headers."""
-    rows = digests(pages)
+    spark = pages.sparkSession
+    head = common.work_table(digests(pages).drop("html"), "warc-headers")
+    large = head.filter(F.col("bytes") >= min_bytes)
     original = F.max(F.struct("page_id", "url")).alias("original")
-    copies = digests(pages).drop("html").filter(F.col("bytes") >= min_bytes).groupBy("digest", "bytes").agg(F.count(F.lit(1)).alias("n"), original).filter("n > 1").drop("n")
-    joined = rows.join(copies, ["digest", "bytes"], "left")
-    again = F.col("original").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("original.page_id"))
-    kept = joined.select("page_id", "url", F.when(~again, F.coalesce("html", F.lit(""))).alias("html"), "digest", "bytes", F.when(again, F.col("original.page_id")).alias("first_id"), F.when(again, F.col("original.url")).alias("first_url"))
+    copies = common.work_table(large.groupBy("digest", "bytes").agg(F.count(F.lit(1)).alias("n"), original).filter("n > 1").drop("n"), "warc-originals")
+    again = common.spread_join(large, copies, ["digest", "bytes"], "page_id").filter(~F.col("page_id").eqNullSafe(F.col("original.page_id")))
+    again = common.work_table(again.select("page_id", "url", "digest", "bytes", F.col("original.page_id").alias("first_id"), F.col("original.url").alias("first_url")), "warc-revisits")
+    hits = spark.sparkContext.broadcast(common.bitmap(copies.select(F.conv(F.substring("digest", 1, 14), 16, 10).cast("long").alias("h")), copies.count()))
+
+    def flagged(b: pa.RecordBatch) -> pa.RecordBatch:
+        maybe = [n >= min_bytes and common.in_bitmap(hits.value, _hash(d)) for d, n in zip(b.column("digest").to_pylist(), b.column("bytes").to_pylist(), strict=True)]
+        return pa.RecordBatch.from_arrays([*b.columns, pa.array(maybe, pa.bool_())], names=[*b.schema.names, "maybe"])
+
+    rows = digests(pages)
+    rows = rows.mapInArrow(common.per_batch(flagged), ", ".join(f"{n} {t}" for n, t in rows.dtypes) + ", maybe boolean")
+    key = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
+    gone = again.select(key.alias("key"), "digest").distinct()
+    firsts = rows.filter("maybe").withColumn("key", key).join(gone, ["key", "digest"], "left_anti").drop("key")
+    kept = rows.filter("NOT maybe").unionByName(firsts).select("page_id", "url", "digest", "bytes", F.coalesce("html", F.lit("")).alias("html"), F.lit(None).cast("long").alias("first_id"), F.lit(None).cast("string").alias("first_url"), F.lit(False).alias("revisit"))
+    kept = kept.unionByName(again.withColumns({"html": F.lit(None).cast("string"), "revisit": F.lit(True)}))
 
     def records(b: pa.RecordBatch) -> pa.RecordBatch:
-        out = []
-        for page, url, html, digest, size, first, first_url in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html", "digest", "bytes", "first_id", "first_url")), strict=True):
-            revisit = html is None
-            head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {_record_id(page, url, digest)}", f"WARC-Date: {date}"]
-            head += [f"WARC-Target-URI: {' '.join(url.split())}"] if url else []
-            head += [f"X-Page-ID: {page}"] if page is not None else []
-            head += [f"WARC-Payload-Digest: sha1:{digest}"]
-            if revisit:
-                head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {_record_id(first, first_url, digest)}", f"WARC-Refers-To-Date: {date}"]
-                head += [f"WARC-Refers-To-Target-URI: {' '.join(first_url.split())}"] if first_url else []
-            # an http response message: its head, a blank line, the payload
-            http = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n" + f"Content-Length: {size}\r\n\r\n"
-            body = http + (html or "")
-            head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(body.encode())}"]
-            out.append("\r\n".join(head) + "\r\n\r\n" + body)
-        return pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
-
-    lines = kept.mapInArrow(common.per_batch(records), "value string")
-    lines.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+        names = ("page_id", "url", "digest", "bytes", "html", "first_id", "first_url", "revisit")
+        out = [_members(_record(page, url, digest, size, html, (first, first_url) if revisit else None, date))[:-1] for page, url, digest, size, html, first, first_url, revisit in zip(*(b.column(c).to_pylist() for c in names), strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
+
+    mean = head.agg(F.coalesce(F.avg("bytes"), F.lit(0.0))).first()[0]
+    lines = kept.mapInArrow(common.per_batch(records), "value binary").select(F.col("value").cast("string").alias("value"))
+    lines.write.option("lineSep", "\0").option("compression", "none").option("maxRecordsPerFile", max(1, int(FILE_BYTES / (mean + 600)))).text(path)
+    common.discard(head, copies, again)
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers and block of each record of an archive."""
-    at = 0
+    """Headers and block of each record of an archive, unpacked member by member."""
+    at, held = 0, b""
     while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        version, *lines = data[at:end].decode().split("\r\n")
+        member, parts = zlib.decompressobj(31), []
+        while not member.eof:
+            if at >= len(data):
+                raise ValueError("an archive ends inside a member")
+            parts.append(member.decompress(data[at : at + (1 << 16)]))
+            at = min(at + (1 << 16), len(data)) - len(member.unused_data)
+        held += b"".join(parts)
+        end = held.find(b"\r\n\r\n")
+        if end < 0:
+            continue
+        version, *lines = held[:end].decode().split("\r\n")
         if not version.startswith("WARC/"):
-            raise ValueError(f"no record at byte {at}")
+            raise ValueError(f"no record before byte {at}")
         head = dict(x.split(": ", 1) for x in lines)
-        start = end + 4
-        stop = start + int(head["Content-Length"])
-        yield head, data[start:stop]
-        at = stop + 4
+        stop = end + 4 + int(head["Content-Length"])
+        if len(held) >= stop + 4:  # a record of 16 MB and more goes on in the next member
+            yield head, held[end + 4 : stop]
+            held = b""
+    if held:
+        raise ValueError("an archive ends inside a record")
 
 
 def read_archives(spark, path: str, with_payload: bool = False) -> DataFrame:
@@ -99,13 +140,15 @@ def read_archives(spark, path: str, with_payload: bool = False) -> DataFrame:
     schema = TYPED + (", payload string" if with_payload else "")
     names = [x.split()[0] for x in schema.split(", ")]
 
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        types = {"page_id": pa.int64(), "payload_bytes": pa.int64()}
+        return pa.RecordBatch.from_arrays([pa.array(c, types.get(n, pa.string())) for n, c in zip(names, zip(*rows, strict=True), strict=True)], names=names)
+
     def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for content in b.column("content"):
                 rows = []
-                packed = content.as_py()
-                data = zlib.decompress(packed, 31) if packed else b""
-                for head, block in parse(data):
+                for head, block in parse(content.as_py()):
                     payload = block[block.index(b"\r\n\r\n") + 4 :]
                     revisit = head["WARC-Type"] == "revisit"
                     digest = head["WARC-Payload-Digest"].removeprefix("sha1:")
@@ -114,9 +157,11 @@ def read_archives(spark, path: str, with_payload: bool = False) -> DataFrame:
                     page = head.get("X-Page-ID")
                     row = (int(page) if page else None, head.get("WARC-Target-URI"), head["WARC-Type"], digest, None if revisit else len(payload), head["WARC-Record-ID"], head.get("WARC-Refers-To"), head["WARC-Date"])
                     rows.append((*row, payload.decode() if not revisit else None) if with_payload else row)
+                    if len(rows) == 500:
+                        yield batch(rows)
+                        rows = []
                 if rows:
-                    types = {"page_id": pa.int64(), "payload_bytes": pa.int64()}
-                    yield pa.RecordBatch.from_arrays([pa.array(c, types.get(n, pa.string())) for n, c in zip(names, zip(*rows, strict=True), strict=True)], names=names)
+                    yield batch(rows)
 
     rows = files.mapInArrow(opened, schema)
     found = rows.filter("record_type = 'response'")
