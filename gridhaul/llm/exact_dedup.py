@@ -16,10 +16,10 @@ from __future__ import annotations
 
 import hashlib
 
-import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 from gridhaul.llm import common
 
@@ -31,7 +31,6 @@ STATE = {
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 UPDATES = "digest binary, group_size long, best struct<n_points: long, inv_id: long, inv_row: long, doc_id: long, row_id: long, locator: string>, batch int"
-SLOTS = 1 << 20  # of the fixed-size bitmap of digests with hits
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -85,29 +84,40 @@ def keyed_state(landing: str, schema, spark, files_per_trigger: int | None = Non
     return spark.read.schema(UPDATES).parquet(f"{updates}/part=*")
 
 
-def _collisions(docs: DataFrame, groups: DataFrame, digest_bytes: int) -> DataFrame:
-    """Digests that different normalised bytes share. Only texts whose digest may have a hit are shuffled."""
-    spark = docs.sparkSession
-    slot = F.conv(F.hex(F.substring(F.col("digest"), 1, 3)), 16, 10).cast("long") % SLOTS
-    hit = np.zeros(SLOTS, bool)
-    hit[[r[0] for r in groups.filter("group_size > 1").select(slot).distinct().collect()]] = True  # SLOTS rows at most
-    bitmap = spark.sparkContext.broadcast(np.packbits(hit).tobytes())
+def _hash(digest: bytes) -> int:
+    return int.from_bytes(digest[:7], "big")
+
+
+def _hits(groups: DataFrame):
+    """The bitmap of digests with hits, broadcast: a byte a hit."""
+    hit = groups.filter("group_size > 1").select(F.conv(F.hex(F.substring("digest", 1, 7)), 16, 10).cast("long").alias("h"))
+    return groups.sparkSession.sparkContext.broadcast(common.bitmap(hit, hit.count()))
+
+
+def _members(docs: DataFrame, bits, digest_bytes: int) -> DataFrame:
+    """Headers and normalised bytes of the documents whose digest the bitmap has."""
+    rows = _texts(docs).select(F.monotonically_increasing_id().alias("row_id"), "doc_id", F.length("text").cast("long").alias("n_points"), F.input_file_name().alias("locator"), "text")
+    names = ["row_id", "doc_id", "n_points", "locator", "digest", "norm"]
 
     def members(b: pa.RecordBatch) -> pa.RecordBatch:
-        hits = np.unpackbits(np.frombuffer(bitmap.value, np.uint8))
-        found = []
-        for x in common.blobs(b.column("text")):
+        at, digests, norms = [], [], []
+        for k, x in enumerate(common.blobs(b.column("text"))):
             norm = x.translate(None, BLANK)
             d = hashlib.sha256(norm).digest()[:digest_bytes]
-            if hits[int.from_bytes(d[:3], "big") % SLOTS]:
-                found.append((d, norm))
-        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], names=["digest", "norm"])
-
-    return (
-        _texts(docs).select("text").mapInArrow(common.per_batch(members), "digest binary, norm binary")
-        .groupBy("digest").agg(F.min("norm").alias("least"), F.max("norm").alias("most"))
-        .filter(F.col("least") != F.col("most")).select("digest")
-    )
+            if common.in_bitmap(bits.value, _hash(d)):
+                at.append(k)
+                digests.append(d)
+                norms.append(norm)
+        taken = pa.array(at, pa.int64())
+        return pa.RecordBatch.from_arrays([*(b.column(c).take(taken) for c in names[:4]), pa.array(digests, pa.binary()), pa.array(norms, pa.binary())], names=names)
+
+    return rows.mapInArrow(common.per_batch(members), "row_id long, doc_id long, n_points long, locator string, digest binary, norm binary")
+
+
+def _collisions(found: DataFrame) -> DataFrame:
+    """Digests that different normalised bytes share, of the members of digests with hits."""
+    ends = found.select("digest", "norm").groupBy("digest").agg(F.min("norm").alias("least"), F.max("norm").alias("most"))
+    return ends.filter(F.col("least") != F.col("most")).select("digest")
 
 
 def exact_dedup(docs: DataFrame, digest_bytes: int = 32, files_per_trigger: int | None = None) -> DataFrame:
@@ -120,30 +130,47 @@ def exact_dedup(docs: DataFrame, digest_bytes: int = 32, files_per_trigger: int
     if groups.select("batch").distinct().count() > 1:  # the last update of a digest is its state
         groups = groups.groupBy("digest").agg(F.max_by(F.struct("group_size", "best"), "batch").alias("x")).select("digest", "x.*")
     groups = groups.select("digest", "group_size", "best")
-    bad = common.work_table(_collisions(docs, groups, digest_bytes), "dedup-collisions")
+    found = _members(docs, _hits(groups), digest_bytes)
+    bad = common.work_table(_collisions(found), "dedup-collisions")
     joined = landed.join(groups, "digest")
     if not bad.isEmpty():
-        joined = landed.join(groups.join(bad, "digest", "left_anti"), "digest").unionByName(_by_bytes(landed, bad))
+        joined = landed.join(groups.join(bad, "digest", "left_anti"), "digest").unionByName(_by_bytes(found, bad))
     return joined.select(
         "row_id", "doc_id", "n_points", "text_sha256", F.col("best.doc_id").alias("keep_id"), F.col("best.row_id").alias("keep_row"),
         F.col("best.locator").alias("keep_locator"), "group_size", (F.col("row_id") == F.col("best.row_id")).alias("kept"),
     )
 
 
-def _by_bytes(landed: DataFrame, bad: DataFrame) -> DataFrame:
-    """Rows of colliding digests, grouped by what the full SHA-256 of the bytes tells apart."""
-    rows = landed.join(bad, "digest", "left_semi")
-    groups = rows.groupBy(F.col("text_sha256").alias("sha")).agg(*_best())
-    return rows.join(groups, rows.text_sha256 == groups.sha).drop("sha")
+def _by_bytes(found: DataFrame, bad: DataFrame) -> DataFrame:
+    """Members of colliding digests, grouped by the normalised bytes themselves."""
+    rows = found.join(bad, "digest", "left_semi")
+    groups = rows.groupBy(F.col("norm").alias("bytes")).agg(*_best())
+    joined = rows.join(groups, rows.norm == groups.bytes)
+    return joined.select("row_id", "doc_id", "n_points", "locator", "digest", F.sha2("norm", 256).alias("text_sha256"), "group_size", "best")
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """docs without the copies: its columns, one row of each group."""
-    found = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("kept_id"), F.col("n_points").alias("kept_points"), F.col("text_sha256").alias("kept_sha"))
-    text = F.coalesce(F.col("text"), F.lit(""))
-    keys = docs.select("*", F.length(text).cast("long").alias("__points"), F.sha2(F.translate(text, BLANK.decode(), ""), 256).alias("__sha"))
-    same = keys["doc_id"].cast("long").eqNullSafe(found.kept_id) & (keys["__points"] == found.kept_points) & (keys["__sha"] == found.kept_sha)
-    return keys.join(found, same, "left_semi").dropDuplicates(["doc_id", "__points", "__sha"]).drop("__points", "__sha")
+    """docs without the copies: its columns, one row of each group (of rows alike in id and length the one whose text's hash is least).
+
+    Documents whose digest has no hit stay where they are; only those of groups are shuffled. Columns that begin with __ are reserved.
+    """
+    names = docs.columns
+    found = common.work_table(exact_dedup(docs).select("doc_id", "n_points", "text_sha256", "group_size", "kept"), "dedup-decisions")
+    bits = _hits(found.filter("kept").select(F.unhex("text_sha256").alias("digest"), "group_size"))
+
+    def marked(b: pa.RecordBatch) -> pa.RecordBatch:
+        sha = [hashlib.sha256(x.translate(None, BLANK)).digest() for x in common.blobs(b.column("text"))]
+        cols = [pa.array([x.hex() for x in sha], pa.string()), pa.array([common.in_bitmap(bits.value, _hash(x)) for x in sha], pa.bool_())]
+        return pa.RecordBatch.from_arrays([*b.columns, *cols], names=[*names, "__sha", "__hit"])
+
+    rows = docs.mapInArrow(common.per_batch(marked), StructType([*docs.schema.fields, StructField("__sha", StringType()), StructField("__hit", BooleanType())]))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    grouped = rows.filter("__hit").withColumns({"__points": F.length(text).cast("long"), "__id": F.col("doc_id").cast("long"), "__order": F.xxhash64(text)})
+    kept = found.filter("kept").select(F.col("doc_id").alias("kept_id"), F.col("n_points").alias("kept_points"), F.col("text_sha256").alias("kept_sha"))
+    same = grouped["__id"].eqNullSafe(kept.kept_id) & (grouped["__points"] == kept.kept_points) & (grouped["__sha"] == kept.kept_sha)
+    first = F.row_number().over(Window.partitionBy("__id", "__points", "__sha").orderBy("__order"))
+    some = grouped.join(kept, same, "left_semi").withColumn("__n", first).filter("__n = 1")
+    return rows.filter("NOT __hit").select(*names).unionByName(some.select(*names))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
