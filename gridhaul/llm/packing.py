@@ -1,12 +1,12 @@
 """Best-fit packing of tokenised documents into sequences, by bin completion on the histogram of lengths.
 
-Tokens are counted once and written as one row a piece. Only the counts of (length, salt) reach the driver:
-capacity x SALTS rows at most, whatever the corpus. There a branch and bound on counts takes the largest
-length left, enumerates fillings of the room beside it that no other filling dominates (a single length
-beats any set of lengths that it could stand for), and prunes by the waste that the best known packing
-still allows; best-fit completions are the incumbents. A filling is used as often as the counts allow, so a
-plan is a few thousand patterns. Pieces get their rank within their length from a window over
-(length, salt) and look up sequence and offset in the plan.
+Tokens are counted once and written as one row a piece. Pieces of full length are sequences of their own and take no
+further part. Of the others only counts reach the driver: one a length, then one a length and salt, a length having a salt for every
+SALT_ROWS of its pieces. There a branch and bound on counts takes the largest length left, enumerates maximal fillings of the room
+beside it, of any number of pieces (of fillings with one sum, that of fewer and larger lengths dominates), and prunes by the waste
+that the best known packing still allows; best-fit completions are the incumbents. A filling is used as often as the counts
+allow, so a plan is a few thousand patterns. The search tries NODES fillings at most and keeps the best packing. Pieces get their rank
+within their length from a window over (length, salt) and look up sequence and offset in the plan.
 
 Null and empty texts are one end token. Repeated rows are packed one by one; a null doc_id stays null. An
 empty table packs into nothing. Ties go by doc_id and piece.
@@ -28,11 +28,12 @@ from pyspark.sql import functions as F
 from gridhaul.llm import common
 
 CAPACITY = 2048
-SALTS = 64
+SALT_ROWS = 200_000  # pieces of one length that one window holds, about
 END = b"\0\0\0\0"
 CACHE = 700_000  # words whose ids a Python worker keeps
 MARKS = b".,!?;:*#$%&"
 NODES = 1_500  # fillings that the branch and bound tries at most
+TRIES = 24  # steps of one enumeration of fillings
 
 
 def default_tokenizer() -> str:
@@ -142,34 +143,57 @@ class Plan:
 
 
 def fillings(counts: np.ndarray, room: int, most: int = 4) -> list[list[int]]:
-    """Undominated fillings of room from the counts left, least waste first."""
+    """Undominated fillings of room from the counts left, least waste first.
+
+    Depth first from the largest lengths down; every step closes its set by the best single piece or pair for what is left,
+    and goes on with a further piece where that leaves room. TRIES steps at most.
+    """
     have = np.flatnonzero(counts[: room + 1])
     have = have[have > 0]
     if not len(have):
         return [[]]
+    least = int(have[0])
     below = np.zeros(room + 1, np.int64)  # the largest length at hand up to each size
     below[have] = have
     below = np.maximum.accumulate(below)
-    found: dict[tuple[int, ...], int] = {(int(have[-1]),): int(have[-1])}
+    found: dict[tuple[int, ...], int] = {}
+    full, tries = 0, TRIES
 
-    def pairs(left: int, fixed: tuple[int, ...]) -> None:
+    def close(left: int, fixed: tuple[int, ...]) -> None:
+        """fixed with the best pair or single for left, then greedily with what still fits."""
+        nonlocal full
         firsts = have[have <= left]
+        ok = counts[firsts] > np.array([fixed.count(int(x)) for x in firsts]) if fixed else np.ones(len(firsts), bool)
         rest = below[np.minimum(left - firsts, firsts)]
-        used = {x: fixed.count(x) for x in fixed}
-        ok = counts[firsts] > np.array([used.get(int(x), 0) for x in firsts]) if used else np.ones(len(firsts), bool)
-        need = 1 + (rest == firsts).astype(int) + (np.array([used.get(int(x), 0) for x in rest]) if used else 0)
+        need = 1 + (rest == firsts).astype(int) + (np.array([fixed.count(int(x)) for x in rest]) if fixed else 0)
         sums = np.where(ok, firsts + np.where((rest > 0) & (counts[rest] >= need), rest, 0), 0)
-        for k in np.lexsort((-firsts, -sums))[: most if not fixed else 1]:
-            if sums[k]:
-                items = tuple(sorted((*fixed, int(firsts[k]), *([int(rest[k])] if sums[k] > firsts[k] else [])), reverse=True))
-                found.setdefault(items, sum(items))
-
-    pairs(room, ())
-    if max(found.values()) < room:
-        for x in have[::-1][: 8 * most]:
-            pairs(room - int(x), (int(x),)) if x < room else None
-            if max(found.values()) == room:
-                break
+        for k in np.lexsort((-firsts, -sums))[: 1 if fixed else most]:
+            if not sums[k]:
+                continue
+            items = [*fixed, int(firsts[k]), *([int(rest[k])] if sums[k] > firsts[k] else [])]
+            spare = left - int(sums[k])
+            while spare >= least and (x := int(below[spare])):
+                while x and items.count(x) >= counts[x]:
+                    x = int(below[x - 1])
+                if not x:
+                    break
+                items.append(x)
+                spare -= x
+            key = tuple(sorted(items, reverse=True))
+            full += key not in found and spare == 0
+            found.setdefault(key, room - spare)
+
+    def go(left: int, fixed: tuple[int, ...], top: int) -> None:
+        nonlocal tries
+        close(left, fixed)
+        for x in have[(have <= min(left - least, top))][::-1][: 2 * most].tolist():
+            if tries <= 0 or full >= most:
+                return
+            if fixed.count(x) < counts[x]:
+                tries -= 1
+                go(left - x, (*fixed, x), x)
+
+    go(room, (), room)
     ranked = sorted(found.items(), key=lambda f: (room - f[1], len(f[0])))
     kept: list[list[int]] = []
     sums: set[int] = set()
@@ -179,7 +203,7 @@ def fillings(counts: np.ndarray, room: int, most: int = 4) -> list[list[int]]:
             kept.append(list(items))
         if len(kept) == most:
             break
-    return kept
+    return kept or [[]]
 
 
 def best_fit(counts: np.ndarray) -> Plan:
@@ -285,29 +309,39 @@ def slots(plan: Plan) -> dict[str, np.ndarray]:
 def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Pieces (as pieces() makes them, written to files) with sequence_id and offset."""
     spark = found.sparkSession
-    rows = found.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)).cast("int"))
-    counted = rows.groupBy("length", "salt").count().collect()  # capacity x SALTS rows at most
-    table = np.zeros((capacity + 1, SALTS), np.int64)
-    for length, salt, n in counted:
-        table[length, salt] = n
-    plan = complete(table.sum(1))
-    sent = spark.sparkContext.broadcast((np.cumsum(table, axis=1) - table, slots(plan)))
+    rows = found.filter(F.col("length") < capacity)
+    by_length = np.zeros(capacity + 1, np.int64)
+    for length, n in rows.groupBy("length").count().collect():  # capacity rows at most
+        by_length[length] = n
+    salts = np.maximum(1, -(-by_length // SALT_ROWS))
+    known = F.array(*(F.lit(int(k)) for k in salts))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.get(known, F.col("length").cast("int"))).cast("int"))
+    at = np.append(0, np.cumsum(salts))  # where the counts of a length's salts begin
+    table = np.zeros(at[-1], np.int64)
+    for length, salt, n in rows.groupBy("length", "salt").count().collect():  # a row for every SALT_ROWS pieces, and capacity at most
+        table[at[length] + salt] = n
+    before = np.cumsum(table) - table
+    before -= np.repeat(before[at[:-1]], salts)
+    plan = complete(by_length)
+    sent = spark.sparkContext.broadcast((at, before, slots(plan)))
     order = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32")
     kept = found.columns
     names = [*kept, "sequence_id", "offset"]
 
     def place(b: pa.RecordBatch) -> pa.RecordBatch:
-        before, s = sent.value
+        at, before, s = sent.value
         length, salt, rank = (b.column(c).to_numpy() for c in ("length", "salt", "rank"))
-        rank = before[length, salt] + rank - 1
-        at = np.searchsorted(s["key"], length << 44 | rank, "right") - 1
-        rank = rank - s["first"][at]
-        copies = s["copies"][at]
-        placed = [pa.array(s["base"][at] + rank // copies), pa.array(s["offset"][at] + rank % copies * length)]
+        rank = before[at[length] + salt] + rank - 1
+        where = np.searchsorted(s["key"], length << 44 | rank, "right") - 1
+        rank = rank - s["first"][where]
+        copies = s["copies"][where]
+        placed = [pa.array(s["base"][where] + rank // copies), pa.array(s["offset"][where] + rank % copies * length)]
         return pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *placed], names=names)
 
     schema = ", ".join(f"{n} {t}" for n, t in found.dtypes) + ", sequence_id long, offset long"
-    return rows.withColumn("rank", F.row_number().over(order)).mapInArrow(common.per_batch(place), schema)
+    mixed = rows.withColumn("rank", F.row_number().over(order)).mapInArrow(common.per_batch(place), schema)
+    full = found.filter(F.col("length") >= capacity).select(*kept, (F.lit(plan.bins) + F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return mixed.unionByName(full)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:

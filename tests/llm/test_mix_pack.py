@@ -97,6 +97,20 @@ def test_bin_completion_is_optimal_on_small_cases():
         assert packing.lower_bound(counts) <= plan.bins == sum(t for _, t in plan.patterns) == best_bins(items, room)
 
 
+def test_sequences_of_many_pieces():
+    """400 sequences cut into five to eight pieces each; and fillings of more than four."""
+    rng = np.random.default_rng(5)
+    for parts in (5, 8):
+        items = []
+        for _ in range(400):
+            cuts = np.sort(rng.choice(np.arange(1, 2048), parts - 1, replace=False))
+            items += np.diff(np.concatenate([[0], cuts, [2048]])).tolist()
+        counts = np.bincount(items, minlength=2049)
+        plan = packing.complete(counts)
+        assert plan.bins <= 404 and sorted(x for lengths, times in plan.patterns for x in lengths * times) == sorted(items)
+    assert max(map(len, packing.fillings(np.bincount([100] * 30, minlength=2049), 1948))) == 19
+
+
 @pytest.mark.parametrize("capacity", [64, 2048])
 def test_packing(spark, capacity):
     tokenizers = pytest.importorskip("tokenizers")
