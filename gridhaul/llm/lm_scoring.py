@@ -4,8 +4,9 @@ Token counts are gathered over all training texts. The model predicts a class fo
 frequent tokens (and the end of a text) are classes of their own, all others share BUCKETS classes by their
 first two bytes, and inside such a class tokens have add-one probabilities from the corpus counts, one share
 being for all unseen ones. The class depends on the two tokens before: q = r(w-1) A + r(w-2) B, score
-q.s(w) + bias(w). Every partition of the training texts trains a copy over all its tokens, from weights warmed
-up on a small sample, and the copies are averaged by tokens. Since the score is a sum of two tables, the
+q.s(w) + bias(w). Training texts are dealt to shards by a hash of id and text, one shard for every SHARD_TOKENS tokens of the corpus; every
+shard trains a copy over all its tokens, from weights warmed up on a small sample, and the copies are averaged by tokens. Shards and their order
+depend on the texts alone, so scores don't change with files, partitions or cores. Since the score is a sum of two tables, the
 normaliser of every pair of contexts is one matrix product, and class probabilities are exactly normalised.
 
 Only the most frequent tokens, LOOKUP at most, are sent to the workers; counts of rarer ones come by a join on the
@@ -19,6 +20,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -36,6 +38,7 @@ BATCH, NOISE = 2048, 32
 RATE = 0.15
 WARM_DOCS, WARM_TOKENS = 300, 4_000  # the warm-up's sample: so many whole texts of at most that length
 FAN_IN = 64
+SHARD_TOKENS = 1_000_000  # of the corpus, a shard of training
 FLUSH = 400_000
 END = b""  # no word is empty
 LN10 = float(np.log(10))
@@ -245,32 +248,38 @@ def train(texts: DataFrame, words) -> LogBilinear:
     def sequence(seq: bytes) -> np.ndarray:
         return np.frombuffer(seq, "<u2").astype(np.int64)
 
-    sample = texts.filter(F.col("n_tokens") <= WARM_TOKENS).orderBy(F.xxhash64("doc_id"), "doc_id", "row").limit(WARM_DOCS).select("seq").collect()
+    short = common.sampled(texts.filter(F.col("n_tokens") <= WARM_TOKENS), WARM_DOCS, "doc_id")
+    sample = sorted(short.select("doc_id", "seq").collect(), key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id, bytes(r.seq)))
     model.start(0)
     model.train((sequence(r.seq) for r in sample), int(vocab.klass[vocab.end]), 512)
     warm = spark.sparkContext.broadcast(model.pack())
+    shards = -(-vocab.total // SHARD_TOKENS)
 
     def copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = words.value
-        copy = LogBilinear(v.class_counts)
-        copy.unpack(warm.value)
-        copy.start(1)
-        n = copy.train((sequence(x) for b in batches for x in b.column("seq").to_pylist()), int(v.klass[v.end]))
-        if n:
+        runs = ((shard, seq) for b in batches for shard, seq in zip(b.column("shard").to_pylist(), b.column("seq").to_pylist(), strict=True))
+        for _, run in groupby(runs, lambda r: r[0]):
+            copy = LogBilinear(v.class_counts)
+            copy.unpack(warm.value)
+            copy.start(1)
+            n = copy.train((sequence(seq) for _, seq in run), int(v.klass[v.end]))
             yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([copy.pack()], pa.binary())], names=["n", "weights"])
 
     def averaged(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["n", "weights"])
         n = rows["n"].to_numpy(float)
         flat = sum(k * np.frombuffer(x, np.float32).astype(float) for k, x in zip(n / n.sum(), rows["weights"], strict=True))
         return pd.DataFrame({"n": [int(n.sum())], "weights": [flat.astype(np.float32).tobytes()]})
 
-    found = common.work_table(texts.select("seq").mapInArrow(copies, "n long, weights binary"), "lm-copies")
+    mark = F.xxhash64("doc_id", "seq")
+    dealt = texts.select(F.pmod(mark, F.lit(shards)).alias("shard"), mark.alias("mark"), "doc_id", "seq").repartition(shards, "shard").sortWithinPartitions("shard", "mark", "doc_id", "seq")
+    found = common.work_table(dealt.select("shard", "seq").mapInArrow(copies, "n long, weights binary"), "lm-copies")
     left = found.count()
     while left > FAN_IN:  # so many copies at most meet in one task or on the driver
         left = -(-left // FAN_IN)
         found = common.work_table(found.groupBy(F.pmod(F.xxhash64("weights"), F.lit(left))).applyInPandas(averaged, "n long, weights binary"), "lm-copies")
         left = min(left, found.count())
-    rows = found.orderBy("n", "weights").toPandas()
+    rows = found.toPandas()
     model.unpack(averaged(rows)["weights"][0])
     return model
 

@@ -49,6 +49,35 @@ def test_lm_scores(spark, monkeypatch):
     assert sum(r.score for r in some) > 1.02 * sum(r.base_score for r in some)  # random words: nothing to learn, little to lose
 
 
+def test_lm_scores_equal_a_plain_loop(spark, monkeypatch):
+    """The score, token by token from the same weights by an explicit softmax; however the table is split."""
+    monkeypatch.setattr(lm_scoring, "SHARD_TOKENS", 1500)
+    rows = [(k, docs.words(k, 40 + k, 300), "s") for k in range(50)] + [(90, None, "s"), (91, "never seen W1", "s")]
+    table = docs.table(spark, rows)
+    found = {r.doc_id: r.score for r in lm_scoring.lm_scores(table.repartition(1), F.lit(False) | (F.col("doc_id") >= 45)).collect()}
+    again = {r.doc_id: r.score for r in lm_scoring.lm_scores(table.repartition(7), F.lit(False) | (F.col("doc_id") >= 45)).collect()}
+    assert found.keys() == again.keys() and all(abs(found[k] - again[k]) < 1e-6 for k in found)
+    texts = table.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    counts = common.work_table(lm_scoring.token_counts(texts.filter("doc_id < 45")), "counts")
+    v = lm_scoring.vocabulary(counts)
+    words = spark.sparkContext.broadcast(v)
+    ready = lm_scoring.encoded(texts.select("*", F.lit(False).alias("held_out"), (F.col("doc_id") < 45).alias("trains")), words)
+    w = lm_scoring.train(ready.filter("trains"), words).w
+    seen = {bytes(r.token): r.n for r in counts.collect()}
+    own = set(v.index) if len(v.index) <= lm_scoring.CLASSES - lm_scoring.BUCKETS else None
+    end = int(v.klass[v.end])
+    for i, t, _ in rows:
+        total, near, far = 0.0, end, end
+        for token in [*re.sub("[A-Z]", lambda m: m[0].lower(), t or "").encode().split(), b""]:
+            c = int(v.klass[v.index[token]]) if token in own else lm_scoring.bucket(token)
+            q = w["r"][near].astype(float) @ w["a"] + w["r"][far].astype(float) @ w["b"]
+            logits = w["s"].astype(float) @ q + w["bias"]
+            inside = 1.0 if token in own else (seen.get(token, 0) + 1) / v.room[c]
+            total += (logits[c] - np.log(np.exp(logits).sum())) / math.log(10) + math.log10(inside)
+            near, far = c, near
+        assert abs(total - found[i]) < 1e-3 * (1 + abs(total))
+
+
 def test_lm_scores_without_training_texts(spark):
     table = docs.table(spark, [(1, "a b", "s"), (2, None, "s")])
     assert lm_scoring.lm_scores(table.limit(0), F.col("doc_id") == 0).count() == 0
