@@ -1,7 +1,7 @@
 """Exact top-k search by inner product: a Voronoi join on pivots.
 
-Rows go to the cell of their nearest pivot. Per cell the summaries are its number of rows, its radius and the
-largest norm; for queries their number and radius. From these alone follows for every query cell a score that
+Rows go to the cell of their nearest pivot. Per cell the summaries are its number of rows and the distances of its k + 1
+nearest ids to the pivot; for queries their number and radius. From these alone follows for every query cell a score that
 its k-th best answer reaches at least, and for every row an upper bound of its score against the cell, so
 only rows that may count are replicated to it: q.x = p.x + (q-p).x, with |q-p| at most the query cell's radius.
 Cells are solved in parts of bounded size, each part one matrix product; answers of the parts are merged.
@@ -55,23 +55,27 @@ class Cells:
     def __init__(self, pivots: np.ndarray):
         self.pivots = pivots
         n = len(pivots)
-        self.rows, self.radius = np.zeros(n, np.int64), np.zeros(n)
-        self.queries, self.reach = np.zeros(n, np.int64), np.zeros(n)
+        self.rows, self.queries, self.reach = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n)
+        self.close: list[tuple[int, int, float]] = []  # cell, id and distance of the ids nearest to each pivot
         self.floor = np.full(n, -np.inf)
-        self.own = 1  # rows that one query's id has at most
 
     def settle(self, k: int) -> None:
-        """The score that k answers of any query of a cell reach at least, from the summaries alone."""
+        """The score that k answers of any query of a cell reach at least, from the summaries alone: k + 1 different ids
+        do, of which one may be the query's own."""
+        if not self.close:
+            return
+        cell, ids, far = (np.array(x) for x in zip(*self.close, strict=True))
         dots = self.pivots @ self.pivots.T
         norm = np.sqrt(np.diag(dots))
         for c in np.flatnonzero(self.queries):
-            # q.x >= p.p' - reach |p'| - (|p| + reach) radius', whatever x of cell p' and q of cell p
-            low = dots[c] - self.reach[c] * norm - (norm[c] + self.reach[c]) * self.radius
-            order = np.argsort(-low, kind="stable")
-            have = np.cumsum(self.rows[order]) >= k + self.own  # the rows of the query's own id may be among them
-            if have.any():
-                bound = low[order[np.argmax(have)]]
-                self.floor[c] = bound - 1e-6 * (1 + abs(bound))
+            # q.x >= p.p' - reach |p'| - (|p| + reach) |x - p'|, for any q of cell p
+            low = dots[c][cell] - self.reach[c] * norm[cell] - (norm[c] + self.reach[c]) * far
+            seen: set[int] = set()
+            for i in np.argsort(-low, kind="stable"):
+                seen.add(int(ids[i]))
+                if len(seen) > k:
+                    self.floor[c] = low[i] - 1e-6 * (1 + abs(low[i]))
+                    break
 
     def wanted(self, x: np.ndarray) -> np.ndarray:
         """rows x cells: whether a row may be among the best of a query of the cell."""
@@ -85,17 +89,33 @@ def _nearest(x: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return cell, np.sqrt(np.maximum(((x - pivots[cell]) ** 2).sum(1), 0))
 
 
-def _summaries(rows: DataFrame, is_query: Column, dims: int, pivots: np.ndarray) -> Cells:
+def _summaries(rows: DataFrame, is_query: Column, dims: int, pivots: np.ndarray, k: int) -> Cells:
     def near(b: pa.RecordBatch) -> pa.RecordBatch:
         cell, far = _nearest(_matrix(b.column("x")), pivots)
         return pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), pa.array(far), b.column("is_query")], names=["cell", "far", "is_query"])
 
+    def close(b: pa.RecordBatch) -> pa.RecordBatch:
+        """The k + 1 ids of the batch that are nearest to each pivot."""
+        cell, far = _nearest(_matrix(b.column("x")), pivots)
+        ids = b.column("id").to_numpy()
+        order = np.lexsort((ids, far, cell))
+        taken: list[int] = []
+        seen: dict[int, set[int]] = {}
+        for i in order.tolist():
+            ids_of = seen.setdefault(int(cell[i]), set())
+            if len(ids_of) <= k and int(ids[i]) not in ids_of:
+                ids_of.add(int(ids[i]))
+                taken.append(i)
+        return pa.RecordBatch.from_arrays([pa.array(cell[taken], pa.int32()), pa.array(ids[taken]), pa.array(far[taken])], names=["cell", "id", "far"])
+
     cells = Cells(pivots)
     dealt = rows.select("x", is_query.alias("is_query")).mapInArrow(common.per_batch(near), "cell int, far double, is_query boolean")
     asked = F.col("is_query")
-    for r in dealt.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("far"), F.count_if(asked).alias("q"), F.max(F.when(asked, F.col("far"))).alias("reach")).collect():  # a row a pivot
-        cells.rows[r.cell], cells.radius[r.cell], cells.queries[r.cell], cells.reach[r.cell] = r.n, r.far, r.q, r.reach or 0.0
-    cells.own = rows.filter(is_query).groupBy("id").count().agg(F.max("count")).first()[0] or 1
+    for r in dealt.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.count_if(asked).alias("q"), F.max(F.when(asked, F.col("far"))).alias("reach")).collect():  # a row a pivot
+        cells.rows[r.cell], cells.queries[r.cell], cells.reach[r.cell] = r.n, r.q, r.reach or 0.0
+    some = rows.select("id", "x").mapInArrow(common.per_batch(close), "cell int, id long, far double").groupBy("cell", "id").agg(F.min("far").alias("far"))
+    first = F.row_number().over(Window.partitionBy("cell").orderBy("far", "id"))
+    cells.close = [(r.cell, r.id, r.far) for r in some.withColumn("n", first).filter(F.col("n") <= k + 1).collect()]  # k + 1 rows a pivot
     return cells
 
 
@@ -162,10 +182,10 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id",
     found = None
     for (dims,) in ready.select("dims").distinct().orderBy("dims").collect():
         same = ready.filter(F.col("dims") == dims)
-        sample = same.select("x").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toPandas()["x"]
+        sample = common.sampled(same, SAMPLE, "id").select("x").toPandas()["x"]
         matrix = np.unique(np.array(sample.tolist(), float).reshape(len(sample), dims), axis=0)
         chosen = np.random.default_rng(0).permutation(len(matrix))[:pivots]
-        cells = _summaries(same, is_query, dims, matrix[chosen])
+        cells = _summaries(same, is_query, dims, matrix[chosen], k)
         cells.settle(k)
         parts = np.maximum(1, -(-_needed(same, cells) // PART_ROWS))
         groups = np.maximum(1, -(-cells.queries // PART_QUERIES))

@@ -1,3 +1,5 @@
+import glob
+import gzip
 import hashlib
 import random
 import time
@@ -104,10 +106,19 @@ def test_warc_round_trip(spark):
         again = first != i
         want.append((i, len(body), hashlib.sha1(body).hexdigest(), "revisit" if again else "response", first if again else None, None if again else (h or "")))
     assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to, r.payload) for r in found), key=str) == sorted(want, key=str)
+    data = b"".join(open(f, "rb").read() for f in sorted(glob.glob(f"{path}/part-*")))
+    assert gzip.decompress(data).count(b"WARC/1.1\r\nWARC-Type") == len(rows)  # plain gzip, readable by anyone
     warc.write_archives(table.limit(0), f"{path}-empty")
     assert warc.read_archives(spark, f"{path}-empty").count() == 0
 
 
+def test_warc_records_of_many_megabytes():
+    record = warc._record(1, "u", "0" * 40, 40_000_000, "z" * 40_000_000, None, warc.DATE)
+    (head, block), *rest = warc.parse(warc._members(record) + warc._members(warc._record(2, None, "1" * 40, 1, "y", None, warc.DATE)))
+    assert head["X-Page-ID"] == "1" and block.endswith(b"zz") and len(block) > 40_000_000 and len(rest) == 1
+    assert all(warc._members(x)[-1] == 0 for x in (record, record[:1000]))
+
+
 def brute(rows, k):
     ok = [(i, np.floor(256 * np.array(v, float)).astype(int)) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []
@@ -142,7 +153,8 @@ def test_bounds_discard_what_is_far(spark):
     """Of well separated groups only the query's own is replicated to it."""
     pivots = np.array([[1000.0, 0], [0, 1000.0]])
     cells = knn_join.Cells(pivots)
-    cells.rows[:], cells.radius[:], cells.queries[:], cells.reach[:] = 50, 10.0, 5, 10.0
+    cells.rows[:], cells.queries[:], cells.reach[:] = 50, 5, 10.0
+    cells.close = [(c, 10 * c + i, 10.0) for c in (0, 1) for i in range(6)]
     cells.settle(5)
     wanted = cells.wanted(np.array([[1000.0, 5.0], [3.0, 990.0]]))
     assert wanted.tolist() == [[True, False], [False, True]]
