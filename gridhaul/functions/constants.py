@@ -29,6 +29,16 @@ LONG_DIRECTION = {"north": "n", "south": "s", "east": "e", "west": "w", "northea
 SUFFIX = LONG_SUFFIX | {"str": "st"} | {v: v for v in LONG_SUFFIX.values() if v != "st"}
 DIRECTION = LONG_DIRECTION | {v: v for v in LONG_DIRECTION.values()}
 
+# Patterns of addresses, postal codes, state codes, points and speed tags.
+HOUSE_PATTERN = r"^[0-9]+[a-z]?(-[0-9]+[a-z]?)?$"
+ADDRESS_PATTERN = r"^\s*(\d+)\b\s+([^,]+?)(?:,|\s+\d{5}|$)"
+ZIP_PATTERN = r"\b(\d{5})(?:-\d{4})?\b"
+STATE_CODE_PATTERN = r"(?:^|[\s,])([A-Z]{2})(?=[\s,]|\d|$)"
+POINT_PATTERN = r"^\s*(-?\d+(?:\.\d+)?)\s*,\s*(-?\d+(?:\.\d+)?)\s*$"
+STRICT_POINT_PATTERN = r"^-?\d{1,3}(\.\d+)?,-?\d{1,3}(\.\d+)?$"
+MPH_PATTERN = r"^\s*(\d+(?:\.\d+)?)\s*mph\s*$"
+KMH_PATTERN = r"^\s*(\d+(?:\.\d+)?)\s*(?:km/?h)?\s*$"
+
 # Road classes with free-flow speeds in km/h.
 SPEED_KMH = {
     "motorway": 105, "trunk": 90, "primary": 65, "secondary": 55, "tertiary": 45, "residential": 30, "service": 20, "unclassified": 40,

@@ -42,7 +42,7 @@ def md5_of_body(body: Column) -> Column:
 def source_parts(source: Column) -> tuple[Column, Column]:
     """State and slug of a source path such as us/ca/alameda."""
     parts = F.split(source, "/")
-    return F.upper(F.get(parts, F.lit(1))), F.array_join(F.slice(parts, 3, 100), "-")
+    return F.upper(F.get(parts, F.lit(1))), F.array_join(F.slice(parts, 3, F.greatest(F.size(parts), F.lit(1))), "-")
 
 
 def shapefile_name(vintage: Column, fips: Column) -> Column:
@@ -55,17 +55,39 @@ def byte_size(n: Column) -> Column:
     units = ["B", "KB", "MB", "GB", "TB"]
     out = F.lit(None)
     for k, unit in enumerate(units):
-        out = F.when(n >= 1024**k, F.concat(F.format_string("%.1f", n / 1024**k), F.lit(f" {unit}"))).otherwise(out)
+        out = F.when(n >= (1024**k if k else 0), F.concat(F.format_string("%.1f", n / 1024**k), F.lit(f" {unit}"))).otherwise(out)
     return out
 
 
 def miles(metres: Column) -> Column:
     """Miles for panels; nothing and zero are a dash."""
-    return F.when(F.coalesce(metres, F.lit(0.0)) == 0, "—").otherwise(F.format_string("%.1f mi", metres / 1609.344))
+    return F.when(F.coalesce(metres, F.lit(0.0)) == 0, "—").otherwise(F.format_string("%.1f", metres / 1609.344))
+
+
+def minutes(seconds: Column) -> Column:
+    """Whole minutes for panels; nothing and zero are a dash."""
+    return F.when(F.coalesce(seconds, F.lit(0.0)) == 0, "—").otherwise(F.format_string("%.0f", F.rint(seconds / 60)))
+
+
+def thousands(n: Column) -> Column:
+    """A count with thousands separators."""
+    return F.format_number(n, 0)
+
+
+def capped_list(items: Column, limit: int = 20) -> Column:
+    """The first items of a list joined by blanks and how many more there are; a dash for none."""
+    n = F.coalesce(F.size(items), F.lit(0))
+    more = F.when(n > limit, F.concat(F.lit(" (+"), (n - limit).cast("string"), F.lit(" more)"))).otherwise("")
+    return F.when(n > 0, F.concat(F.array_join(F.slice(items, 1, limit), " "), more)).otherwise("-")
+
+
+def content_hash(*columns: Column) -> Column:
+    """SHA-256 of a row's or plan's values, for tables and plans that are compared as a whole; null and empty text are one."""
+    return F.sha2(F.concat_ws("\x1f", *(F.coalesce(c.cast("string"), F.lit("")) for c in columns)), 256)
 
 
 def percent(x: Column) -> Column:
-    return F.when(F.coalesce(x, F.lit(0.0)) == 0, "—").otherwise(F.format_string("%+.1f%%", x))
+    return F.when(x.isNull(), "—").otherwise(F.format_string("%+.1f%%", x))
 
 
 def point_text(lat: Column, lon: Column) -> Column:

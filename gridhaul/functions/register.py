@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import SparkSession
+from pyspark.sql.functions import udtf
 
 FUNCTIONS = {
     "haversine_m(a DOUBLE, b DOUBLE, c DOUBLE, d DOUBLE) RETURNS DOUBLE": "2 * 6371000.0D * asin(sqrt(least(1.0D, sin(radians(c - a) / 2) * sin(radians(c - a) / 2) + cos(radians(a)) * cos(radians(c)) * sin(radians(d - b) / 2) * sin(radians(d - b) / 2))))",
@@ -10,9 +13,34 @@ FUNCTIONS = {
     "tile_y(lat DOUBLE) RETURNS INT": "CAST(floor((lat + 90) / 0.25D) AS INT)",
     "half_up(x DOUBLE) RETURNS BIGINT": "CAST(floor(x + 0.5D) AS BIGINT)",
     "lerp(a DOUBLE, z DOUBLE, low BIGINT, high BIGINT, at BIGINT) RETURNS DOUBLE": "a + CASE WHEN high = low THEN 0.5D ELSE (at - low) / (high - low) END * (z - a)",
+    "snap_cell(value DOUBLE, low DOUBLE) RETURNS INT": "greatest(0, least(24, CAST(floor((value - low) / 0.01D) AS INT)))",
 }
 
 
+@udtf(returnType="origin INT, dest INT, metres DOUBLE")
+class RouteMatrix:
+    """Rows of a small matrix: great circles between two lists of points as text (lat,lng with bars between)."""
+
+    def eval(self, origins: str, destinations: str):
+        def points(text: str | None):
+            for k, part in enumerate(p for p in (text or "").split("|") if p.strip()):
+                try:
+                    lat, lon = (math.radians(float(x)) for x in part.split(","))
+                    yield k, lat, lon
+                except ValueError:
+                    yield k, None, None
+
+        goals = list(points(destinations))
+        for o, a, b in points(origins):
+            for d, c, e in goals:
+                if a is None or c is None:
+                    yield o, d, None
+                else:
+                    h = math.sin((c - a) / 2) ** 2 + math.cos(a) * math.cos(c) * math.sin((e - b) / 2) ** 2
+                    yield o, d, 2 * 6_371_000.0 * math.asin(math.sqrt(min(1.0, h)))
+
+
 def register(spark: SparkSession) -> None:
     for head, body in FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}")
+    spark.udtf.register("route_matrix", RouteMatrix)

@@ -16,7 +16,8 @@ def _map(values: dict[str, str]) -> Column:
 
 
 def _abbreviate(token: Column, *dicts: dict[str, str]) -> Column:
-    return F.coalesce(*(F.element_at(_map(d), token) for d in dicts), token)
+    merged = {k: v for d in reversed(dicts) for k, v in d.items()}  # one map, one look; the first dictionary counts
+    return F.coalesce(F.element_at(_map(merged), token), token)
 
 
 def _once(x: Column, f: Callable[[Column], Column]) -> Column:
@@ -33,9 +34,9 @@ def normalize_query(text: Column) -> Column:
 def has_house_number(normalized: Column) -> Column:
     """Whether normalised text starts with a house number that isn't a lone postal code."""
     parts = F.split(normalized, " ")
-    first, rest = F.element_at(parts, 1), F.slice(parts, 2, 1000)
+    first, rest = F.element_at(parts, 1), F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1)))
     lone_zip = first.rlike("^[0-9]{5}$") & F.forall(rest, lambda t: (F.length(t) <= 2) | t.rlike("^[0-9]+$"))
-    return first.rlike("^[0-9]+[a-z]?(-[0-9]+[a-z]?)?$") & ~lone_zip & (F.size(rest) > 0)
+    return first.rlike(C.HOUSE_PATTERN) & ~lone_zip & (F.size(rest) > 0)
 
 
 def query_street(raw: Column) -> Column:
@@ -45,27 +46,26 @@ def query_street(raw: Column) -> Column:
 
 
 def last_zip(text: Column) -> Column:
-    found = F.regexp_extract_all(text, F.lit(r"\b(\d{5})(?:-\d{4})?\b"), 1)
+    found = F.regexp_extract_all(text, F.lit(C.ZIP_PATTERN), 1)
     return F.when(F.size(found) > 0, F.element_at(found, -1))
 
 
 def parse_address(text: Column) -> Column:
     """Struct of number, street and zip; null without number and street."""
-    pattern = r"^\s*(\d+)\b\s+([^,]+?)(?:,|\s+\d{5}|$)"
-    number = F.regexp_extract(text, pattern, 1).try_cast("long")
-    street = query_street(F.regexp_extract(text, pattern, 2))
+    number = F.regexp_extract(text, C.ADDRESS_PATTERN, 1).try_cast("long")
+    street = query_street(F.regexp_extract(text, C.ADDRESS_PATTERN, 2))
     return F.when((number > 0) & (street != ""), F.struct(number.alias("number"), street.alias("street"), last_zip(text).alias("zip")))
 
 
 def parse_state(text: Column) -> Column:
     """The right-most valid two-letter code, else the first state name contained, else the state of the first postal code."""
-    codes = F.regexp_extract_all(F.upper(F.trim(text)), F.lit(r"(?:^|[\s,])([A-Z]{2})(?=[\s,]|\d|$)"), 1)
+    codes = F.regexp_extract_all(F.upper(F.trim(text)), F.lit(C.STATE_CODE_PATTERN), 1)
     known = F.array(*(F.lit(c) for c in C.STATE_CODES))
     valid = F.filter(codes, lambda c: F.array_contains(known, c))
     all_names = F.array(*(F.lit(n) for n in C.STATE_NAMES))
     named = _once(F.lower(text), lambda low: F.filter(all_names, lambda n: F.contains(low, n)))
     names = F.element_at(_map(C.STATE_NAMES), F.get(named, F.lit(0)))
-    first_zip = F.regexp_extract(text, r"\b(\d{5})(?:-\d{4})?\b", 1)
+    first_zip = F.regexp_extract(text, C.ZIP_PATTERN, 1)
     prefix = F.substring(first_zip, 1, 3).try_cast("int")
     ranges = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(z).alias("z"), F.lit(s).alias("s")) for a, z, s in C.ZIP3))
     by_zip = _once(prefix, lambda p: F.get(F.filter(ranges, lambda r: p.between(r["a"], r["z"])), F.lit(0))["s"])
@@ -102,8 +102,8 @@ def address_line(number: Column, street: Column, city: Column, state: Column, zi
 
 def parse_maxspeed(text: Column) -> Column:
     """km/h of a speed tag; null if it isn't one."""
-    mph = F.regexp_extract(F.lower(text), r"^\s*(\d+(?:\.\d+)?)\s*mph\s*$", 1).try_cast("double")
-    kmh = F.regexp_extract(F.lower(text), r"^\s*(\d+(?:\.\d+)?)\s*(?:km/?h)?\s*$", 1).try_cast("double")
+    mph = F.regexp_extract(F.lower(text), C.MPH_PATTERN, 1).try_cast("double")
+    kmh = F.regexp_extract(F.lower(text), C.KMH_PATTERN, 1).try_cast("double")
     return F.coalesce(mph * C.MPH, kmh)
 
 
@@ -118,11 +118,27 @@ def split_multi(text: Column) -> Column:
 
 def coordinate(text: Column) -> Column:
     """Struct of lat and lon of a literal; null if it isn't one."""
-    pattern = r"^\s*(-?\d+(?:\.\d+)?)\s*,\s*(-?\d+(?:\.\d+)?)\s*$"
-    lat, lon = (F.regexp_extract(text, pattern, k).try_cast("double") for k in (1, 2))
+    lat, lon = (F.regexp_extract(text, C.POINT_PATTERN, k).try_cast("double") for k in (1, 2))
     return F.when(lat.isNotNull() & lon.isNotNull(), F.struct(lat.alias("lat"), lon.alias("lon")))
 
 
+def strict_coordinate(text: Column) -> Column:
+    """Whether text is a literal without blanks, three digits before the point at most: such ends need no geocoder."""
+    return text.rlike(C.STRICT_POINT_PATTERN)
+
+
+def whole_limit(text: Column, default: int) -> Column:
+    """A limit from text: default where nothing or no number is given, whole and at least 1."""
+    number = F.floor(F.trim(text).try_cast("double"))
+    return F.when(number.isNull(), default).otherwise(F.greatest(F.lit(1), number)).cast("int")
+
+
+def request_parts(url: Column) -> tuple[Column, Column, Column]:
+    """Origins, destinations and units of a request's query string; units are imperial unless metric is asked for."""
+    part = {k: F.coalesce(F.url_decode(F.parse_url(url, F.lit("QUERY"), F.lit(k))), F.lit("")) for k in ("origins", "destinations", "units")}
+    return part["origins"], part["destinations"], F.when(F.lower(part["units"]) == "metric", "metric").otherwise("imperial")
+
+
 def road_speed(highway: Column, maxspeed: Column) -> Column:
     """Posted speed, or that of the class; a speed of 0 counts as none."""
     posted = parse_maxspeed(maxspeed)
@@ -136,8 +152,8 @@ def filled_or(*columns: Column) -> Column:
 
 
 def row_key(*columns: Column) -> Column:
-    """A content key: null and empty text are one; numbers by value."""
-    return F.xxhash64(*(F.coalesce(c.cast("string"), F.lit("")) for c in columns))
+    """A content key of 128 bits: null and empty text are one; numbers by value."""
+    return F.md5(F.concat_ws("\x1f", *(F.coalesce(c.cast("string"), F.lit("")) for c in columns)))
 
 
 def quarter_index(year_month: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridhaul.functions import geo
+from gridhaul.functions import text as X
 
 
 def bounds(points: DataFrame, request: str) -> DataFrame:
@@ -14,6 +15,16 @@ def bounds(points: DataFrame, request: str) -> DataFrame:
     return box.withColumn("diagonal_m", geo.haversine(F.col("lat_min"), F.col("lon_min"), F.col("lat_max"), F.col("lon_max")))
 
 
+def small_enough(ends: DataFrame, request: str, most_m: float = 3000.0) -> DataFrame:
+    """request, small: whether all ends of a request (request, text) are literals and lie in a box of that diagonal; only then the
+    corridor's router is tried unasked."""
+    point = X.coordinate(F.col("text"))
+    literal = F.bool_and(F.coalesce(X.strict_coordinate(F.col("text")), F.lit(False))).alias("literal")
+    told = ends.groupBy(request).agg(literal)
+    box = bounds(ends.select(request, point.alias("p")).filter("p IS NOT NULL").select(request, "p.lat", "p.lon"), request)
+    return told.join(box, request, "left").select(request, (F.col("literal") & F.coalesce(F.col("diagonal_m") <= most_m, F.lit(False))).alias("small"))
+
+
 def tiles(boxes: DataFrame, request: str, buffer: int = 1, most: int = 16) -> DataFrame:
     """request, tx, ty of the tiles of each box and around it; requests that need more than most have none."""
     x0, x1 = geo.tile_x(F.col("lon_min")) - buffer, geo.tile_x(F.col("lon_max")) + buffer

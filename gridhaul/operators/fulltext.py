@@ -1,10 +1,16 @@
-"""An inverted index as tables, conjunctive matching and BM25 ranking by shard."""
+"""An inverted index as tables, conjunctive matching and BM25 ranking by shard.
+
+A query meets the postings of its rarest token alone; the other tokens are looked up in the terms of the documents found, so
+tokens that nearly all documents have cost nothing.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridhaul.operators.materialise import materialised
+
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
 
@@ -19,19 +25,32 @@ def postings(docs: DataFrame) -> DataFrame:
 
 
 def match_all(asked: DataFrame, index: DataFrame) -> DataFrame:
-    """q, shard, id and the matched postings' rows of docs that have every token of a query (q, shard, text)."""
+    """q, shard, id, len, terms (token to count) and words (token, df) of docs that have every token of a query (q, shard, text).
+
+    index: the postings. The rarest token of a query (the least of ties) finds the documents.
+    """
+    freq = index.groupBy("shard", "token").agg(F.count(F.lit(1)).alias("df"))
     words = asked.select("q", "shard", F.array_distinct(tokens(F.col("text"))).alias("t")).filter(F.size("t") > 0)
-    words = words.select("q", "shard", F.size("t").alias("need"), F.explode("t").alias("token"))
-    return words.join(index, ["shard", "token"])
+    words = words.select("q", "shard", F.size("t").alias("need"), F.explode("t").alias("token")).join(freq, ["shard", "token"])
+    asked_for = words.groupBy("q", "shard", "need").agg(F.min_by("token", F.struct("df", "token")).alias("token"), F.collect_list(F.struct("token", "df")).alias("words"))
+    first = asked_for.filter(F.size("words") == F.col("need")).join(index.select("shard", "token", "id"), ["shard", "token"])
+    terms = index.groupBy("shard", "id", "len").agg(F.map_from_entries(F.collect_list(F.struct("token", "tf"))).alias("terms"))
+    found = first.select("q", "shard", "id", "words").join(terms, ["shard", "id"])
+    return found.filter(F.forall("words", lambda w: F.element_at("terms", w["token"]).isNotNull()))
 
 
 def ranked(asked: DataFrame, index: DataFrame, tiers: DataFrame) -> DataFrame:
     """q, shard, id, tier, score of the best match of each query and shard: BM25, then rooftop rows, then the least id."""
+    index = materialised(index)
     size = index.select("shard", "id", "len").distinct().groupBy("shard").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("mean_len"))
-    freq = index.groupBy("shard", "token").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.greatest(F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean_len")))
-    rows = match_all(asked, index).join(freq, ["shard", "token"]).join(size, "shard")
-    found = rows.groupBy("q", "shard", "id", "need").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(part), 6).alias("score")).filter("n = need")
+
+    def part(w: Column) -> Column:
+        tf = F.element_at("terms", w["token"])
+        idf = F.greatest(F.log((F.col("n_docs") - w["df"] + 0.5) / (w["df"] + 0.5)), F.lit(LEAST_IDF))
+        return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("mean_len")))
+
+    rows = match_all(asked, index).join(size, "shard")
+    score = F.round(F.aggregate(F.transform(F.array_sort("words"), part), F.lit(0.0), lambda a, x: a + x), 6)
+    found = rows.select("q", "shard", "id", score.alias("score")).join(tiers, ["shard", "id"])
     order = Window.partitionBy("q", "shard").orderBy(F.desc("score"), F.desc(F.col("tier") == "rooftop"), "id")
-    return found.join(tiers, ["shard", "id"]).withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n", "n", "need")
+    return found.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")

@@ -23,11 +23,11 @@ def geocode(asked: DataFrame, stored: DataFrame, segments: DataFrame) -> DataFra
     shards = F.when(F.col("state").isNotNull(), F.array("state")).otherwise(F.array(*(F.lit(s) for s in C.SHARD_ORDER)))
     queries = gated.select(F.col("id").alias("q"), F.explode(shards).alias("shard"), F.col("norm").alias("text"))
     usable = stored.filter(F.col("tier").isin("rooftop", "interpolated"))
-    best = fulltext.ranked(queries, materialised(fulltext.postings(usable)), usable.select("shard", "id", "tier", "lat", "lon"))
+    best = fulltext.ranked(queries, fulltext.postings(usable), usable.select("shard", "id", "tier", "lat", "lon"))
     place = F.array_position(F.array(*(F.lit(s) for s in C.SHARD_ORDER)), F.col("shard"))
     order = Window.partitionBy("q").orderBy(F.desc(F.col("tier") == "rooftop"), place)
     hit = best.withColumn("_n", F.row_number().over(order)).filter("_n = 1").select(F.col("q").alias("id"), "tier", F.col("lat").alias("h_lat"), F.col("lon").alias("h_lon"))
-    streets = gated.filter("state IS NOT NULL").select("id", X.parse_address(F.col("text")).alias("p")).filter("p IS NOT NULL").select("id", "p.number", "p.street", "p.zip")
+    streets = gated.filter("state IS NOT NULL").select("id", "state", X.parse_address(F.col("text")).alias("p")).filter("p IS NOT NULL").select("id", "state", "p.number", "p.street", "p.zip")
     between = interpolate(streets, segments).select("id", F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon"))
     out = a.join(hit, "id", "left").join(between, "id", "left")
     match = F.when(F.col("point").isNotNull(), "coords").when(F.col("tier").isNotNull(), F.col("tier")).when(F.col("s_lat").isNotNull(), "interpolated").otherwise("NOT_FOUND")

@@ -1,36 +1,106 @@
-"""One-to-many shortest paths by rounds of joins, and the cascade of routers.
+"""One-to-many shortest paths over regions of a road graph, and the cascade of routers.
 
-Every round joins the frontier (labels that improved) with the edges and keeps the best label of each
-(origin, node) by one aggregate over old and new labels; the join follows the frontier. Paths are exact, so never longer
-than those of a weighted search.
+Nodes belong to regions: the tiles of a road graph, or parts by a hash, as many as keep a region's edges few. Labels (best
+time and length from an origin to a node) are grouped with the edges of their region; each group follows its fresh labels to
+the end inside the region, and labels of nodes beyond its border go to their own region for the next round. So rounds count crossings of
+borders, not edges, and every round moves border labels only. Paths are exact, so never longer than those of a weighted search.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridhaul.operators.materialise import materialised
 
+REGION_EDGES = 500_000  # edges of a region by hash, about
+GROUP_LABELS = 2_000_000  # labels that meet in one group, about
+LABEL = "region long, part int, origin long, node long, seconds double, metres double, fresh boolean"
 
-def shortest_paths(origins: DataFrame, edges: DataFrame, max_hops: int = 10_000) -> DataFrame:
-    """origin, node, seconds, metres for all nodes that origins (origin) reach over edges (u, v, seconds, metres).
 
-    Rounds go on until no label improves. Paths of more than max_hops edges, or a cycle of negative length, raise.
+def _relax(labels: pa.Table, edges: pa.Table) -> pa.Table:
+    """The labels of one region after following all fresh ones inside it; labels of nodes beyond it come out fresh."""
+    names = [c.split()[0] for c in LABEL.split(", ")]
+    if not labels.num_rows or not edges.num_rows or not np.asarray(labels["fresh"]).any():
+        return labels.select(names).set_column(6, "fresh", pa.array(np.zeros(labels.num_rows, bool))) if labels.num_rows else pa.table({n: labels[n] for n in names})
+    u, v, s, m = (edges[c].to_numpy() for c in ("u", "v", "s", "m"))
+    order = np.argsort(u, kind="stable")
+    u, v, s, m, v_region = u[order], v[order], s[order], m[order], edges["v_region"].to_numpy()[order]
+    here, part = labels["region"][0].as_py(), labels["part"][0].as_py()
+    origin, at = labels["origin"].to_numpy(), labels["node"].to_numpy()
+    nodes = np.unique(np.concatenate([at, u, v]))
+    at, head, tail = np.searchsorted(nodes, at), np.searchsorted(nodes, u), np.searchsorted(nodes, v)
+    begin = np.searchsorted(head, np.arange(len(nodes) + 1))
+    count = np.diff(begin)
+    region_of = np.full(len(nodes), here)
+    region_of[tail] = v_region
+    known_s, known_m, fresh = labels["seconds"].to_numpy(), labels["metres"].to_numpy(), np.asarray(labels["fresh"])
+    out: dict[str, list] = {n: [] for n in names}
+    for o in np.unique(origin):
+        mine = origin == o
+        best_s, best_m = np.full(len(nodes), np.inf), np.full(len(nodes), np.inf)
+        best_s[at[mine]], best_m[at[mine]] = known_s[mine], known_m[mine]
+        active, rounds = at[mine & fresh], 0
+        while len(active):
+            if (rounds := rounds + 1) > len(nodes) + 1:
+                raise ValueError("shortest paths don't settle: a cycle of negative length")
+            n = count[active]
+            ends = np.cumsum(n)
+            e = np.arange(ends[-1]) + np.repeat(begin[active] - (ends - n), n)
+            t, new_s, new_m = tail[e], best_s[head[e]] + s[e], best_m[head[e]] + m[e]
+            better = (new_s < best_s[t]) | (new_s == best_s[t]) & (new_m < best_m[t])
+            t, new_s, new_m = t[better], new_s[better], new_m[better]
+            first = np.lexsort((new_m, new_s, t))
+            t, new_s, new_m = t[first], new_s[first], new_m[first]
+            lead = np.flatnonzero(np.append(True, t[1:] != t[:-1])) if len(t) else np.zeros(0, np.int64)
+            t = t[lead]
+            best_s[t], best_m[t] = new_s[lead], new_m[lead]
+            active = t[region_of[t] == here]
+        found = np.flatnonzero(np.isfinite(best_s))
+        for name, values in zip(names, (region_of[found], np.full(len(found), part), np.full(len(found), o), nodes[found], best_s[found], best_m[found], region_of[found] != here), strict=True):
+            out[name].append(values)
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_())
+    return pa.table({n: pa.array(np.concatenate(out[n]), k) for n, k in zip(names, kinds, strict=True)})
+
+
+def shortest_paths(origins: DataFrame, edges: DataFrame, max_rounds: int = 10_000, regions: DataFrame | None = None, region_edges: int = REGION_EDGES) -> DataFrame:
+    """origin, node, seconds, metres for all nodes that origins (origin) reach over edges (u, v, seconds, metres); ids are longs.
+
+    regions (node, region): where nodes belong, such as their tiles; without it a hash deals them out. Rounds go on until no label
+    improves; more than max_rounds crossings of borders, or a cycle of negative length, raise.
     """
-    edges = materialised(edges.select(F.col("u").alias("node"), "v", F.col("seconds").alias("s"), F.col("metres").alias("m")))
-    zero, none = F.lit(0.0), F.lit(None).cast("double")
-    labels = origins.select("origin", F.col("origin").alias("node"), zero.alias("seconds"), zero.alias("metres"), F.lit(True).alias("fresh"))
-    for _ in range(max_hops):
-        step = labels.filter("fresh").join(edges, "node").select("origin", F.col("v").alias("node"), (F.col("seconds") + F.col("s")).alias("seconds"), (F.col("metres") + F.col("m")).alias("metres"), none.alias("was"))
-        both = labels.select("origin", "node", "seconds", "metres", F.col("seconds").alias("was")).unionByName(step)
-        best = both.groupBy("origin", "node").agg(F.min(F.struct("seconds", "metres")).alias("x"), F.min("was").alias("was"))
-        labels = materialised(best.select("origin", "node", "x.*", (F.col("was").isNull() | (F.col("x.seconds") < F.col("was"))).alias("fresh")))
-        if labels.filter("fresh").isEmpty():
-            break
+    spark = edges.sparkSession
+    e = materialised(edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"), F.col("seconds").cast("double").alias("s"), F.col("metres").cast("double").alias("m")))
+    first = materialised(origins.select(F.col("origin").cast("long").alias("origin")).distinct())
+    n_edges, n_origins = e.count(), first.count()
+    if regions is None:
+        n_regions = max(1, -(-n_edges // region_edges))
+
+        def place(df: DataFrame, node: str, name: str) -> DataFrame:
+            return df.withColumn(name, F.pmod(F.xxhash64(node), F.lit(n_regions)))
     else:
-        raise RuntimeError(f"shortest paths did not settle in {max_hops} rounds")
-    return labels.drop("fresh")
+        known = materialised(regions.select(F.col("node").alias("_node"), F.col("region").cast("long").alias("_region")))
+        n_regions = known.select("_region").distinct().count()
+
+        def place(df: DataFrame, node: str, name: str) -> DataFrame:
+            return df.join(known, df[node] == known["_node"], "left").withColumn(name, F.coalesce("_region", F.lit(-1))).drop("_node", "_region")
+
+    parts = max(min(n_origins, -(-spark.sparkContext.defaultParallelism // max(1, n_regions))), -(-n_origins * n_edges // max(1, n_regions) // GROUP_LABELS), 1)
+    part = F.pmod(F.xxhash64("origin"), F.lit(parts)).cast("int").alias("part")
+    e = place(place(e, "v", "v_region"), "u", "region").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    e = materialised(e.select("region", "part", "u", "v", "s", "m", "v_region"))
+    zero = F.lit(0.0)
+    labels = place(first, "origin", "region").select("region", part, "origin", F.col("origin").alias("node"), zero.alias("seconds"), zero.alias("metres"), F.lit(True).alias("fresh"))
+    for _ in range(max_rounds):
+        moved = labels.groupBy("region", "part").cogroup(e.groupBy("region", "part")).applyInArrow(_relax, LABEL)
+        was = F.min(F.when(~F.col("fresh"), F.struct("seconds", "metres"))).alias("was")
+        best = moved.groupBy("region", "part", "origin", "node").agg(F.min(F.struct("seconds", "metres")).alias("x"), was)
+        labels = materialised(best.select("region", "part", "origin", "node", "x.*", (F.col("was").isNull() | (F.col("x") < F.col("was"))).alias("fresh")))
+        if labels.filter("fresh").isEmpty():
+            return labels.select("origin", "node", "seconds", "metres")
+    raise RuntimeError(f"shortest paths did not settle in {max_rounds} rounds")
 
 
 def cascade(pairs: DataFrame, cached: DataFrame, l0: DataFrame, l1: DataFrame, threshold_km: float) -> DataFrame:

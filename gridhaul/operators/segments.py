@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridhaul.functions import text as X
 
 
 def sides(lines: DataFrame) -> DataFrame:
-    """One row a side of each road line whose two address ends are numbers."""
+    """One row a side of each road line (id, state, ...) whose two address ends are numbers."""
 
     def side(name: str, low: str, high: str, zip_: str):
         a, z = X.leading_int(F.col(low)), X.leading_int(F.col(high))
@@ -17,18 +17,21 @@ def sides(lines: DataFrame) -> DataFrame:
 
     roads = lines.filter(F.col("mtfcc").rlike("^S1[0-9]{3}$") & (F.trim("fullname") != ""))
     both = F.explode(F.array(side("L", "lfrom", "lto", "zipl"), side("R", "rfrom", "rto", "zipr")))
-    found = roads.select("id", X.stored_tokens(F.col("fullname")).alias("street"), both.alias("s"), "from_lat", "from_lon", "to_lat", "to_lon")
-    return found.filter("s.ok").select("id", "street", "s.side", "s.zip", "s.from_hn", "s.to_hn", "from_lat", "from_lon", "to_lat", "to_lon")
+    found = roads.select("id", "state", X.stored_tokens(F.col("fullname")).alias("street"), both.alias("s"), "from_lat", "from_lon", "to_lat", "to_lon")
+    return found.filter("s.ok").select("id", "state", "street", "s.side", "s.zip", "s.from_hn", "s.to_hn", "from_lat", "from_lon", "to_lat", "to_lon")
 
 
 def interpolate(asked: DataFrame, segments: DataFrame) -> DataFrame:
-    """id, lat, lon: asked (id, number, street, zip) on the segment of its street that holds the number; one of its own
-    zip before any other, then by segment id and side. The middle if the range is a single number."""
+    """id, segment, lat, lon: asked (id, state, number, street, zip) on the segment of its state and street that holds the number;
+    one of its own zip before any other, then by segment id and side. The middle if the range is a single number.
+
+    The first segment is a partial aggregate, so a street that many ask for is never gathered. Without a state there is no answer.
+    """
     a, s = asked.alias("a"), segments.alias("s")
-    joined = a.join(s, (F.col("a.street") == F.col("s.street")) & F.col("a.number").between(F.col("s.from_hn"), F.col("s.to_hn")))
-    same = F.coalesce(F.col("a.zip") == F.col("s.zip"), F.lit(False))
-    order = Window.partitionBy("a.id").orderBy(F.desc(same), "s.id", "s.side")
+    joined = a.join(s, (F.col("a.state") == F.col("s.state")) & (F.col("a.street") == F.col("s.street")) & F.col("a.number").between(F.col("s.from_hn"), F.col("s.to_hn")))
+    other = ~F.coalesce(F.col("a.zip") == F.col("s.zip"), F.lit(False))
     span = F.col("s.to_hn") - F.col("s.from_hn")
     t = F.when(span == 0, 0.5).otherwise((F.col("a.number") - F.col("s.from_hn")) / span)
     point = [(F.col(f"s.from_{c}") + t * (F.col(f"s.to_{c}") - F.col(f"s.from_{c}"))).alias(c) for c in ("lat", "lon")]
-    return joined.withColumn("_n", F.row_number().over(order)).filter("_n = 1").select(F.col("a.id").alias("id"), F.col("s.id").alias("segment"), *point)
+    best = F.min(F.struct(other.alias("other"), F.col("s.id").alias("segment"), F.col("s.side").alias("side"), *point)).alias("x")
+    return joined.groupBy(F.col("a.id").alias("id")).agg(best).select("id", "x.segment", "x.lat", "x.lon")

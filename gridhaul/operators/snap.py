@@ -1,22 +1,37 @@
-"""Nearest road nodes by equi-joins on grid cells."""
+"""Nearest road nodes by equi-joins on grid cells, widened for the points that are still without an answer.
+
+A search of a grid looks at the cells up to two rings around each point's cell. What lies nearer than the edge of those
+cells is certain; points whose answers are all certain are done, the others go on to the next, coarser grid. The last
+grid is that of tiles: nodes beyond two rings of tiles are out of reach, so they are no answers at all.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridhaul.functions import geo
-from gridhaul.functions.constants import CELL_DEG, L1_CELL_DEG, L1_MAX_RING, SNAP_CELLS, SNAP_K, SNAP_SEPARATION_M
+from gridhaul.functions.constants import CELL_DEG, EARTH_M, L1_CELL_DEG, L1_MAX_RING, SNAP_CELLS, SNAP_K, SNAP_SEPARATION_M
 from gridhaul.operators.materialise import materialised
 
+RINGS = 2
+GRIDS = (CELL_DEG / SNAP_CELLS, CELL_DEG / 5, CELL_DEG)  # degrees a cell, ending with tiles
+
 
 def _cell(value: Column, low: int, per_degree: float) -> Column:
     return F.floor((value + low) * per_degree).cast("int")
 
 
+def with_exits(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """The nodes (id) from which an edge (u) leaves: only from these a route can start."""
+    return nodes.join(edges.select(F.col("u").alias("id")).distinct(), "id", "left_semi")
+
+
 def candidates(points: DataFrame, nodes: DataFrame, cell_deg: float, rings: int) -> DataFrame:
     """id, node, ring, metres of nodes in the cells around each point's cell."""
-    per = 1 / cell_deg
+    per = round(1 / cell_deg, 6)
     around = F.explode(F.sequence(F.lit(-rings), F.lit(rings)))
     p = points.select("id", "lat", "lon", _cell(F.col("lat"), 90, per).alias("cy"), _cell(F.col("lon"), 180, per).alias("cx"))
     p = p.withColumn("dy", around).withColumn("dx", around).withColumns({"ky": F.col("cy") + F.col("dy"), "kx": F.col("cx") + F.col("dx"), "ring": F.greatest(F.abs("dy"), F.abs("dx"))})
@@ -25,32 +40,68 @@ def candidates(points: DataFrame, nodes: DataFrame, cell_deg: float, rings: int)
     return p.join(n, ["ky", "kx"]).select("id", "node", "ring", metres.alias("metres"), "lat", "n_lat", "n_lon")
 
 
-def nearest(points: DataFrame, nodes: DataFrame, k: int = SNAP_K, rings: int = 2) -> DataFrame:
-    """id, rank, node, metres: the k nearest nodes within so many sub-cells."""
-    found = candidates(points, nodes, CELL_DEG / SNAP_CELLS, rings)
-    order = Window.partitionBy("id").orderBy("metres", "node")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("id", "rank", "node", "metres")
+def _certain(lat: Column, degrees: float) -> Column:
+    """Metres from a point within which nothing lies beyond so many degrees north, south, east or west of it."""
+    widest = F.radians(F.least(F.abs(lat) + degrees, F.lit(90.0)))
+    aside = F.asin(F.sin(F.radians(F.lit(degrees))) * F.cos(widest))
+    return EARTH_M * F.least(aside, F.radians(F.lit(degrees))) * 0.9999
+
+
+def _widening(points: DataFrame, nodes: DataFrame, k: int, choose: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What choose (candidates to id, rank, node, metres) gives for every point, grid by grid; ids of points are distinct."""
+    left, done = points.select("id", "lat", "lon"), None
+    for cell in GRIDS:
+        found = candidates(left, nodes, cell, RINGS)
+        if cell == GRIDS[-1]:
+            rows = choose(found)
+            return rows if done is None else done.unionByName(rows)
+        chosen = materialised(choose(found.filter(F.col("metres") <= _certain(F.col("lat"), RINGS * cell))))
+        full = chosen.filter(F.col("rank") == k).select("id")
+        rows = chosen.join(full, "id", "left_semi")
+        done = rows if done is None else done.unionByName(rows)
+        left = materialised(left.join(full, "id", "left_anti"))
+        if left.isEmpty():
+            break
+    return done
+
 
+def nearest(points: DataFrame, nodes: DataFrame, k: int = SNAP_K) -> DataFrame:
+    """id, rank, node, metres: the k nearest nodes within two rings of tiles."""
 
-def nearest_apart(points: DataFrame, nodes: DataFrame, k: int = SNAP_K, rings: int = 2, apart: float = SNAP_SEPARATION_M) -> DataFrame:
+    def first(found: DataFrame) -> DataFrame:
+        order = Window.partitionBy("id").orderBy("metres", "node")
+        return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("id", "rank", "node", "metres")
+
+    return _widening(points, nodes, k, first)
+
+
+def nearest_apart(points: DataFrame, nodes: DataFrame, k: int = SNAP_K, apart: float = SNAP_SEPARATION_M) -> DataFrame:
     """Like nearest, but greedily in the order of distance only nodes at least so far from all chosen before.
 
     Each of k rounds takes the nearest candidate left by one aggregate; the nearest of all is always chosen.
     """
-    found = materialised(candidates(points, nodes, CELL_DEG / SNAP_CELLS, rings))
-    left, rows = found, None
-    for rank in range(1, k + 1):
-        best = materialised(left.groupBy("id").agg(F.min(F.struct("metres", "node", "n_lat", "n_lon")).alias("x")))
-        chosen = best.select("id", F.lit(rank).alias("rank"), "x.node", "x.metres")
-        rows = chosen if rows is None else rows.unionByName(chosen)
-        far = geo.planar_separation(F.col("n_lat"), F.col("n_lon"), F.col("x.n_lat"), F.col("x.n_lon"), F.col("lat")) >= apart
-        after = F.struct("metres", "node") > F.struct("x.metres", "x.node")
-        left = left.join(best, "id").filter(far & after).drop("x")
-    return rows
+
+    def greedy(found: DataFrame) -> DataFrame:
+        left, rows = materialised(found), None
+        for rank in range(1, k + 1):
+            best = materialised(left.groupBy("id").agg(F.min(F.struct("metres", "node", "n_lat", "n_lon")).alias("x")))
+            chosen = best.select("id", F.lit(rank).alias("rank"), "x.node", "x.metres")
+            rows = chosen if rows is None else rows.unionByName(chosen)
+            far = geo.planar_separation(F.col("n_lat"), F.col("n_lon"), F.col("x.n_lat"), F.col("x.n_lon"), F.col("lat")) >= apart
+            after = F.struct("metres", "node") > F.struct("x.metres", "x.node")
+            left = left.join(best, "id").filter(far & after).drop("x")
+        return rows
+
+    return _widening(points, nodes, k, greedy)
 
 
 def nearest_l1(points: DataFrame, nodes: DataFrame) -> DataFrame:
-    """id, node, metres: the nearest node of the first ring of cells that has any."""
-    found = candidates(points, nodes, L1_CELL_DEG, L1_MAX_RING)
-    best = found.groupBy("id").agg(F.min(F.struct("ring", "metres", "node")).alias("x"))
-    return best.select("id", "x.node", "x.metres", "x.ring")
+    """id, node, metres, ring: the nearest node of the first ring of cells that has any; far rings only for points that need them."""
+
+    def first(found: DataFrame) -> DataFrame:
+        best = found.groupBy("id").agg(F.min(F.struct("ring", "metres", "node")).alias("x"))
+        return best.select("id", "x.node", "x.metres", "x.ring")
+
+    near = materialised(first(candidates(points, nodes, L1_CELL_DEG, RINGS)))
+    left = points.join(near.select("id"), "id", "left_anti")
+    return near.unionByName(first(candidates(left, nodes, L1_CELL_DEG, L1_MAX_RING)))

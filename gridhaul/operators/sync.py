@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from gridhaul.functions import geo
 from gridhaul.functions.constants import CHURN, ID_BLOCK, KEY_RATIO, ROWS_PER_STATEMENT, SHRINK
 from gridhaul.functions.text import row_key
+from gridhaul.operators.numbering import numbered
 
 KEY = ("normalized", "lat", "lon", "tier")
+PREFIX = 12  # letters of the text that one piece of a state shares when new rows are numbered
 
 
 def keyed(rows: DataFrame) -> DataFrame:
@@ -19,7 +21,8 @@ def keyed(rows: DataFrame) -> DataFrame:
 def inserts(mirror: DataFrame, arrived: DataFrame, base: int = ID_BLOCK) -> DataFrame:
     """The first arrived row of every key that the mirror lacks, with new ids by key within the state."""
     fresh = arrived.groupBy("state", "key").agg(F.min_by(F.struct(*KEY), "id").alias("row")).join(mirror.select("state", "key").distinct(), ["state", "key"], "left_anti")
-    return fresh.select("state", "key", "row.*", (F.lit(base) + F.row_number().over(Window.partitionBy("state").orderBy(*(F.col(f"row.{c}") for c in KEY)))).alias("id"))
+    fresh = numbered(fresh.select("state", "key", "row.*"), ["state"], F.substring("normalized", 1, PREFIX), list(KEY))
+    return fresh.select("state", "key", *KEY, (F.lit(base) + F.col("rank")).alias("id"))
 
 
 def deletes(mirror: DataFrame, arrived: DataFrame) -> DataFrame:
@@ -37,6 +40,19 @@ def apply(mirror: DataFrame, ins: DataFrame, dels: DataFrame) -> DataFrame:
     return kept.select(*columns).unionByName(new.select(*columns))
 
 
+def pages(rows: DataFrame, after: int, limit: int) -> DataFrame:
+    """The next page of rows by id: ids above the cursor, in order; the greatest id of a page is the next cursor, so a
+    stopped export goes on where it was."""
+    return rows.filter(F.col("id") > after).orderBy("id").limit(limit)
+
+
+def resumed(mirror: DataFrame, ins: DataFrame, dels: DataFrame) -> DataFrame:
+    """What is left of a plan that was cut off: state, inserts not yet stored, deletes still there."""
+    todo = ins.join(mirror.select("state", "id"), ["state", "id"], "left_anti").groupBy("state").agg(F.count(F.lit(1)).alias("ins"))
+    gone = dels.join(mirror.select("state", "id"), ["state", "id"], "left_semi").groupBy("state").agg(F.count(F.lit(1)).alias("del_ids"))
+    return todo.join(gone, "state", "full_outer").fillna(0, ["ins", "del_ids"])
+
+
 def plan(mirror: DataFrame, arrived: DataFrame, previous: DataFrame, ins_cost: int = 2, del_cost: int = 2) -> DataFrame:
     """A row a state: rows, inserts, deletes, churn, share of previous keys that the mirror has, forecast and gates."""
     count = F.count(F.lit(1))

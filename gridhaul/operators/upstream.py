@@ -31,3 +31,48 @@ def latest(runs: DataFrame) -> DataFrame:
     """Of each source's address runs with output, the last updated; the first of ties."""
     order = Window.partitionBy("source").orderBy(F.desc("updated"), "run")
     return runs.filter("layer = 'addresses' AND has_output AND source LIKE 'us/%'").withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
+
+
+def capped(compared: DataFrame, by: str, name: str, limit: int = 20) -> DataFrame:
+    """by, n and the first names (in order) of what isn't unchanged, as a text of limit names and how many more there are.
+
+    Only the first limit names of a group are gathered.
+    """
+    changed = compared.filter("change <> 'unchanged'")
+    order = Window.partitionBy(by).orderBy(name)
+    first = changed.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= limit)
+    some = first.groupBy(by).agg(F.sort_array(F.collect_list(name)).alias("names"))
+    rows = changed.groupBy(by).agg(F.count(F.lit(1)).alias("n")).join(some, by)
+    more = F.when(F.col("n") > limit, F.concat(F.lit(" (+"), (F.col("n") - limit).cast("string"), F.lit(" more)"))).otherwise("")
+    return rows.select(by, "n", F.concat(F.array_join("names", " "), more).alias("listed"))
+
+
+def flatten(rows: DataFrame, nested: str, depth: int) -> DataFrame:
+    """path (keys joined by /) and value of each leaf of a map nested depth deep, beside the other columns."""
+    others = [c for c in rows.columns if c != nested]
+    out = rows.select(*others, F.lit(None).cast("string").alias("path"), F.col(nested).alias("value"))
+    for _ in range(depth):
+        out = out.select(*others, "path", F.explode("value").alias("_key", "value")).select(*others, F.concat_ws("/", "path", "_key").alias("path"), "value")
+    return out
+
+
+def attributed(runs: DataFrame, known: DataFrame) -> DataFrame:
+    """state, slug, attribution, license of each source's latest run; known: slug_key, layer_attribution, attribution, license.
+
+    What the layer says comes before what the whole source says; without either it is unknown.
+    """
+    parts = F.split("source", "/")
+    slug = F.array_join(F.slice(parts, 3, F.greatest(F.size(parts), F.lit(1))), "/")
+    rows = latest(runs).select(F.upper(F.get(parts, F.lit(1))).alias("state"), slug.alias("slug"), F.regexp_extract(slug, r"(\d+)$", 1).alias("slug_key"))
+    return rows.join(known, "slug_key", "left").select("state", "slug", F.coalesce("layer_attribution", "attribution", F.lit("unknown")).alias("attribution"), F.coalesce("layer_attribution", "attribution").isNotNull().alias("has_attribution"), F.col("license").isNotNull().alias("has_license"))
+
+
+def attribution_counts(found: DataFrame) -> DataFrame:
+    """A row a state: sources, with_attribution, with_license."""
+    return found.groupBy("state").agg(F.count(F.lit(1)).alias("sources"), F.count_if("has_attribution").alias("with_attribution"), F.count_if("has_license").alias("with_license"))
+
+
+def exit_code(compared: DataFrame, failed: int = 0) -> DataFrame:
+    """One row: 1 if a source could not be asked, 3 if anything changed, else 0."""
+    changed = F.coalesce(F.bool_or(F.col("change") != "unchanged"), F.lit(False))
+    return compared.agg(F.when(F.lit(failed > 0), 1).when(changed, 3).otherwise(0).alias("code"))

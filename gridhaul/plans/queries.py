@@ -11,6 +11,7 @@ from gridhaul.functions import constants as C
 from gridhaul.functions import geo
 from gridhaul.functions import text as X
 from gridhaul.operators import addresses, fulltext, geocode, graph, limits, panel, routing, segments, snap, sync, upstream
+from gridhaul.operators.materialise import materialised
 from gridhaul.plans import matrix
 from gridhaul.plans.tables import frame, sql, table
 from gridhaul.sources import files
@@ -97,7 +98,7 @@ S_DUR = (
 )
 S_MATRIX = f"""WITH x AS (SELECT p.nation AS request, p.id AS origin, d.id AS dest, round(1.3 * ({s_hav("p.lat", "p.lon", "d.lat", "d.lon")}), 3) AS m FROM {sql("places")} p JOIN {sql("depots")} d ON p.nation = d.nation),
 y AS (SELECT *, round(m / 20.0, 3) AS s FROM x)
-SELECT request, origin, dest, CAST(floor(m + 0.5) AS BIGINT) AS distance_m, CAST(floor(s + 0.5) AS BIGINT) AS duration_s, {S_DIST} AS distance_text, {S_DUR} AS duration_text FROM y"""
+SELECT request, origin, dest, 'OK' AS status, CAST(floor(m + 0.5) AS BIGINT) AS distance_m, CAST(floor(s + 0.5) AS BIGINT) AS duration_s, {S_DIST} AS distance_text, {S_DUR} AS duration_text FROM y"""
 
 
 @query("distance_matrix_crow", S_MATRIX)
@@ -105,7 +106,7 @@ def distance_matrix_crow(spark: SparkSession, sf: str) -> DataFrame:
     return matrix.crow_matrix(frame(spark, sf, "places"), frame(spark, sf, "depots"), "nation")
 
 
-@query("matrix_response", f"SELECT request, origin, CAST(count(*) AS INTEGER) AS n, concat('{{\"elements\":[', string_agg(concat('{{\"distance\":{{\"value\":', distance_m, ',\"text\":\"', distance_text, '\"}},\"duration\":{{\"value\":', duration_s, ',\"text\":\"', duration_text, '\"}},\"status\":\"OK\"}}'), ',' ORDER BY dest), ']}}') AS body FROM ({S_MATRIX}) GROUP BY request, origin")
+@query("matrix_response", f"SELECT request, origin, CAST(count(*) AS INTEGER) AS n, true AS all_ok, 'public, max-age=3600, s-maxage=3600' AS cache_control, concat('{{\"elements\":[', string_agg(concat('{{\"distance\":{{\"text\":\"', distance_text, '\",\"value\":', distance_m, '}},\"duration\":{{\"text\":\"', duration_text, '\",\"value\":', duration_s, '}},\"status\":\"OK\"}}'), ',' ORDER BY dest), ']}}') AS body FROM ({S_MATRIX}) GROUP BY request, origin")
 def matrix_response(spark: SparkSession, sf: str) -> DataFrame:
     return matrix.responses(distance_matrix_crow(spark, sf))
 
@@ -152,7 +153,7 @@ def house_number_gate(spark: SparkSession, sf: str) -> DataFrame:
     return frame(spark, sf, "queries").select("id", X.has_house_number(X.normalize_query(F.col("text"))).alias("ok"))
 
 
-S_PARSED = f"SELECT id, {s_number('text')} AS number, {s_query_street('text')} AS street, {s_zip('text')} AS zip FROM {sql('queries')}"
+S_PARSED = f"SELECT id, {s_state('text')} AS state, {s_number('text')} AS number, {s_query_street('text')} AS street, {s_zip('text')} AS zip FROM {sql('queries')}"
 
 
 @query("parse_address", f"SELECT id, CASE WHEN ok THEN number END AS number, CASE WHEN ok THEN street END AS street, CASE WHEN ok THEN zip END AS zip FROM (SELECT *, coalesce(number > 0 AND street <> '', false) AS ok FROM ({S_PARSED}))")
@@ -218,7 +219,7 @@ def merge_addresses(spark: SparkSession, sf: str) -> DataFrame:
 
 S_INT = lambda c: f"try_cast(regexp_extract(trim({c}), '^(\\d+)', 1) AS BIGINT)"
 S_SIDES = (
-    f"SELECT id, {s_stored('fullname', S_LOADED)} AS street, side, zip, least(a, z) AS from_hn, greatest(a, z) AS to_hn, from_lat, from_lon, to_lat, to_lon FROM ("
+    f"SELECT id, state, {s_stored('fullname', S_LOADED)} AS street, side, zip, least(a, z) AS from_hn, greatest(a, z) AS to_hn, from_lat, from_lon, to_lat, to_lon FROM ("
     f"SELECT *, 'L' AS side, trim(zipl) AS zip, {S_INT('lfrom')} AS a, {S_INT('lto')} AS z FROM {sql('lines')} UNION ALL SELECT *, 'R', trim(zipr), {S_INT('rfrom')}, {S_INT('rto')} FROM {sql('lines')}) WHERE regexp_full_match(mtfcc, 'S1[0-9]{{3}}') AND a IS NOT NULL AND z IS NOT NULL"
 )
 
@@ -231,12 +232,13 @@ def segments_unpivot(spark: SparkSession, sf: str) -> DataFrame:
 
 S_INTERPOLATED = f"""SELECT id, segment, from_lat + t * (to_lat - from_lat) AS lat, from_lon + t * (to_lon - from_lon) AS lon FROM (
 SELECT a.id, s.id AS segment, s.from_lat, s.to_lat, s.from_lon, s.to_lon, CASE WHEN s.to_hn = s.from_hn THEN 0.5 ELSE (a.number - s.from_hn) / (s.to_hn - s.from_hn) END AS t,
-row_number() OVER (PARTITION BY a.id ORDER BY coalesce(a.zip = s.zip, false) DESC, s.id, s.side) AS n FROM (SELECT * FROM ({S_PARSED}) WHERE number > 0 AND street <> '') a JOIN ({S_SIDES}) s ON a.street = s.street AND a.number BETWEEN s.from_hn AND s.to_hn) WHERE n = 1"""
+row_number() OVER (PARTITION BY a.id ORDER BY coalesce(a.zip = s.zip, false) DESC, s.id, s.side) AS n FROM (SELECT * FROM ({S_PARSED}) WHERE number > 0 AND street <> '') a JOIN ({S_SIDES}) s ON a.state = s.state AND a.street = s.street AND a.number BETWEEN s.from_hn AND s.to_hn) WHERE n = 1"""
 
 
 @query("interpolate", f"SELECT id, segment, round(lat, 5) AS lat, round(lon, 5) AS lon FROM ({S_INTERPOLATED})")
 def interpolate(spark: SparkSession, sf: str) -> DataFrame:
-    asked = parse_address(spark, sf).filter("number IS NOT NULL")
+    q = frame(spark, sf, "queries").select("id", X.parse_state(F.col("text")).alias("state"), X.parse_address(F.col("text")).alias("p"))
+    asked = q.filter("p IS NOT NULL").select("id", "state", "p.number", "p.street", "p.zip")
     found = segments.interpolate(asked, segments.sides(frame(spark, sf, "lines")))
     return found.select("id", "segment", F.round("lat", 5).alias("lat"), F.round("lon", 5).alias("lon"))
 
@@ -293,8 +295,8 @@ S_WORDS = f"SELECT id AS q, state AS shard, concat(lower(city), ' ', {s_stored('
 
 @query("fts_match", f"WITH p AS ({S_POSTINGS}), w AS (SELECT q, shard, unnest(list_distinct({S_TOKENS})) AS token, len(list_distinct({S_TOKENS})) AS need FROM ({S_WORDS})), m AS (SELECT q, shard, id, need, count(*) AS n FROM w JOIN p USING (shard, token) GROUP BY ALL) SELECT q, shard, count(*) AS matches, min(id) AS first_id FROM m WHERE n = need GROUP BY ALL")
 def fts_match(spark: SparkSession, sf: str) -> DataFrame:
-    hits = fulltext.match_all(_word_queries(spark, sf), fulltext.postings(stored(spark, sf))).groupBy("q", "shard", "id", "need").agg(F.count(F.lit(1)).alias("n"))
-    return hits.filter("n = need").groupBy("q", "shard").agg(F.count(F.lit(1)).alias("matches"), F.min("id").alias("first_id"))
+    hits = fulltext.match_all(_word_queries(spark, sf), materialised(fulltext.postings(stored(spark, sf))))
+    return hits.groupBy("q", "shard").agg(F.count(F.lit(1)).alias("matches"), F.min("id").alias("first_id"))
 
 
 def _word_queries(spark: SparkSession, sf: str) -> DataFrame:
@@ -307,15 +309,23 @@ def fts_bm25_top1(spark: SparkSession, sf: str) -> DataFrame:
     return fulltext.ranked(_word_queries(spark, sf), fulltext.postings(s), s.select("shard", "id", "tier")).select("q", "shard", "id", "tier", F.round("score", 4).alias("score"))
 
 
-S_ASKED = f"SELECT *, {s_house('norm')} AS gate FROM (SELECT id, text, {s_norm('text')} AS norm, {s_state('text')} AS state FROM {sql('queries')})"
-S_ROUTED = f"SELECT id AS q, unnest(CASE WHEN state IS NOT NULL THEN [state] ELSE {C.SHARD_ORDER} END) AS shard, norm AS text FROM ({S_ASKED}) WHERE gate"
+S_POINT = r"'^\s*(-?\d+(?:\.\d+)?)\s*,\s*(-?\d+(?:\.\d+)?)\s*$'"
 
 
-@query("geocode_cascade", f"""WITH asked AS ({S_ASKED}), hits AS ({_ranked(S_ROUTED)}),
+def s_geocode(texts: str) -> str:
+    """id, match, lat, lon of the texts (id, text)."""
+    asked = f"SELECT *, {s_house('norm')} AND p_lat IS NULL AS gate FROM (SELECT id, text, {s_norm('text')} AS norm, {s_state('text')} AS state, try_cast(nullif(regexp_extract(text, {S_POINT}, 1), '') AS DOUBLE) AS p_lat, try_cast(nullif(regexp_extract(text, {S_POINT}, 2), '') AS DOUBLE) AS p_lon FROM ({texts}))"
+    routed = f"SELECT id AS q, unnest(CASE WHEN state IS NOT NULL THEN [state] ELSE {C.SHARD_ORDER} END) AS shard, norm AS text FROM ({asked}) WHERE gate"
+    between = S_INTERPOLATED.replace(sql("queries"), f"({texts})")
+    return f"""WITH asked AS ({asked}), hits AS ({_ranked(routed)}),
 hit AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY tier = 'rooftop' DESC, list_position({C.SHARD_ORDER}, shard)) AS k FROM hits),
-between_ AS ({S_INTERPOLATED})
-SELECT a.id, CASE WHEN h.q IS NOT NULL THEN h.tier WHEN b.id IS NOT NULL THEN 'interpolated' ELSE 'NOT_FOUND' END AS match, round(CASE WHEN h.q IS NOT NULL THEN h.lat ELSE b.lat END, 5) AS lat, round(CASE WHEN h.q IS NOT NULL THEN h.lon ELSE b.lon END, 5) AS lon
-FROM asked a LEFT JOIN hit h ON h.q = a.id AND h.k = 1 LEFT JOIN between_ b ON b.id = a.id AND a.gate AND a.state IS NOT NULL""")
+between_ AS ({between})
+SELECT a.id, CASE WHEN p_lat IS NOT NULL THEN 'coords' WHEN h.q IS NOT NULL THEN h.tier WHEN b.id IS NOT NULL THEN 'interpolated' ELSE 'NOT_FOUND' END AS match, coalesce(p_lat, h.lat, b.lat) AS lat, coalesce(p_lon, h.lon, b.lon) AS lon
+FROM asked a LEFT JOIN hit h ON h.q = a.id AND h.k = 1 LEFT JOIN between_ b ON b.id = a.id AND a.gate AND a.state IS NOT NULL"""
+
+
+
+@query("geocode_cascade", f"SELECT id, match, round(lat, 5) AS lat, round(lon, 5) AS lon FROM ({s_geocode('SELECT id, text FROM ' + sql('queries'))})")
 def geocode_cascade(spark: SparkSession, sf: str) -> DataFrame:
     found = geocode.geocode(frame(spark, sf, "queries"), stored(spark, sf), segments.sides(frame(spark, sf, "lines")))
     return found.select("id", "match", F.round("lat", 5).alias("lat"), F.round("lon", 5).alias("lon"))
@@ -323,7 +333,7 @@ def geocode_cascade(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- graphs
 
-S_KEPT = "highway IN (" + ", ".join(f"'{k}'" for k in C.SPEED_KMH) + ") AND access NOT IN ('no', 'private')"
+S_KEPT = "highway IN (" + ", ".join(f"'{k}'" for k in C.SPEED_KMH) + ") AND coalesce(access, '') NOT IN ('no', 'private')"
 
 
 def _s_steps(where: str) -> str:
@@ -333,7 +343,7 @@ JOIN {sql("depots")} a ON a.id = s.u JOIN {sql("depots")} b ON b.id = s.v) WHERE
 
 
 S_EDGES = f"""SELECT u, v, metres, seconds FROM (SELECT *, row_number() OVER (PARTITION BY u, v ORDER BY way, step, turn) AS n FROM (
-SELECT way, step, u, v, metres, seconds, 0 AS turn FROM ({_s_steps(S_KEPT)}) UNION ALL SELECT way, step, v, u, metres, seconds, 1 FROM ({_s_steps(S_KEPT)}) WHERE oneway NOT IN ('yes', 'true', '1'))) WHERE n = 1"""
+SELECT way, step, u, v, metres, seconds, 0 AS turn FROM ({_s_steps(S_KEPT)}) UNION ALL SELECT way, step, v, u, metres, seconds, 1 FROM ({_s_steps(S_KEPT)}) WHERE coalesce(oneway, 'no') NOT IN ('yes', 'true', '1'))) WHERE n = 1"""
 
 
 def road_edges(spark: SparkSession, sf: str) -> DataFrame:
@@ -368,33 +378,50 @@ def l1_quantize(spark: SparkSession, sf: str) -> DataFrame:
 S_ORIGINS = "SELECT min(s_suppkey) AS origin FROM supplier GROUP BY s_nationkey"
 
 
-def _s_paths(edges: str, hops: int) -> str:
-    steps = "".join(f", l{k} AS (SELECT origin, node, arg_min(metres, seconds) AS metres, min(seconds) AS seconds FROM (SELECT * FROM l{k - 1} UNION ALL SELECT l.origin, e.v, l.metres + e.metres, l.seconds + e.seconds FROM l{k - 1} l JOIN e ON e.u = l.node) GROUP BY ALL)" for k in range(1, hops + 1))
-    return f"WITH e AS MATERIALIZED ({edges}), l0 AS (SELECT origin, origin AS node, 0.0 AS metres, 0.0 AS seconds FROM ({S_ORIGINS})){steps} SELECT origin, node, metres, seconds FROM l{hops}"
+def s_paths(edges: str, origins: str) -> str:
+    """origin, node, metres, seconds of all nodes that origins (origin) reach; goes on until nothing improves."""
+    return f"""WITH RECURSIVE e AS MATERIALIZED (SELECT u, v, CAST(seconds AS DOUBLE) AS seconds, CAST(metres AS DOUBLE) AS metres FROM ({edges})), l(origin, node, seconds, metres) USING KEY (origin, node) AS (
+SELECT origin, origin, CAST(0 AS DOUBLE), CAST(0 AS DOUBLE) FROM (SELECT DISTINCT origin FROM ({origins})) UNION
+SELECT n.origin, n.node, n.x.s, n.x.m FROM (SELECT l.origin, e.v AS node, min(struct_pack(s := l.seconds + e.seconds, m := l.metres + e.metres)) AS x FROM l JOIN e ON e.u = l.node GROUP BY 1, 2) n
+LEFT JOIN recurring.l k ON k.origin = n.origin AND k.node = n.node WHERE k.origin IS NULL OR n.x < struct_pack(s := k.seconds, m := k.metres)) SELECT origin, node, metres, seconds FROM l"""
 
 
-HOPS = 12
+S_MOTORWAYS = S_KEPT + " AND highway IN ('motorway', 'motorway_link')"
+S_L1_EDGES = f"SELECT u, v, greatest(1, least(65535, round_even(seconds, 0))) AS seconds, 10 * greatest(1, least(65535, round_even(metres / 10, 0))) AS metres FROM (SELECT u, v, metres, seconds FROM ({_s_steps(S_MOTORWAYS)}) UNION ALL SELECT v, u, metres, seconds FROM ({_s_steps(S_MOTORWAYS)}))"
+
+
+def motorway_edges(spark: SparkSession, sf: str) -> DataFrame:
+    e = graph.l1_edges(frame(spark, sf, "ways"), frame(spark, sf, "depots"))
+    return e.select("u", "v", F.col("seconds").cast("double").alias("seconds"), (F.col("decametres") * 10.0).alias("metres"))
 
 
 def _origins(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "supplier").groupBy("s_nationkey").agg(F.min("s_suppkey").alias("origin")).select("origin")
 
 
-@query("route_dijkstra", f"SELECT origin, node, round(seconds, 1) AS seconds, round(metres, 1) AS metres FROM ({_s_paths(S_EDGES, HOPS)})")
+@query("route_dijkstra", f"SELECT origin, node, round(seconds, 1) AS seconds, round(metres, 1) AS metres FROM ({s_paths(S_EDGES, S_ORIGINS)})")
 def route_dijkstra(spark: SparkSession, sf: str) -> DataFrame:
     p = routing.shortest_paths(_origins(spark, sf), road_edges(spark, sf))
     return p.select("origin", "node", F.round("seconds", 1).alias("seconds"), F.round("metres", 1).alias("metres"))
 
 
-@query("route_matrix_status")
+S_PAIRS = f"SELECT o.id AS origin, d.id AS dest, {s_hav('o.lat', 'o.lon', 'd.lat', 'd.lon')} / 1000 AS km, d.id % 97 <> 96 AS known FROM {sql('depots')} o JOIN nation a ON a.n_nationkey = o.nation JOIN nation b ON b.n_regionkey = a.n_regionkey JOIN {sql('depots')} d ON d.nation = b.n_nationkey WHERE o.id IN ({S_ORIGINS})"
+
+
+@query("route_matrix_status", f"""WITH p AS ({S_PAIRS}), l0 AS MATERIALIZED ({s_paths(S_EDGES, S_ORIGINS)}), l1 AS MATERIALIZED ({s_paths(S_L1_EDGES, S_ORIGINS)}),
+x AS (SELECT p.*, CASE WHEN c.metres < 100000 THEN 'cache' WHEN km <= 500 AND c.node IS NOT NULL THEN 'l0' WHEN m.node IS NOT NULL THEN 'l1' END AS router, c.seconds AS s0, c.metres AS m0, m.seconds AS s1, m.metres AS m1
+FROM p LEFT JOIN l0 c ON c.origin = p.origin AND c.node = p.dest LEFT JOIN l1 m ON m.origin = p.origin AND m.node = p.dest)
+SELECT origin, dest, round(CASE WHEN NOT known THEN NULL WHEN router = 'l1' THEN s1 WHEN router IS NOT NULL THEN s0 END, 1) AS seconds, round(CASE WHEN NOT known THEN NULL WHEN router = 'l1' THEN m1 WHEN router IS NOT NULL THEN m0 END, 1) AS metres,
+CASE WHEN known THEN router END AS router, CASE WHEN NOT known THEN 'NOT_FOUND' WHEN router IS NULL THEN 'ZERO_RESULTS' ELSE 'OK' END AS status FROM x""")
 def route_matrix_status(spark: SparkSession, sf: str) -> DataFrame:
-    """All nations' first depots to all depots: cache of near legs, roads within 500 km, motorways beyond."""
+    """Nations' first depots to all depots of their region: cache of near legs, roads within 500 km, motorways beyond."""
     depots, origins = frame(spark, sf, "depots"), _origins(spark, sf)
-    o = depots.join(origins.withColumnRenamed("origin", "id"), "id", "left_semi").select(F.col("id").alias("origin"), F.col("lat").alias("a"), F.col("lon").alias("b"), F.lit(1).alias("all"))
-    pairs = o.join(depots.select(F.col("id").alias("dest"), "lat", "lon", F.lit(1).alias("all")), "all").select("origin", "dest", (geo.haversine(F.col("a"), F.col("b"), F.col("lat"), F.col("lon")) / 1000).alias("km"), (F.col("dest") % 97 != 96).alias("known"))
+    nations = table(spark, sf, "nation").select(F.col("n_nationkey").alias("nation"), F.col("n_regionkey").alias("request"))
+    ends = depots.join(nations, "nation")
+    o = ends.join(origins.withColumnRenamed("origin", "id"), "id", "left_semi").select("request", F.col("id").alias("origin"), F.col("lat").alias("a"), F.col("lon").alias("b"))
+    pairs = o.join(ends.select("request", F.col("id").alias("dest"), "lat", "lon"), "request").select("origin", "dest", (geo.haversine(F.col("a"), F.col("b"), F.col("lat"), F.col("lon")) / 1000).alias("km"), (F.col("dest") % 97 != 96).alias("known"))
     l0 = routing.shortest_paths(origins, road_edges(spark, sf)).withColumnRenamed("node", "dest")
-    l1_edges = graph.l1_edges(frame(spark, sf, "ways"), depots).select("u", "v", F.col("seconds").cast("double").alias("seconds"), (F.col("decametres") * 10.0).alias("metres"))
-    l1 = routing.shortest_paths(origins, l1_edges).withColumnRenamed("node", "dest")
+    l1 = routing.shortest_paths(origins, motorway_edges(spark, sf)).withColumnRenamed("node", "dest")
     cached = l0.filter("metres < 100000")
     out = routing.cascade(pairs, cached, l0, l1, C.L0_MAX_KM)
     return out.select("origin", "dest", F.round("seconds", 1).alias("seconds"), F.round("metres", 1).alias("metres"), "router", "status")
@@ -403,30 +430,94 @@ def route_matrix_status(spark: SparkSession, sf: str) -> DataFrame:
 # --- snapping
 
 
-def _s_near(rings: int) -> str:
-    return f"SELECT p.id, n.id AS node, {s_hav('p.lat', 'p.lon', 'n.lat', 'n.lon')} AS metres FROM {sql('near_places')} p JOIN {sql('near_nodes')} n ON abs({s_cell('p.lat', 90, '100.0')} - {s_cell('n.lat', 90, '100.0')}) <= {rings} AND abs({s_cell('p.lon', 180, '100.0')} - {s_cell('n.lon', 180, '100.0')}) <= {rings}"
+def s_near(points: str, nodes: str) -> str:
+    """Candidates of the points (id, lat, lon): all nodes within two rings of tiles."""
+    return f"SELECT p.id, p.lat, n.id AS node, n.lat AS n_lat, n.lon AS n_lon, {s_hav('p.lat', 'p.lon', 'n.lat', 'n.lon')} AS metres FROM {points} p JOIN {nodes} n ON abs({s_cell('p.lat', 90, '4')} - {s_cell('n.lat', 90, '4')}) <= 2 AND abs({s_cell('p.lon', 180, '4')} - {s_cell('n.lon', 180, '4')}) <= 2"
+
 
+def s_apart(points: str, nodes: str, k: int = C.SNAP_K, apart: float = C.SNAP_SEPARATION_M) -> str:
+    """id, rank, node, metres: greedily the nearest at least so far from all chosen before."""
+    far = f"sqrt(((n_lat - x.n_lat) * 111000) * ((n_lat - x.n_lat) * 111000) + ((n_lon - x.n_lon) * 111000 * cos(radians(lat))) * ((n_lon - x.n_lon) * 111000 * cos(radians(lat)))) >= {apart}"
+    parts = [f"c1 AS MATERIALIZED ({s_near(points, nodes)})"]
+    for r in range(1, k + 1):
+        parts.append(f"b{r} AS MATERIALIZED (SELECT id, min(struct_pack(metres := metres, node := node, n_lat := n_lat, n_lon := n_lon)) AS x FROM c{r} GROUP BY id)")
+        parts.append(f"c{r + 1} AS MATERIALIZED (SELECT c{r}.* FROM c{r} JOIN b{r} b USING (id) WHERE {far.replace('x.', 'b.x.')} AND (metres > b.x.metres OR metres = b.x.metres AND node > b.x.node))")
+    rows = " UNION ALL ".join(f"SELECT id, {r} AS rank, x.node AS node, x.metres AS metres FROM b{r}" for r in range(1, k + 1))
+    return f"WITH {', '.join(parts)} {rows}"
 
-@query("snap_top1", f"SELECT id, node, round(metres, 2) AS metres FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY metres, node) AS n FROM ({_s_near(2)})) WHERE n = 1")
+
+_NEAR = s_near(sql("near_places"), sql("near_nodes"))
+
+
+@query("snap_top1", f"SELECT id, node, round(metres, 2) AS metres FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY metres, node) AS n FROM ({_NEAR})) WHERE n = 1")
 def snap_top1(spark: SparkSession, sf: str) -> DataFrame:
     return snap.nearest(frame(spark, sf, "near_places"), frame(spark, sf, "near_nodes"), 1).select("id", "node", F.round("metres", 2).alias("metres"))
 
 
-@query("snap_topk", f"SELECT id, CAST(n AS INTEGER) AS rank, node, round(metres, 2) AS metres FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY metres, node) AS n FROM ({_s_near(2)})) WHERE n <= 5")
+@query("snap_topk", f"SELECT id, CAST(n AS INTEGER) AS rank, node, round(metres, 2) AS metres FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY metres, node) AS n FROM ({_NEAR})) WHERE n <= 5")
 def snap_topk(spark: SparkSession, sf: str) -> DataFrame:
     return snap.nearest(frame(spark, sf, "near_places"), frame(spark, sf, "near_nodes")).select("id", "rank", "node", F.round("metres", 2).alias("metres"))
 
 
-@query("snap_apart")
+@query("snap_apart", f"SELECT id, CAST(rank AS INTEGER) AS rank, node, round(metres, 2) AS metres FROM ({s_apart(sql('near_places'), sql('near_nodes'))})")
 def snap_apart(spark: SparkSession, sf: str) -> DataFrame:
     return snap.nearest_apart(frame(spark, sf, "near_places"), frame(spark, sf, "near_nodes")).select("id", "rank", "node", F.round("metres", 2).alias("metres"))
 
 
-@query("snap_l1", f"WITH c AS (SELECT p.id, n.id AS node, greatest(abs({s_cell('p.lat', 90, '10.0')} - {s_cell('n.lat', 90, '10.0')}), abs({s_cell('p.lon', 180, '10.0')} - {s_cell('n.lon', 180, '10.0')})) AS ring, {s_hav('p.lat', 'p.lon', 'n.lat', 'n.lon')} AS metres FROM {sql('places')} p JOIN {sql('depots')} n ON abs(p.lat - n.lat) < 1.2 AND abs(p.lon - n.lon) < 1.2) SELECT id, node, round(metres, 2) AS metres, CAST(ring AS INTEGER) AS ring FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ring, metres, node) AS n FROM c WHERE ring <= 10) WHERE n = 1")
+@query("snap_far", f"SELECT id, CAST(n AS INTEGER) AS rank, node, round(metres, 2) AS metres FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY metres, node) AS n FROM ({s_near(sql('places'), sql('depots'))} WHERE n.id IN (SELECT u FROM ({S_EDGES})))) WHERE n <= 5")
+def snap_far(spark: SparkSession, sf: str) -> DataFrame:
+    """Nodes that routes can start from, far from most points."""
+    nodes = snap.with_exits(frame(spark, sf, "depots"), road_edges(spark, sf))
+    return snap.nearest(frame(spark, sf, "places"), nodes).select("id", "rank", "node", F.round("metres", 2).alias("metres"))
+
+
+def s_l1(points: str, nodes: str) -> str:
+    near = f"SELECT p.id, n.id AS node, greatest(abs({s_cell('p.lat', 90, '10.0')} - {s_cell('n.lat', 90, '10.0')}), abs({s_cell('p.lon', 180, '10.0')} - {s_cell('n.lon', 180, '10.0')})) AS ring, {s_hav('p.lat', 'p.lon', 'n.lat', 'n.lon')} AS metres FROM {points} p JOIN {nodes} n ON abs(p.lat - n.lat) < 1.2 AND abs(p.lon - n.lon) < 1.2"
+    return f"SELECT id, node, metres, ring FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ring, metres, node) AS n FROM ({near}) WHERE ring <= 10) WHERE n = 1"
+
+
+@query("snap_l1", f"SELECT id, node, round(metres, 2) AS metres, CAST(ring AS INTEGER) AS ring FROM ({s_l1(sql('places'), sql('depots'))})")
 def snap_l1(spark: SparkSession, sf: str) -> DataFrame:
     return snap.nearest_l1(frame(spark, sf, "places"), frame(spark, sf, "depots")).select("id", "node", F.round("metres", 2).alias("metres"), "ring")
 
 
+# --- the whole matrix, from text to answer
+
+S_LIST = "list_filter(list_transform(string_split({c}, '|'), lambda t: trim(t)), lambda t: t <> '')"
+S_REQUESTS = f"SELECT *, CASE WHEN len(o) * len(d) = 0 THEN 'INVALID_REQUEST' WHEN len(o) * len(d) > {C.MAX_ELEMENTS} THEN 'MAX_ELEMENTS_EXCEEDED' ELSE 'OK' END AS request_status FROM (SELECT *, {S_LIST.format(c='origins')} AS o, {S_LIST.format(c='destinations')} AS d FROM {sql('asked')})"
+S_L1_NODES = f"(SELECT * FROM {sql('depots')} WHERE id IN (SELECT u FROM ({S_L1_EDGES})))"  # both directions: every node has an exit
+S_ANSWER = f"""WITH r AS ({S_REQUESTS}), o AS (SELECT request, units, unnest(o) AS text, generate_subscripts(o, 1) - 1 AS at FROM r WHERE request_status = 'OK'), d AS (SELECT request, unnest(d) AS text, generate_subscripts(d, 1) - 1 AS at FROM r WHERE request_status = 'OK'),
+texts AS (SELECT DISTINCT text AS id, text FROM (SELECT text FROM o UNION ALL SELECT text FROM d)), g AS MATERIALIZED (SELECT * FROM ({s_geocode('SELECT id, text FROM texts')})), pts AS (SELECT id, lat, lon FROM g WHERE lat IS NOT NULL AND lon IS NOT NULL),
+k AS MATERIALIZED (SELECT * FROM ({s_apart('pts', sql('depots'))})), t AS (SELECT id, node FROM k WHERE rank = 1),
+x AS MATERIALIZED (SELECT o.request, o.units, o.at AS origin, d.at AS dest, o.text AS a, d.text AS b, ga.match AS origin_match, gb.match AS dest_match, {s_hav('ga.lat', 'ga.lon', 'gb.lat', 'gb.lon')} / 1000 AS km, ta.node AS from_node, ta.node IS NOT NULL AND tb.node IS NOT NULL AS known
+FROM o JOIN d USING (request) JOIN g ga ON ga.id = o.text JOIN g gb ON gb.id = d.text LEFT JOIN t ta ON ta.id = o.text LEFT JOIN t tb ON tb.id = d.text),
+p0 AS MATERIALIZED (SELECT * FROM ({s_paths(S_EDGES, 'SELECT node AS origin FROM t WHERE id IN (SELECT text FROM o)')})),
+n1 AS MATERIALIZED (SELECT * FROM ({s_l1('pts', S_L1_NODES)})), p1 AS MATERIALIZED (SELECT * FROM ({s_paths(S_L1_EDGES, 'SELECT node AS origin FROM n1 WHERE id IN (SELECT text FROM o)')})),
+l0 AS (SELECT x.a, x.b, min(struct_pack(s := p.seconds, m := p.metres)) AS leg FROM (SELECT DISTINCT a, b, from_node FROM x WHERE known AND km <= {C.L0_MAX_KM}) x JOIN k ON k.id = x.b JOIN p0 p ON p.origin = x.from_node AND p.node = k.node GROUP BY 1, 2),
+l1 AS (SELECT x.a, x.b, struct_pack(s := p.seconds, m := p.metres) AS leg FROM (SELECT DISTINCT a, b FROM x WHERE known) x JOIN n1 f ON f.id = x.a JOIN n1 g ON g.id = x.b JOIN p1 p ON p.origin = f.node AND p.node = g.node),
+y AS (SELECT x.*, CASE WHEN NOT known THEN 'NOT_FOUND' WHEN coalesce(l0.leg, l1.leg) IS NULL THEN 'ZERO_RESULTS' ELSE 'OK' END AS status, CASE WHEN NOT known THEN NULL WHEN l0.leg IS NOT NULL THEN 'l0' WHEN l1.leg IS NOT NULL THEN 'l1' END AS router, CASE WHEN known THEN CAST(floor(coalesce(l0.leg, l1.leg).m + 0.5) AS BIGINT) END AS distance_m, CASE WHEN known THEN CAST(floor(coalesce(l0.leg, l1.leg).s + 0.5) AS BIGINT) END AS duration_s
+FROM x LEFT JOIN l0 ON l0.a = x.a AND l0.b = x.b LEFT JOIN l1 ON l1.a = x.a AND l1.b = x.b),
+z AS (SELECT *, CAST(distance_m AS DOUBLE) AS m, CAST(duration_s AS DOUBLE) AS s FROM y)
+SELECT request, CAST(origin AS INTEGER) AS origin, CAST(dest AS INTEGER) AS dest, origin_match, dest_match, status, router, distance_m, duration_s, CASE WHEN m IS NULL THEN NULL WHEN units = 'metric' THEN {S_KM} ELSE {S_DIST} END AS distance_text, CASE WHEN s IS NULL THEN NULL ELSE {S_DUR} END AS duration_text FROM z"""
+
+
+def answered(spark: SparkSession, sf: str) -> DataFrame:
+    edges = materialised(road_edges(spark, sf))
+    return matrix.answer(frame(spark, sf, "asked"), stored(spark, sf), segments.sides(frame(spark, sf, "lines")), frame(spark, sf, "depots"), edges, materialised(motorway_edges(spark, sf)))
+
+
+@query("distance_matrix", S_ANSWER)
+def distance_matrix(spark: SparkSession, sf: str) -> DataFrame:
+    """The flagship: requests of points and addresses as text, answered by roads and motorways."""
+    return answered(spark, sf).select("request", "origin", "dest", "origin_match", "dest_match", "status", "router", "distance_m", "duration_s", "distance_text", "duration_text")
+
+
+@query("distance_matrix_documents", f"WITH c AS ({S_ANSWER}) SELECT r.request, any_value(r.request_status) AS status, count(c.request) AS elements, CASE WHEN count(c.request) > 0 AND bool_and(c.status = 'OK') THEN '{matrix.CACHED}' ELSE '{matrix.UNCACHED}' END AS cache_control FROM ({S_REQUESTS}) r LEFT JOIN c ON c.request = r.request GROUP BY r.request")
+def distance_matrix_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole answers; the JSON itself is held to fixed texts in the tests."""
+    return matrix.documents(frame(spark, sf, "asked"), answered(spark, sf)).drop("body")
+
+
 # --- synchronisation
 
 S_FRESH = f"SELECT a.* FROM (SELECT *, row_number() OVER (PARTITION BY state, normalized, lat, lon, tier ORDER BY id) AS n FROM {sql('arrived')}) a WHERE n = 1 AND NOT EXISTS (SELECT 1 FROM {sql('mirror')} m WHERE m.state = a.state AND m.normalized = a.normalized AND m.lat = a.lat AND m.lon = a.lon AND m.tier = a.tier)"
@@ -440,12 +531,13 @@ def _sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 @query("delta_plan", f"""WITH i AS (SELECT state, count(*) AS ins FROM ({S_FRESH}) GROUP BY 1), d AS (SELECT state, count(*) AS del_ids FROM ({S_DELS}) GROUP BY 1), m AS (SELECT state, count(*) AS rows_mirror FROM {sql("mirror")} GROUP BY 1),
 x AS (SELECT state, rows_mirror, coalesce(ins, 0) AS ins, coalesce(del_ids, 0) AS del_ids FROM m LEFT JOIN i USING (state) LEFT JOIN d USING (state)),
-f AS (SELECT *, CAST(ins * 2 + del_ids * 2 + ceil(ins / 250) + ceil(del_ids / 250) AS BIGINT) AS forecast, CASE WHEN (del_ids - ins) / rows_mirror > 0.1 THEN 'shrink' END AS p1, CASE WHEN (ins + del_ids) / rows_mirror >= 0.5 THEN 'churn' END AS p2 FROM x)
-SELECT state, rows_mirror, ins, del_ids, round((ins + del_ids) / rows_mirror, 6) AS churn, CAST(1 AS DOUBLE) AS key_ratio, forecast, CAST(sum(forecast) OVER (ORDER BY forecast, state ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cumulative, concat_ws(', ', p1, p2) AS problems FROM f""")
+k AS (SELECT state, avg(CASE WHEN hit THEN 1.0 ELSE 0.0 END) AS key_ratio FROM (SELECT DISTINCT p.state, p.normalized, p.lat, p.lon, p.tier, EXISTS (SELECT 1 FROM {sql("mirror")} m WHERE m.state = p.state AND m.normalized = p.normalized AND m.lat = p.lat AND m.lon = p.lon AND m.tier = p.tier) AS hit FROM {sql("previous")} p) GROUP BY 1),
+f AS (SELECT *, CAST(ins * 2 + del_ids * 2 + ceil(ins / 250) + ceil(del_ids / 250) AS BIGINT) AS forecast, CASE WHEN (del_ids - ins) / rows_mirror > 0.1 THEN 'shrink' END AS p1, CASE WHEN (ins + del_ids) / rows_mirror >= 0.5 THEN 'churn' END AS p2, CASE WHEN key_ratio < 0.95 THEN 'key ratio' WHEN key_ratio IS NULL THEN 'no previous version' END AS p3 FROM x LEFT JOIN k USING (state))
+SELECT state, rows_mirror, ins, del_ids, round((ins + del_ids) / rows_mirror, 6) AS churn, round(key_ratio, 6) AS key_ratio, forecast, CAST(sum(forecast) OVER (ORDER BY forecast, state ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cumulative, concat_ws(', ', p1, p3, p2) AS problems FROM f""")
 def delta_plan(spark: SparkSession, sf: str) -> DataFrame:
     m, a = _sides(spark, sf)
-    p = sync.schedule(sync.plan(m, a, m))
-    return p.select("state", "rows_mirror", "ins", "del_ids", F.round("churn", 6).alias("churn"), "key_ratio", F.col("forecast").cast("long").alias("forecast"), F.col("cumulative").cast("long").alias("cumulative"), "problems")
+    p = sync.schedule(sync.plan(m, a, sync.keyed(frame(spark, sf, "previous"))))
+    return p.select("state", "rows_mirror", "ins", "del_ids", F.round("churn", 6).alias("churn"), F.round("key_ratio", 6).alias("key_ratio"), F.col("forecast").cast("long").alias("forecast"), F.col("cumulative").cast("long").alias("cumulative"), "problems")
 
 
 @query("delta_inserts", f"SELECT state, normalized, tier, 1099511627776 + row_number() OVER (PARTITION BY state ORDER BY normalized, lat, lon, tier) AS id FROM ({S_FRESH})")
@@ -516,13 +608,29 @@ def latest_run_per_source(spark: SparkSession, sf: str) -> DataFrame:
     return upstream.latest(frame(spark, sf, "runs")).select("source", "run")
 
 
-@query("attribution_join", f"WITH r AS (SELECT DISTINCT source FROM {sql('runs')} WHERE layer = 'addresses' AND has_output), x AS (SELECT upper(string_split(source, '/')[2]) AS state, array_to_string(string_split(source, '/')[3:], '/') AS slug FROM r) SELECT x.state, x.slug, coalesce(n.n_name, 'unknown') AS attribution, n.n_name IS NOT NULL AS licensed FROM x LEFT JOIN nation n ON CAST(n.n_nationkey AS VARCHAR) = regexp_extract(x.slug, '(\\d+)$', 1)")
+S_ATTRIBUTED = f"WITH r AS (SELECT DISTINCT source FROM {sql('runs')} WHERE layer = 'addresses' AND has_output), x AS (SELECT upper(string_split(source, '/')[2]) AS state, array_to_string(string_split(source, '/')[3:], '/') AS slug FROM r) SELECT x.state, x.slug, coalesce(CASE WHEN n_nationkey % 2 = 0 THEN r_name END, n_name, 'unknown') AS attribution, n_name IS NOT NULL AS has_attribution, coalesce(n_nationkey % 3 = 0, false) AS has_license FROM x LEFT JOIN (nation JOIN region ON n_regionkey = r_regionkey) n ON CAST(n.n_nationkey AS VARCHAR) = regexp_extract(x.slug, '(\\d+)$', 1)"
+
+
+def _attributed(spark: SparkSession, sf: str) -> DataFrame:
+    n = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    known = n.select(F.col("n_nationkey").cast("string").alias("slug_key"), F.when(F.col("n_nationkey") % 2 == 0, F.col("r_name")).alias("layer_attribution"), F.col("n_name").alias("attribution"), F.when(F.col("n_nationkey") % 3 == 0, "open").alias("license"))
+    return upstream.attributed(frame(spark, sf, "runs"), known)
+
+
+@query("attribution_join", S_ATTRIBUTED)
 def attribution_join(spark: SparkSession, sf: str) -> DataFrame:
-    parts = F.split("source", "/")
-    x = upstream.latest(frame(spark, sf, "runs")).select(F.upper(F.element_at(parts, 2)).alias("state"), F.array_join(F.slice(parts, 3, 10), "/").alias("slug"))
-    n = table(spark, sf, "nation").select(F.col("n_nationkey").cast("string").alias("k"), "n_name")
-    joined = x.join(n, F.regexp_extract("slug", r"(\d+)$", 1) == F.col("k"), "left")
-    return joined.select("state", "slug", F.coalesce("n_name", F.lit("unknown")).alias("attribution"), F.col("n_name").isNotNull().alias("licensed"))
+    return _attributed(spark, sf)
+
+
+@query("attribution_counts", f"SELECT state, count(*) AS sources, count(*) FILTER (has_attribution) AS with_attribution, count(*) FILTER (has_license) AS with_license FROM ({S_ATTRIBUTED}) GROUP BY 1")
+def attribution_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return upstream.attribution_counts(_attributed(spark, sf))
+
+
+@query("upstream_lists", f"WITH c AS (SELECT state, source FROM (SELECT *, {S_CHANGE} AS change FROM {sql('signals')}) WHERE change NOT IN ('unknown', 'unchanged')) SELECT state, count(*) AS n, concat(array_to_string(list_sort(list(source))[:20], ' '), CASE WHEN count(*) > 20 THEN concat(' (+', count(*) - 20, ' more)') ELSE '' END) AS listed FROM c GROUP BY 1")
+def upstream_lists(spark: SparkSession, sf: str) -> DataFrame:
+    """What changed in each state: twenty names and how many more."""
+    return upstream.capped(_compared(spark, sf), "state", "source")
 
 
 # --- limits

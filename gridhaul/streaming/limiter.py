@@ -1,4 +1,10 @@
-"""The request limiter as a stateful stream: counters by caller, reset when their window changes."""
+"""The request limiter as a stateful stream: counters by caller and day, gone when the day is over.
+
+Within a micro-batch a caller's requests are sorted by seq in the shuffle's group and walked in that order. Across micro-batches
+order is that of arrival; a request that arrives late is charged to its own day as long as that day's counter lives, the short
+window counts from the latest one seen. Requests that come later than the watermark allows are not decided. A counter is dropped when
+the watermark passes the end of its day.
+"""
 
 from __future__ import annotations
 
@@ -6,30 +12,34 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 OUT = "seq long, ip long, now long, elements long, ok boolean, blocked_by string, sec_used long, day_used long"
-STATE = "sec long, sec_used long, day long, day_used long"
+STATE = "sec long, sec_used long, day_used long"
 
 
-def limited(requests: DataFrame, per_second: int, per_day: int, second: int = 1) -> DataFrame:
-    """Decisions on a stream of requests (seq, ip, now, elements); within a batch a caller's go in order of seq."""
+def limited(requests: DataFrame, per_second: int, per_day: int, second: int = 1, late: str = "1 day") -> DataFrame:
+    """Decisions on a stream of requests (seq, ip, now in seconds, elements); late is how long a day's counter outlives it."""
 
     def decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        sec, sec_used, day, day_used = state.get if state.exists else (-1, 0, -1, 0)
-        rows = pd.concat(list(batches)).sort_values("seq")
+        if state.hasTimedOut:
+            state.remove()
+            return
+        sec, sec_used, day_used = state.get if state.exists else (-1, 0, 0)
+        day = int(key[1])
+        rows = sorted(r for b in batches for r in zip(b["seq"].tolist(), b["now"].tolist(), b["elements"].tolist(), strict=True))
         out = []
-        for r in rows.itertuples(index=False):
-            now_day, now_sec = int(r.now) // 86400, int(r.now) // second
-            if now_day != day:
-                day, day_used = now_day, 0
-            if now_sec != sec:
-                sec, sec_used = now_sec, 0
+        for seq, now, elements in rows:
+            if now // second != sec:
+                sec, sec_used = now // second, 0
             blocked = "sec" if 0 < per_second <= sec_used else "day" if 0 < per_day <= day_used else None
-            out.append((int(r.seq), int(r.ip), int(r.now), int(r.elements), blocked is None, blocked, sec_used, day_used))
+            out.append((seq, int(key[0]), now, elements, blocked is None, blocked, sec_used, day_used))
             if blocked is None:
-                sec_used, day_used = sec_used + 1, day_used + int(r.elements)
-        state.update((sec, sec_used, day, day_used))
+                sec_used, day_used = sec_used + 1, day_used + elements
+        state.update((sec, sec_used, day_used))
+        state.setTimeoutTimestamp(max((day + 1) * 86_400_000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")])
 
-    return requests.groupBy("ip").applyInPandasWithState(decide, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    timed = requests.withColumns({"at": F.timestamp_seconds("now"), "day": F.floor(F.col("now") / 86_400)}).withWatermark("at", late)
+    return timed.groupBy("ip", "day").applyInPandasWithState(decide, OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
