@@ -29,6 +29,7 @@ from gridhaul.llm import common
 
 CAPACITY = 2048
 SALT_ROWS = 200_000  # pieces of one length that one window holds, about
+FEW, FEW_ROWS = 64, 500  # so many salts are given for so many pieces each already
 END = b"\0\0\0\0"
 CACHE = 700_000  # words whose ids a Python worker keeps
 MARKS = b".,!?;:*#$%&"
@@ -313,12 +314,12 @@ def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     by_length = np.zeros(capacity + 1, np.int64)
     for length, n in rows.groupBy("length").count().collect():  # capacity rows at most
         by_length[length] = n
-    salts = np.maximum(1, -(-by_length // SALT_ROWS))
+    salts = np.maximum(1, np.maximum(np.minimum(FEW, -(-by_length // FEW_ROWS)), -(-by_length // SALT_ROWS)))
     known = F.array(*(F.lit(int(k)) for k in salts))
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.get(known, F.col("length").cast("int"))).cast("int"))
     at = np.append(0, np.cumsum(salts))  # where the counts of a length's salts begin
     table = np.zeros(at[-1], np.int64)
-    for length, salt, n in rows.groupBy("length", "salt").count().collect():  # a row for every SALT_ROWS pieces, and capacity at most
+    for length, salt, n in rows.groupBy("length", "salt").count().collect():  # a row for every SALT_ROWS pieces, and capacity x FEW at most
         table[at[length] + salt] = n
     before = np.cumsum(table) - table
     before -= np.repeat(before[at[:-1]], salts)
