@@ -302,7 +302,7 @@ def _components(prints: DataFrame, classes: DataFrame, found: DataFrame) -> Data
     members = classes.join(roots, classes.id == roots.node).select("id", "root", "least_id")
     linked = members.join(members.groupBy("root").agg(F.min("least_id").alias("linked_id")), "root").select("id", "root", "linked_id")
     named = classes.join(linked, "id", "left").select("id", F.coalesce("root", "id").alias("root"), F.when(F.col("root").isNull(), F.col("least_id")).otherwise(F.col("linked_id")).alias("component_id"))
-    return prints.join(named, "id")
+    return common.spread_join(prints, named, ["id"], "doc_id")  # a class may hold a third of all rows
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 2) -> DataFrame:
