@@ -55,7 +55,7 @@ def s_stored(t: str, m: dict[str, str]) -> str:
 def s_state(t: str) -> str:
     codes = f"list_filter(regexp_split_to_array(upper(trim({t})), '[\\s,]+'), lambda x: list_contains({C.STATE_CODES}, x))"
     names = " ".join(f"WHEN contains(lower({t}), '{n}') THEN '{c}'" for n, c in C.STATE_NAMES.items())
-    prefix = f"try_cast(substr(regexp_extract({t}, '\\b(\\d{{5}})(?:-\\d{{4}})?\\b', 1), 1, 3) AS INTEGER)"
+    prefix = f"try_cast(substr(regexp_extract({t}, '{C.ZIP_PATTERN}', 1), 1, 3) AS INTEGER)"
     zips = " ".join(f"WHEN {prefix} BETWEEN {a} AND {z} THEN '{s}'" for a, z, s in C.ZIP3)
     return f"CASE WHEN len({codes}) > 0 THEN {codes}[-1] {names} {zips} END"
 
@@ -74,16 +74,16 @@ S_LOADED = C.SUFFIX | C.DIRECTION
 
 
 def s_query_street(t: str) -> str:
-    raw = f"regexp_extract({t}, '^\\s*(\\d+)\\b\\s+([^,]+?)(?:,|\\s+\\d{{5}}|$)', 2)"
+    raw = f"regexp_extract({t}, '{C.ADDRESS_PATTERN}', 2)"
     return f"array_to_string(list_filter(list_transform(string_split_regex(trim(lower({raw})), '\\s+'), lambda x: coalesce({s_map(S_STREET, "regexp_replace(x, '[.,]', '', 'g')")}, regexp_replace(x, '[.,]', '', 'g'))), lambda x: x <> ''), ' ')"
 
 
 def s_number(t: str) -> str:
-    return f"try_cast(regexp_extract({t}, '^\\s*(\\d+)\\b\\s+([^,]+?)(?:,|\\s+\\d{{5}}|$)', 1) AS BIGINT)"
+    return f"try_cast(regexp_extract({t}, '{C.ADDRESS_PATTERN}', 1) AS BIGINT)"
 
 
 def s_zip(t: str) -> str:
-    return f"list_last(regexp_extract_all({t}, '\\b(\\d{{5}})(?:-\\d{{4}})?\\b', 1))"
+    return f"list_last(regexp_extract_all({t}, '{C.ZIP_PATTERN}', 1))"
 
 
 # --- matrix, tiles, formats
@@ -173,7 +173,7 @@ def split_elements(spark: SparkSession, sf: str) -> DataFrame:
     return c.select("id", n.alias("elements"), (n > 5).alias("too_many"))
 
 
-@query("coordinate_literal", "WITH x AS (SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN concat(c_custkey % 90, '.5, -', c_custkey % 180) WHEN 1 THEN concat(' ', c_custkey % 90, ',', c_custkey % 180, '.25 ') WHEN 2 THEN concat(c_custkey, ' Main St') ELSE '1,2,3' END AS t FROM customer) SELECT id, try_cast(nullif(regexp_extract(t, '^\\s*(-?\\d+(?:\\.\\d+)?)\\s*,\\s*(-?\\d+(?:\\.\\d+)?)\\s*$', 1), '') AS DOUBLE) AS lat, try_cast(nullif(regexp_extract(t, '^\\s*(-?\\d+(?:\\.\\d+)?)\\s*,\\s*(-?\\d+(?:\\.\\d+)?)\\s*$', 2), '') AS DOUBLE) AS lon FROM x")
+@query("coordinate_literal", f"WITH x AS (SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN concat(c_custkey % 90, '.5, -', c_custkey % 180) WHEN 1 THEN concat(' ', c_custkey % 90, ',', c_custkey % 180, '.25 ') WHEN 2 THEN concat(c_custkey, ' Main St') ELSE '1,2,3' END AS t FROM customer) SELECT id, try_cast(nullif(regexp_extract(t, '{C.POINT_PATTERN}', 1), '') AS DOUBLE) AS lat, try_cast(nullif(regexp_extract(t, '{C.POINT_PATTERN}', 2), '') AS DOUBLE) AS lon FROM x")
 def coordinate_literal(spark: SparkSession, sf: str) -> DataFrame:
     t = F.expr("CASE c_custkey % 4 WHEN 0 THEN concat(c_custkey % 90, '.5, -', c_custkey % 180) WHEN 1 THEN concat(' ', c_custkey % 90, ',', c_custkey % 180, '.25 ') WHEN 2 THEN concat(c_custkey, ' Main St') ELSE '1,2,3' END")
     return table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), X.coordinate(t).alias("p")).select("id", "p.lat", "p.lon")
@@ -309,7 +309,7 @@ def fts_bm25_top1(spark: SparkSession, sf: str) -> DataFrame:
     return fulltext.ranked(_word_queries(spark, sf), fulltext.postings(s), s.select("shard", "id", "tier")).select("q", "shard", "id", "tier", F.round("score", 4).alias("score"))
 
 
-S_POINT = r"'^\s*(-?\d+(?:\.\d+)?)\s*,\s*(-?\d+(?:\.\d+)?)\s*$'"
+S_POINT = f"'{C.POINT_PATTERN}'"
 
 
 def s_geocode(texts: str) -> str:
