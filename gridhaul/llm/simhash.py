@@ -248,11 +248,15 @@ def _verified(known: DataFrame, pairs: DataFrame, similarity: float) -> DataFram
         return b.select(["a", "b"]).filter(pa.array(ok))
 
     # a set that many links share is dealt to PARTS places
-    part = F.pmod(F.xxhash64("b"), F.lit(PARTS)).cast("int")
-    spread = pairs.join(known.select(F.col("id").alias("b"), F.col("set").alias("y")), "b").withColumn("part", part)
-    hubs = pairs.select("a", part.alias("part")).distinct().join(known.select(F.col("id").alias("a"), F.col("set").alias("x")), "a")
+    hot = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("links")).filter(F.col("links") > PARTS).select("a", F.lit(True).alias("hot"))
+    part = F.when(F.col("hot"), F.pmod(F.xxhash64("b"), F.lit(PARTS))).otherwise(0).cast("int")
+    pairs = common.work_table(pairs.join(hot, "a", "left").select("a", "b", part.alias("part")), "dealt-pairs")
+    spread = pairs.join(known.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
+    hubs = pairs.select("a", "part").distinct().join(known.select(F.col("id").alias("a"), F.col("set").alias("x")), "a")
     both = spread.join(hubs, ["a", "part"])
-    return common.work_table(both.select("a", "b", "x", "y").mapInArrow(common.per_batch(similar), "a long, b long"), "similar")
+    out = common.work_table(both.select("a", "b", "x", "y").mapInArrow(common.per_batch(similar), "a long, b long"), "similar")
+    common.discard(pairs)
+    return out
 
 
 def similar_links(texts: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -265,7 +269,7 @@ def similar_links(texts: DataFrame, words: int, similarity: float) -> DataFrame:
     of one group are joined already.
     """
     order = Window.partitionBy("token").orderBy("pos", "id")
-    dealt = _prefixes(texts, words, similarity).select("*", F.first(F.struct("id", "n", "pos")).over(order).alias("hub"), F.lag("id").over(order).alias("before"), F.lead("id").over(order).alias("after"))
+    dealt = _prefixes(texts, words, similarity).select("*", F.first(F.struct("id", "n", "pos")).over(order).alias("hub"), F.lag("id").over(order).alias("before"), F.lead("id").over(order).alias("after"), F.count(F.lit(1)).over(Window.partitionBy("token")).alias("size"))
     several = F.coalesce(F.col("before") != F.col("id"), F.col("after") != F.col("id"), F.lit(False))
     shared = common.work_table(dealt.filter(several).drop("before", "after"), "shared-tokens")
 
@@ -280,7 +284,8 @@ def similar_links(texts: DataFrame, words: int, similarity: float) -> DataFrame:
     common.discard(stars)
 
     roots = components(found).withColumnRenamed("node", "id")
-    rows = common.work_table(shared.join(roots, "id", "left").select("token", "id", "n", "pos", F.col("hub.id").alias("hub"), F.coalesce("root", "id").alias("root")), "rooted-tokens")
+    # of two rows the star is the only pair
+    rows = common.work_table(shared.filter("size > 2").join(roots, "id", "left").select("token", "id", "n", "pos", F.col("hub.id").alias("hub"), F.coalesce("root", "id").alias("root")), "rooted-tokens")
     common.discard(shared)
     groups = rows.groupBy("token", "root").agg(F.count(F.lit(1)).alias("size")).groupBy("token").agg(F.max(F.struct("size", "root")).alias("x"), F.count(F.lit(1)).alias("groups"))
     apart = common.work_table(rows.join(groups.filter("groups > 1").select("token", F.col("x.root").alias("most")), "token"), "tokens-apart")
