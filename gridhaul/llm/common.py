@@ -50,13 +50,17 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def sampled(rows: DataFrame, limit: int, *key: str) -> DataFrame:
-    """About limit rows (a tenth more at most, by chance) whose hash of the key is least: rows are counted first, then
-    a threshold on the hash picks them where they are, so no task gathers more than the sample."""
+def sampled(rows: DataFrame, limit: int, *key: str, hard: bool = True) -> DataFrame:
+    """About limit rows whose hash of the key is least: rows are counted first, then a threshold on the hash picks them where
+    they are, so no task gathers more than the sample. Rows of one key come together; of a key that very many rows share, twice limit
+    stay at most, unless hard is off."""
     n = rows.count()
     steps = 1 << 24
     mark = F.pmod(F.xxhash64(*key), F.lit(steps))
-    return rows if n <= limit else rows.filter(mark < int(steps * limit / n))
+    if n <= limit:
+        return rows
+    some = rows.filter(mark < int(steps * limit / n))
+    return some.limit(2 * limit) if hard else some
 
 
 def bitmap(hashes: DataFrame, n: int) -> np.ndarray:

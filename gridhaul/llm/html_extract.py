@@ -232,16 +232,16 @@ def fit(pages: DataFrame) -> Weights:
 
     def examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for h in b.column("html").to_pylist():
+            for page, h in zip(b.column("page").to_pylist(), b.column("html").to_pylist(), strict=True):
                 found = blocks(h or "")
-                rows = [(block_features(x, k, len(found)), sorted(x.node.names), float(x.node.odds > 0), k) for k, x in enumerate(found) if abs(x.node.odds) >= SURE]
+                rows = [(block_features(x, k, len(found)), sorted(x.node.names), float(x.node.odds > 0), page, k) for k, x in enumerate(found) if abs(x.node.odds) >= SURE]
                 if rows:
-                    types = (pa.list_(pa.float64()), pa.list_(pa.int32()), pa.float64(), pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["x", "names", "y", "k"])
+                    types = (pa.list_(pa.float64()), pa.list_(pa.int32()), pa.float64(), pa.int64(), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["x", "names", "y", "page", "k"])
 
-    some = common.sampled(pages.select("page_id", "url", F.col("html").cast("string").alias("html")), SAMPLE_PAGES, "page_id", "url").select("html")
-    found = common.work_table(some.mapInArrow(examples, "x array<double>, names array<int>, y double, k long"), "block-examples")
-    rows = sorted((tuple(r.x), r.y, tuple(r.names)) for r in common.sampled(found, SAMPLE_BLOCKS, "x", "names", "k").collect())
+    some = common.sampled(pages.select("page_id", "url", F.col("html").cast("string").alias("html")), SAMPLE_PAGES, "page_id", "url", hard=False).select(F.xxhash64("page_id", "url").alias("page"), "html")
+    found = common.work_table(some.mapInArrow(examples, "x array<double>, names array<int>, y double, page long, k long"), "block-examples")
+    rows = sorted((tuple(r.x), r.y, tuple(r.names)) for r in common.sampled(found, SAMPLE_BLOCKS, "page", "k").collect())
     common.discard(found)
     if not rows:
         return Weights()
