@@ -5,8 +5,9 @@ first, so groups of copies cost one row. Two fingerprints within t bits agree on
 blocks of bits, and their Hamming distances to any reference fingerprint (pivot) differ by t at most. Rows
 are dealt by the agreeing blocks and by the cell of the first pivot distance; inside a bucket pairs whose
 distances to some pivot differ by more than t are discarded, the survivors are compared bit by bit, and only
-links that join two groups are kept, at most one fewer than the bucket has rows. Every pair within t bits is
-linked through some bucket; components follow from the links.
+links that join two groups are kept, at most one fewer than the bucket has rows. A bucket of very many rows is
+dealt to pairs of parts, each held by one task. Every pair within t bits is linked through some bucket;
+components follow from the links.
 
 Similar texts (drop_similar) are found on their sets of shingles: an equi-join on the rarest shingles of each set,
 so long a prefix that no pair is missed, and a comparison of the sets; only verified links join groups.
@@ -35,7 +36,7 @@ BUCKET = 64  # fingerprints that a bucket of random ones should hold at most
 SLICE = 1 << 16  # shingles counted at a time
 SLOT_BITS = 18  # of the table of shingle counts by which rare shingles come first
 PARTS = 64  # places that the set of a row with many links is dealt to
-COUNTED = 8  # one text of so many is counted for it; the order bears on cost alone
+HELD = 1 << 14  # rows of one bucket that a task compares at most, or about so many
 
 
 def _shingle_hashes(found: list[bytes], words: int) -> np.ndarray:
@@ -134,13 +135,29 @@ def _linked(fps: np.ndarray, keys: np.ndarray, home: np.ndarray, table: np.ndarr
     return pairs[:, 0], pairs[:, 1]
 
 
-def links(fps: DataFrame, n_rows: int, max_bits: int = 2) -> DataFrame:
+def _parted(dealt: DataFrame, held: int) -> DataFrame:
+    """Rows (key, home, id, fp) whose buckets hold more than held rows dealt to every pair of parts of their bucket.
+
+    A row goes to the pairs of its own part with each other part, so any two rows of a bucket still meet.
+    """
+    hot = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > held)
+    hot = common.work_table(hot.select("key", F.ceil(2 * F.col("n") / held).alias("parts")), "hot-buckets")
+    if hot.isEmpty():
+        return dealt
+    own = F.pmod(F.xxhash64("id"), F.col("parts"))
+    cold = dealt.join(hot, "key", "left_anti")
+    rows = dealt.join(hot, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).filter("own != other")
+    pair = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
+    return cold.select("key", "home", "id", "fp").union(rows.select(pair.alias("key"), "home", "id", "fp"))
+
+
+def links(fps: DataFrame, n_rows: int, max_bits: int = 2, held: int = HELD) -> DataFrame:
     """Links (a, b) between distinct fingerprints that connect all pairs within max_bits bits."""
     refs, width = pivots(), max_bits + 1
     cell = F.floor(F.bit_count(F.col("fp").bitwiseXOR(F.lit(_signed(int(refs[0, 0]))))) / width)
     keys = [F.struct(F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(_signed(mask))), cell + g).alias("key"), F.lit(g == 0).alias("home")) for k, mask in enumerate(_masks(n_rows, max_bits)) for g in (0, 1)]
     dealt = fps.select(F.explode(F.array(*keys)).alias("at"), F.col("fp").alias("id"), "fp").select("at.key", "at.home", "id", "fp")
-    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_solver(refs, max_bits), "a long, b long")
+    return _parted(dealt, held).repartition("key").sortWithinPartitions("key").mapInArrow(_solver(refs, max_bits), "a long, b long")
 
 
 def _solver(refs: np.ndarray, max_bits: int):
@@ -173,7 +190,7 @@ def _solver(refs: np.ndarray, max_bits: int):
 
 
 def _slot_counts(texts: DataFrame, words: int) -> np.ndarray:
-    """How many shingles of a part of the texts (id, text) fall into each slot of their hashes."""
+    """How many shingles of all the texts (id, text) fall into each slot of their hashes."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(1 << SLOT_BITS, np.int64)
@@ -187,8 +204,7 @@ def _slot_counts(texts: DataFrame, words: int) -> np.ndarray:
         return pa.table({"part": t["part"].slice(0, 1), "n": pa.array([n.tobytes()], pa.binary())})
 
     out = np.zeros((64, (1 << SLOT_BITS) // 64), np.int64)
-    some = texts.filter(F.pmod("id", F.lit(COUNTED)) == 0).select("text")
-    for r in some.mapInArrow(count, "part int, n binary").groupBy("part").applyInArrow(total, "part int, n binary").collect():
+    for r in texts.select("text").mapInArrow(count, "part int, n binary").groupBy("part").applyInArrow(total, "part int, n binary").collect():
         out[r.part] = np.frombuffer(r.n, np.int64)
     return out.ravel()
 

@@ -80,9 +80,9 @@ def test_near_duplicates(spark):
     assert simhash.near_duplicates(docs.table(spark, rows).limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("n_rows", [100, 10**10])
-def test_links_find_every_pair(spark, n_rows):
-    """Random fingerprints with planted neighbours, with few and with many blocks."""
+@pytest.mark.parametrize(("n_rows", "held"), [(100, simhash.HELD), (10**10, simhash.HELD), (100, 3)])
+def test_links_find_every_pair(spark, n_rows, held):
+    """Random fingerprints with planted neighbours, with few and with many blocks, with buckets dealt to parts."""
     rng = np.random.default_rng(7)
     fps = set(rng.integers(0, 1 << 64, 150, np.uint64, endpoint=False).tolist())
     for x in list(fps)[:60]:
@@ -92,7 +92,7 @@ def test_links_find_every_pair(spark, n_rows):
         fps.add(y)
     fps = sorted(fps)
     signed = [x - (1 << 64) if x >> 63 else x for x in fps]
-    roots = components.components(simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long"), n_rows))
+    roots = components.components(simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long"), n_rows, held=held))
     got = {r.node: r.root for r in roots.collect()}
     want = brute_components(signed, fps, 2)
     groups, expected = defaultdict(set), defaultdict(set)
