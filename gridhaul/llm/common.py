@@ -42,10 +42,28 @@ def work_table(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def keyed_table(df: DataFrame, name: str, key: str) -> DataFrame:
+    """A work table in buckets of the key, as many as shuffles have partitions: a join by the key shuffles the other side alone.
+
+    df is best dealt by the key already (bucket_count).
+    """
+    spark, table, path = df.sparkSession, f"{name}_{uuid.uuid4().hex}", fresh_path(df.sparkSession, name)
+    df.write.format("parquet").bucketBy(bucket_count(spark), key).option("path", path).saveAsTable(table)
+    out = spark.table(table)
+    out.work_path, out.table_name = path, table
+    return out
+
+
+def bucket_count(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete work tables that no later step reads."""
     for t in tables:
         spark = t.sparkSession
+        if hasattr(t, "table_name"):
+            spark.sql(f"DROP TABLE IF EXISTS {t.table_name}")
         path = spark._jvm.org.apache.hadoop.fs.Path(t.work_path)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 

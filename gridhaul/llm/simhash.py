@@ -238,15 +238,15 @@ def _prefixes(texts: DataFrame, words: int, similarity: float) -> DataFrame:
 
 
 def _shingle_sets(texts: DataFrame, asked: DataFrame, words: int) -> DataFrame:
-    """id and set (low halves of the hashes) of each asked id."""
+    """id and set (low halves of the hashes) of each asked id, in buckets of the id. Sets are shuffled once, texts never."""
 
     def sets(b: pa.RecordBatch) -> pa.RecordBatch:
         found = [np.unique(shingle_set(x, words).astype("<u4")).tobytes() for x in common.blobs(b.column("text"))]
         return pa.RecordBatch.from_arrays([b.column("id"), pa.array(found, pa.binary())], names=["id", "set"])
 
     asked = common.work_table(asked, "asked")
-    some = texts.join(asked, "id", "left_semi").dropDuplicates(["id"])
-    out = common.work_table(some.mapInArrow(common.per_batch(sets), "id long, set binary"), "shingle-sets")
+    dealt = texts.mapInArrow(common.per_batch(sets), "id long, set binary").repartition(common.bucket_count(texts.sparkSession), "id")
+    out = common.keyed_table(dealt.join(asked, "id", "left_semi").dropDuplicates(["id"]), "shingle_sets", "id")
     common.discard(asked)
     return out
 
@@ -347,10 +347,15 @@ def drop_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Da
     classes = common.work_table(ids.groupBy("id").agg(F.min("doc_id").alias("least_id")), "text-classes")
     texts = marked.select(F.col("__id").alias("id"), F.col("text").cast("string").alias("text"))
     found = _components(ids, classes, similar_links(texts, words, similarity))
-    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "id")).alias("x"))
-    kept = first.select(F.coalesce(F.col("x.doc_id").cast("string"), F.lit("")).alias("__kept"), F.col("x.id").alias("__id"))
+    rows = found.groupBy("root", "doc_id", "id").agg(F.count(F.lit(1)).alias("n"))
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "id", "n")).alias("x"))
+    kept = common.work_table(first.select(F.coalesce(F.col("x.doc_id").cast("string"), F.lit("")).alias("__kept"), F.col("x.id").alias("__id"), "x.n"), "kept-rows")
     named = marked.withColumn("__kept", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    return named.join(kept, ["__kept", "__id"], "left_semi").dropDuplicates(["__kept", "__id"]).select(*names)
+    out = named.join(kept.filter("n = 1"), ["__kept", "__id"], "left_semi")
+    repeated = kept.filter("n > 1")  # rows alike in id and text; texts are compared by key for these alone
+    if not repeated.isEmpty():
+        out = out.union(named.join(repeated, ["__kept", "__id"], "left_semi").dropDuplicates(["__kept", "__id"]))
+    return out.select(*names)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
