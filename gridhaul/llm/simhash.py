@@ -321,7 +321,8 @@ def _components(prints: DataFrame, classes: DataFrame, found: DataFrame) -> Data
     """prints (id, doc_id) with root and component_id, the least doc_id of all that links (a, b) reach."""
     roots = components(found)
     members = classes.join(roots, classes.id == roots.node).select("id", "root", "least_id")
-    linked = members.join(members.groupBy("root").agg(F.min("least_id").alias("linked_id")), "root").select("id", "root", "linked_id")
+    least = members.groupBy("root").agg(F.min("least_id").alias("linked_id"))
+    linked = common.spread_join(members, least, ["root"], "id").select("id", "root", "linked_id")  # so may a component
     named = classes.join(linked, "id", "left").select("id", F.coalesce("root", "id").alias("root"), F.when(F.col("root").isNull(), F.col("least_id")).otherwise(F.col("linked_id")).alias("component_id"))
     return common.spread_join(prints, named, ["id"], "doc_id")  # a class may hold a third of all rows
 
