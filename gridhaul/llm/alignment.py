@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import json
 import os
 import re
 from array import array
@@ -42,6 +43,9 @@ FAN = 64  # runs merged at a time
 BLOCK = 1 << 18  # pairs in a row of merged counts
 CACHE = 150_000  # aligned stretches that a Python worker keeps
 SLICE_BYTES = 1 << 20  # of text whose new stretches are encoded together
+SETTLED = "\u0530"  # below it letters and digits are the same in every version of Unicode that libraries may hold
+# fixed value: the pattern that byte-level BPE splits texts by
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SHIFT = 29  # a pair is A << SHIFT | B
 STATS = ("doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256")
 RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
@@ -54,7 +58,7 @@ def default_tokenizers() -> tuple[str, str]:
 
 
 class Aligner(dict):
-    """A stretch of text (its space before it) to (A tokens, B tokens, groups as text, links as packed pairs), None if it isn't restored."""
+    """A stretch of text (its space before it) to (A tokens << 32 | B tokens, groups as text, links as packed pairs), None if it isn't restored."""
 
     def __init__(self, path_a: str, path_b: str):
         import sentencepiece
@@ -75,9 +79,25 @@ class Aligner(dict):
         self.apart = not any(re.search("[^▁]▁", p) for p in pieces)  # no piece goes on over a space
         self.odd = re.compile(r"\s |\s\Z| \s").search
         self.cut = re.compile(r"(?<=\S) (?=\S)").split  # Python's \s holds all white space that A's pattern knows
+        self.quick = self._quick(path_a)
+
+    def _quick(self, path: str):
+        """A faster encoder of the same tokens, where A is plain byte-level BPE whose ids are the order of its merges; else None."""
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        model, cut = spec["model"], spec.get("pre_tokenizer") or {}
+        merges = [m if isinstance(m, list) else m.split(" ") for m in model.get("merges") or []]
+        ordered = model["type"] == "BPE" and all(model["vocab"].get(a + b) == 256 + k for k, (a, b) in enumerate(merges)) and len(model["vocab"]) == 256 + len(merges)
+        if not ordered or spec.get("normalizer") or cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or not cut.get("use_regex", True) or model.get("ignore_merges"):
+            return None
+        return tiktoken.Encoding("a", pat_str=BYTE_LEVEL, mergeable_ranks={self.bytes_a[i]: i for i in model["vocab"].values()}, special_tokens={}).encode_ordinary
 
     def learn(self, stretches: list[str]) -> None:
-        ids_a = [x.ids for x in self.a.encode_batch_fast(stretches, add_special_tokens=False)]
+        quick = [x for x in stretches if self.quick and max(x) < SETTLED]
+        other = [x for x in stretches if not (self.quick and max(x) < SETTLED)]
+        stretches, ids_a = quick + other, [*map(self.quick, quick)] + [x.ids for x in self.a.encode_batch_fast(other, add_special_tokens=False)]
         ids_b = self.b.encode([x[1:] for x in stretches], num_threads=1)
         for stretch, a, b in zip(stretches, ids_a, ids_b, strict=True):
             self[stretch] = self.aligned(stretch.encode(), a, b)
@@ -106,7 +126,7 @@ class Aligner(dict):
                     groups.append(f"{','.join(map(str, mine))}|{','.join(map(str, theirs))}")
                     links.extend([x << SHIFT | y for x in mine for y in theirs])
                 first_a, first_b = i, j
-        return len(a), len(b), ";".join(groups), links.tobytes()
+        return len(a) << 32 | len(b), ";".join(groups), links.tobytes()
 
     def stretches(self, text: str) -> list[str]:
         if self.odd(text) or text[:1].isspace():
@@ -170,9 +190,10 @@ class Chunk:
         if not any_:
             self.stats.append((doc_id, 0, 0, 0, 0, ""))
         else:
-            groups = ";".join(map(itemgetter(2), found))
-            links = np.frombuffer(b"".join(map(itemgetter(3), found)), np.uint64)
-            self.stats.append((doc_id, sum(map(itemgetter(0), found)), sum(map(itemgetter(1), found)), groups.count(";") + 1, len(links), hashlib.sha256(groups.encode()).hexdigest()))
+            groups = ";".join(map(itemgetter(1), found))
+            links = np.frombuffer(b"".join(map(itemgetter(2), found)), np.uint64)
+            tokens = sum(map(itemgetter(0), found))
+            self.stats.append((doc_id, tokens >> 32, tokens & 0xFFFFFFFF, groups.count(";") + 1, len(links), hashlib.sha256(groups.encode()).hexdigest()))
             pairs, times = np.unique(links, return_counts=True)
             self.pairs.append(pairs)
             self.times.append(times.astype(np.uint32))
