@@ -50,7 +50,7 @@ class Tree:
             at += len(level)
             for a, b in level:
                 own = x[order[a:b]]
-                middle = own[0] if len(own) == 1 else np.floor(own.mean(axis=0))
+                middle = own[0] if len(own) == 1 else np.rint(own.mean(axis=0))
                 far = np.sqrt(((own - middle) ** 2).sum(axis=1))
                 centre.append(middle)
                 radius.append(float(far.max()))
@@ -65,15 +65,20 @@ class Tree:
 
     @staticmethod
     def _split(x: np.ndarray, order: np.ndarray, a: int, b: int, near: float) -> list[tuple[int, int]]:
-        """Rows a to b regrouped around centres more than near apart; nothing where nearly every row would be a centre."""
+        """Rows a to b regrouped around centres more than near apart, or than a part of it that parts them at all; nothing where nearly every row would
+        be a centre."""
         rows, groups = order[a:b].copy(), []
-        left = rows
-        while len(left):
-            if len(groups) > len(rows) // 4:
+        while len(groups) < 2:
+            if groups and near < 0.5:  # whole numbers so close are equal
                 return []
-            own = ((x[left] - x[left[0]]) ** 2).sum(axis=1) <= near * near
-            groups.append(left[own])
-            left = left[~own]
+            left, groups = rows, []
+            while len(left):
+                if len(groups) > len(rows) // 4:
+                    return []
+                own = ((x[left] - x[left[0]]) ** 2).sum(axis=1) <= near * near
+                groups.append(left[own])
+                left = left[~own]
+            near /= 2
         order[a:b] = np.concatenate(groups)
         ends = a + np.cumsum([len(g) for g in groups])
         return list(zip([a, *ends[:-1].tolist()], ends.tolist(), strict=True))

@@ -23,6 +23,9 @@ COLUMNS = {
     "op7_source_mixing": "doc_id bigint, size bigint, source_size bigint, target double, taken bigint",
     "op8_simhash_dedup": "doc_id bigint, fingerprint string, component_id bigint",
     "op9_exact_dedup": "doc_id bigint, keep_id bigint, group_size bigint, kept boolean, text_sha256 string",
+    "op11_url_range_join": "page_id bigint, host string, path string, rule string, verdict string",
+    "op12_tokenizer_alignment": "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups_sha256 string",
+    "op13_cover_tree_codes": "vec_id bigint, code string, error bigint, label_error bigint, codebooks_sha256 string",
     "op10_best_fit_packing": "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint",
 }
 
