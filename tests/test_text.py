@@ -1,6 +1,9 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from gridhaul.functions import constants as C
 from gridhaul.functions import geo, keys
 from gridhaul.functions import text as X
 from gridhaul.functions.register import register
@@ -11,35 +14,69 @@ def values(spark, f, inputs, kind="string"):
     return [r.y for r in df.select("k", f(F.col("x")).alias("y")).orderBy("k").collect()]
 
 
-def test_normalize_query(spark):
-    given = ["27 Quarry St., Pinehurst; OH", "310 Copper Kettle Road", "9 Elm Way", "4500 Juniper Street", "66 West Sycamore Avenue", "", " ;.; ", "   8    harbor   blvd "]
-    assert values(spark, X.normalize_query, given) == ["27 quarry st pinehurst oh", "310 copper kettle rd", "9 elm way", "4500 juniper st", "66 w sycamore ave", "", "", "8 harbor blvd"]
-
-
-def test_house_number(spark):
-    good = ["27 Quarry St, Pinehurst, OH", "2040 Juniper Ave, Fairview, TX 75090", "31b elm st", "44-2 harbor, oakdale, ny", "90125 lake rd, fl"]
-    bad = ["Fairview, TX", "Oakdale NY", "75090", "75090 tx", "Elm St, Fairview, TX", "granite falls", "", "ny"]
-    assert values(spark, lambda c: X.has_house_number(X.normalize_query(c)), good + bad) == [True] * len(good) + [False] * len(bad)
-    many = "12 " + "7 " * 1200 + "elm"
-    assert values(spark, X.has_house_number, [many, "90125 " + "7 " * 1200 + "7", "90125 " + "7 " * 1200 + "elm"]) == [True, False, True]
-
-
-def test_parse_address(spark):
-    given = ["310 Copper Kettle Road, Springdale, WA 98290", "9 Elm Way, Oakdale, NY", "Elm Way, Oakdale", "nothing here", "10455 Harbor Ave, Pinehurst, TX 75090"]
-    found = [x and tuple(x) for x in values(spark, X.parse_address, given)]
-    assert found == [(310, "copper kettle rd", "98290"), (9, "elm way", None), None, None, (10455, "harbor ave", "75090")]
-
-
-def test_parse_state(spark):
-    given = ["27 Quarry St, Pinehurst, OH", "9 E 12th Ave, Springdale, FL 33010", "8 Elm St Unit B, Fairview, NY", "8 Elm St, Cedar Rapids, Iowa", "77 Juniper Rd, Oakdale, Oregon 97005", "8 Elm St 02139", "77 Juniper 33010", "40 Quarry 20001", "no place at all", "8 Elm St"]
-    assert values(spark, X.parse_state, given) == ["OH", "FL", "NY", "IA", "OR", "MA", "FL", "DC", None, None]
-
-
-def test_elements_speeds_and_keys(spark):
-    assert [len(x) for x in values(spark, X.split_multi, ["A", "A|B|C", "", "A||B", "C|", " | "])] == [1, 3, 0, 2, 1, 0]
-    assert values(spark, X.parse_maxspeed, ["50 mph", "30", "45 km/h", "none", ""]) == [pytest.approx(80.467), 30.0, 45.0, None, None]
-    assert values(spark, X.leading_int, ["12-A", "7", "x", ""]) == [12, 7, None, None]
-    assert [x and tuple(x) for x in values(spark, X.coordinate, ["1.5, -2", "1,2,3", "x"])] == [(1.5, -2.0), None, None]
+def drawn(seed, n, words):
+    """Texts of random words, marks and blanks."""
+    rng = random.Random(seed)
+    marks = [" ", " ", "  ", ", ", ". ", "; ", "\t", "-", "/", "#"]
+    return ["".join(rng.choice(words) + rng.choice(marks) for _ in range(rng.randrange(7))) for _ in range(n)]
+
+
+def test_queries_are_normalised_word_by_word(spark):
+    words = [*C.SUFFIX, *C.LONG_DIRECTION, "BIRCH", "Ünter", "7b", "22", "x"]
+    given = drawn(1, 200, [f(w) for w in words for f in (str.lower, str.title)]) + ["\u00a0", "ß", "."]
+
+    def plain(text):
+        kept = "".join(c if c in "abcdefghijklmnopqrstuvwxyz0123456789 " else " " for c in text.lower()).split()
+        return " ".join(C.SUFFIX.get(t, C.LONG_DIRECTION.get(t, t)) for t in kept)
+
+    assert values(spark, X.normalize_query, given) == [plain(t) for t in given]
+
+
+def test_house_numbers_by_first_and_remaining_words(spark):
+    """A number may carry a letter and a second such number; five digits before nothing but short words and numbers are a postal code."""
+    firsts = {"7": True, "007": True, "7c": True, "7c-9": True, "7-9d": True, "c7": False, "7cc": False, "7-": False, "-7": False, "7-9-11": False, "": False, "48226": None, "48226x": True, "482261": True}
+    rests = {"": None, "mi": False, "mi us": False, "9": False, "mi 12345678": False, "birch": True, "mi birch": True, "abc": True}
+    cases = [(f"{a} {b}".strip(" ") if b else a, ok, long) for a, ok in firsts.items() for b, long in rests.items()]
+    want = [long is not None and bool(long if ok is None else ok) for _, ok, long in cases]
+    given = [t for t, _, _ in cases]
+    starts_elsewhere = [k for k, (t, _, _) in enumerate(cases) if not t or t.split(" ")[0] not in firsts]  # an empty first word lets the next one lead
+    assert [x for k, x in enumerate(values(spark, X.has_house_number, given)) if k not in starts_elsewhere] == [x for k, x in enumerate(want) if k not in starts_elsewhere]
+    many = "6 " * 1500
+    assert values(spark, X.has_house_number, [many + "birch", "48226 " + many + "6", "48226 " + many + "birch"]) == [True, False, True]
+
+
+def test_number_and_street_of_an_address(spark):
+    built = [(f"{pad}{n}{gap}{street}{end}", n, street, code) for pad in ("", "   ") for n in (1, 58, 90817) for gap in (" ", "   ") for street in ("birch hollow", "0th alley", "l'anse") for end, code in (("", None), (", Marlow", None), (" 48226", "48226"), (", MI 48226-0001", "48226"), (", 12345, 67890", "67890"))]
+    found = values(spark, X.parse_address, [t for t, *_ in built])
+    kept = lambda street: " ".join(C.SUFFIX.get(w, C.LONG_DIRECTION.get(w, w)) for w in street.split())
+    wrong = [(t, f) for (t, n, street, code), f in zip(built, found, strict=True) if f is None or (f.number, f.street) != (n, kept(street)) or n != 90817 and f.zip != code]
+    assert not wrong
+    assert values(spark, X.parse_address, ["0 birch", "birch 5", "5", "5b birch", "5 ,birch", "5 ., x", "", "-5 birch"]) == [None] * 8
+
+
+def test_states_by_code_name_and_postal_code(spark):
+    """The last code wins over names, a name over postal codes, the first postal code's range is what remains."""
+    codes, names = list(C.STATE_CODES), list(C.STATE_NAMES)
+    given = [f"x {a} y, {b}" for a, b in zip(codes, codes[1:], strict=False)] + [f"{n.title()} {a.lower()}" for n, a in zip(names, reversed(codes), strict=False)]
+    want = codes[1 : len(codes)] + [a for _, a in zip(names, reversed(codes), strict=False)]
+    given += [f"q{n.upper()}q" for n in names]
+    want += [next(C.STATE_NAMES[m] for m in names if m in n) for n in names]
+    edges = [(p, s) for a, z, s in C.ZIP3 for p in (a, z)]
+    given += [f"q {p:03d}99 99999" for p, _ in edges]
+    want += [next(s for a, z, s in C.ZIP3 if a <= p <= z) for p, _ in edges]
+    given += ["", "q", "QQ zz", "1234 123456"]
+    want += [None] * 4
+    assert values(spark, X.parse_state, given) == want
+
+
+def test_lists_speeds_numbers_and_points(spark):
+    lists = drawn(2, 60, ["p", "q r", "|", " |", "| ", "||"])
+    assert values(spark, X.split_multi, lists) == [[part.strip(" ") for part in t.split("|") if part.strip(" ")] for t in lists]
+    speeds = {"65 mph": 65 * 1.60934, "65mph": 65 * 1.60934, "7.5": 7.5, "110 km/h": 110.0, "walk": None, "65 knots": None, "mph": None, " ": None}
+    assert values(spark, X.parse_maxspeed, list(speeds)) == [x if x is None else pytest.approx(x) for x in speeds.values()]
+    assert values(spark, X.leading_int, ["88-Q", " 88", "Q88", "88.5", "", "-88"]) == [88, 88, None, 88, None, None]
+    points = {"-8.25,140": (-8.25, 140.0), " 8 , -140.5 ": (8.0, -140.5), "8;140": None, "8,": None, ",140": None, "8,140,3": None, "1e2,3": None}
+    assert [x and tuple(x) for x in values(spark, X.coordinate, list(points))] == list(points.values())
     df = spark.createDataFrame([(None, 1.0), ("", 1.0), ("a", 1.0)], "t string, x double").select(X.row_key(F.col("t"), F.col("x")).alias("k"))
     a, b, c = (r.k for r in df.collect())
     assert a == b != c
