@@ -24,32 +24,46 @@ def postings(docs: DataFrame) -> DataFrame:
     return rows.groupBy("shard", "token", "id", "len").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def match_all(asked: DataFrame, index: DataFrame) -> DataFrame:
+def frequencies(index: DataFrame) -> DataFrame:
+    """shard, token, df."""
+    return index.groupBy("shard", "token").agg(F.count(F.lit(1)).alias("df"))
+
+
+def sizes(index: DataFrame) -> DataFrame:
+    """shard, n_docs, mean_len."""
+    return index.select("shard", "id", "len").distinct().groupBy("shard").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("mean_len"))
+
+
+def match_all(asked: DataFrame, index: DataFrame, freq: DataFrame | None = None) -> DataFrame:
     """q, shard, id, len, terms (token to count) and words (token, df) of docs that have every token of a query (q, shard, text).
 
-    index: the postings. The rarest token of a query (the least of ties) finds the documents.
+    index: the postings; freq: their frequencies where they are kept. The rarest token of a query (the least of ties) finds the documents, and of these
+    alone the other terms are gathered.
     """
-    freq = index.groupBy("shard", "token").agg(F.count(F.lit(1)).alias("df"))
+    freq = frequencies(index) if freq is None else freq
     words = asked.select("q", "shard", F.array_distinct(tokens(F.col("text"))).alias("t")).filter(F.size("t") > 0)
     words = words.select("q", "shard", F.size("t").alias("need"), F.explode("t").alias("token")).join(freq, ["shard", "token"])
     asked_for = words.groupBy("q", "shard", "need").agg(F.min_by("token", F.struct("df", "token")).alias("token"), F.collect_list(F.struct("token", "df")).alias("words"))
     first = asked_for.filter(F.size("words") == F.col("need")).join(index.select("shard", "token", "id"), ["shard", "token"])
-    terms = index.groupBy("shard", "id", "len").agg(F.map_from_entries(F.collect_list(F.struct("token", "tf"))).alias("terms"))
+    first = materialised(first.select("q", "shard", "id", "words"))
+    terms = index.join(first.select("shard", "id").distinct(), ["shard", "id"], "left_semi").groupBy("shard", "id", "len").agg(F.map_from_entries(F.collect_list(F.struct("token", "tf"))).alias("terms"))
     found = first.select("q", "shard", "id", "words").join(terms, ["shard", "id"])
     return found.filter(F.forall("words", lambda w: F.element_at("terms", w["token"]).isNotNull()))
 
 
-def ranked(asked: DataFrame, index: DataFrame, tiers: DataFrame) -> DataFrame:
-    """q, shard, id, tier, score of the best match of each query and shard: BM25, then rooftop rows, then the least id."""
-    index = materialised(index)
-    size = index.select("shard", "id", "len").distinct().groupBy("shard").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("mean_len"))
+def ranked(asked: DataFrame, index: DataFrame, tiers: DataFrame, freq: DataFrame | None = None, size: DataFrame | None = None) -> DataFrame:
+    """q, shard, id, tier, score of the best match of each query and shard: BM25, then rooftop rows, then the least id. freq and size: frequencies and
+    sizes of the index where they are kept."""
+    if freq is None or size is None:
+        index = materialised(index)
+        size = sizes(index)
 
     def part(w: Column) -> Column:
         tf = F.element_at("terms", w["token"])
         idf = F.greatest(F.log((F.col("n_docs") - w["df"] + 0.5) / (w["df"] + 0.5)), F.lit(LEAST_IDF))
         return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("mean_len")))
 
-    rows = match_all(asked, index).join(size, "shard")
+    rows = match_all(asked, index, freq).join(size, "shard")
     score = F.round(F.aggregate(F.transform(F.array_sort("words"), part), F.lit(0.0), lambda a, x: a + x), 6)
     found = rows.select("q", "shard", "id", score.alias("score")).join(tiers, ["shard", "id"])
     order = Window.partitionBy("q", "shard").orderBy(F.desc("score"), F.desc(F.col("tier") == "rooftop"), "id")

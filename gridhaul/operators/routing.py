@@ -1,106 +1,346 @@
 """One-to-many shortest paths over regions of a road graph, and the cascade of routers.
 
-Nodes belong to regions: the tiles of a road graph, or parts by a hash, as many as keep a region's edges few. Labels (best
-time and length from an origin to a node) are grouped with the edges of their region; each group follows its fresh labels to
-the end inside the region, and labels of nodes beyond its border go to their own region for the next round. So rounds count crossings of
-borders, not edges, and every round moves border labels only. Paths are exact, so never longer than those of a weighted search.
+Nodes belong to regions: tiles as coarse as a bound on a region's edges allows where positions are known, else parts by a hash. The edges of a
+region are packed once, as one row in the shared folder. A round sends fresh labels (best time and length from an origin to a node) to their region, and
+with them what is known of the same origin there; regions without fresh labels take no part. Each origin's labels are followed to the
+end inside the region, one origin after another, so a task holds one region and one origin's labels; labels of nodes beyond the border are
+fresh in the next round. So rounds count crossings of borders. A region is copied only where its labels fill more than one group, or while
+there are fewer regions than cores. What improves is appended; nothing is written anew.
+
+With goals the search is directed and stops: a label counts only while its time, and the least time from there to some goal that is still open for it,
+isn't above what that goal is known to take. The least time is the great circle at the fastest edge's speed, so paths stay exact. Of an origin's many
+goals near ones share a circle. Labels with the least sum go first, inside a region and over rounds: those whose sum is more than AHEAD times the least of
+their origin wait, until a goal is reached or the others are done. A round later every region knows what the others found.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
+from gridhaul.functions import geo
+from gridhaul.functions.constants import EARTH_M
 from gridhaul.operators.materialise import materialised
 
-REGION_EDGES = 500_000  # edges of a region by hash, about
-GROUP_LABELS = 2_000_000  # labels that meet in one group, about
-LABEL = "region long, part int, origin long, node long, seconds double, metres double, fresh boolean"
-
-
-def _relax(labels: pa.Table, edges: pa.Table) -> pa.Table:
-    """The labels of one region after following all fresh ones inside it; labels of nodes beyond it come out fresh."""
-    names = [c.split()[0] for c in LABEL.split(", ")]
-    if not labels.num_rows or not edges.num_rows or not np.asarray(labels["fresh"]).any():
-        return labels.select(names).set_column(6, "fresh", pa.array(np.zeros(labels.num_rows, bool))) if labels.num_rows else pa.table({n: labels[n] for n in names})
-    u, v, s, m = (edges[c].to_numpy() for c in ("u", "v", "s", "m"))
-    order = np.argsort(u, kind="stable")
-    u, v, s, m, v_region = u[order], v[order], s[order], m[order], edges["v_region"].to_numpy()[order]
-    here, part = labels["region"][0].as_py(), labels["part"][0].as_py()
-    origin, at = labels["origin"].to_numpy(), labels["node"].to_numpy()
-    nodes = np.unique(np.concatenate([at, u, v]))
-    at, head, tail = np.searchsorted(nodes, at), np.searchsorted(nodes, u), np.searchsorted(nodes, v)
-    begin = np.searchsorted(head, np.arange(len(nodes) + 1))
-    count = np.diff(begin)
-    region_of = np.full(len(nodes), here)
-    region_of[tail] = v_region
-    known_s, known_m, fresh = labels["seconds"].to_numpy(), labels["metres"].to_numpy(), np.asarray(labels["fresh"])
-    out: dict[str, list] = {n: [] for n in names}
-    for o in np.unique(origin):
-        mine = origin == o
-        best_s, best_m = np.full(len(nodes), np.inf), np.full(len(nodes), np.inf)
-        best_s[at[mine]], best_m[at[mine]] = known_s[mine], known_m[mine]
-        active, rounds = at[mine & fresh], 0
+REGION_EDGES = 500_000  # edges of a region, about
+GROUP_LABELS = 2_000_000  # fresh labels that meet in one group, about
+CIRCLES = 256  # of an origin's goals
+LEVELS = 12  # the coarsest region is 2^11 tiles wide
+NEAR = 64  # labels that go first, at least
+AHEAD = 2.0  # labels whose sum is so many times the least wait
+ROUNDS_KEPT = 8  # tables of improved labels before they are merged
+EDGES, GOAL, KNOWN, FRESH = range(4)
+FIRST = -(1 << 63)  # sorts before every origin
+ROW = "region long, part int, origin long, kind int, node long, s double, m double, data binary, circles array<double>"
+FOUND = "region long, origin long, node long, s double, m double, here boolean, key double"
+
+
+class _Region:
+    """Packed edges, and the best labels of one origin at a time."""
+
+    def __init__(self, data: bytes | None):
+        if data is None:
+            u = v = v_region = np.zeros(0, np.int64)
+            s = m = lat = lon = np.zeros(0)
+        else:
+            t = pa.ipc.open_stream(data).read_all()
+            u, v, v_region, s, m, lat, lon = (t.column(c).to_numpy() for c in ("u", "v", "v_region", "s", "m", "lat", "lon"))
+        self.nodes = np.unique(np.concatenate([u, v]))
+        head, self.tail = np.searchsorted(self.nodes, u), np.searchsorted(self.nodes, v)
+        self.head, self.s, self.m, self.v_region = head, s, m, v_region
+        self.begin = np.searchsorted(head, np.arange(len(self.nodes) + 1))
+        self.lat, self.lon = np.full(len(self.nodes), np.nan), np.full(len(self.nodes), np.nan)
+        self.lat[self.tail], self.lon[self.tail] = lat, lon
+        self.best_s, self.best_m = np.full(len(self.nodes), np.inf), np.full(len(self.nodes), np.inf)
+        self.changed = np.zeros(len(self.nodes), bool)
+
+    def follow(self, here: int, kind: np.ndarray, node: np.ndarray, s: np.ndarray, m: np.ndarray, circles: np.ndarray | None, pace: float, cap: float) -> list[tuple[np.ndarray, ...]]:
+        """(region, node, s, m, here, key) of what improves for one origin; labels that wait aren't here, though their region is."""
+        label = kind >= KNOWN
+        at = np.searchsorted(self.nodes, node)
+        inside = np.isin(node, self.nodes, kind="sort")
+        fresh = kind == FRESH
+        out = []
+        alone = label & ~inside  # no edge leaves or reaches it here
+        if alone.any():
+            known = dict(zip(node[alone & ~fresh].tolist(), zip(s[alone & ~fresh].tolist(), m[alone & ~fresh].tolist(), strict=True), strict=True))
+            better = [k for k in np.flatnonzero(alone & fresh) if (s[k], m[k]) < known.get(int(node[k]), (np.inf, np.inf))]
+            if better:
+                out.append((np.full(len(better), here), node[better], s[better], m[better], np.ones(len(better), bool), np.zeros(len(better))))
+        old = at[label & inside & ~fresh]
+        order = np.lexsort((-m[label & inside & ~fresh], -s[label & inside & ~fresh]))  # the best is written last
+        self.best_s[old[order]], self.best_m[old[order]] = s[label & inside & ~fresh][order], m[label & inside & ~fresh][order]
+        new, new_s, new_m = at[inside & fresh], s[inside & fresh], m[inside & fresh]
+        goal_at = at[(kind == GOAL) & inside & (m == 1)]
+        goal_circle = s[(kind == GOAL) & inside & (m == 1)].astype(np.int64)
+        limit = None if circles is None else circles[:, 3].copy()
+        touched = [old]
+
+        def least(nodes: np.ndarray) -> np.ndarray:
+            """Seconds from nodes to each circle at least."""
+            lat, lon = np.radians(self.lat[nodes])[:, None], np.radians(self.lon[nodes])[:, None]
+            lat2, lon2 = np.radians(circles[:, 0]), np.radians(circles[:, 1])
+            a = np.sin((lat2 - lat) / 2) ** 2 + np.cos(lat) * np.cos(lat2) * np.sin((lon2 - lon) / 2) ** 2
+            far = 2 * EARTH_M * np.arcsin(np.sqrt(np.minimum(a, 1.0))) - circles[:, 2]
+            return np.nan_to_num(np.maximum(far, 0) * pace * (1 - 1e-9), nan=0.0)
+
+        def put(nodes: np.ndarray, s_: np.ndarray, m_: np.ndarray) -> np.ndarray:
+            better = (s_ < self.best_s[nodes]) | (s_ == self.best_s[nodes]) & (m_ < self.best_m[nodes])
+            nodes, s_, m_ = nodes[better], s_[better], m_[better]
+            order = np.lexsort((m_, s_, nodes))
+            nodes, s_, m_ = nodes[order], s_[order], m_[order]
+            lead = np.flatnonzero(np.append(True, nodes[1:] != nodes[:-1])) if len(nodes) else np.zeros(0, np.int64)
+            nodes, s_, m_ = nodes[lead], s_[lead], m_[lead]
+            if limit is not None and len(nodes):
+                open_ = (s_[:, None] + least(nodes) <= limit).any(axis=1)
+                nodes, s_, m_ = nodes[open_], s_[open_], m_[open_]
+            self.best_s[nodes], self.best_m[nodes] = s_, m_
+            self.changed[nodes] = True
+            touched.append(nodes)
+            if limit is not None and len(goal_at):
+                np.minimum.at(limit, goal_circle, self.best_s[goal_at])
+            return nodes
+
+        region_of = np.full(len(self.nodes), here)
+        region_of[self.tail] = self.v_region
+        active, steps = put(new, new_s, new_m), 0
+        active = active[region_of[active] == here]
+        waits = np.zeros(0, np.int64)
         while len(active):
-            if (rounds := rounds + 1) > len(nodes) + 1:
+            if (steps := steps + 1) > 1_000_000 + 100 * len(self.nodes):
                 raise ValueError("shortest paths don't settle: a cycle of negative length")
-            n = count[active]
+            later = active[:0]
+            if limit is not None:
+                key = self.best_s[active][:, None] + least(active)
+                key = np.where(key <= limit, key, np.inf).min(axis=1)
+                waits = np.append(waits, active[np.isfinite(key) & (key > cap)])
+                active, key = active[key <= cap], key[key <= cap]
+                first = max(NEAR, len(active) // 4)
+                if len(active) > first:
+                    order = np.argpartition(key, first)
+                    active, later = active[order[:first]], active[order[first:]]
+            elif steps > len(self.nodes) + 1:
+                raise ValueError("shortest paths don't settle: a cycle of negative length")
+            n = self.begin[active + 1] - self.begin[active]
             ends = np.cumsum(n)
-            e = np.arange(ends[-1]) + np.repeat(begin[active] - (ends - n), n)
-            t, new_s, new_m = tail[e], best_s[head[e]] + s[e], best_m[head[e]] + m[e]
-            better = (new_s < best_s[t]) | (new_s == best_s[t]) & (new_m < best_m[t])
-            t, new_s, new_m = t[better], new_s[better], new_m[better]
-            first = np.lexsort((new_m, new_s, t))
-            t, new_s, new_m = t[first], new_s[first], new_m[first]
-            lead = np.flatnonzero(np.append(True, t[1:] != t[:-1])) if len(t) else np.zeros(0, np.int64)
-            t = t[lead]
-            best_s[t], best_m[t] = new_s[lead], new_m[lead]
-            active = t[region_of[t] == here]
-        found = np.flatnonzero(np.isfinite(best_s))
-        for name, values in zip(names, (region_of[found], np.full(len(found), part), np.full(len(found), o), nodes[found], best_s[found], best_m[found], region_of[found] != here), strict=True):
-            out[name].append(values)
-    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_())
-    return pa.table({n: pa.array(np.concatenate(out[n]), k) for n, k in zip(names, kinds, strict=True)})
-
-
-def shortest_paths(origins: DataFrame, edges: DataFrame, max_rounds: int = 10_000, regions: DataFrame | None = None, region_edges: int = REGION_EDGES) -> DataFrame:
+            e = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.begin[active] - (ends - n), n)
+            moved = put(self.tail[e], self.best_s[self.head[e]] + self.s[e], self.best_m[self.head[e]] + self.m[e])
+            active = np.union1d(later, moved[region_of[moved] == here])
+        every = np.unique(np.concatenate(touched))
+        found = every[self.changed[every]]
+        if len(found):
+            key = np.zeros(len(found)) if limit is None else (self.best_s[found][:, None] + least(found)).min(axis=1)
+            out.append((region_of[found], self.nodes[found], self.best_s[found], self.best_m[found], (region_of[found] == here) & ~np.isin(found, waits), key))
+        self.best_s[every], self.best_m[every], self.changed[every] = np.inf, np.inf, False
+        return out
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows of one region, part and origin together; the rows come sorted."""
+    held: pa.Table | None = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+        keys = [t.column(c).to_numpy() for c in ("region", "part", "origin")]
+        cuts = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
+        for a, z in zip([0, *cuts[:-1]], cuts, strict=True) if len(cuts) else ():
+            yield t.slice(a, z - a)
+        held = t.slice(cuts[-1] if len(cuts) else 0)
+    if held is not None:
+        yield held
+
+
+def _relaxed(pace: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, region = None, _Region(None)
+        for rows in _runs(batches):
+            here, origin = rows.column("region")[0].as_py(), rows.column("origin")[0].as_py()
+            if (here, rows.column("part")[0].as_py()) != where:
+                where, region = (here, rows.column("part")[0].as_py()), _Region(None)
+            if origin == FIRST:
+                region = _Region(rows.column("data")[0].as_py())
+                continue
+            kind, node, s, m = (rows.column(c).to_numpy() for c in ("kind", "node", "s", "m"))
+            circles = next((np.array(c.as_py()).reshape(-1, 4) for c in rows.column("circles") if c.is_valid), None)
+            cap = next((x.as_py() for x, c in zip(rows.column("s"), rows.column("circles"), strict=True) if c.is_valid), np.inf)
+            for of, nodes, seconds, metres, inside, key in region.follow(here, kind, node, s, m, circles, pace, cap):
+                yield pa.RecordBatch.from_arrays([pa.array(of), pa.array(np.full(len(of), origin)), pa.array(nodes), pa.array(seconds), pa.array(metres), pa.array(inside), pa.array(key)], names=[c.split(" ")[0] for c in FOUND.split(", ")])
+
+    return run
+
+
+def _packed(key: tuple, table: pa.Table) -> pa.Table:
+    table = table.drop_columns(["region"]).sort_by([("u", "ascending"), ("v", "ascending"), ("s", "ascending"), ("m", "ascending")])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return pa.table({"region": pa.array([key[0].as_py()], pa.int64()), "data": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+
+
+class Graph:
+    """Edges (u, v, seconds, metres) packed by region, for any number of searches.
+
+    nodes (id, lat, lon): positions; without them searches aren't directed. regions (node, region) overrides where nodes belong. region_edges
+    bounds a region's edges, but a tile of 0.25 degrees is never cut.
+    """
+
+    def __init__(self, edges: DataFrame, nodes: DataFrame | None = None, regions: DataFrame | None = None, region_edges: int = REGION_EDGES):
+        self.spark = edges.sparkSession
+        e = edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"), F.col("seconds").cast("double").alias("s"), F.col("metres").cast("double").alias("m"))
+        nowhere = F.lit(None).cast("double")
+        if nodes is None:
+            e = e.withColumns({"u_lat": nowhere, "u_lon": nowhere, "lat": nowhere, "lon": nowhere})
+        else:
+            known = nodes.select(F.col("id").cast("long").alias("id"), F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon")).dropDuplicates(["id"])
+            e = e.join(known.select(F.col("id").alias("u"), F.col("lat").alias("u_lat"), F.col("lon").alias("u_lon")), "u", "left").join(known.withColumnRenamed("id", "v"), "v", "left")
+        e = materialised(e.select("u", "v", "s", "m", "u_lat", "u_lon", "lat", "lon"))
+        straight = geo.haversine(F.col("u_lat"), F.col("u_lon"), F.col("lat"), F.col("lon"))
+        n, longest, fastest, unknown = e.agg(F.count(F.lit(1)), F.max("s"), F.max(F.when(straight > 0, straight / F.col("s"))), F.bool_or(F.isnull(straight) | (F.col("s") <= 0) & (straight > 0))).first()
+        self.pace = 0.0 if not fastest or unknown else 1.0 / fastest  # seconds a metre, at least
+        self.of, self.table = None, None
+        if regions is not None:
+            self.table = materialised(regions.select(F.col("node").cast("long").alias("_node"), F.col("region").cast("long").alias("_region")).dropDuplicates(["_node"]))
+        elif nodes is not None:
+            level = self._level(e, region_edges)
+            self.of = lambda lat, lon: F.coalesce(F.shiftleft(F.shiftright(geo.tile_x(lon), level).cast("long"), 20) + F.shiftright(geo.tile_y(lat), level), F.lit(-1).cast("long"))
+            self.table = materialised(known.select(F.col("id").alias("_node"), self.of(F.col("lat"), F.col("lon")).alias("_region")))
+        else:
+            parts = max(1, -(-(n or 0) // region_edges))
+            self.by_hash = lambda node: F.pmod(F.xxhash64(node), F.lit(parts))
+        if self.of is not None:
+            placed = e.withColumns({"region": self.of(F.col("u_lat"), F.col("u_lon")), "v_region": self.of(F.col("lat"), F.col("lon"))})
+        else:
+            placed = self.place(self.place(e, "v", "v_region"), "u", "region")
+        self.packed = materialised(placed.select("region", "u", "v", "v_region", "s", "m", "lat", "lon").groupBy("region").applyInArrow(_packed, "region long, data binary"))
+
+    @staticmethod
+    def _level(e: DataFrame, most: int) -> int:
+        """The coarsest tiles none of which has more edges than most; 0 where even the finest have."""
+        tiles = e.groupBy(geo.tile_x(F.col("u_lon")).alias("x"), geo.tile_y(F.col("u_lat")).alias("y")).agg(F.count(F.lit(1)).alias("n"))
+        coarse = tiles.select("x", "y", "n", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))).alias("level"))
+        counts = coarse.groupBy("level", F.expr("shiftright(x, level)"), F.expr("shiftright(y, level)")).agg(F.sum("n").alias("n")).groupBy("level").agg(F.max("n").alias("n"))
+        return max((r.level for r in counts.collect() if r.n <= most), default=0)
+
+    def place(self, df: DataFrame, node: str, name: str) -> DataFrame:
+        """df with the region of a node column."""
+        if self.table is None:
+            return df.withColumn(name, self.by_hash(node))
+        return df.join(self.table, df[node] == self.table["_node"], "left").withColumn(name, F.coalesce("_region", F.lit(-1).cast("long"))).drop("_node", "_region")
+
+    def search(self, origins: DataFrame, goals: DataFrame | None = None, max_rounds: int = 10_000) -> DataFrame:
+        """origin, node, s, m: labels that the search keeps, of which the least of a node is the best; goals: origin, goal, node, lat, lon."""
+        spark = self.spark
+        zero = F.lit(0.0)
+        first = origins.select(F.col("origin").cast("long").alias("origin")).distinct().withColumn("node", F.col("origin"))
+        fresh = materialised(self.place(first, "node", "region").select("region", "origin", "node", zero.alias("s"), zero.alias("m"), zero.alias("key")))
+        aims = None if goals is None else _circled(materialised(self.place(goals, "node", "region")))
+        known: list[DataFrame] = []
+        for _ in range(max_rounds):
+            waiting, told = None, aims
+            if aims is not None and known:
+                told = materialised(_limited(aims, _union(known)))
+                open_ = fresh.join(told.groupBy("origin").agg(F.max("limit").alias("last")), "origin").filter("key <= last").drop("last")
+                open_ = materialised(open_.withColumn("cap", AHEAD * F.min("key").over(Window.partitionBy("origin"))))
+                waiting, fresh = open_.filter("key > cap").drop("cap"), open_.filter("key <= cap")
+            touched, n_origins = fresh.agg(F.count_distinct("region"), F.count_distinct("origin")).first()
+            if not touched:
+                return _union(known).select("origin", "node", "s", "m") if known else fresh.select("origin", "node", "s", "m")
+            spread = max(1, min(n_origins, -(-spark.sparkContext.defaultParallelism // touched)))
+            parts = fresh.groupBy("region").agg(F.greatest(F.lit(spread).cast("long"), F.ceil(F.count(F.lit(1)) / GROUP_LABELS)).alias("parts"))
+            dealt = fresh.join(parts, "region").withColumn("part", F.pmod(F.xxhash64("origin"), F.col("parts")).cast("int")).drop("parts")
+            cap = F.max("cap") if waiting is not None else F.lit(float("inf"))
+            places = materialised(dealt.groupBy("region", "part", "origin").agg(cap.alias("cap")))
+            rows = [_rows(dealt, FRESH, node="node", s="s", m="m"), _rows(self.packed.join(places.select("region", "part").distinct(), "region"), EDGES, origin=F.lit(FIRST), data="data")]
+            if known:
+                rows.append(_rows(_union(known).join(places, ["region", "origin"]), KNOWN, node="node", s="s", m="m"))
+            if aims is not None:
+                rows.append(_rows(told.join(places, ["region", "origin"]), GOAL, node="node", s="circle", m="alone"))
+                rows.append(_rows(_circles(told).join(places, "origin"), GOAL, circles="circles", s="cap"))
+            together = _union(rows).repartition("region", "part").sortWithinPartitions("region", "part", "origin", "kind", "node")
+            out = materialised(together.mapInArrow(_relaxed(self.pace), FOUND))
+            known.append(out.filter("here").select("region", "origin", "node", "s", "m"))
+            if len(known) > ROUNDS_KEPT:
+                known = [materialised(_least(_union(known)).drop("key"))]
+            later = out.filter("NOT here").drop("here")
+            fresh = materialised(_least(later if waiting is None else later.unionByName(waiting)))
+            if fresh.isEmpty():
+                return _union(known).select("origin", "node", "s", "m")
+        raise RuntimeError(f"shortest paths did not settle in {max_rounds} rounds")
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
+
+
+def _least(labels: DataFrame) -> DataFrame:
+    key = F.min("key") if "key" in labels.columns else F.lit(0.0)
+    return labels.groupBy("region", "origin", "node").agg(F.min(F.struct("s", "m")).alias("x"), key.alias("key")).select("region", "origin", "node", "x.s", "x.m", "key")
+
+
+def _rows(df: DataFrame, kind: int, **given: str | Column) -> DataFrame:
+    kinds = dict(c.split(" ") for c in ROW.split(", "))
+    values = {"region": F.col("region"), "part": F.col("part"), "origin": F.col("origin") if "origin" not in given else given["origin"], "kind": F.lit(kind)}
+    for name in ("node", "s", "m", "data", "circles"):
+        blank = F.lit(0) if name in ("node", "s", "m") else F.lit(None)
+        values[name] = F.col(given[name]) if name in given else blank
+    return df.select(*(v.cast(kinds[n]).alias(n) for n, v in values.items()))
+
+
+def _circled(goals: DataFrame) -> DataFrame:
+    """goals with the circle that each belongs to: its own where an origin has few, else shared with near ones; alone is 1 where a circle is one goal's."""
+    one = goals.groupBy("origin", "goal").agg(F.avg("lat").alias("y"), F.avg("lon").alias("x"))
+    band = F.floor(F.col("y") / 2)
+    rank = F.ntile(CIRCLES).over(Window.partitionBy("origin").orderBy(band, F.when(band % 2 == 0, F.col("x")).otherwise(-F.col("x")), "goal")) - 1
+    dealt = one.withColumn("circle", rank)
+    held = dealt.groupBy("origin", "circle").agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("y"), F.avg("x").alias("x"))
+    dealt = dealt.select("origin", "goal", "circle").join(held, ["origin", "circle"])
+    far = geo.haversine(F.col("y"), F.col("x"), F.col("lat"), F.col("lon"))
+    out = goals.join(dealt, ["origin", "goal"]).withColumns({"far": F.coalesce(far, F.lit(float("inf"))), "alone": (F.col("n") == 1).cast("double"), "circle": F.col("circle").cast("double"), "limit": F.lit(float("inf"))})
+    return materialised(out.drop("n"))
+
+
+def _limited(aims: DataFrame, known: DataFrame) -> DataFrame:
+    """aims with the time that each goal is known to take at most."""
+    at = known.join(aims.select("origin", "goal", "node"), ["origin", "node"]).groupBy("origin", "goal").agg(F.min("s").alias("at_most"))
+    return aims.join(at, ["origin", "goal"], "left").withColumn("limit", F.coalesce("at_most", F.lit(float("inf")))).drop("at_most")
+
+
+def _circles(aims: DataFrame) -> DataFrame:
+    """origin, circles: centre, radius and limit of each, one after another."""
+    goal = aims.groupBy("origin", "circle", "goal").agg(F.first("y").alias("y"), F.first("x").alias("x"), F.max("far").alias("far"), F.min("limit").alias("limit"))
+    circle = goal.groupBy("origin", "circle").agg(F.first("y").alias("y"), F.first("x").alias("x"), F.max("far").alias("far"), F.max("limit").alias("limit"))
+    listed = circle.groupBy("origin").agg(F.array_sort(F.collect_list(F.struct("circle", "y", "x", "far", "limit"))).alias("c"))
+    return listed.select("origin", F.flatten(F.transform("c", lambda c: F.array(F.coalesce(c["y"], F.lit(0.0)), F.coalesce(c["x"], F.lit(0.0)), c["far"], c["limit"]))).alias("circles"))
+
+
+def shortest_paths(origins: DataFrame, edges: DataFrame, max_rounds: int = 10_000, regions: DataFrame | None = None, region_edges: int = REGION_EDGES, nodes: DataFrame | None = None) -> DataFrame:
     """origin, node, seconds, metres for all nodes that origins (origin) reach over edges (u, v, seconds, metres); ids are longs.
 
-    regions (node, region): where nodes belong, such as their tiles; without it a hash deals them out. Rounds go on until no label
-    improves; more than max_rounds crossings of borders, or a cycle of negative length, raise.
+    Rounds go on until no label improves; more than max_rounds crossings of borders, or a cycle of negative length, raise. regions, region_edges and
+    nodes: see Graph.
     """
-    spark = edges.sparkSession
-    e = materialised(edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"), F.col("seconds").cast("double").alias("s"), F.col("metres").cast("double").alias("m")))
-    first = materialised(origins.select(F.col("origin").cast("long").alias("origin")).distinct())
-    n_edges, n_origins = e.count(), first.count()
-    if regions is None:
-        n_regions = max(1, -(-n_edges // region_edges))
-
-        def place(df: DataFrame, node: str, name: str) -> DataFrame:
-            return df.withColumn(name, F.pmod(F.xxhash64(node), F.lit(n_regions)))
-    else:
-        known = materialised(regions.select(F.col("node").alias("_node"), F.col("region").cast("long").alias("_region")))
-        n_regions = known.select("_region").distinct().count()
-
-        def place(df: DataFrame, node: str, name: str) -> DataFrame:
-            return df.join(known, df[node] == known["_node"], "left").withColumn(name, F.coalesce("_region", F.lit(-1))).drop("_node", "_region")
-
-    parts = max(min(n_origins, -(-spark.sparkContext.defaultParallelism // max(1, n_regions))), -(-n_origins * n_edges // max(1, n_regions) // GROUP_LABELS), 1)
-    part = F.pmod(F.xxhash64("origin"), F.lit(parts)).cast("int").alias("part")
-    e = place(place(e, "v", "v_region"), "u", "region").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    e = materialised(e.select("region", "part", "u", "v", "s", "m", "v_region"))
-    zero = F.lit(0.0)
-    labels = place(first, "origin", "region").select("region", part, "origin", F.col("origin").alias("node"), zero.alias("seconds"), zero.alias("metres"), F.lit(True).alias("fresh"))
-    for _ in range(max_rounds):
-        moved = labels.groupBy("region", "part").cogroup(e.groupBy("region", "part")).applyInArrow(_relax, LABEL)
-        was = F.min(F.when(~F.col("fresh"), F.struct("seconds", "metres"))).alias("was")
-        best = moved.groupBy("region", "part", "origin", "node").agg(F.min(F.struct("seconds", "metres")).alias("x"), was)
-        labels = materialised(best.select("region", "part", "origin", "node", "x.*", (F.col("was").isNull() | (F.col("x") < F.col("was"))).alias("fresh")))
-        if labels.filter("fresh").isEmpty():
-            return labels.select("origin", "node", "seconds", "metres")
-    raise RuntimeError(f"shortest paths did not settle in {max_rounds} rounds")
+    labels = Graph(edges, nodes, regions, region_edges).search(origins, None, max_rounds)
+    best = labels.groupBy("origin", "node").agg(F.min(F.struct("s", "m")).alias("x"))
+    return best.select("origin", "node", F.col("x.s").alias("seconds"), F.col("x.m").alias("metres"))
+
+
+def routes(goals: DataFrame, graph: Graph, max_rounds: int = 10_000) -> DataFrame:
+    """origin, goal, seconds, metres of every goal that is reached: goals (origin, goal, node, lat, lon), where a goal may have several nodes and is reached
+    at the best of them. Repeated rows count once; goals without a node are left out."""
+    asked = goals.select(F.col("origin").cast("long").alias("origin"), "goal", F.col("node").cast("long").alias("node"), F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"))
+    asked = materialised(asked.filter("origin IS NOT NULL AND goal IS NOT NULL AND node IS NOT NULL").dropDuplicates(["origin", "goal", "node"]))
+    labels = graph.search(asked.select("origin"), asked, max_rounds)
+    met = labels.join(asked.select("origin", "goal", "node"), ["origin", "node"]).groupBy("origin", "goal").agg(F.min(F.struct("s", "m")).alias("x"))
+    return met.select("origin", "goal", F.col("x.s").alias("seconds"), F.col("x.m").alias("metres"))
 
 
 def cascade(pairs: DataFrame, cached: DataFrame, l0: DataFrame, l1: DataFrame, threshold_km: float) -> DataFrame:

@@ -57,6 +57,58 @@ def test_shortest_paths_over_regions(spark):
     assert routing.shortest_paths(origins.limit(0), edges).count() == 0
 
 
+def plain_paths(rows, origin):
+    """rows: (u, v, seconds, metres)."""
+    out, best, queue = {}, {}, [((0.0, 0.0), origin)]
+    for u, v, s, m in rows:
+        out.setdefault(u, []).append((v, s, m))
+    while queue:
+        d, u = heapq.heappop(queue)
+        if u not in best:
+            best[u] = d
+            for v, s, m in out.get(u, ()):
+                if v not in best:
+                    heapq.heappush(queue, ((d[0] + s, d[1] + m), v))
+    return best
+
+
+def road_grid(side, seed):
+    """Nodes 0.02 degrees apart and roads between neighbours, both ways, of speeds from 10 to 30 m/s."""
+    rng = random.Random(seed)
+    nodes = [(x * side + y, 40 + 0.02 * y, -100 + 0.02 * x) for x in range(side) for y in range(side)]
+    rows = []
+    for x in range(side):
+        for y in range(side):
+            for v in ([(x + 1) * side + y] if x + 1 < side else []) + ([x * side + y + 1] if y + 1 < side else []):
+                metres = 2224.0 if v == x * side + y + 1 else 1800.0
+                rows += [(a, b, round(metres / rng.uniform(10, 30), 1), metres) for a, b in ((x * side + y, v), (v, x * side + y))]
+    return nodes, rows
+
+
+@pytest.mark.parametrize("region_edges", [100_000, 900])
+def test_routes_aim_and_stop(spark, region_edges):
+    """Times and lengths of a plain search, for few goals, many goals, goals of several nodes and unreachable ones, from a small share of its labels."""
+    nodes, rows = road_grid(40, 3)
+    table = spark.createDataFrame([*nodes, (5000, 41.0, -99.0), (5001, None, None)], "id long, lat double, lon double")
+    edges = spark.createDataFrame(rows, "u long, v long, seconds double, metres double")
+    at = {n: (lat, lon) for n, lat, lon in nodes} | {5000: (41.0, -99.0), 5001: (None, None)}
+    asked = [(0, "near", 82), (0, "near", 121), (0, "near", 121), (820, "far", 1590), (820, "self", 820), (1599, "nowhere", 5000), (1599, "lost", 5001), (1599, "found", 1597), (None, "x", 3), (5, None, 3), (5, "none", None)]
+    asked += [(40, f"g{k}", k) for k in range(300)]
+    goals = spark.createDataFrame([(o, g, n, *at.get(n, (None, None))) for o, g, n in asked], "origin long, goal string, node long, lat double, lon double")
+    road = routing.Graph(edges, table, region_edges=region_edges)
+    want = {}
+    for o, g, n in asked:
+        if None not in (o, g, n) and n in (best := plain_paths(rows, o)):
+            want[o, g] = min(want.get((o, g), best[n]), best[n])
+    found = {(r.origin, r.goal): (r.seconds, r.metres) for r in routing.routes(goals, road).collect()}
+    assert found == {k: pytest.approx(v) for k, v in want.items()}
+    few = goals.filter("origin IN (0, 820)")
+    kept = road.search(few.select("origin"), few).select("origin", "node").distinct().groupBy("origin").count().collect()
+    kept = {r.origin: r["count"] for r in kept}
+    assert kept[0] < 0.1 * len(nodes) and kept[820] < 0.9 * len(nodes), kept
+    assert routing.routes(goals.limit(0), road).count() == 0
+
+
 def test_cascade(spark):
     leg = "origin long, dest long, seconds double, metres double"
     pairs = spark.createDataFrame([(1, 1, 10.0, True), (1, 2, 10.0, True), (1, 3, 900.0, True), (1, 4, 900.0, True), (1, 5, 1.0, False)], "origin long, dest long, km double, known boolean")

@@ -4,7 +4,7 @@ import os
 import duckdb
 import pytest
 
-from gridhaul.plans import field_queries  # noqa: F401  registers more queries
+from gridhaul.plans import field_queries, later_queries  # noqa: F401  register more queries
 from gridhaul.plans import queries as plans
 
 
