@@ -73,12 +73,11 @@ def sampled(rows: DataFrame, limit: int, *key: str, hard: bool = True) -> DataFr
     they are, so no task gathers more than the sample. Rows of one key come together; of a key that very many rows share, twice limit
     stay at most, unless hard is off."""
     n = rows.count()
-    steps = 1 << 24
-    mark = F.pmod(F.xxhash64(*key), F.lit(steps))
     if n <= limit:
         return rows
-    some = rows.filter(mark < int(steps * limit / n))
-    return some.limit(2 * limit) if hard else some
+    mark = F.shiftrightunsigned(F.xxhash64(*key), 4)  # 60 bits: no table is so large that the threshold falls to nothing
+    some = rows.filter(mark < (1 << 60) * limit // n)
+    return some.orderBy(mark, F.xxhash64(*rows.columns)).limit(2 * limit) if hard else some
 
 
 def bitmap(hashes: DataFrame, n: int) -> np.ndarray:

@@ -9,10 +9,11 @@ rest is the article.
 The classifier sees a block's length, sentences, share of link text, element, depth and place in the page, and the
 elements and names above it as hashed features; nothing is added to what it says. It is fitted by logistic regression on
 about SAMPLE_PAGES pages of the table whose elements say what they are (article against nav, footer, named adverts and so on: the rules
-of _teach, used for nothing else). Every example is fitted twice, once with the names withheld, so that pages without telling names
+of _teach, which give examples alone: features know article and main elements, and names by their hashes). Every example is fitted twice, once with the names withheld, so that pages without telling names
 are judged by the rest.
 
-Scripts, styles, comments, forms and the head are no blocks at all. Character references are decoded, white
+Scripts, styles, comments, forms and the head are no blocks at all; a form around an article element, or around FORM_TEXT characters of paragraphs, is read as its
+inside is, without its fields and buttons. Formulas and the fallback text of objects are text, noscript is inside articles alone. Character references are decoded, white
 space inside a block is one space, blocks are joined by one space in page order. Null and empty pages, and
 pages without content, give an empty string. Malformed markup is read as browsers do as far as blocks go: open
 elements end with their parents, an unfinished tag or comment ends the page. Repeated rows give repeated
@@ -39,8 +40,12 @@ from gridhaul.llm import common
 
 TOKEN = re.compile(r"<(?:!--(?P<note>.*?)(?:-->|\Z)|(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)|[!?/][^>]*(?:>|\Z))", re.S)
 NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
-RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math", "object", "canvas", "audio", "video"}
-SKIP = {"head", "form", "select", "button", "datalist"}  # nothing inside is a block
+RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "canvas", "audio", "video"}
+SKIP = {"head", "form", "select", "button", "datalist"}  # nothing inside is a block, unless a form holds an article
+FORM_END = re.compile(r"</form\s*>", re.I)
+PARAGRAPH = re.compile(r"<p\b[^>]*>(.*?)(?=</p|<p\b|\Z)", re.I | re.S)
+FORM_ARTICLE = re.compile(r"<(?:article|main)\b", re.I)
+FORM_TEXT = 400  # characters in paragraphs that make a form's inside an article
 BLOCKS = {
     "address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6",
     "header", "hgroup", "hr", "html", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
@@ -65,7 +70,8 @@ class Node:
     parent: Node | None
     depth: int
     odds: float = 0.0  # what the elements above and this one teach: above 0 content, below boilerplate
-    article: bool = False
+    taught: bool = False  # the elements or names above teach that this is an article
+    inside: bool = False  # an article or main element is above
     names: frozenset[int] = frozenset()  # hashed elements and names, this one's and those above
 
 
@@ -83,28 +89,35 @@ def _teach(node: Node, above: Node, names: str) -> None:
     tag = node.tag
     if tag in BOILER_TAGS:
         node.odds -= BOILER_TAGS[tag]
-    elif tag == "header" and not above.article:
+    elif tag == "header" and not above.taught:
         node.odds -= 9.0
-    elif tag in ("article", "main") and not above.article:
-        node.odds, node.article = node.odds + 5.0, True
+    elif tag in ("article", "main") and not above.taught:
+        node.odds, node.taught = node.odds + 5.0, True
     elif names and tag not in ("body", "html"):
         if BOILER_NAMES.search(names):
-            node.odds -= 9.0 if above.article else 7.0
-        elif CONTENT_NAMES.search(names) and not above.article:
-            node.odds, node.article = node.odds + 3.0, True
+            node.odds -= 9.0 if above.taught else 7.0
+        elif CONTENT_NAMES.search(names) and not above.taught:
+            node.odds, node.taught = node.odds + 3.0, True
 
 
 def _node(tag: str, attrs: str, parent: Node | None) -> Node:
     above = parent or Node("", None, 0)
-    node = Node(tag, parent, above.depth + 1, above.odds, above.article)
+    node = Node(tag, parent, above.depth + 1, above.odds, above.taught, above.inside or tag in ("article", "main"))
     names = " ".join(m.strip("\"'") for m in NAMED.findall(attrs)) if attrs else ""
     _teach(node, above, names)
-    inside = "in" if above.article else "out"
+    inside = "in" if above.inside else "out"
     said = [f"{tag} {inside}", *(f".{w}" for w in WORDS.findall(names.lower()))]
     node.names = above.names | {crc32(x.encode()) % NAME_SLOTS for x in said} if tag not in ("html", "body") else above.names
     return node
 
 
+def _holds_article(html: str, at: int) -> bool:
+    """Whether a form that begins at this place is around an article: it has such an element, or paragraphs of some length."""
+    stop = FORM_END.search(html, at)
+    inner = html[at : stop.start() if stop else len(html)]
+    return bool(FORM_ARTICLE.search(inner)) or sum(len(re.sub(r"<[^>]*>", "", p)) for p in PARAGRAPH.findall(inner)) >= FORM_TEXT
+
+
 def blocks(html: str) -> list[Block]:
     """The page's blocks of text in order."""
     out: list[Block] = []
@@ -134,7 +147,7 @@ def blocks(html: str) -> list[Block]:
         if tag is None:
             continue
         tag, closing = tag.lower(), bool(m["close"])
-        if tag in RAW and not closing:
+        if tag in RAW and not closing and not (tag == "noscript" and node.inside):
             if not m["attrs"].rstrip().endswith("/"):
                 stop = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
                 at = stop.end() if stop else len(html)
@@ -148,6 +161,8 @@ def blocks(html: str) -> list[Block]:
                 above = node
                 while above is not root and above.tag != tag:
                     above = above.parent
+                if above is root and tag == "form":
+                    continue
                 if above is not root:
                     while node is not above.parent:
                         skip -= node.tag in SKIP
@@ -156,8 +171,9 @@ def blocks(html: str) -> list[Block]:
                 ends = SELF_ENDING.get(tag, {"p"} if node.tag == "p" else ())
                 while node.tag in ends or node.tag == "p":
                     node = node.parent
-                node = _node(tag, m["attrs"], node)
-                skip += tag in SKIP
+                open_form = tag == "form" and _holds_article(html, at)
+                node = _node("div" if open_form else tag, m["attrs"], node)
+                skip += node.tag in SKIP
                 if tag == "body":  # a head that was never closed ends here
                     skip = 0
     if at < len(html):

@@ -26,7 +26,6 @@ from gridhaul.llm.labelled import labelled_documents, labelled_ids
 MAX_TOXIC, MAX_CLEAN = 3_000, 6_000
 CANDIDATES = 30_000  # features that enough toxic texts of the sample have
 MAX_FEATURES = 1_000
-NONE = 0xFFFF  # no feature's number
 LEAST = 4  # toxic texts with a feature
 STEMS = (4, 5, 6)
 CACHE = 400_000
@@ -123,12 +122,15 @@ def counterfactuals(text: bytes, index: Index) -> list[tuple[list[int], list[int
     return out
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, changes: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, float]:
+GRAM_PARTS = 8  # matrices of features by features that the driver adds
+
+
+def fit_logistic(x: np.ndarray, y: np.ndarray, changes: np.ndarray, rounds: int = 25, gram: np.ndarray | None = None) -> tuple[np.ndarray, float]:
     """Weights and intercept: logistic loss, ridge, and the squared score change of each row of changes (features of the
-    swapped text less those of the text, scaled by the root of its share)."""
+    swapped text less those of the text, scaled by the root of its share); gram, if given, is the sum of their outer products."""
     n, d = x.shape
     penalty = np.full(d, RIDGE)
-    change = COUNTERFACTUAL * (changes.T @ changes) if len(changes) else np.zeros((d, d))
+    change = COUNTERFACTUAL * (gram if gram is not None else changes.T @ changes)
     w, b0 = np.zeros(d), 0.0
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w.astype(x.dtype) + b0, -30, 30)))
@@ -167,10 +169,38 @@ class Model:
         return lambda text: float(1 / (1 + np.exp(-np.clip(sum(w[k] for k in index.of(text)) + b0, -30, 30))))
 
 
+def _swap_gram(sample: DataFrame, names: list[bytes], place: np.ndarray, d: int) -> np.ndarray:
+    """The sum over swaps of the outer product of their score changes, a text's swaps weighing one together: added up in the workers, GRAM_PARTS
+    matrices come to the driver."""
+    sent = sample.sparkSession.sparkContext.broadcast((names, place))
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, place = sent.value
+        index, total = Index(names), np.zeros((d, d))
+        for b in batches:
+            for text in common.blobs(b.column("text")):
+                changes = []
+                for lost, gained in counterfactuals(text, index):
+                    row = np.zeros(d)
+                    for side, sign in ((lost, -1.0), (gained, 1.0)):
+                        at = place[np.array(list(side), np.int64)]
+                        row[at[at >= 0]] = sign
+                    changes.append(row)
+                if changes:
+                    rows = np.array(changes)
+                    total += rows.T @ rows / len(rows)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["gram"])
+
+    parts = sample.select("doc_id", "text").repartition(GRAM_PARTS, "doc_id").mapInArrow(added, "gram binary").collect()
+    return sum((np.frombuffer(r.gram).reshape(d, d) for r in parts), np.zeros((d, d)))
+
+
 def fit(docs: DataFrame, labels: DataFrame, wanted) -> Model | None:
     spark = docs.sparkSession
-    some = [labelled_ids(labels.filter(F.col("toxic") == k), "toxic", wanted, n) for k, n in ((1, MAX_TOXIC), (0, MAX_CLEAN))]
-    sample = common.work_table(labelled_documents(docs, some[0].unionByName(some[1])).dropDuplicates(["doc_id"]), "toxicity-sample")
+    known = labels.filter(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.min("toxic").alias("toxic"))  # of contradicting labels the least
+    some = [labelled_ids(known.filter(F.col("toxic") == k), "toxic", wanted, n) for k, n in ((1, MAX_TOXIC), (0, MAX_CLEAN))]
+    texts = labelled_documents(docs, some[0].unionByName(some[1])).groupBy("doc_id", "label").agg(F.min("text").alias("text"))  # of several texts the least
+    sample = common.work_table(texts, "toxicity-sample")
     names = _candidates(sample.filter("label = 1"))
     sent = spark.sparkContext.broadcast(names)
 
@@ -180,10 +210,9 @@ def fit(docs: DataFrame, labels: DataFrame, wanted) -> Model | None:
             if b.num_rows:
                 texts = common.blobs(b.column("text"))
                 x = [np.array(sorted(index.of(t)), "<u2").tobytes() for t in texts]
-                swaps = [[np.array([*lost, NONE, *gained], "<u2").tobytes() for lost, gained in counterfactuals(t, index)] for t in texts]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array(x, pa.binary()), pa.array(swaps, pa.list_(pa.binary()))], names=["doc_id", "label", "x", "swaps"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array(x, pa.binary())], names=["doc_id", "label", "x"])
 
-    found = sorted(sample.mapInArrow(rows, "doc_id long, label int, x binary, swaps array<binary>").collect(), key=lambda r: r.doc_id)
+    found = sorted(sample.mapInArrow(rows, "doc_id long, label int, x binary").collect(), key=lambda r: r.doc_id)
     y = np.array([r.label for r in found], float)
     if not ((y == 0).any() and (y == 1).any()):
         return None
@@ -203,16 +232,7 @@ def fit(docs: DataFrame, labels: DataFrame, wanted) -> Model | None:
         at = place[np.frombuffer(r.x, "<u2")]
         x[i, at[at >= 0]] = 1
     kept = [names[k] for k in chosen]
-    changes = []
-    for r in found:
-        for swap in r.swaps:
-            at = np.frombuffer(swap, "<u2")
-            cut, row = int(np.flatnonzero(at == NONE)[0]), np.zeros(len(chosen))
-            for side, sign in ((at[:cut], -1.0), (at[cut + 1 :], 1.0)):
-                row[place[side][place[side] >= 0]] = sign
-            if row.any():
-                changes.append(row / np.sqrt(len(r.swaps)))
-    weights, intercept = fit_logistic(x, y, np.array(changes))
+    weights, intercept = fit_logistic(x, y, np.zeros((0, len(chosen))), gram=_swap_gram(sample, names, place, len(chosen)))
     logits = x @ weights.astype(x.dtype) + intercept
     return Model(kept, weights, intercept - cut_point(logits, y))
 

@@ -4,7 +4,7 @@ Headers (page id, url, digest, length) are written once and shuffled by digest t
 occurs more than once; headers of the others join it and become revisit records, which need no payload. Pages whose
 digest isn't repeated, as a bitmap of the repeated digests tells, become responses where they are; only pages that may be revisits are
 shuffled, by page, to leave the revisits out. Archives are WARC/1.1, a gzip member a record (records of 16 MB and more take several), in
-files bounded by bytes, written by Spark's own committer: the line separator of its text writer is the zero byte that ends every member.
+files that end with the record that reaches FILE_BYTES, a folder for every so manieth file of a task, written by Spark's own committer: the line separator of its text writer is the zero byte that ends every member.
 They are read back a member at a time, and revisit records are resolved by joining them to the response that they refer to.
 
 Payloads under min_bytes are never revisits. Of equal payloads the largest page_id is the response; repeated
@@ -30,7 +30,7 @@ MIN_BYTES = 1000
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 TYPED = "page_id long, url string, record_type string, payload_digest string, payload_bytes long, record_id string, refers_id string, date string"
-FILE_BYTES = 64 << 20  # of payload in an archive file, about
+FILE_BYTES = 64 << 20  # an archive file ends with the record that reaches so many bytes
 MEMBER = (1 << 24) - 1  # bytes in a gzip member; the last byte of its length is zero
 
 
@@ -74,7 +74,7 @@ def _members(record: bytes) -> bytes:
     return b"".join(gzip.compress(record[at : at + MEMBER], 6, mtime=0) for at in range(0, len(record), MEMBER))
 
 
-def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES, date: str = DATE) -> None:
+def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES, date: str = DATE, file_bytes: int = FILE_BYTES) -> None:
     """Write every page as a response or revisit record, with fresh headers."""
     spark = pages.sparkSession
     head = common.work_table(digests(pages).drop("html"), "warc-headers")
@@ -97,14 +97,18 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES, date
     kept = rows.filter("NOT maybe").unionByName(firsts).select("page_id", "url", "digest", "bytes", F.coalesce("html", F.lit("")).alias("html"), F.lit(None).cast("long").alias("first_id"), F.lit(None).cast("string").alias("first_url"), F.lit(False).alias("revisit"))
     kept = kept.unionByName(again.withColumns({"html": F.lit(None).cast("string"), "revisit": F.lit(True)}))
 
-    def records(b: pa.RecordBatch) -> pa.RecordBatch:
-        names = ("page_id", "url", "digest", "bytes", "html", "first_id", "first_url", "revisit")
-        out = [_members(_record(page, url, digest, size, html, (first, first_url) if revisit else None, date))[:-1] for page, url, digest, size, html, first, first_url, revisit in zip(*(b.column(c).to_pylist() for c in names), strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
-
-    mean = head.agg(F.coalesce(F.avg("bytes"), F.lit(0.0))).first()[0]
-    lines = kept.mapInArrow(common.per_batch(records), "value binary").select(F.col("value").cast("string").alias("value"))
-    lines.write.option("lineSep", "\0").option("compression", "none").option("maxRecordsPerFile", max(1, int(FILE_BYTES / (mean + 600)))).text(path)
+    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, written = ("page_id", "url", "digest", "bytes", "html", "first_id", "first_url", "revisit"), 0
+        for b in batches:
+            out, files = [], []
+            for page, url, digest, size, html, first, first_url, revisit in zip(*(b.column(c).to_pylist() for c in names), strict=True):
+                out.append(_members(_record(page, url, digest, size, html, (first, first_url) if revisit else None, date))[:-1])
+                files.append(written // file_bytes)
+                written += len(out[-1]) + 1
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(files, pa.int64())], names=["value", "file"])
+
+    lines = kept.mapInArrow(records, "value binary, file long").select(F.col("value").cast("string").alias("value"), "file")
+    lines.write.partitionBy("file").option("lineSep", "\0").option("compression", "none").text(path)
     common.discard(head, copies, again)
 
 

@@ -106,7 +106,7 @@ def test_warc_round_trip(spark):
         again = first != i
         want.append((i, len(body), hashlib.sha1(body).hexdigest(), "revisit" if again else "response", first if again else None, None if again else (h or "")))
     assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to, r.payload) for r in found), key=str) == sorted(want, key=str)
-    data = b"".join(open(f, "rb").read() for f in sorted(glob.glob(f"{path}/part-*")))
+    data = b"".join(open(f, "rb").read() for f in sorted(glob.glob(f"{path}/**/part-*", recursive=True)))
     assert gzip.decompress(data).count(b"WARC/1.1\r\nWARC-Type") == len(rows)  # plain gzip, readable by anyone
     warc.write_archives(table.limit(0), f"{path}-empty")
     assert warc.read_archives(spark, f"{path}-empty").count() == 0
