@@ -122,7 +122,7 @@ def counterfactuals(text: bytes, index: Index) -> list[tuple[list[int], list[int
     return out
 
 
-GRAM_PARTS = 8  # matrices of features by features that the driver adds
+GRAM_PARTS = 8  # groups of the sample whose sums the driver adds
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, changes: np.ndarray, rounds: int = 25, gram: np.ndarray | None = None) -> tuple[np.ndarray, float]:
@@ -170,29 +170,33 @@ class Model:
 
 
 def _swap_gram(sample: DataFrame, names: list[bytes], place: np.ndarray, d: int) -> np.ndarray:
-    """The sum over swaps of the outer product of their score changes, a text's swaps weighing one together: added up in the workers, GRAM_PARTS
-    matrices come to the driver."""
+    """The sum over swaps of the outer product of their score changes, a text's swaps weighing one together: added up in GRAM_PARTS groups of the
+    sample, of which only the features that swaps change come to the driver."""
     sent = sample.sparkSession.sparkContext.broadcast((names, place))
 
-    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def added(table: pa.Table) -> pa.Table:
         names, place = sent.value
         index, total = Index(names), np.zeros((d, d))
-        for b in batches:
-            for text in common.blobs(b.column("text")):
-                changes = []
-                for lost, gained in counterfactuals(text, index):
-                    row = np.zeros(d)
-                    for side, sign in ((lost, -1.0), (gained, 1.0)):
-                        at = place[np.array(list(side), np.int64)]
-                        row[at[at >= 0]] = sign
-                    changes.append(row)
-                if changes:
-                    rows = np.array(changes)
-                    total += rows.T @ rows / len(rows)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["gram"])
-
-    parts = sample.select("doc_id", "text").repartition(GRAM_PARTS, "doc_id").mapInArrow(added, "gram binary").collect()
-    return sum((np.frombuffer(r.gram).reshape(d, d) for r in parts), np.zeros((d, d)))
+        for text in common.blobs(table.column("text")):
+            changes = []
+            for lost, gained in counterfactuals(text, index):
+                row = np.zeros(d)
+                for side, sign in ((lost, -1.0), (gained, 1.0)):
+                    at = place[np.array(side, np.int64)]
+                    row[at[at >= 0]] = sign
+                changes.append(row)
+            if changes:
+                rows = np.array(changes)
+                total += rows.T @ rows / len(rows)
+        used = np.flatnonzero(total.diagonal())
+        return pa.table({"used": pa.array([used.astype("<i8").tobytes()], pa.binary()), "gram": pa.array([total[np.ix_(used, used)].tobytes()], pa.binary())})
+
+    dealt = sample.select(F.pmod(F.xxhash64("doc_id"), F.lit(GRAM_PARTS)).alias("key"), "text").groupBy("key")
+    out = np.zeros((d, d))
+    for r in dealt.applyInArrow(added, "used binary, gram binary").collect():
+        used = np.frombuffer(r.used, "<i8")
+        out[np.ix_(used, used)] += np.frombuffer(r.gram).reshape(len(used), len(used))
+    return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, wanted) -> Model | None:
