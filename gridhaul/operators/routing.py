@@ -1,7 +1,7 @@
 """One-to-many shortest paths over regions of a road graph, and the cascade of routers.
 
 Nodes belong to regions: tiles as coarse as a bound on a region's edges allows where positions are known, else parts by a hash. The edges of a
-region are packed once, as one row in the shared folder. A round sends fresh labels (best time and length from an origin to a node) to their region, and
+region are packed once, in a few rows in the shared folder. A round sends fresh labels (best time and length from an origin to a node) to their region, and
 with them what is known of the same origin there; regions without fresh labels take no part. Each origin's labels are followed to the
 end inside the region, one origin after another, so a task holds one region and one origin's labels; labels of nodes beyond the border are
 fresh in the next round. So rounds count crossings of borders. A region is copied only where its labels fill more than one group, or while
@@ -10,7 +10,7 @@ there are fewer regions than cores. What improves is appended; nothing is writte
 With goals the search is directed and stops: a label counts only while its time, and the least time from there to some goal that is still open for it,
 isn't above what that goal is known to take. The least time is the great circle at the fastest edge's speed, so paths stay exact. Of an origin's many
 goals near ones share a circle. Labels with the least sum go first, inside a region and over rounds: those whose sum is more than AHEAD times the least of
-their origin wait, until a goal is reached or the others are done. A round later every region knows what the others found.
+their origin wait, in later rounds those more than twice, four times as many times above it. A round later every region knows what the others found.
 """
 
 from __future__ import annotations
@@ -30,9 +30,10 @@ from gridhaul.operators.materialise import materialised
 REGION_EDGES = 500_000  # edges of a region, about
 GROUP_LABELS = 2_000_000  # fresh labels that meet in one group, about
 CIRCLES = 256  # of an origin's goals
+BLOCKS = 16  # rows that a region's edges are packed into
 LEVELS = 12  # the coarsest region is 2^11 tiles wide
 NEAR = 64  # labels that go first, at least
-AHEAD = 2.0  # labels whose sum is so many times the least wait
+AHEAD = 2.0  # labels whose sum is so many times the least wait a round; twice as many times from round to round
 ROUNDS_KEPT = 8  # tables of improved labels before they are merged
 EDGES, GOAL, KNOWN, FRESH = range(4)
 FIRST = -(1 << 63)  # sorts before every origin
@@ -43,13 +44,14 @@ FOUND = "region long, origin long, node long, s double, m double, here boolean,
 class _Region:
     """Packed edges, and the best labels of one origin at a time."""
 
-    def __init__(self, data: bytes | None):
-        if data is None:
+    def __init__(self, blocks: list[bytes]):
+        if not blocks:
             u = v = v_region = np.zeros(0, np.int64)
             s = m = lat = lon = np.zeros(0)
         else:
-            t = pa.ipc.open_stream(data).read_all()
-            u, v, v_region, s, m, lat, lon = (t.column(c).to_numpy() for c in ("u", "v", "v_region", "s", "m", "lat", "lon"))
+            t = pa.concat_tables([pa.ipc.open_stream(b).read_all() for b in blocks])
+            order = np.argsort(t.column("u").to_numpy(), kind="stable")
+            u, v, v_region, s, m, lat, lon = (t.column(c).to_numpy()[order] for c in ("u", "v", "v_region", "s", "m", "lat", "lon"))
         self.nodes = np.unique(np.concatenate([u, v]))
         head, self.tail = np.searchsorted(self.nodes, u), np.searchsorted(self.nodes, v)
         self.head, self.s, self.m, self.v_region = head, s, m, v_region
@@ -158,13 +160,13 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 def _relaxed(pace: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        where, region = None, _Region(None)
+        where, region = None, _Region([])
         for rows in _runs(batches):
             here, origin = rows.column("region")[0].as_py(), rows.column("origin")[0].as_py()
             if (here, rows.column("part")[0].as_py()) != where:
-                where, region = (here, rows.column("part")[0].as_py()), _Region(None)
+                where, region = (here, rows.column("part")[0].as_py()), _Region([])
             if origin == FIRST:
-                region = _Region(rows.column("data")[0].as_py())
+                region = _Region(rows.column("data").to_pylist())
                 continue
             kind, node, s, m = (rows.column(c).to_numpy() for c in ("kind", "node", "s", "m"))
             circles = next((np.array(c.as_py()).reshape(-1, 4) for c in rows.column("circles") if c.is_valid), None)
@@ -176,7 +178,7 @@ def _relaxed(pace: float):
 
 
 def _packed(key: tuple, table: pa.Table) -> pa.Table:
-    table = table.drop_columns(["region"]).sort_by([("u", "ascending"), ("v", "ascending"), ("s", "ascending"), ("m", "ascending")])
+    table = table.drop_columns(["region", "block"]).sort_by([("u", "ascending"), ("v", "ascending"), ("s", "ascending"), ("m", "ascending")])
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema) as out:
         out.write_table(table)
@@ -217,7 +219,8 @@ class Graph:
             placed = e.withColumns({"region": self.of(F.col("u_lat"), F.col("u_lon")), "v_region": self.of(F.col("lat"), F.col("lon"))})
         else:
             placed = self.place(self.place(e, "v", "v_region"), "u", "region")
-        self.packed = materialised(placed.select("region", "u", "v", "v_region", "s", "m", "lat", "lon").groupBy("region").applyInArrow(_packed, "region long, data binary"))
+        blocks = placed.select("region", F.pmod(F.xxhash64("u"), F.lit(BLOCKS)).alias("block"), "u", "v", "v_region", "s", "m", "lat", "lon")
+        self.packed = materialised(blocks.groupBy("region", "block").applyInArrow(_packed, "region long, data binary"))
 
     @staticmethod
     def _level(e: DataFrame, most: int) -> int:
@@ -241,12 +244,12 @@ class Graph:
         fresh = materialised(self.place(first, "node", "region").select("region", "origin", "node", zero.alias("s"), zero.alias("m"), zero.alias("key")))
         aims = None if goals is None else _circled(materialised(self.place(goals, "node", "region")))
         known: list[DataFrame] = []
-        for _ in range(max_rounds):
+        for turn in range(max_rounds):
             waiting, told = None, aims
             if aims is not None and known:
                 told = materialised(_limited(aims, _union(known)))
                 open_ = fresh.join(told.groupBy("origin").agg(F.max("limit").alias("last")), "origin").filter("key <= last").drop("last")
-                open_ = materialised(open_.withColumn("cap", AHEAD * F.min("key").over(Window.partitionBy("origin"))))
+                open_ = materialised(open_.withColumn("cap", float(AHEAD ** min(turn, 60)) * F.min("key").over(Window.partitionBy("origin"))))
                 waiting, fresh = open_.filter("key > cap").drop("cap"), open_.filter("key <= cap")
             touched, n_origins = fresh.agg(F.count_distinct("region"), F.count_distinct("origin")).first()
             if not touched:
