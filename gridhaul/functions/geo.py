@@ -9,10 +9,10 @@ from gridhaul.functions.constants import CELL_DEG, EARTH_M, FEET_A_METRE, METRES
 
 
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    """Great-circle metres."""
+    """Great-circle metres; null where a coordinate is."""
     dlat, dlon = F.radians(lat2 - lat1) / 2, F.radians(lon2 - lon1) / 2
     a = F.sin(dlat) * F.sin(dlat) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.sin(dlon) * F.sin(dlon)
-    return 2 * EARTH_M * F.asin(F.sqrt(F.least(a, F.lit(1.0))))
+    return 2 * EARTH_M * F.asin(F.sqrt(F.when(a > 1.0, F.lit(1.0)).otherwise(a)))  # least would pass nulls over
 
 
 def planar_separation(lat1: Column, lon1: Column, lat2: Column, lon2: Column, at_lat: Column) -> Column:

@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import SparkSession
-from pyspark.sql.functions import udtf
 
 FUNCTIONS = {
-    "haversine_m(a DOUBLE, b DOUBLE, c DOUBLE, d DOUBLE) RETURNS DOUBLE": "2 * 6371000.0D * asin(sqrt(least(1.0D, sin(radians(c - a) / 2) * sin(radians(c - a) / 2) + cos(radians(a)) * cos(radians(c)) * sin(radians(d - b) / 2) * sin(radians(d - b) / 2))))",
+    "haversine_m(a DOUBLE, b DOUBLE, c DOUBLE, d DOUBLE) RETURNS DOUBLE": "CASE WHEN isnotnull(a + b + c + d) THEN 2 * 6371000.0D * asin(sqrt(least(1.0D, sin(radians(c - a) / 2) * sin(radians(c - a) / 2) + cos(radians(a)) * cos(radians(c)) * sin(radians(d - b) / 2) * sin(radians(d - b) / 2)))) END",
     "tile_x(lon DOUBLE) RETURNS INT": "CAST(floor((lon + 180) / 0.25D) AS INT)",
     "tile_y(lat DOUBLE) RETURNS INT": "CAST(floor((lat + 90) / 0.25D) AS INT)",
     "half_up(x DOUBLE) RETURNS BIGINT": "CAST(floor(x + 0.5D) AS BIGINT)",
@@ -17,30 +14,14 @@ FUNCTIONS = {
 }
 
 
-@udtf(returnType="origin INT, dest INT, metres DOUBLE")
-class RouteMatrix:
-    """Rows of a small matrix: great circles between two lists of points as text (lat,lng with bars between)."""
-
-    def eval(self, origins: str, destinations: str):
-        def points(text: str | None):
-            for k, part in enumerate(p for p in (text or "").split("|") if p.strip()):
-                try:
-                    lat, lon = (math.radians(float(x)) for x in part.split(","))
-                    yield k, lat, lon
-                except ValueError:
-                    yield k, None, None
-
-        goals = list(points(destinations))
-        for o, a, b in points(origins):
-            for d, c, e in goals:
-                if a is None or c is None:
-                    yield o, d, None
-                else:
-                    h = math.sin((c - a) / 2) ** 2 + math.cos(a) * math.cos(c) * math.sin((e - b) / 2) ** 2
-                    yield o, d, 2 * 6_371_000.0 * math.asin(math.sqrt(min(1.0, h)))
+#: Great circles between two lists of points as text (lat,lng with bars between), blank places left out: a row a pair, by their places from 0; null where an end is no point.
+_POINTS = "transform(filter(split({0}, '[|]'), p -> trim(p) <> ''), p -> IF(size(split(p, ',')) = 2, array(try_cast(trim(split(p, ',')[0]) AS DOUBLE), try_cast(trim(split(p, ',')[1]) AS DOUBLE)), array(NULL, NULL)))"
+TABLE_FUNCTIONS = {
+    "route_matrix(origins STRING, destinations STRING) RETURNS TABLE (origin INT, dest INT, metres DOUBLE)": f"SELECT o, d, haversine_m(p[0], p[1], q[0], q[1]) FROM inline(flatten(transform({_POINTS.format('origins')}, (p, o) -> transform({_POINTS.format('destinations')}, (q, d) -> struct(o, d, p, q))))) AS x(o, d, p, q)",
+}
 
 
 def register(spark: SparkSession) -> None:
-    for head, body in FUNCTIONS.items():
+    """Temporary functions of the session; those of tables are SQL as well, so Catalyst inlines them into the plan of the caller (FROM t, LATERAL route_matrix(...))."""
+    for head, body in (FUNCTIONS | TABLE_FUNCTIONS).items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}")
-    spark.udtf.register("route_matrix", RouteMatrix)

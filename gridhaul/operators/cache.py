@@ -37,3 +37,10 @@ def cached_legs(pairs: DataFrame, entries: DataFrame, version: str, now: int) ->
     key = keys.leg_cache_key(F.lit(version), F.col("origin"), F.col("dest"))
     hit = live(entries, LEG, now).filter("v.t IS NOT NULL AND v.l IS NOT NULL")
     return pairs.select("origin", "dest", key.alias("key")).distinct().join(hit, "key").select("origin", "dest", F.col("v.t").alias("seconds"), F.col("v.l").alias("metres"))
+
+
+def cached_points(asked: DataFrame, entries: DataFrame, version: str, now: int) -> DataFrame:
+    """id, match, lat, lon of asked (id, normalized) that the cache answers; entries that have expired, can't be read or lack a place don't count."""
+    hit = live(entries, POINT, now).filter("v.lat IS NOT NULL AND v.lon IS NOT NULL AND v.match IS NOT NULL")
+    key = keys.address_cache_key(F.lit(version), F.col("normalized"))
+    return asked.select("id", key.alias("key")).join(hit, "key").select("id", "v.match", "v.lat", "v.lon")

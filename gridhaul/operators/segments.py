@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridhaul.functions import text as X
 
+SHIFTS = [*range(8, 62, 6)]  # widths of bands of house numbers, in bits
+
 
 def sides(lines: DataFrame) -> DataFrame:
     """One row a side of each road line (id, state, ...) whose two address ends are numbers."""
@@ -21,14 +23,29 @@ def sides(lines: DataFrame) -> DataFrame:
     return found.filter("s.ok").select("id", "state", "street", "s.side", "s.zip", "s.from_hn", "s.to_hn", "from_lat", "from_lon", "to_lat", "to_lon")
 
 
+def _level(span: Column) -> Column:
+    """The finest width of bands of which a range of this span touches at most 65."""
+    found = F.lit(SHIFTS[-1])
+    for shift in reversed(SHIFTS[:-1]):
+        found = F.when(span < (64 << shift), shift).otherwise(found)
+    return found
+
+
 def interpolate(asked: DataFrame, segments: DataFrame) -> DataFrame:
     """id, segment, lat, lon: asked (id, state, number, street, zip) on the segment of its state and street that holds the number;
     one of its own zip before any other, then by segment id and side. The middle if the range is a single number.
 
-    The first segment is a partial aggregate, so a street that many ask for is never gathered. Without a state there is no answer.
+    State, street and a band of numbers are the key, so a long street's numbers meet the segments near them alone. Bands are 256 numbers
+    wide, for wider ranges 64 times as much, and so on: a segment has at most 65 bands, a number looks in one of each width. The first segment is a partial
+    aggregate, so a street that many ask for is never gathered. Without a state or number there is no answer.
     """
-    a, s = asked.alias("a"), segments.alias("s")
-    joined = a.join(s, (F.col("a.state") == F.col("s.state")) & (F.col("a.street") == F.col("s.street")) & F.col("a.number").between(F.col("s.from_hn"), F.col("s.to_hn")))
+    widths = F.array(*(F.struct(F.lit(k).alias("width"), F.shiftright(F.col("number"), k).alias("band")) for k in SHIFTS))
+    a = asked.withColumn("number", F.col("number").cast("long")).filter("number IS NOT NULL").withColumn("at", F.explode(widths)).alias("a")
+    width = _level(F.col("to_hn") - F.col("from_hn"))
+    bands = F.sequence(F.expr("shiftright(from_hn, width)"), F.expr("shiftright(to_hn, width)"))
+    s = segments.filter("from_hn <= to_hn").withColumn("width", width).withColumn("band", F.explode(bands)).alias("s")
+    near = (F.col("a.state") == F.col("s.state")) & (F.col("a.street") == F.col("s.street")) & (F.col("a.at.width") == F.col("s.width")) & (F.col("a.at.band") == F.col("s.band"))
+    joined = a.join(s, near & F.col("a.number").between(F.col("s.from_hn"), F.col("s.to_hn")))
     other = ~F.coalesce(F.col("a.zip") == F.col("s.zip"), F.lit(False))
     span = F.col("s.to_hn") - F.col("s.from_hn")
     t = F.when(span == 0, 0.5).otherwise((F.col("a.number") - F.col("s.from_hn")) / span)

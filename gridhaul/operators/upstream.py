@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridhaul.operators.materialise import materialised
+
 
 def compare(prev: DataFrame, cur: DataFrame, keys: list[str], signal: str) -> DataFrame:
     """keys, prev, cur, change (new, removed, changed, unchanged)."""
@@ -56,6 +58,33 @@ def flatten(rows: DataFrame, nested: str, depth: int) -> DataFrame:
     return out
 
 
+def flatten_json(rows: DataFrame, text: str, max_depth: int = 1_000) -> DataFrame:
+    """path and value (text) of each leaf of JSON however deep, beside the other columns: keys, and places in lists from 0, joined by /.
+
+    A level a round, containers go on to the next. An empty map or list is a leaf, {} or []; JSON null is the leaf null; a whole text that is a single value has
+    the path ''. Texts that are null or no JSON have no rows. Deeper than max_depth raises.
+    """
+    others = [c for c in rows.columns if c != text]
+    names = [f"`{c}`" for c in others]
+    level = rows.select(*names, F.lit(None).cast("string").alias("_path"), F.try_parse_json(text).alias("_v")).filter("_v IS NOT NULL")
+    leaves: DataFrame | None = None
+    for _ in range(max_depth):
+        kind = F.schema_of_variant("_v")
+        whole = F.to_json("_v")
+        deep = (kind.startswith("OBJECT") | kind.startswith("ARRAY")) & ~whole.isin("{}", "[]")
+        level = materialised(level.withColumn("_deep", deep))
+        plain = F.coalesce(F.try_variant_get("_v", "$", "string"), F.when(F.is_variant_null("_v"), F.lit(None)).otherwise(F.to_json("_v")))
+        done = level.filter("NOT _deep").select(*names, F.coalesce("_path", F.lit("")).alias("path"), plain.alias("value"))
+        leaves = done if leaves is None else leaves.unionByName(done)
+        level = level.filter("_deep")
+        if level.isEmpty():
+            return leaves
+        inside = rows.sparkSession.tvf.variant_explode(F.col("_v").outer()).select(F.col("pos").alias("_pos"), F.col("key").alias("_key"), F.col("value").alias("_in"))
+        step = F.coalesce("_key", F.col("_pos").cast("string"))
+        level = level.lateralJoin(inside).select(*names, F.concat_ws("/", "_path", step).alias("_path"), F.col("_in").alias("_v"))
+    raise ValueError(f"JSON deeper than {max_depth}")
+
+
 def attributed(runs: DataFrame, known: DataFrame) -> DataFrame:
     """state, slug, attribution, license of each source's latest run; known: slug_key, layer_attribution, attribution, license.
 

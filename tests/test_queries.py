@@ -24,7 +24,7 @@ def plain(x):
     return x
 
 
-SLOW = {"geocode_cascade", "route_dijkstra", "distance_matrix_documents"}  # the driver compares these
+SLOW = {"geocode_cascade", "geocode_cached", "route_dijkstra", "distance_matrix_documents"}  # the driver compares these
 
 
 @pytest.mark.parametrize("name", sorted(set(plans.ORACLE) - SLOW))
