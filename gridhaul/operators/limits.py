@@ -34,8 +34,8 @@ def decisions(requests: DataFrame, per_second: int, per_day: int, second: int =
     return r.select("seq", "ip", "now", "elements", "ok", blocked.alias("blocked_by"), "sec_used", "day_used")
 
 
-def global_cap(admitted: DataFrame, per_day: int) -> DataFrame:
-    """The cap over all callers, after their own limits: running sums by day, in two levels.
+def global_cap(admitted: DataFrame, per_day: int, before: DataFrame | None = None) -> DataFrame:
+    """The cap over all callers, after their own limits: running sums by day, in two levels. before (day, total): what days have used already.
 
     A day is cut into minutes; sums before each minute come from one row a minute, sums inside it from a
     window of the minute, so no task holds a day's requests.
@@ -47,6 +47,8 @@ def global_cap(admitted: DataFrame, per_day: int) -> DataFrame:
     inside = Window.partitionBy("day", "minute").orderBy("now", "seq").rowsBetween(Window.unboundedPreceding, -1)
     used = F.col("base") + F.coalesce(F.sum("elements").over(inside), F.lit(0))
     out = a.join(minutes, ["day", "minute"]).withColumn("used", used)
+    if before is not None:
+        out = out.join(before, "day", "left").withColumn("used", F.col("used") + F.coalesce("total", F.lit(0)))
     ok = F.lit(True) if per_day <= 0 else F.col("used") < per_day
     return out.select("seq", "day", "elements", ok.alias("ok"), F.when(ok, F.col("used")).otherwise(F.greatest(F.lit(per_day), F.least("used", F.lit(per_day)))).alias("used"))
 
