@@ -43,3 +43,31 @@ def test_snap_beyond_its_first_grid(spark):
         best = sorted((r.m, r.node) for r in far if r.id == id_)[:3]
         assert sorted(found[id_]) == [(n + 1, x[1]) for n, x in enumerate(best)]
     assert set(found) == {1, 2, 3}
+
+
+def test_interpolate_meets_few_of_many_overlapping_segments(spark):
+    """Brute force over ranges that all overlap; a number meets one row a size of blocks and zip."""
+    from gridhaul.operators.segments import interpolate
+
+    segs = spark.range(300).selectExpr("300 - id AS id", "'CA' AS state", "'elm st' AS street", "CASE id % 2 WHEN 0 THEN 'L' ELSE 'R' END AS side", "CAST(id % 7 AS STRING) AS zip", "CAST(id % 50 AS INT) AS from_hn", "CAST(id % 50 + (id * 13) % 400 AS INT) AS to_hn", "1.0D * id AS from_lat", "0.0D AS from_lon", "1.0D * id + 1 AS to_lat", "1.0D AS to_lon")
+    asked = spark.range(900).selectExpr("id", "'CA' AS state", "id % 450 AS number", "'elm st' AS street", "CASE WHEN id % 3 = 0 THEN NULL ELSE CAST(id % 9 AS STRING) END AS zip")
+    rows, want = segs.collect(), {}
+    for a in asked.collect():
+        held = [(s.zip != a.zip, s.id, s.side, s) for s in rows if s.from_hn <= a.number <= s.to_hn]
+        if held:
+            s = min(held, key=lambda x: x[:3])[3]
+            t = 0.5 if s.to_hn == s.from_hn else (a.number - s.from_hn) / (s.to_hn - s.from_hn)
+            want[a.id] = (s.id, s.from_lat + t * (s.to_lat - s.from_lat), t)
+    found = interpolate(asked, segs)
+    assert {r.id: (r.segment, r.lat, r.lon) for r in found.collect()} == want and len(want) > 600
+
+
+def test_queries_of_the_same_words_are_asked_once(spark):
+    from gridhaul.operators import fulltext
+
+    docs = spark.range(50).selectExpr("'CA' AS shard", "id", "concat('elm st ', id % 5) AS text")
+    asked = spark.range(200).selectExpr("id AS q", "'CA' AS shard", "CASE WHEN id % 2 = 0 THEN '3 Elm st' ELSE 'st elm, 3 elm' END AS text")
+    few, named = fulltext.once(asked)
+    assert [r.q for r in few.collect()] == [0] and named.count() == 200
+    best = fulltext.ranked(asked, fulltext.postings(docs), docs.selectExpr("shard", "id", "'rooftop' AS tier"))
+    assert {(r.q, r.id) for r in best.collect()} == {(q, 3) for q in range(200)}
