@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridhaul.functions import text as X
@@ -43,18 +43,26 @@ def write_mirror(rows: DataFrame, path: str) -> None:
     rows.repartition("state").sortWithinPartitions("state", "key", "id").write.mode("overwrite").partitionBy("state").parquet(path)
 
 
+FOLDER_BITS = 3  # a folder holds so many tiles (2^bits) each way
+
+
+def _folder(tile: str) -> Column:
+    return F.shiftright(tile, FOLDER_BITS)
+
+
 def write_tiles(edges: DataFrame, path: str) -> None:
-    """Edges by the tile of their source, so that a corridor reads its tiles alone."""
-    edges.repartition("u_tx", "u_ty").sortWithinPartitions("u_dense").write.mode("overwrite").partitionBy("u_tx", "u_ty").parquet(path)
+    """Edges by the tile of their source, so that a corridor reads its tiles alone: a folder for 64 tiles, its rows sorted by tile."""
+    placed = edges.withColumns({"f_tx": _folder("u_tx"), "f_ty": _folder("u_ty")})
+    placed.repartition("f_tx", "f_ty").sortWithinPartitions("f_tx", "f_ty", "u_tx", "u_ty", "u_dense").write.mode("overwrite").partitionBy("f_tx", "f_ty").parquet(path)
 
 
 def read_tiles(spark: SparkSession, path: str, tiles: DataFrame | None = None) -> DataFrame:
     """Edges as write_tiles leaves them; of these tiles (tx, ty) alone if given, so that other folders aren't read."""
     edges = spark.read.parquet(path)
     if tiles is None:
-        return edges
-    wanted = tiles.select(F.col("tx").alias("u_tx"), F.col("ty").alias("u_ty")).distinct()
-    return edges.join(wanted, ["u_tx", "u_ty"], "left_semi")
+        return edges.drop("f_tx", "f_ty")
+    wanted = tiles.select(_folder("tx").alias("f_tx"), _folder("ty").alias("f_ty"), F.col("tx").alias("u_tx"), F.col("ty").alias("u_ty")).distinct()
+    return edges.join(wanted, ["f_tx", "f_ty", "u_tx", "u_ty"], "left_semi").drop("f_tx", "f_ty")
 
 
 def read_mirror(spark: SparkSession, path: str, state: str | None = None) -> DataFrame:
@@ -84,7 +92,7 @@ def changed_states(rows: DataFrame, stored: DataFrame, listed: DataFrame | None
     changed = now.join(stored.withColumnRenamed("digest", "old"), "state", "left").filter(~F.col("digest").eqNullSafe(F.col("old"))).select("state")
     if listed is not None and not override and (hit := changed.join(listed, "state", "left_semi").limit(5).collect()):
         raise ValueError(f"live shards would be reloaded: {', '.join(sorted(r.state for r in hit))}")
-    return rows.join(changed, "state", "left_semi")
+    return rows.join(F.broadcast(changed), "state", "left_semi")  # a row a state; dealt by state, a few tasks would sort all rows
 
 
 def state_digests(rows: DataFrame) -> DataFrame:

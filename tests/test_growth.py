@@ -71,3 +71,35 @@ def test_queries_of_the_same_words_are_asked_once(spark):
     assert [r.q for r in few.collect()] == [0] and named.count() == 200
     best = fulltext.ranked(asked, fulltext.postings(docs), docs.selectExpr("shard", "id", "'rooftop' AS tier"))
     assert {(r.q, r.id) for r in best.collect()} == {(q, 3) for q in range(200)}
+
+
+def test_paths_over_many_edges_ship_no_edges(spark, monkeypatch):
+    """More edges than a region holds and no positions: hop by hop, and never packed for each round."""
+    from gridhaul.operators import routing
+
+    rows = [(u, v, float(1 + (u * 7 + v * 3) % 11), float(1 + v % 3)) for u in range(20) for v in range(20) if u != v and (u + v) % 3]
+    edges, origins = spark.createDataFrame(rows, "u long, v long, seconds double, metres double"), spark.createDataFrame([(0,), (5,), (77,)], "origin long")
+    want = sorted(map(tuple, routing.shortest_paths(origins, edges).collect()))
+    monkeypatch.setattr(routing, "_rows", None)  # what packs edges and labels for a round
+    assert sorted(map(tuple, routing.shortest_paths(origins, edges, region_edges=30).collect())) == want and (77, 77, 0.0, 0.0) in want
+
+
+def test_tiles_share_folders(spark, tmp_path):
+    from gridhaul.sources import files
+
+    edges = spark.range(640).selectExpr("id AS u", "id + 1 AS v", "CAST(id % 16 - 8 AS INT) AS u_tx", "CAST(id % 10 AS INT) AS u_ty", "CAST(id AS INT) AS u_dense")
+    files.write_tiles(edges, str(tmp_path / "t"))
+    assert len([p for p in (tmp_path / "t").glob("*/*") if p.is_dir()]) == 4  # 80 tiles
+    rows = lambda df: sorted(map(tuple, df.select("u", "v", "u_tx", "u_ty", "u_dense").collect()))
+    assert rows(files.read_tiles(spark, str(tmp_path / "t"))) == rows(edges) and "f_tx" not in files.read_tiles(spark, str(tmp_path / "t")).columns
+    wanted = spark.createDataFrame([(-8, 0), (3, 1), (50, 50)], "tx int, ty int")
+    assert rows(files.read_tiles(spark, str(tmp_path / "t"), wanted)) == rows(edges.filter("u_tx = -8 AND u_ty = 0 OR u_tx = 3 AND u_ty = 1"))
+
+
+def test_rows_of_few_states_are_not_dealt_by_state(spark):
+    from gridhaul.sources import files
+
+    rows = spark.range(100).selectExpr("CASE WHEN id % 2 = 0 THEN 'CA' ELSE 'TX' END AS state", "id")
+    changed = files.changed_states(rows, files.state_digests(rows.filter("id <> 7")))
+    assert changed.count() == 50 and "SortMergeJoin" not in changed._jdf.queryExecution().toString().split("left_semi")[0].split("LeftSemi")[0]
+    assert "BroadcastHashJoin [state" in changed._jdf.queryExecution().executedPlan().toString()
