@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from gridhaul.functions import geo
 from gridhaul.functions import text as X
 from gridhaul.operators.materialise import materialised
+from gridhaul.operators.routing import leading
 
 
 def bounds(points: DataFrame, request: str) -> DataFrame:
@@ -39,7 +40,7 @@ def tiles(boxes: DataFrame, request: str, buffer: int = 1, most: int = 16) -> Da
 
 
 MOST_SETTLED = 500_000  # nodes that one request may settle
-GROUP_REQUESTS = 1_000  # requests of one corridor that meet in one group, about
+GROUP_REQUESTS = 100  # requests of one corridor that meet in one group, about
 
 
 def _nearest_first(legs: pa.Table, edges: pa.Table) -> pa.Table:
@@ -54,8 +55,11 @@ def _nearest_first(legs: pa.Table, edges: pa.Table) -> pa.Table:
     asked: dict[int, tuple[int, list]] = {}
     for request, dest, start, goal in zip(*(legs[c].to_pylist() for c in ("request", "dest", "origin_node", "dest_node")), strict=True):
         asked.setdefault(request, (start, []))[1].append((dest, goal))
+    entered = set(nodes[np.unique(v)].tolist())
     for request, (start, goals) in asked.items():
         open_, found = {goal for _, goal in goals}, {}
+        if not open_ <= entered | {start}:
+            continue
         best, heap = {}, [(0.0, 0.0, start)]
         while heap and open_ and len(best) < MOST_SETTLED:
             at_s, at_m, node = heapq.heappop(heap)
@@ -83,9 +87,14 @@ def route_within(legs: DataFrame, edges: DataFrame, most: int = 16) -> DataFrame
 
     legs: request, dest (longs), origin_node, dest_node with their points (origin_lat, origin_lon, dest_lat, dest_lon), one origin a request; legs without
     a node take no part. edges: u, v, seconds, metres and the tile of their source (u_tx, u_ty). A corridor is the tiles of a request's nodes and those around;
-    requests with one corridor share its edges, in groups of about GROUP_REQUESTS.
+    requests with one corridor share its edges, in groups of about GROUP_REQUESTS. Requests with a goal that no edge enters are told at once, and edges
+    that no path can take (see `routing.leading`) are left out.
     """
     some = legs.filter("origin_node IS NOT NULL AND dest_node IS NOT NULL")
+    entered = edges.select(F.col("v").alias("dest_node"), F.lit(True).alias("entered")).distinct()
+    lost = some.join(entered, "dest_node", "left").filter(F.isnull("entered") & (F.col("dest_node") != F.col("origin_node"))).select("request").distinct()
+    some = materialised(some.join(lost, "request", "left_anti"))
+    edges = leading(edges, some.select(F.col("origin_node").alias("node")))
     ends = some.select("request", F.col("origin_lat").alias("lat"), F.col("origin_lon").alias("lon")).unionByName(some.select("request", F.col("dest_lat").alias("lat"), F.col("dest_lon").alias("lon")))
     found = tiles(bounds(ends, "request"), "request", most=most)
     box = found.groupBy("request").agg(F.min("tx").alias("x0"), F.max("tx").alias("x1"), F.min("ty").alias("y0"), F.max("ty").alias("y1"))

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridhaul.functions import geo
-from gridhaul.operators import snap
+from gridhaul.operators import routing, snap
 
 
 def test_rounded_goes_by_the_product(spark):
@@ -103,3 +103,16 @@ def test_rows_of_few_states_are_not_dealt_by_state(spark):
     changed = files.changed_states(rows, files.state_digests(rows.filter("id <> 7")))
     assert changed.count() == 50 and "SortMergeJoin" not in changed._jdf.queryExecution().toString().split("left_semi")[0].split("LeftSemi")[0]
     assert "BroadcastHashJoin [state" in changed._jdf.queryExecution().executedPlan().toString()
+
+
+def test_goals_that_no_edge_enters_are_not_searched(spark):
+    """Only goals that some edge enters, or the origin itself, are searched for; edges out of nodes that nothing reaches are left out."""
+    edges = spark.createDataFrame([(1, 2, 1.0, 1.0), (2, 1, 1.0, 1.0), (7, 2, 1.0, 1.0), (8, 7, 1.0, 1.0)], "u long, v long, seconds double, metres double")
+    assert {(r.u, r.v) for r in routing.leading(edges, spark.createDataFrame([(1,)], "node long")).collect()} == {(1, 2), (2, 1), (7, 2)}
+    graph, seen = routing.Graph(edges), []
+    plain = graph.search
+    graph.search = lambda origins, goals=None, rounds=10_000: seen.extend(r.node for r in goals.collect()) or plain(origins, goals, rounds)
+    goals = [(1, 2, 2), (1, 8, 8), (8, 8, 8), (8, 9, 9), (8, 1, 1)]
+    asked = spark.createDataFrame([(o, g, n, 0.0, 0.0) for o, g, n in goals], "origin long, goal long, node long, lat double, lon double")
+    assert {(r.origin, r.goal, r.seconds) for r in routing.routes(asked, graph).collect()} == {(1, 2, 1.0), (8, 8, 0.0), (8, 1, 3.0)}
+    assert sorted(seen) == [1, 2, 8]
