@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from gridhaul.llm import common, lm_scoring, quality, toxicity
@@ -172,3 +173,19 @@ def test_toxicity(spark):
     assert score[1000] >= 0.5 and max(score[1001], score[1002], score[1003]) < 0.5
     assert toxicity.fit(table, lab.limit(0), toxicity.training()) is None
     assert {r.toxicity for r in toxicity.scored(table, None).collect()} == {0.0}
+
+
+def test_quality_learns_from_every_label(spark):
+    """Moments, pairs and the cut come from all labelled rows, however many: more than the 6,000 that a sample once held, good ones rare."""
+    rows = [(k, ("good words in a row " if k % 20 == 0 else "bad!!! ") + str(k * 7919), "s") for k in range(7_000)]
+    labels = spark.createDataFrame([(k, int(k % 20 == 0), 0) for k in range(7_000)], "doc_id long, quality int, toxic int")
+    table = docs.table(spark, rows)
+    model = quality.fit(table, labels, F.lit(True))
+    x = np.stack([quality.features(t.encode()) for _, t, _ in rows]).astype(np.float64)
+    assert np.allclose(model.mean, x.mean(0), atol=1e-7)
+    s = np.sort(((x - model.mean) / model.scale * model.weights).sum(1))
+    assert model.cut == pytest.approx((s[6_649] + s[6_650]) / 2, abs=1e-9)
+    found = quality._labelled(table, labels, F.lit(True))
+    blocks = quality._blocks(found, 350, 6_650).collect()
+    assert sum(len(b.bad) for b in blocks) == 6_650 * 4 * quality.N_FEATURES and all(b.pairs for b in blocks)
+    assert sum(len(b.good) for b in blocks) >= 350 * 4 * quality.N_FEATURES
