@@ -116,3 +116,27 @@ def test_goals_that_no_edge_enters_are_not_searched(spark):
     asked = spark.createDataFrame([(o, g, n, 0.0, 0.0) for o, g, n in goals], "origin long, goal long, node long, lat double, lon double")
     assert {(r.origin, r.goal, r.seconds) for r in routing.routes(asked, graph).collect()} == {(1, 2, 1.0), (8, 8, 0.0), (8, 1, 3.0)}
     assert sorted(seen) == [1, 2, 8]
+
+
+@pytest.mark.parametrize("group_labels", [2_000_000, 3])
+def test_edges_of_regions_stay_where_they_are(spark, monkeypatch, group_labels):
+    """With more regions than half the cores, rounds copy no packed edges to other tasks, but for regions whose labels fill more than one group."""
+    rows = [(u, v, 1.0, float(u + v)) for u in range(12) for v in range(12) if u != v] + [(0, 99, 3.0, 1.0)]
+    edges = spark.createDataFrame(rows, "u long, v long, seconds double, metres double").coalesce(1)
+    shipped, plain = [], routing._rows
+
+    def seen(df, kind, **given):
+        if kind == routing.EDGES and "data" in given:
+            shipped.append(df.count())
+        return plain(df, kind, **given)
+
+    monkeypatch.setattr(routing, "_rows", seen)
+    monkeypatch.setattr(routing, "GROUP_LABELS", group_labels)
+    graph = routing.Graph(edges, regions=spark.range(12).selectExpr("id AS node", "id % 6 AS region"))
+    labels = graph.search(spark.range(12).toDF("origin"))
+    graph.close()
+    found = {(r.origin, r.node): min((x.s, x.m) for x in r.x) for r in labels.groupBy("origin", "node").agg(F.collect_list(F.struct("s", "m")).alias("x")).collect()}
+    want = {(o, n): (0.0, 0.0) if o == n else (1.0, float(o + n)) for o in range(12) for n in range(12)}
+    assert found == want | {(o, 99): (4.0, o + 1.0) if o else (3.0, 1.0) for o in range(12)}
+    assert (sum(shipped[:2]) == 0) == (group_labels > 3)  # the last round has one region
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("bucketed_")]
