@@ -26,7 +26,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, similarity 0.8."""
+    """One document of each group of near copies: five-word shingles, fingerprints by pivot tables, then sets of similarity 0.8."""
     common.small_batches(spark)
     return simhash.drop_similar(docs)
 

@@ -9,8 +9,9 @@ links that join two groups are kept, at most one fewer than the bucket has rows.
 dealt to pairs of parts, each held by one task. Every pair within t bits is linked through some bucket;
 components follow from the links.
 
-Similar texts (drop_similar) are found on their sets of shingles: an equi-join on the rarest shingles of each set,
-so long a prefix that no pair is missed, and a comparison of the sets; only verified links join groups.
+Similar texts (drop_similar) are found the same way: fingerprints, classes, pivot tables; but a link joins groups only if
+the sets of shingles are similar too. An exact check follows for pairs that fingerprints left apart: an equi-join on the rarest
+shingles of each set, so long a prefix that no pair is missed, and again a comparison of the sets.
 
 Null and blank texts have fingerprint 0 and link like any other. A null doc_id takes part but is never a
 component's least id unless all are null. Repeated rows give repeated result rows; an empty table gives none.
@@ -275,11 +276,33 @@ def _verified(known: DataFrame, pairs: DataFrame, similarity: float) -> DataFram
     return out
 
 
-def similar_links(texts: DataFrame, words: int, similarity: float) -> DataFrame:
+def _print_links(texts: DataFrame, words: int, max_bits: int) -> DataFrame:
+    """Links (a, b) of ids of texts (id, text) by fingerprint: classes of equal fingerprints by their least id, that id with every other of its class."""
+    prints = fingerprints(texts.select(F.col("id").alias("doc_id"), "text"), words).withColumnRenamed("doc_id", "id").distinct()
+    prints = common.work_table(prints, "text-prints")
+    classes = common.work_table(prints.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")), "print-classes")
+    found = links(classes.select("fp"), classes.count(), max_bits).distinct()
+    for end in ("a", "b"):  # a fingerprint may have very many links, a class very many texts
+        named = classes.select(F.col("fp").alias(end), F.col("least").alias(f"{end}_id"))
+        found = common.spread_join(found, named, [end], "b" if end == "a" else "a")
+    members = common.spread_join(prints, classes.filter("n > 1").select("fp", "least"), ["fp"], "id").filter("id != least")
+    out = common.work_table(found.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).union(members.select("least", "id")), "print-links")
+    common.discard(prints, classes)
+    return out
+
+
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose ends (node, root) are in different groups."""
+    tops = pairs.select("a").distinct().join(roots.withColumnsRenamed({"node": "a", "root": "a_root"}), "a", "left").withColumn("a_root", F.coalesce("a_root", "a"))
+    known = common.spread_join(pairs, tops, ["a"], "b").join(roots.withColumnsRenamed({"node": "b", "root": "b_root"}), "b", "left")
+    return known.filter(F.col("a_root") != F.coalesce("b_root", "b")).select("a", "b")
+
+
+def similar_links(texts: DataFrame, words: int, similarity: float, max_bits: int = 3) -> DataFrame:
     """Verified links (a, b) that connect all pairs of ids whose texts (id, text) have sets so similar.
 
-    Sets of n and m shingles that are so similar share at least s / (1 + s) (n + m), so their first common shingle
-    stands at place n less that, or m less that, at most; a token pairs only rows for which this holds. First every
+    Links of fingerprints within max_bits bits are verified first; pairs that these join aren't compared again. The exact check: sets of n and m shingles that are so similar share at least s / (1 + s) (n + m), so their first common shingle
+    stands at place n less that, or m less that, at most; a token pairs only rows for which this holds. Every
     set is compared with the hub of each token, the row where the token stands first (that with the fewest shingles
     of its own). Then, of the tokens whose sets are still in several groups, all pairs of two groups are compared; pairs
     of one group are joined already.
@@ -293,11 +316,15 @@ def similar_links(texts: DataFrame, words: int, similarity: float) -> DataFrame:
         common_ = similarity / (1 + similarity) * (n + m) - 1e-9
         return (F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9) & (i <= n - common_) & (j <= m - common_) | (n == 0) & (m == 0)
 
-    known = _shingle_sets(texts, shared.select("id").union(shared.select("hub.id")).distinct(), words)
+    printed = _print_links(texts, words, max_bits)
+    known = _shingle_sets(texts, shared.select("id").union(shared.select("hub.id")).union(printed.select("a")).union(printed.select("b")).distinct(), words)
+    found = _verified(known, printed, similarity)
+    common.discard(printed)
     near_hub = viable(F.col("n"), F.col("pos"), F.col("hub.n"), F.col("hub.pos"))
     stars = common.work_table(shared.filter((F.col("hub.id") != F.col("id")) & near_hub).select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct(), "star-pairs")
-    found = _verified(known, stars, similarity)
-    common.discard(stars)
+    left = common.work_table(_apart(stars, components(found)), "stars-apart")
+    found = found.union(_verified(known, left, similarity))
+    common.discard(stars, left)
 
     roots = components(found).withColumnRenamed("node", "id")
     # of two rows the star is the only pair
@@ -334,9 +361,11 @@ def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 2) -> DataF
     return _components(prints, classes, links(classes.select(F.col("id").alias("fp")), classes.count(), max_bits)).select("doc_id", "fp", "root", "component_id")
 
 
-def drop_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+def drop_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, max_bits: int = 3) -> DataFrame:
     """docs without near copies: of each group that links of that similarity connect, the row of the least id.
 
+    Fingerprints of the shingles within max_bits bits link first, by pivot tables as in near_duplicates; see similar_links.
+
     The similarity is that of the sets of word shingles (common over all), by hashes: 64 bits
     find pairs, their low halves compare them. The search misses no pair: see similar_links. Equal texts are one class from the start, by a 64-bit hash of the text. Texts without words are
     copies of each other. Columns that begin with __ are reserved.
@@ -347,7 +376,7 @@ def drop_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Da
     ids = common.work_table(marked.select(F.col("__id").alias("id"), F.col("doc_id").cast("long").alias("doc_id")), "text-ids")
     classes = common.work_table(ids.groupBy("id").agg(F.min("doc_id").alias("least_id")), "text-classes")
     texts = marked.select(F.col("__id").alias("id"), F.col("text").cast("string").alias("text"))
-    found = _components(ids, classes, similar_links(texts, words, similarity))
+    found = _components(ids, classes, similar_links(texts, words, similarity, max_bits))
     rows = found.groupBy("root", "doc_id", "id").agg(F.count(F.lit(1)).alias("n"))
     first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "id", "n")).alias("x"))
     kept = common.work_table(first.select(F.coalesce(F.col("x.doc_id").cast("string"), F.lit("")).alias("__kept"), F.col("x.id").alias("__id"), "x.n"), "kept-rows")

@@ -5,6 +5,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from gridhaul.llm import components, exact_dedup, simhash
 from tests.llm import docs
@@ -182,3 +183,24 @@ def test_drop_similar_finds_every_short_pair(spark, few, many):
         rows += [(2 * k, " ".join(w), "s"), (2 * k + 1, " ".join(w[:few]), "s")]
     kept = sorted(r.doc_id for r in simhash.drop_similar(docs.table(spark, rows)).collect())
     assert kept == brute_kept(rows) and len(kept) <= 100
+
+
+def test_drop_similar_links_fingerprints_first(spark, monkeypatch):
+    """Fingerprints and pivot tables find copies with a word more; the sets verify them; the exact check looks at what is left apart."""
+    rows = [(k, docs.words(700 + k, 400, 9000), "s") for k in range(12)]
+    for k in range(6):
+        rows.append((100 + k, f"{rows[k][1]} new{k}", "s"))
+    w = rows[6][1].split()
+    w[40::40] = ["other"] * len(w[40::40])  # similarity about 0.8, fingerprints far apart
+    rows += [(200, " ".join(w[:-1]), "s"), (201, "a b c d e f", "s"), (202, "a b c d e g", "s")]
+    fps = {i: brute_fingerprint(t, 5) for i, t, _ in rows}
+    near = {(k, 100 + k) for k in range(6) if bin(fps[k] ^ fps[100 + k]).count("1") <= 3}
+    checked, tables, plain, solver = [], [], simhash._verified, simhash._solver
+    monkeypatch.setattr(simhash, "_verified", lambda known, pairs, s: checked.append({frozenset((r.a, r.b)) for r in pairs.collect()}) or plain(known, pairs, s))
+    monkeypatch.setattr(simhash, "_solver", lambda refs, bits: tables.append(len(refs)) or solver(refs, bits))
+    table = docs.table(spark, rows)
+    ids = {r.doc_id: r.id for r in table.select("doc_id", F.xxhash64("text").alias("id")).collect()}
+    kept = sorted(r.doc_id for r in simhash.drop_similar(table).collect())
+    assert kept == brute_kept(rows) and tables == [simhash.PIVOTS]
+    pairs = {frozenset((ids[a], ids[b])) for a, b in near}
+    assert near and pairs <= checked[0] and not pairs & set().union(*checked[1:]) and len(checked) == 3
