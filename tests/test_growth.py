@@ -140,3 +140,36 @@ def test_edges_of_regions_stay_where_they_are(spark, monkeypatch, group_labels):
     assert found == want | {(o, 99): (4.0, o + 1.0) if o else (3.0, 1.0) for o in range(12)}
     assert (sum(shipped[:2]) == 0) == (group_labels > 3)  # the last round has one region
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("bucketed_")]
+
+
+def test_edges_go_by_hashes_and_are_the_first(spark):
+    """Of parallel edges of either direction the first by way and step; nothing but the order inside ways is sorted."""
+    from gridhaul.operators import graph
+
+    ways = spark.range(400).selectExpr("id % 37 AS way", "id AS pos", "(id * id + floor(id / 37)) % 7 AS node", "0 AS tie", "0 AS tie2", "element_at(array('motorway', 'primary', 'footway', 'service'), cast(id % 4 + 1 AS int)) AS highway", "element_at(array('50 mph', '30', '', 'none', '0', '45 km/h', '12.5'), cast(id % 7 + 1 AS int)) AS maxspeed", "element_at(array('yes', 'no', null), cast(id % 3 + 1 AS int)) AS oneway", "'' AS access")
+    nodes = spark.range(6).selectExpr("id", "37.0 + id / 10 AS lat", "-120.0 - (id % 3) / 10 AS lon")
+    found = graph.edges(ways, nodes)
+    want, at = {}, {r.id: r for r in nodes.collect()}
+    kmh = {"50 mph": 50 * 1.60934, "30": 30.0, "45 km/h": 45.0, "12.5": 12.5}
+    rows = [r for r in ways.collect() if r.highway != "footway"]
+    for way in range(37):
+        of_way = sorted((r for r in rows if r.way == way), key=lambda r: r.pos)
+        for a, b in zip(of_way, of_way[1:]):
+            if a.node in at and b.node in at and a.node != b.node:
+                speed = kmh.get(a.maxspeed) or {"motorway": 105.0, "primary": 65.0, "service": 20.0}[a.highway]
+                for u, v in [(a.node, b.node)] + ([(b.node, a.node)] if a.oneway != "yes" else []):
+                    want.setdefault((u, v), speed)
+    assert {(r.u, r.v): round(r.metres / r.seconds * 3.6, 6) for r in found.collect()} == {k: round(x, 6) for k, x in want.items()} and len(want) > 20
+    assert "SortAggregate" not in found._jdf.queryExecution().toString()
+
+
+def test_edges_without_positions_are_written_once(spark, monkeypatch):
+    """They lie in buckets and nowhere else, and are gone afterwards, after a failure too."""
+    seen, plain = [], routing.materialised
+    monkeypatch.setattr(routing, "materialised", lambda df: seen.append(df.columns) or plain(df))
+    edges = spark.createDataFrame([(k, k + 1, 1.0, 1.0) for k in range(9)], "u long, v long, seconds double, metres double")
+    origins = spark.createDataFrame([(0,)], "origin long")
+    assert routing.shortest_paths(origins, edges, region_edges=5).count() == 10
+    with pytest.raises(RuntimeError, match="did not settle"):
+        routing.shortest_paths(origins, edges, 3, region_edges=5)
+    assert not [c for c in seen if "v" in c] and not [t for t in spark.catalog.listTables() if t.name.startswith("bucketed_")]
