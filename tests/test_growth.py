@@ -173,3 +173,41 @@ def test_edges_without_positions_are_written_once(spark, monkeypatch):
     with pytest.raises(RuntimeError, match="did not settle"):
         routing.shortest_paths(origins, edges, 3, region_edges=5)
     assert not [c for c in seen if "v" in c] and not [t for t in spark.catalog.listTables() if t.name.startswith("bucketed_")]
+
+
+def _points(spark, n, k):
+    return spark.range(n).selectExpr("CAST(id % 3 AS INT) AS nation", "id", f"CASE WHEN id % {k} = 4 THEN NULL ELSE 25 + (id * 7919 % 240000) / 1e4 END AS lat", "-124 + (id * 104729 % 560000) / 1e4 AS lon")
+
+
+def test_crow_matrix_in_parts_and_compiled(spark, monkeypatch):
+    """Origins of a request are dealt to parts, each cell comes once, and no generated method is too large for the JVM's compiler."""
+    import re
+
+    from gridhaul.plans import matrix
+
+    o, d = _points(spark, 60, 11), _points(spark, 30, 7)
+    whole = sorted(map(str, matrix.crow_matrix(o, d, "nation").collect()))
+    monkeypatch.setattr(matrix, "ORIGINS", 3)
+    assert sorted(map(str, matrix.crow_matrix(o, d, "nation").collect())) == whole and len(set(whole)) == 600
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = matrix.crow_matrix(o, d, "nation")._jdf.queryExecution().executedPlan()
+        code = spark._jvm.org.apache.spark.sql.execution.debug.package.codegenString(plan)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert max(map(int, re.findall(r"maxMethodCodeSize:(\d+)", code))) < 8000
+
+
+def test_answers_are_joined_where_cells_are_made(spark):
+    """The answers of collected cells, though no cell is dealt again; batches end inside answers."""
+    from gridhaul.plans import matrix
+
+    o, d = _points(spark, 60, 11), _points(spark, 30, 7)
+    want = sorted(map(str, matrix.responses(matrix.crow_matrix(o, d, "nation")).collect()))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        found = matrix.crow_responses(o, d, "nation")
+        assert sorted(map(str, found.collect())) == want and len(want) == 60
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString().split("Generate")[0]
