@@ -211,3 +211,39 @@ def test_answers_are_joined_where_cells_are_made(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString().split("Generate")[0]
+
+
+def test_rounds_read_few_partitions(spark, monkeypatch):
+    """Improved labels of earlier rounds come in as many partitions as cores, not as many as buckets for each round; and nothing is left in the catalogue."""
+    seen, plain = [], routing._rows
+
+    def rows(df, kind, **given):
+        if kind == routing.KNOWN:
+            seen.append(routing_known[-1].rdd.getNumPartitions())
+        return plain(df, kind, **given)
+
+    routing_known, union = [], routing._union
+    monkeypatch.setattr(routing, "_union", lambda tables: routing_known.append(union(tables)) or routing_known[-1])
+    monkeypatch.setattr(routing, "_rows", rows)
+    buckets = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        chain = spark.createDataFrame([(k, k + 1, 1.0, 1.0) for k in range(4)], "u long, v long, seconds double, metres double")
+        graph = routing.Graph(chain, regions=spark.range(5).selectExpr("id AS node", "id AS region"))
+        labels = graph.search(spark.range(1).toDF("origin"))
+        graph.close()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", buckets)
+    assert {r.node: r.s for r in labels.collect()} == {k: float(k) for k in range(5)}
+    cores = spark.sparkContext.defaultParallelism
+    assert seen and all(n <= cores * (k + 1) for k, n in enumerate(seen))
+
+
+def test_two_sided_leaves_no_table_after_a_failure(spark):
+    from gridhaul.operators.two_sided import two_sided
+
+    pairs, edges = spark.createDataFrame([(1, 2)], "origin long, dest long"), spark.createDataFrame([(1, 2, -1.0, 1.0)], "u long, v long, seconds double, metres double")
+    before = {t.name for t in spark.catalog.listTables()}
+    with pytest.raises(RuntimeError, match="did not meet"):
+        two_sided(pairs, edges.withColumn("seconds", -F.col("seconds")), max_rounds=1)
+    assert {t.name for t in spark.catalog.listTables()} == before
